@@ -106,21 +106,31 @@ def bind(value: Column, fn) -> Column:
 
 def v6_groups(s) -> Column:
     """The eight 16-bit groups of an IPv6 text as an array<bigint>."""
-    s = F.lower(F.trim(_c(s)))
+    return bind(_undotted(F.lower(F.trim(_c(s)))), lambda t: bind(F.split(t, "::"), _fill_groups))
+
+
+def _undotted(s: Column) -> Column:
+    """Text with a dotted IPv4 tail rewritten as two groups."""
+    def rewrite(q):
+        return F.concat(F.lower(F.hex(q[0] * 256 + q[1])), F.lit(":"), F.lower(F.hex(q[2] * 256 + q[3])))
+
     tail = F.substring_index(s, ":", -1)
-    q = F.transform(F.split(tail, r"\."), lambda x: x.cast("int"))
-    hexed = F.concat(F.lower(F.hex(q[0] * 256 + q[1])), F.lit(":"), F.lower(F.hex(q[2] * 256 + q[3])))
-    s = F.when(F.instr(s, ".") > 0,
-               F.concat(s.substr(F.lit(1), F.length(s) - F.length(tail)), hexed)).otherwise(s)
+    octets = F.transform(F.split(tail, r"\."), lambda x: x.cast("int"))
+    return F.when(F.instr(s, ".") > 0, F.concat(s.substr(F.lit(1), F.length(s) - F.length(tail)),
+                                                bind(octets, rewrite))).otherwise(s)
+
+
+def _fill_groups(halves: Column) -> Column:
+    def groups(text):
+        return F.filter(F.split(F.coalesce(text, F.lit("")), ":"), lambda g: g != "")
 
-    def parts(text):
-        return F.when((text == "") | text.isNull(), F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+    def fill(p):
+        missing = F.greatest(F.lit(8) - F.size(p["left"]) - F.size(p["right"]), F.lit(0))
+        every = F.concat(p["left"], F.array_repeat(F.lit("0"), missing), p["right"])
+        return F.transform(every, lambda g: F.conv(g, 16, 10).cast("bigint"))
 
-    left = parts(F.substring_index(s, "::", 1))
-    right = parts(F.when(F.instr(s, "::") > 0, F.substring_index(s, "::", -1)))
-    missing = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
-    groups = F.concat(left, F.array_repeat(F.lit("0"), missing), right)
-    return F.transform(groups, lambda g: F.conv(g, 16, 10).cast("bigint"))
+    return bind(F.struct(groups(F.get(halves, F.lit(0))).alias("left"),
+                         groups(F.get(halves, F.lit(1))).alias("right")), fill)
 
 
 def v6_halves(s) -> Column:
@@ -182,16 +192,20 @@ def in_prefix6(s, prefix: str) -> Column:
     net = ipaddress.IPv6Network(prefix.strip(), strict=False)
     value, bits = int(net.network_address), net.prefixlen
 
-    def signed(x):
-        return x - (1 << 64) if x >= 1 << 63 else x
-
     high_mask = ((1 << 64) - 1) ^ ((1 << max(64 - bits, 0)) - 1)
     low_mask = ((1 << 64) - 1) ^ ((1 << min(128 - bits, 64)) - 1)
-    halves = v6_halves(s)
-    cond = halves["high"].bitwiseAND(F.lit(signed(high_mask))) == F.lit(signed((value >> 64) & high_mask))
+    return bind(v6_halves(s), lambda halves: _prefix_cond(halves, value, bits, high_mask, low_mask))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _prefix_cond(halves: Column, value: int, bits: int, high_mask: int, low_mask: int) -> Column:
+    cond = halves["high"].bitwiseAND(F.lit(_signed(high_mask))) == F.lit(_signed((value >> 64) & high_mask))
     if bits > 64:
-        cond = cond & (halves["low"].bitwiseAND(F.lit(signed(low_mask)))
-                       == F.lit(signed(value & low_mask & ((1 << 64) - 1))))
+        cond = cond & (halves["low"].bitwiseAND(F.lit(_signed(low_mask)))
+                       == F.lit(_signed(value & low_mask & ((1 << 64) - 1))))
     return cond
 
 
