@@ -35,7 +35,21 @@ def _v6_raw():
 
 
 _V6_SQL = "concat('2001:db8::', lower(to_hex(dstaddr >> 16)), ':', lower(to_hex(dstaddr & 65535)))"
-value_counts("p8_ipv6_norm", {"text": (lambda: address.ipv6_norm(_v6_raw()), _V6_SQL)})
+
+
+def _v6_counts(convert):
+    """Texts of the distinct addresses, with their flow counts."""
+    def build(f):
+        per = f.groupBy("dstaddr").agg(F.count(F.lit(1)).alias("n"))
+        return per.select(convert().alias("text"), "n").groupBy("text").agg(F.sum("n").alias("n"))
+    return build
+
+
+def _v6_select(expr: str) -> str:
+    return f"SELECT {expr} AS text, count(*) AS n FROM flows GROUP BY ALL"
+
+
+on_flows("p8_ipv6_norm", _v6_counts(lambda: address.ipv6_norm(_v6_raw())), _v6_select(_V6_SQL))
 value_counts("p9_is_private", {
     "src_private": (lambda: address.is_private("srcaddr"),
                     "(srcaddr BETWEEN 167772160 AND 184549375 OR srcaddr BETWEEN 2886729728 AND 2887778303 "
@@ -60,10 +74,9 @@ value_counts("p13_scale_number", {
               "CASE WHEN bytes * 100000001 + 1 >= 1000000000000 "
               "THEN printf('%.1f T', CAST(bytes * 100000001 + 1 AS DOUBLE) / 1000000000000.0) "
               "ELSE printf('%.1f G', CAST(bytes * 100000001 + 1 AS DOUBLE) / 1000000000.0) END")})
-value_counts("p14_condense_v6", {
-    "text": (lambda: address.condense_v6(address.ipv6_norm(_v6_raw())),
-             f"CASE WHEN length({_V6_SQL}) > 16 THEN concat(substr({_V6_SQL}, 1, 7), '..', right({_V6_SQL}, 7)) "
-             f"ELSE {_V6_SQL} END")})
+on_flows("p14_condense_v6", _v6_counts(lambda: address.condense_v6(address.ipv6_norm(_v6_raw()))),
+         _v6_select(f"CASE WHEN length({_V6_SQL}) > 16 THEN concat(substr({_V6_SQL}, 1, 7), '..', right({_V6_SQL}, 7)) "
+                    f"ELSE {_V6_SQL} END"))
 
 _CLOCK = ("concat(strftime(make_timestamp({s} * 1000000), '%Y-%m-%d %H:%M:%S'), '.', "
           "lpad(CAST({m} AS VARCHAR), 3, '0'))")

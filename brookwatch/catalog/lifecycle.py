@@ -1 +1,196 @@
-"""Registered queries."""
+"""Feature, event, request and retention queries (F, E)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import fixtures
+from ..detectors.base import counters
+from ..functions.predicates import w_net, w_port
+from ..functions.timefn import slot, truncate
+from ..operators import joins
+from ..plans import lifecycle as lc
+from ..plans import requests as rq
+from ..plans.anonymize import anonymize
+from ..plans.run import Config, all_events, run_detectors
+from ..rules import Rule
+from .detections import D5_RULES, D9_RULES, D15_RULES, PATTERNS, mining_domains, mining_ips, white_sub
+from .lookups import IPS_CTE, MOS, assets, domain_intel, ip_list
+from .predicates import THREAT_EVENTS, threat_events
+from .ranking import _ISLANDS, _PAIRS, _pairs, _topn_sql
+from .registry import COUNTERS, DAY, END, RECOUNT, START, on_flows, register
+
+_KEY = ["srcaddr", "dstaddr", "prot"]
+
+
+def slot_features(f: DataFrame) -> DataFrame:
+    """Per-slot rows of a pair, as one detector run writes them."""
+    per = f.groupBy(slot().alias("slot"), *_KEY).agg(*counters(), F.count_distinct("dstport").alias("peers"))
+    return per.withColumn("hour", truncate("slot", 3600)).drop("slot")
+
+
+_SLOTS = (f"slots AS (SELECT first - first % 300 AS slot, srcaddr, dstaddr, prot, {COUNTERS}, count(DISTINCT dstport) AS peers "
+          "FROM flows GROUP BY first - first % 300, srcaddr, dstaddr, prot)")
+_PEERS = f"{RECOUNT}, CAST(sum(peers) AS BIGINT) AS peers"
+
+
+def _merged(f: DataFrame) -> DataFrame:
+    feats = slot_features(f)
+    return lc.merge_features(feats.where(F.col("first") % 600 < 300), feats.where(F.col("first") % 600 >= 300), _KEY)
+
+
+_HOURS_SQL = f"SELECT srcaddr, dstaddr, prot, {_PEERS}, slot - slot % 3600 AS hour FROM slots GROUP BY srcaddr, dstaddr, prot, slot - slot % 3600"
+on_flows("f1_merge_features", _merged, _HOURS_SQL, _SLOTS)
+on_flows("f2_query_features_gaps",
+         lambda f: (lc.query_features(_pairs(f).withColumn("hour", truncate("slot", 3600)).drop("slot"), "ip_scan", _KEY,
+                                      START, END, proto=6, flows=1).drop("duration")),
+         f"SELECT srcaddr, dstaddr, prot, {RECOUNT} FROM islands WHERE prot = 6 GROUP BY srcaddr, dstaddr, prot, island",
+         f"{_PAIRS}, {_ISLANDS}")
+on_flows("f2_query_features_all",
+         lambda f: lc.query_features(f.where(F.col("qname") != "").groupBy(truncate("first", 3600).alias("hour"), "srcaddr",
+                                     "dstaddr", "qname", "qtype").agg(*counters()), "dns",
+                                     ["srcaddr", "dstaddr", "qname", "qtype"], START + 3600, START + 40000, qname="alpha"),
+         f"""SELECT srcaddr, dstaddr, qname, qtype, {RECOUNT}, max(last) - min(first) AS duration FROM
+         (SELECT first - first % 3600 AS hour, srcaddr, dstaddr, qname, qtype, {COUNTERS} FROM flows WHERE qname <> ''
+            GROUP BY first - first % 3600, srcaddr, dstaddr, qname, qtype) h
+         WHERE hour >= {START + 3600} AND hour <= {START + 40000} AND last >= {START + 3600} AND first <= {START + 40000}
+           AND contains(qname, 'alpha') GROUP BY srcaddr, dstaddr, qname, qtype""")
+on_flows("f3_feature_size", lambda f: lc.feature_size(lc.merge_features(None, slot_features(f), _KEY), START, START + 36000),
+         f"SELECT hour, count(*) AS rows FROM ({_HOURS_SQL}) h WHERE hour <= {START + 36000} GROUP BY hour", _SLOTS)
+
+
+def config(f: DataFrame) -> Config:
+    """Every detector with a rule or two."""
+    rules = {
+        "port_scan": [Rule(1, 2, min=12)], "ip_scan": [Rule(2, 8, min=5)], "dns": [Rule(3, 4, qcount=1)],
+        "dnstunnel": D5_RULES, "dga": [Rule(5, 12, min=80)], "dnstunnel_scored": [Rule(6, 14, min=95)], "ip_set": D15_RULES,
+        "bw": [Rule(8, 5, min=1, data_type="bps")], "url_content": [Rule(9, 9, sub_type=1, pat=r".*union\s+select.*")],
+        "malicious_url": [Rule(10, 16, min=60)], "icmptunnel": [Rule(11, 11, if1=2, if2=3, if3=20)],
+        "threshold": [Rule(12, 1, min=1, moid=1, data_type="Bps")], "frn_trip": D9_RULES, "threat": [Rule(14, 13)],
+        "mining": [Rule(15, 15)], "assetsrv": [Rule(16, 3, min=30)]}
+    tables = {"assets": assets(f), "domain_intel": domain_intel(f), "white_domains": white_sub(f), "suspicious": ip_list(f),
+              "black": ip_list(f), "mining_domains": mining_domains(f), "mining_ips": mining_ips(f)}
+    return Config(rules, PATTERNS, MOS, tables)
+
+
+def _run_all(f: DataFrame) -> DataFrame:
+    events = all_events(run_detectors(f, config(f), DAY))
+    return events.groupBy("type_id").agg(F.count(F.lit(1)).alias("events"), F.sum("alarm_value").alias("alarms"))
+
+
+# the parts are compared one by one by the detector queries
+on_flows("e1_run_detectors", _run_all, None)
+on_flows("e2_query_events", lambda f: lc.query_events(threat_events(f), START, START + 43200, 13, [7]),
+         f"SELECT * FROM threat_events WHERE time >= {START} AND time < {START + 43200} AND config_id = 7", THREAT_EVENTS)
+
+
+def _upserted(f: DataFrame) -> DataFrame:
+    events = threat_events(f)
+    old = events.where(F.col("time") < START + 50000)
+    return lc.upsert_events(old, events.where(F.col("time") >= START + 40000), START + 86400, ttl=70000)
+
+
+on_flows("e3_upsert_events", _upserted, f"SELECT DISTINCT * FROM threat_events WHERE time >= {START + 16400}", THREAT_EVENTS)
+on_flows("e4_expire_events", lambda f: lc.expire_events(threat_events(f), START + 86400, ttl=3600),
+         f"SELECT * FROM threat_events WHERE time >= {START + 82800}", THREAT_EVENTS)
+
+
+def _obj_details(f: DataFrame) -> DataFrame:
+    from ..detectors import detect_dns_tunnel
+    from .registry import DAY as day
+    det = detect_dns_tunnel(f, D5_RULES[:1], white_sub(f), day)
+    return lc.query_event_details(det.details, START, END, type_id=7).groupBy("obj").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("flows").alias("flows"))
+
+
+def _tunnel_sql() -> str:
+    from .detections import _D5, _D5_OBJ
+    return _D5, f"SELECT {_D5_OBJ} AS obj, flows AS n, flows FROM tunnels WHERE above_3 > 2"
+
+
+on_flows("e5_event_details", _obj_details, _tunnel_sql()[1], _tunnel_sql()[0])
+
+_REQUESTS = [rq.TopnRequest("IP", "Bytes", "src", 3600, 5), rq.TopnRequest("ALL", step=300, proto=17),
+             rq.TopnRequest("PORT", "Flows", "dst", 3600, 3, ip="192.168.0.3"),
+             rq.TopnRequest("CONV", "Packets", step=7200, limit=4, include=("black",), exclude=("web",))]
+
+
+def _labels(f: DataFrame) -> tuple[DataFrame, dict]:
+    tagged = joins.tag_list(f, ip_list(f), "blacklist")
+    return tagged, {"black": F.col("blacklist") > 0, "web": w_port(80) & w_net("192.168/16")}
+
+
+def _cache(f: DataFrame) -> DataFrame:
+    tagged, labels = _labels(f)
+    return rq.build_topn_cache(tagged, _REQUESTS, labels).select("request", "time", "type", "sip", "dport", "protocol",
+                                                                "flows", "pkts", "bytes")
+
+
+def _cache_sql() -> str:
+    parts = [
+        ("flows", 3600, "bytes", 5, [("SIP", "value", {"sip": "value"}, "(SELECT srcaddr AS value, * FROM {s}) v")]),
+        ("(SELECT * FROM flows WHERE prot = 17)", 300, "bytes", 1, []),
+        ("(SELECT * FROM flows WHERE 3232235523 IN (srcaddr, dstaddr))", 3600, "flows", 3,
+         [("DPORT", "value, prot", {"dport": "value", "protocol": "prot"}, "(SELECT dstport AS value, * FROM {s}) v")]),
+        ("(SELECT * FROM flows WHERE (srcaddr IN (SELECT ip FROM ips) OR dstaddr IN (SELECT ip FROM ips)) "
+         "AND NOT 80 IN (srcport, dstport))", 7200, "pkts", 4,
+         [("CONV", "srcaddr, srcport, dstaddr, dstport, prot",
+           {"sip": "srcaddr", "sport": "srcport", "dip": "dstaddr", "dport": "dstport", "protocol": "prot"}, "{s}")]),
+    ]
+    out = []
+    for i, (source, step, metric, limit, ranked) in enumerate(parts):
+        ranked = [(k, cols, names, src.format(s=f"r{i}")) for k, cols, names, src in ranked]
+        sql = _topn_sql(step, metric, limit, ranked).replace("FROM flows GROUP BY ALL", f"FROM r{i} GROUP BY ALL")
+        out.append(f"SELECT '{_REQUESTS[i].key()}' AS request, time, type, sip, dport, protocol, flows, pkts, bytes FROM "
+                   f"(WITH r{i} AS (SELECT * FROM {source} q) {sql}) u{i}")
+    return " UNION ALL ".join(out)
+
+
+on_flows("e6_topn_cache", _cache, _cache_sql(), IPS_CTE)
+
+
+def _request_log(spark, sf: str) -> DataFrame:
+    ev = fixtures.table(spark, sf, "events")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    log = ev.select(F.col("event_type").alias("request"), (at - at % 3600).alias("slot"),
+                    (at - at % 60).alias("at"))
+    return rq.log_requests(log)
+
+
+register("e7_request_log", _request_log,
+         """SELECT request, slot, count(DISTINCT at) AS count, max(at) AS latest FROM (SELECT event_type AS request,
+           epoch_us(ts) // 1000000 // 3600 * 3600 AS slot, epoch_us(ts) // 1000000 // 60 * 60 AS at FROM events) e GROUP BY ALL""")
+
+_SCOPES = ("scoped AS (SELECT concat('dev:', devid) AS name, * FROM flows UNION ALL SELECT concat('dev:', devid, '|if:', input, ' in'), * "
+           "FROM flows UNION ALL SELECT concat('dev:', devid, '|if:', output, ' out'), * FROM flows)")
+on_flows("e8_baselines", lc.baselines,
+         """SELECT name, interval, intervals, unit, CASE unit WHEN 'bps' THEN bytes * 8 WHEN 'pps' THEN pkts ELSE flows END
+           // (intervals * interval) AS value FROM (SELECT name, i AS interval, count(DISTINCT first - first % i) AS intervals,
+             count(*) AS flows, CAST(sum(pkts) AS BIGINT) AS pkts, CAST(sum(bytes) AS BIGINT) AS bytes
+             FROM scoped, (VALUES (300), (3600), (86400)) t(i) GROUP BY name, i) s, (VALUES ('bps'), ('pps'), ('fps')) u(unit)""",
+         _SCOPES, wide=True)
+
+
+def _sizes(f: DataFrame) -> DataFrame:
+    return f.groupBy(slot().alias("slot")).agg(F.sum("bytes").alias("bytes"))
+
+
+_SIZE_CTE = ("sizes AS (SELECT first - first % 300 AS slot, CAST(sum(bytes) AS BIGINT) AS bytes FROM flows GROUP BY ALL), "
+             "kept AS (SELECT *, sum(bytes) OVER (ORDER BY slot DESC) AS held FROM sizes)")
+on_flows("e9_retention_by_size", lambda f: lc.retention_plan(_sizes(f), END, max_size=200_000_000, low_water=90),
+         "SELECT slot, bytes, 'size' AS reason FROM kept WHERE (SELECT sum(bytes) FROM sizes) >= 200000000 AND held > 180000000",
+         _SIZE_CTE)
+on_flows("e9_retention_by_age", lambda f: lc.retention_plan(_sizes(f), END, max_life=36000),
+         f"SELECT slot, bytes, 'age' AS reason FROM kept WHERE slot < {END} - 34200", _SIZE_CTE)
+
+_ANON_KEY = bytes(range(1, 33))
+
+
+def _anonymous(f: DataFrame) -> DataFrame:
+    return anonymize(f.select("srcaddr", "dstaddr", "prot", "bytes"), _ANON_KEY).groupBy("srcaddr", "dstaddr", "prot").agg(
+        F.count(F.lit(1)).alias("flows"), F.sum("bytes").alias("bytes"))
+
+
+# the block cipher is not available in the other engine; tests compare with published vectors
+on_flows("e10_anonymize", _anonymous, None)

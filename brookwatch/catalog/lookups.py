@@ -234,8 +234,7 @@ def service_ctes(where: str = "TRUE") -> str:
 
 
 def _services(f: DataFrame) -> DataFrame:
-    servers, asked = paired_services(service_flows(DAY.clip(f)), F.lit(""))
-    return servers.unionByName(asked).drop("time", "app_proto")
+    return paired_services(service_flows(DAY.clip(f)), F.lit("")).drop("time", "app_proto")
 
 
 on_flows("j10_service_pairs", _services,
@@ -276,10 +275,10 @@ def _pair_keys(f: DataFrame) -> DataFrame:
 
 def _best(f: DataFrame) -> DataFrame:
     from ..functions.address import in_network
-    from ..functions.names import proto_name
+    from ..functions.names import proto_is
     keys = _pair_keys(f)
     matchers = {"sip": lambda r: in_network(keys, "srcaddr", r.sip), "dip": lambda r: in_network(keys, "dstaddr", r.dip),
-                "protocol": lambda r: proto_name() == r.protocol}
+                "protocol": lambda r: proto_is(r.protocol)}
     hit = best_rule(keys, CLASS_RULES, matchers)
     met = (F.col("peers") >= F.col("rule.min")) & ((F.col("rule.max") == 0) | (F.col("peers") < F.col("rule.max")))
     return hit.select("srcaddr", "dstaddr", "prot", "peers", F.col("rule.config_id").alias("config_id"), met.alias("met"))

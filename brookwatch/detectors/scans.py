@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import addr_text, in_network
-from ..functions.names import proto_name
+from ..functions.names import proto_is, proto_name
 from ..operators.rulematch import best_rule, on_schedule, passes, pattern_rules
 from ..rules import Pattern, Rule, Window
 from .base import (RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, rule_values,
@@ -45,7 +45,7 @@ def detect_port_scan(flows: DataFrame, rules: Sequence[Rule], patterns: Sequence
     rules = [replace(r, sip=r.sip or r.ip) for r in rules]
     matchers = {"sip": lambda r: in_network(f, "srcaddr", r.sip),
                 "port": lambda r: F.col("dstport") == int(r.port),
-                "protocol": lambda r: proto_name() == r.protocol}
+                "protocol": lambda r: proto_is(r.protocol)}
     obj = joined(addr_text(f, "srcaddr"), ":>:", F.col("dstport"), " ", proto_name(), " ")
     return _detect(f, scans, key, rules, patterns, "PORT_SCAN", matchers, obj, "peerips", window)
 
@@ -58,6 +58,6 @@ def detect_ip_scan(flows: DataFrame, rules: Sequence[Rule], patterns: Sequence[P
     scans = _scan(f, key, "dstport")
     matchers = {"sip": lambda r: in_network(f, "srcaddr", r.sip),
                 "dip": lambda r: in_network(f, "dstaddr", r.dip),
-                "protocol": lambda r: proto_name() == r.protocol}
+                "protocol": lambda r: proto_is(r.protocol)}
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ": ", proto_name(), " ")
     return _detect(f, scans, key, rules, patterns, "IP_SCAN", matchers, obj, "peerports", window)

@@ -8,17 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import addr_text, in_network
-from ..functions.names import UDP_SERVICE_PORTS, proto_name
+from ..functions.names import UDP_SERVICE_PORTS, proto_is, proto_name
 from ..functions.text import app_proto
 from ..functions.timefn import truncate
-from ..operators.aggregate import latest_attr_columns
-from ..operators.joins import pair_requests, pair_services
+from ..operators.aggregate import ATTRIBUTE_GROUPS, latest_attrs
+from ..operators.joins import pair_requests, pair_services, service_roles
 from ..operators.ranges import in_ranges, networks
 from ..operators.rulematch import best_rule, on_schedule, passes, pattern_rules
 from ..rules import Pattern, Rule, Window
 from ..schema import DAY_SECONDS, HOUR_SECONDS
-from .base import (RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, rule_values,
-                   with_hour)
+from .base import (RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, recount,
+                   rule_values, with_hour)
 
 # Fixed value: TCP ports of asset services lie below this one.
 MAX_TCP_PORT = 65535
@@ -33,59 +33,41 @@ def service_flows(flows: DataFrame) -> DataFrame:
                        & (F.col("srcport") != 0) & (F.col("dstport") != 0))
 
 
-def _latest(value: Column) -> Column:
-    return F.max(F.when(value != "", F.struct(F.col("last"), value.alias("v"))))["v"]
-
-
-def endpoints(f: DataFrame, mark: int, app: Column, attrs: bool = False) -> DataFrame:
-    """Counters per service endpoint: requested destinations (mark 0) or
-    responding sources (mark 1)."""
-    side = "dst" if mark == 0 else "src"
-    rows = f.withColumns({"addr": F.col(f"{side}addr"), "port": F.col(f"{side}port")})
-    groups = latest_attr_columns(f.columns) if attrs else []
-    agg = rows.groupBy(*ENDPOINT).agg(*counters(), _latest(app).alias("app_proto"),
-                                      *[c.alias(n) for n, c, _ in groups])
-    unpacked = [F.coalesce(F.col(f"{n}.{c}"), F.lit(0) if c.endswith("_time") else F.lit("")).alias(c)
-                for n, _, cols in groups for c in cols]
-    return agg.select(*ENDPOINT, F.lit(mark).alias("srv_mark"), "first", "last", "flows", "pkts", "bytes",
-                      F.coalesce("app_proto", F.lit("")).alias("app_proto"), *unpacked)
+def with_latest_app(rows: DataFrame, key, app: Column) -> DataFrame:
+    """Counters per key and the latest non-empty protocol name.
 
+    Rows are first counted per (key, name), a plain hash aggregation; the name
+    is then picked from the few rows left per key.
+    """
+    named = rows.groupBy(*key, app.alias("_app")).agg(*counters())
+    return named.groupBy(*key).agg(
+        *recount(), F.max(F.when(F.col("_app") != "", F.struct("last", "_app")))["_app"].alias("app_proto"))
 
-def paired_services(f: DataFrame, app: Column, attrs: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(responding, requested) endpoints that answer each other.
 
-    A TCP responder must not also act as an initiating client endpoint.
-    """
-    tcp_req = (F.col("prot") == 6) & is_request()
-    req = endpoints(f.where((F.col("prot") == 17) | tcp_req), 0, app, attrs)
-    res = endpoints(f, 1, app, attrs)
-    clients = (f.where(tcp_req).select(*RUN, F.col("srcaddr").alias("addr"), F.col("srcport").alias("port"), "prot")
-               .distinct())
-    servers, asked = pair_services(req, res, clients, ENDPOINT)
+def paired_services(f: DataFrame, app: Column) -> DataFrame:
+    """Paired endpoints; UDP ones only on known service ports."""
     known = F.col("port").isin(*UDP_SERVICE_PORTS) | (F.col("prot") == 6)
-    return servers.where(known), asked.where(known)
+    return pair_services(f, app, run=RUN).where(known)
 
 
 def _matchers(df: DataFrame) -> dict:
     return {"ip": lambda r: in_network(df, "addr", r.ip),
             "port": lambda r: ((F.col("port").cast("string") == str(r.port))
                                | (F.upper("app_proto") == str(r.port).upper())),
-            "protocol": lambda r: proto_name() == r.protocol}
+            "protocol": lambda r: proto_is(r.protocol)}
 
 
-def _service_features(servers, asked, patterns) -> DataFrame:
-    both = servers.unionByName(asked)
+def _service_features(services: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     limits = pattern_rules(patterns, "SRV", "flows")
-    return with_hour(best_rule(both, limits, _matchers(both)).where(F.col("flows") >= F.col("rule.min"))
-                     .drop("rule", "time"))
+    return with_hour(best_rule(services, limits, _matchers(services)).where(F.col("flows") >= F.col("rule.min"))
+                     .drop("rule"))
 
 
 def detect_services(flows: DataFrame, patterns: Sequence[Pattern], window: Window) -> Detection:
     """Services that answer requests, above the pattern's flow count."""
     f = service_flows(window.clip(flows))
     app = F.col("pname") if "pname" in f.columns else F.lit("")
-    servers, asked = paired_services(f, app)
-    return Detection(None, _service_features(servers, asked, patterns), None)
+    return Detection(None, _service_features(paired_services(f, app), patterns).drop("time"), None)
 
 
 def detect_asset_services(flows: DataFrame, assets: DataFrame, rules: Sequence[Rule],
@@ -93,16 +75,20 @@ def detect_asset_services(flows: DataFrame, assets: DataFrame, rules: Sequence[R
     """Services of asset networks with their attributes, and exposure events."""
     low = (F.col("srcport") < MAX_TCP_PORT) & (F.col("dstport") < MAX_TCP_PORT)
     f = service_flows(window.clip(flows)).where((F.col("tcp_flags") != 20) & ((F.col("prot") == 17) | low))
-    servers, asked = paired_services(f, app_proto() if "pname" in f.columns else F.lit(""), attrs=True)
-    nets = networks(assets)
-    servers, asked = in_ranges(servers, "addr", nets), in_ranges(asked, "addr", nets)
-    hits = best_rule(servers, rules, _matchers(servers)).where(
+    services = in_ranges(pair_services(f, app_proto() if "pname" in f.columns else F.lit(""), run=RUN), "addr",
+                         networks(assets))
+    hits = best_rule(services.where(F.col("srv_mark") == 1), rules, _matchers(services)).where(
         F.col("rule").isNotNull() & passes("flows") & on_schedule(rules, window))
-    obj = joined(":>", addr_text(servers, "addr"), ":", F.col("port"), " ", proto_name(), " ")
+    obj = joined(":>", addr_text(services, "addr"), ":", F.col("port"), " ", proto_name(), " ")
     tagged = events_of(rule_values(hits, "flows", "flow_count"), obj, 0, keep=ENDPOINT)
     sided = f.withColumns({"addr": F.col("srcaddr"), "port": F.col("srcport")})
-    return Detection(only_events(tagged), _service_features(servers, asked, patterns),
-                     details_of(sided, tagged, ENDPOINT))
+    features = _service_features(services, patterns)
+    groups = [c for cols in ATTRIBUTE_GROUPS.values() for c in cols if c in f.columns]
+    if groups:
+        features = latest_attrs(service_roles(f), [*ENDPOINT, "srv_mark"], features)
+        features = features.withColumns(
+            {c: F.coalesce(F.col(c), F.lit(0) if c.endswith("_time") else F.lit("")) for c in groups})
+    return Detection(only_events(tagged), features.drop("time"), details_of(sided, tagged, ENDPOINT))
 
 
 def detect_tcp_init(flows: DataFrame, window: Window) -> Detection:
@@ -113,7 +99,7 @@ def detect_tcp_init(flows: DataFrame, window: Window) -> Detection:
 
     def side(rows: DataFrame, a: str, b: str, port: str) -> DataFrame:
         named = rows.withColumns({"sip": F.col(a), "dip": F.col(b), "dport": F.col(port)})
-        return named.groupBy(*key).agg(*counters(), _latest(app).alias("app_proto"))
+        return with_latest_app(named, key, app)
 
     req = side(f.where(is_request()), "srcaddr", "dstaddr", "dstport")
     res = side(f.where(~is_request()), "dstaddr", "srcaddr", "srcport")

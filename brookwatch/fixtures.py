@@ -127,6 +127,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table of fewer files than cores over all cores.
+
+    The derivation is CPU work per row; a table of many files is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def flows_from(lineitem: DataFrame) -> DataFrame:
     """Flow rows of a ``lineitem`` frame (batch or streaming)."""
     text = FLOWS_SQL.replace("FROM lineitem l", "FROM {lineitem} l")
@@ -140,7 +149,7 @@ def widen(flows: DataFrame) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows_from(table(spark, sf_dir, "lineitem"))
+    return flows_from(spread(table(spark, sf_dir, "lineitem")))
 
 
 def wide_flows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,10 +50,21 @@ def _c(x) -> Column:
 
 def proto_name(p="prot") -> Column:
     p = _c(p).cast("int")
-    known = F.array(*[F.lit(n) for n in PROTOCOLS])
+    # one literal split into the name array, folded to a constant by Catalyst
+    known = F.split(F.lit(" ".join(PROTOCOLS)), " ")
     return F.coalesce(F.get(known, p), F.concat(F.lit("PROTO_"), p.cast("string")))
 
 
+def proto_is(name: str, p="prot") -> Column:
+    """Whether a protocol number carries a printed name."""
+    if name in PROTOCOLS:
+        return _c(p) == PROTOCOLS.index(name)
+    number = name.removeprefix("PROTO_")
+    if number != name and number.isdigit() and int(number) >= len(PROTOCOLS):
+        return _c(p) == int(number)
+    return F.lit(False)
+
+
 def proto_number(name: str) -> int:
     """Number of a protocol name, or of a number written as text."""
     return int(name) if name.isdigit() else PROTOCOLS.index(name.upper())
@@ -61,8 +72,8 @@ def proto_number(name: str) -> int:
 
 def qtype_name(q="qtype") -> Column:
     q = _c(q).cast("int")
-    pairs = [F.lit(x) for kv in QTYPES.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), q),
+    known = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in QTYPES.items())))
+    return F.coalesce(F.try_element_at(known, q.cast("string")),
                       F.concat(F.lit("QTYPE_"), q.cast("string")))
 
 

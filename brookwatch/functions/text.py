@@ -47,7 +47,7 @@ def escape_text(s) -> Column:
 def percent_encode(s) -> Column:
     """Percent-encode every byte outside letters, digits and ``*@-_+./``."""
     keep = [f"{b:02X}" for b in range(256) if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "*@-_+./")]
-    kept = F.create_map(*[F.lit(x) for h in keep for x in (h, chr(int(h, 16)))])
+    kept = F.str_to_map(F.lit(" ".join(f"{h}={chr(int(h, 16))}" for h in keep)), F.lit(" "), F.lit("="))
     return F.concat_ws("", F.transform(octets(s), lambda h: F.coalesce(
         F.try_element_at(kept, h), F.concat(F.lit("%"), h))))
 

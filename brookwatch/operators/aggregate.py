@@ -92,14 +92,15 @@ def bidir_flows(flows: DataFrame) -> DataFrame:
     paired = flows.withColumns({"_back": back, "_lo": F.when(back, b).otherwise(a),
                                 "_hi": F.when(back, a).otherwise(b)})
     grouped = paired.groupBy("_lo", "_hi", "prot").agg(
-        F.min(F.struct(ms("first", "msec_first").alias("at"), F.col("_back").alias("back"))).alias("_lead"),
+        # start time and direction in one number, which hash aggregation can hold
+        F.min(ms("first", "msec_first") * 2 + F.col("_back").cast("int")).alias("_lead"),
         *_span(),
         F.sum(when_back(out_pkts, F.col("pkts"))).alias("_fp"),
         F.sum(when_back(out_bytes, F.col("bytes"))).alias("_fb"),
         F.sum(when_back(F.col("pkts"), out_pkts)).alias("_rp"),
         F.sum(when_back(F.col("bytes"), out_bytes)).alias("_rb"),
         F.sum(_flow_count(flows)).alias("flows"), F.bit_or("tcp_flags").alias("tcp_flags"))
-    lead_back = F.col("_lead.back")
+    lead_back = F.col("_lead") % 2 == 1
 
     def pick(x, y):
         return F.when(lead_back, F.col(x)).otherwise(F.col(y))
@@ -233,18 +234,17 @@ ATTRIBUTE_GROUPS = {
 }
 
 
-def latest_attr_columns(columns) -> list[tuple[str, Column, list[str]]]:
-    """Per attribute group: a ``max`` over (last, group) of rows that carry it."""
-    out = []
-    for name, cols in ATTRIBUTE_GROUPS.items():
-        if set(cols) <= set(columns):
-            packed = F.struct(F.col("last"), *[F.col(c) for c in cols])
-            out.append((f"_{name}", F.max(F.when(F.col(cols[0]) != "", packed)), cols))
-    return out
-
+def latest_attrs(flows: DataFrame, key, base: DataFrame | None = None) -> DataFrame:
+    """Latest non-empty service, device, OS and middleware attributes per key.
 
-def latest_attrs(flows: DataFrame, key) -> DataFrame:
-    """Latest non-empty service, device, OS and middleware attributes per key."""
-    groups = latest_attr_columns(flows.columns)
-    agg = flows.groupBy(*key).agg(*[c.alias(n) for n, c, _ in groups])
-    return agg.select(*key, *[F.col(f"{n}.{c}").alias(c) for n, _, cols in groups for c in cols])
+    Each group is aggregated from the flows that carry it (few flows do) and
+    joined to ``base`` (by default all keys), so the wide text columns stay
+    out of the main pass.
+    """
+    out = flows.select(*key).distinct() if base is None else base
+    for cols in ATTRIBUTE_GROUPS.values():
+        if set(cols) <= set(flows.columns):
+            packed = F.max(F.struct("last", *cols)).alias("_a")
+            group = flows.where(F.col(cols[0]) != "").groupBy(*key).agg(packed)
+            out = out.join(group.select(*key, *[F.col(f"_a.{c}").alias(c) for c in cols]), list(key), "left")
+    return out

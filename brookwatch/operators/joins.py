@@ -125,17 +125,18 @@ def tag_bw(flows: DataFrame, black: DataFrame, white: DataFrame) -> DataFrame:
 
 # Objects up to this many are tested as column expressions per flow; above it
 # the objects with an address go through the prefix join.
-DIRECT_OBJECTS = 64
+DIRECT_OBJECTS = 16
 
 
 def _object_rows(mos: Sequence[MonitoredObject]) -> Column:
     hits = [F.when(object_filter(m), F.struct(F.lit(m.id).alias("moid"), F.lit(m.direction).alias("direction")))
             for m in mos]
-    return F.explode(F.array_compact(F.array(*hits)))
+    return F.explode(F.array(*hits))
 
 
 def _direct(flows: DataFrame, mos: Sequence[MonitoredObject]) -> DataFrame:
-    return flows.withColumn("_mo", _object_rows(mos)).select("*", "_mo.*").drop("_mo")
+    hit = flows.withColumn("_mo", _object_rows(mos)).where(F.col("_mo").isNotNull())
+    return hit.select("*", "_mo.*").drop("_mo")
 
 
 def match_mo(flows: DataFrame, mos: Sequence[MonitoredObject], direct: int = DIRECT_OBJECTS) -> DataFrame:
@@ -225,13 +226,54 @@ def pair_requests(req: DataFrame, res: DataFrame, key) -> DataFrame:
             .withColumn("has_res", F.coalesce(F.col("_res"), F.col("http_ret_code") != 0)).drop("_res"))
 
 
-def pair_services(req: DataFrame, res: DataFrame, clients: DataFrame, key) -> tuple[DataFrame, DataFrame]:
-    """Response endpoints that are no client endpoint and have requests, and
-    their request endpoints."""
-    key = list(key)
-    servers = res.join(clients.select(*key).distinct(), key, "left_anti").join(
-        req.select(*key), key, "left_semi")
-    return servers, req.join(servers.select(*key), key, "left_semi")
+def service_roles(flows: DataFrame) -> DataFrame:
+    """One row per flow and endpoint role, with ``addr``, ``port``, ``srv_mark``.
+
+    Mark 0 is a requested destination (any UDP, initiating TCP), mark 1 a
+    responding source; ``client`` is 1 where that source is an initiating TCP
+    client.
+    """
+    tcp_req = (F.col("prot") == 6) & is_request()
+
+    def role(mark, side, client):
+        return F.struct(F.lit(mark).alias("srv_mark"), F.col(f"{side}addr").alias("addr"),
+                        F.col(f"{side}port").alias("port"), client.cast("int").alias("client"))
+
+    roles = F.array(role(0, "dst", F.lit(0)), role(1, "src", tcp_req))
+    both = flows.withColumn("_r", F.explode(roles)).select("*", "_r.*").drop("_r")
+    return both.where((F.col("srv_mark") == 1) | (F.col("prot") == 17) | tcp_req)
+
+
+def pair_services(flows: DataFrame, app: Column, run=("devid",)) -> DataFrame:
+    """Services whose responding and requested endpoints answer each other.
+
+    A responder must have requests and must not act as a client.  Flows are
+    counted per (endpoint, role, protocol name), the roles of an endpoint are
+    put side by side in a second hash aggregation, and protocol names are picked
+    only for the endpoints that pair up.  One row per endpoint and ``srv_mark``.
+    """
+    key = [*run, "addr", "port", "prot"]
+    named = service_roles(flows).groupBy(*key, "srv_mark", app.alias("_app")).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("flows"),
+        F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes"), F.max("client").alias("client"))
+
+    def of(mark, c):
+        return F.when(F.col("srv_mark") == mark, F.col(c))
+
+    cols = [F.max(of(1, "client")).alias("_client")]
+    for m in (0, 1):
+        cols += [F.min(of(m, "first")).alias(f"_first{m}"), F.max(of(m, "last")).alias(f"_last{m}")]
+        cols += [F.sum(of(m, c)).alias(f"_{c}{m}") for c in ("flows", "pkts", "bytes")]
+    both = named.groupBy(*key).agg(*cols).where(
+        (F.col("_client") == 0) & (F.col("_flows0") > 0) & (F.col("_flows1") > 0))
+    sides = F.explode(F.array(*[F.struct(
+        F.lit(m).alias("srv_mark"), *[F.col(f"_{c}{m}").alias(c) for c in ("first", "last", "flows", "pkts", "bytes")])
+        for m in (1, 0)]))
+    paired = both.select(*key, sides.alias("_s")).select(*key, "_s.*")
+    names = (named.where(F.col("_app") != "").join(both.select(*key), key, "left_semi")
+             .groupBy(*key, "srv_mark").agg(F.max(F.struct("last", "_app"))["_app"].alias("app_proto")))
+    return paired.join(names, [*key, "srv_mark"], "left").withColumn(
+        "app_proto", F.coalesce("app_proto", F.lit("")))
 
 
 def ip_location(df: DataFrame, address: str, ranges: DataFrame) -> DataFrame:

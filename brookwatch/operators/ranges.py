@@ -48,8 +48,9 @@ def range_blocks(ranges: DataFrame) -> DataFrame:
 
 
 def _levels(blocks: DataFrame) -> list[int]:
-    """Block levels in use: at most 33 values (129 for IPv6)."""
-    return sorted(r.level for r in blocks.select("level").distinct().collect())
+    """Block levels in use, at most 33, collected as one bit mask."""
+    mask = blocks.agg(F.bit_or(shl(F.lit(1).cast("bigint"), F.col("level")))).first()[0] or 0
+    return [k for k in range(33) if mask >> k & 1]
 
 
 def _candidates(address: str, levels: list[int]) -> Column:
@@ -76,19 +77,20 @@ def cidr_join(df: DataFrame, address: str, nets: DataFrame, column: str = "cidr"
     return range_join(df, address, networks(nets, column))
 
 
-def disjoint_blocks(ranges: DataFrame) -> DataFrame:
-    """Distinct blocks of all ranges, without those inside a larger one."""
-    blocks = range_blocks(ranges.select("lo", "hi")).select("level", "prefix").distinct()
-    levels = _levels(blocks)
+def disjoint_blocks(ranges: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Distinct blocks of all ranges, without those inside a larger one, and
+    the block levels in use."""
+    raw = range_blocks(ranges.select("lo", "hi")).select("level", "prefix")
+    blocks, levels = raw.distinct(), _levels(raw)
     if len(levels) < 2:
-        return blocks
+        return blocks, levels
     ups = F.array(*[F.struct(F.lit(k).alias("up"), shr("prefix", F.greatest(F.lit(k) - F.col("level"), F.lit(0)))
                              .alias("up_prefix")) for k in levels])
     inside = (blocks.withColumn("_u", F.explode(ups)).where(F.col("_u.up") > F.col("level"))
               .join(blocks.select(F.col("level").alias("_l"), F.col("prefix").alias("_p")),
                     (F.col("_u.up") == F.col("_l")) & (F.col("_u.up_prefix") == F.col("_p")), "left_semi")
               .select("level", "prefix").distinct())
-    return blocks.join(inside, ["level", "prefix"], "left_anti")
+    return blocks.join(inside, ["level", "prefix"], "left_anti"), levels
 
 
 def in_ranges(df: DataFrame, address: str, ranges: DataFrame, anti: bool = False) -> DataFrame:
@@ -97,8 +99,7 @@ def in_ranges(df: DataFrame, address: str, ranges: DataFrame, anti: bool = False
     The blocks are disjoint, so a row meets at most one of them and needs no
     de-duplication.
     """
-    blocks = disjoint_blocks(ranges)
-    levels = _levels(blocks)
+    blocks, levels = disjoint_blocks(ranges)
     if not levels:
         return df if anti else df.limit(0)
     if anti:
@@ -143,7 +144,7 @@ def prefix_join6(df: DataFrame, address: str, nets: DataFrame, column: str = "ci
     text = F.trim(F.col(column))
     bits = F.when(F.instr(text, "/") > 0, F.substring_index(text, "/", -1)).otherwise("128").cast("int")
     side = nets.withColumn("level", bits)
-    levels = _levels(side.select("level")) or [128]
+    levels = sorted(r.level for r in side.select("level").distinct().limit(129).collect()) or [128]
     base = v6_halves(F.substring_index(text, "/", 1))
     keyed = side.withColumn("_h", base).withColumn("_k", F.coalesce(
         *[F.when(F.col("level") == b, _key6(F.col("_h"), b)) for b in levels])).drop("_h", "level")

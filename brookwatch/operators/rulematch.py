@@ -105,5 +105,6 @@ def each_rule(keys: DataFrame, rules: Sequence[Rule], cond: Callable[[Rule], Col
             F.lit(r.config_id).alias("config_id"), F.lit(r.type_id).alias("type_id"),
             F.lit(thres(r)).cast("bigint").alias("thres_value"), value(r).cast("bigint").alias("alarm_value"),
             F.lit(value_type(r)).alias("value_type"), F.lit(r.attack).alias("attack"))))
-    matched = F.array_compact(F.array(*hits)) if hits else F.array().cast(f"array<{fields}>")
-    return keys.withColumn("hit", F.explode(matched)).select("*", "hit.*").drop("hit")
+    matched = F.array(*hits) if hits else F.array().cast(f"array<{fields}>")
+    hit = keys.withColumn("hit", F.explode(matched)).where(F.col("hit").isNotNull())
+    return hit.select("*", "hit.*").drop("hit")

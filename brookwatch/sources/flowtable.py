@@ -77,7 +77,7 @@ def profile_split(flows: DataFrame, channels: dict[str, tuple[Sequence[str], Col
         if idents:
             cond = cond & F.col("ident").isin(*idents)
         hits.append(F.when(cond, F.lit(name)))
-    return flows.withColumn("channel", F.explode(F.array_compact(F.array(*hits))))
+    return flows.withColumn("channel", F.explode(F.array(*hits))).where(F.col("channel").isNotNull())
 
 
 def write_channels(flows: DataFrame, channels, path: str, mode: str = "append") -> None:
