@@ -159,8 +159,8 @@ def _request_log(spark, sf: str) -> DataFrame:
 
 
 register("e7_request_log", _request_log,
-         """SELECT request, slot, count(DISTINCT at) AS count, max(at) AS latest FROM (SELECT event_type AS request,
-           epoch_us(ts) // 1000000 // 3600 * 3600 AS slot, epoch_us(ts) // 1000000 // 60 * 60 AS at FROM events) e GROUP BY ALL""")
+         """SELECT request, slot, count(DISTINCT t) AS count, max(t) AS latest FROM (SELECT event_type AS request,
+           epoch_us(ts) // 1000000 // 3600 * 3600 AS slot, epoch_us(ts) // 1000000 // 60 * 60 AS t FROM events) e GROUP BY ALL""")
 
 _SCOPES = ("scoped AS (SELECT concat('dev:', devid) AS name, * FROM flows UNION ALL SELECT concat('dev:', devid, '|if:', input, ' in'), * "
            "FROM flows UNION ALL SELECT concat('dev:', devid, '|if:', output, ' out'), * FROM flows)")

@@ -1 +1,113 @@
-"""Registered queries."""
+"""Streams (R): the flows read as a file stream and run to the end."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixtures
+from ..detectors import detect_port_scan
+from ..rules import Rule
+from ..streaming import flowstreams as st
+from .detections import _SLOT_SCANS, PROTO, SIP
+from .predicates import THREAT_EVENTS, threat_events
+from .registry import COUNTERS, DAY_SLOTS, REQ, event_sql, on_flows, register, with_flows
+from .sources import folder
+
+
+def flow_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The derived flows as a stream over the ``lineitem`` file."""
+    schema = fixtures.table(spark, sf, "lineitem").schema
+    return fixtures.flows_from(st.read_flow_stream(spark, sf, schema, glob="lineitem.parquet"))
+
+
+def on_stream(name: str, build, select: str | None, ctes: str = "") -> None:
+    register(name, lambda spark, sf: build(flow_stream(spark, sf)), None if select is None else with_flows(select, ctes))
+
+
+on_stream("r1_file_stream",
+          lambda s: st.run_available(s.groupBy("prot").agg(F.count(F.lit(1)).alias("flows"), F.sum("bytes").alias("bytes")),
+                                     ["prot"]),
+          "SELECT prot, count(*) AS flows, CAST(sum(bytes) AS BIGINT) AS bytes FROM flows GROUP BY prot")
+on_stream("r2_slot_counters",
+          lambda s: st.run_available(st.slot_counters(st.event_time(s), ["srcaddr", "prot"]), ["time", "srcaddr", "prot"]),
+          f"SELECT first - first % 300 AS time, srcaddr, prot, {COUNTERS} FROM flows GROUP BY first - first % 300, srcaddr, prot")
+
+
+def _slot_detector(stream: DataFrame) -> DataFrame:
+    """Port scans of every slot, found batch by batch."""
+    spark, path = stream.sparkSession, folder(stream)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        events = detect_port_scan(batch, [Rule(6, 2, min=2)], [], DAY_SLOTS).events
+        events.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    st.run_batches(stream, handle)
+    return spark.read.parquet(path).drop("batch")
+
+
+on_stream("r2_slot_detector", _slot_detector,
+          f"SELECT {event_sql(f'''concat({SIP}, ':>:', dstport, ' ', {PROTO}, ' ')''', '2', 'peers', chr(39) + 'peerips' + chr(39), '0', '2', '6', 'slot')} "
+          "FROM scans WHERE peers >= 2", _SLOT_SCANS)
+on_stream("r3_hourly_features",
+          lambda s: st.run_available(st.hourly_features(st.event_time(s), ["srcaddr", "dstaddr", "prot"]),
+                                     ["hour", "srcaddr", "dstaddr", "prot"]),
+          f"SELECT first - first % 3600 AS hour, srcaddr, dstaddr, prot, {COUNTERS} FROM flows "
+          "GROUP BY first - first % 3600, srcaddr, dstaddr, prot")
+on_stream("r4_sessions",
+          lambda s: st.run_available(st.sessions(st.event_time(s), ["srcaddr", "dstaddr", "prot"]), mode="complete"),
+          f"""SELECT srcaddr, dstaddr, prot, {COUNTERS} FROM (SELECT *, sum(fresh) OVER (PARTITION BY srcaddr, dstaddr, prot
+              ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN max(last) OVER
+              (PARTITION BY srcaddr, dstaddr, prot ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3600
+              >= first THEN 0 ELSE 1 END AS fresh FROM flows) a) b GROUP BY srcaddr, dstaddr, prot, island""")
+on_stream("r5_sliding_ports",
+          lambda s: st.run_available(st.sliding_ports(st.event_time(s), "2 hours"), mode="append"),
+          """SELECT CAST(e AS BIGINT) AS slot, prot, dstport, count(*) AS flows, CAST(sum(pkts) AS BIGINT) AS pkts,
+            CAST(sum(bytes) AS BIGINT) AS bytes FROM flows, (SELECT unnest(generate_series(0, 23)) * 300 AS o) w,
+            LATERAL (SELECT first - first % 300 + o AS e) x
+          WHERE prot IN (6, 17) AND e + 300 <= (SELECT max(first) FROM flows WHERE prot IN (6, 17)) - 600 GROUP BY ALL""")
+
+
+def _repeated_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written twice as files and streamed through the de-duplication."""
+    path = folder(spark)
+    events = threat_events(fixtures.flows(spark, sf))
+    both = events.unionByName(events.withColumn("alarm_value", F.col("alarm_value") + 0))
+    both.write.parquet(path)
+    stream = spark.readStream.schema(events.schema).parquet(path)
+    return st.run_available(st.dedup_events(stream, events.columns), mode="append")
+
+
+register("r6_event_dedup", _repeated_events, with_flows("SELECT DISTINCT * FROM threat_events", THREAT_EVENTS))
+
+
+def _crossing(f: DataFrame) -> DataFrame:
+    """Requests paired with the flows of the same endpoints turned round, a slot later for some."""
+    moved = f.withColumns({"first": F.col("first") + 300 * (F.col("bytes") % 3),
+                           "srcaddr": F.col("dstaddr"), "dstaddr": F.col("srcaddr"),
+                           "srcport": F.col("dstport"), "dstport": F.col("srcport"),
+                           "tos": 1 - F.col("tos")})
+    out = st.pair_slots(f, moved)
+    return out.withColumns({"req_slot": F.unix_seconds("req_slot"), "res_slot": F.unix_seconds("res_slot")})
+
+
+on_flows("r7_request_pairs", _crossing,
+         f"""SELECT a.*, p AS res_slot FROM (SELECT DISTINCT srcaddr AS sip, dstaddr AS dip, srcport AS sport, dstport AS dport,
+             http_ret_code AS code, first - first % 300 AS req_slot FROM flows WHERE prot = 6 AND {REQ}) a LEFT JOIN
+           (SELECT DISTINCT srcaddr AS sip, dstaddr AS dip, srcport AS sport, dstport AS dport, http_ret_code AS code,
+             (first + 300 * (bytes % 3)) // 300 * 300 AS p FROM flows WHERE prot = 6 AND {REQ}) b
+           ON a.sip = b.sip AND a.dip = b.dip AND a.sport = b.sport AND a.dport = b.dport AND a.code = b.code
+             AND p >= req_slot AND p <= req_slot + 300""")
+
+
+def _late(f: DataFrame) -> DataFrame:
+    """Counts of flows that arrive on time and late, per slot."""
+    arrived = F.col("last") + F.col("bytes") % 2000
+    on_time, late = st.split_late(f, arrived)
+    both = on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return both.groupBy((F.col("first") - F.col("first") % 300).alias("slot"), "late").agg(F.count(F.lit(1)).alias("flows"))
+
+
+on_flows("r8_late_flows", _late,
+         "SELECT first - first % 300 AS slot, last + bytes % 2000 > first - first % 300 + 900 AS late, count(*) AS flows "
+         "FROM flows GROUP BY ALL")

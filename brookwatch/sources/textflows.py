@@ -138,20 +138,24 @@ def to_csv(df: DataFrame, path: str, zone: str = "UTC", mode: str = "error") ->
     csv_frame(df, zone).write.mode(mode).csv(path, header=True)
 
 
-def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_flow_csv(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
     """CSV rows back as a flow frame; the header names the fields."""
     header = spark.read.csv(path, header=True).columns
     df = spark.read.csv(path, header=True, schema=", ".join(f"`{c}` string" for c in header))
-    return parse_csv_frame(df)
+    return parse_csv_frame(df, zone)
 
 
-def parse_csv_frame(df: DataFrame) -> DataFrame:
+def parse_csv_frame(df: DataFrame, zone: str = "UTC") -> DataFrame:
     """Typed flow columns of text columns named as in the CSV header."""
     from ..functions.names import PROTOCOLS
-    numbers = F.create_map(*[F.lit(x) for i, n in enumerate(PROTOCOLS) for x in (n, i)])
+    names = F.split(F.lit(" ".join(PROTOCOLS)), " ")
+
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
     def ms(name):
-        return F.unix_millis(F.to_utc_timestamp(F.to_timestamp(name), F.current_timezone()))
+        local = F.col(name).cast("timestamp_ntz")
+        utc = local if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+        return F.timestamp_diff("MILLISECOND", epoch, utc)
 
     direct = {"sp": ("srcport", "int"), "dp": ("dstport", "int"), "fwd": ("fwd_status", "int"),
               "stos": ("tos", "int"), "ipkt": ("pkts", "bigint"), "ibyt": ("bytes", "bigint"),
@@ -169,8 +173,9 @@ def parse_csv_frame(df: DataFrame) -> DataFrame:
         if short in df.columns:
             out.append(ipv4_num(short).alias(name))
     if "pr" in df.columns:
-        out.append(F.coalesce(F.try_element_at(numbers, F.col("pr")),
-                              F.regexp_extract("pr", r"(\d+)$", 1).cast("int")).alias("prot"))
+        at = F.array_position(names, F.col("pr")).cast("int")
+        out.append(F.when(at > 0, at - 1).otherwise(
+            F.regexp_extract("pr", r"(\d+)$", 1).try_cast("int")).alias("prot"))
     if "flg" in df.columns:
         bits = [F.when(F.instr("flg", m) > 0, b).otherwise(0)
                 for m, b in (("U", 32), ("A", 16), ("P", 8), ("R", 4), ("S", 2), ("F", 1))]

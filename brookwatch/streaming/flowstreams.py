@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timefn import local_ts  # noqa: F401
 from ..operators.joins import is_request
 from ..session import shared_dir
 
@@ -57,29 +56,29 @@ def hourly_features(flows: DataFrame, key: Sequence[str]) -> DataFrame:
     return slot_counters(flows, key, "1 hour").withColumnRenamed("time", "hour")
 
 
-def sessions(flows: DataFrame, key: Sequence[str], gap: str = "1 hour") -> DataFrame:
-    """Counters per key and session of starts at most ``gap`` apart.
+def sessions(flows: DataFrame, key: Sequence[str], gap: int = 3600) -> DataFrame:
+    """Counters per key and session.
 
-    The session window covers each flow until its end plus the gap, so it
-    merges the same rows as the batch interval merge for gaps below the limit.
+    A flow reaches to its end plus the gap (touching windows merge), so sessions merge the same rows as
+    the batch interval merge.
     """
-    agg = flows.groupBy(*key, F.session_window("ts", gap)).agg(*_counters())
-    return agg.drop("session_window")
-
-
-def interval_sessions(flows: DataFrame, key: Sequence[str], gap: int = 3600) -> DataFrame:
-    """Sessions whose reach counts from each flow's end, as in the interval merge."""
-    reach = (F.col("last") - F.col("first") + F.lit(gap + 1)).cast("string")
+    reach = (F.col("last") - F.col("first") + F.lit(gap)).cast("string")
     width = F.concat(reach, F.lit(" seconds"))
     agg = flows.groupBy(*key, F.session_window("ts", width)).agg(*_counters())
     return agg.drop("session_window")
 
 
 def sliding_ports(flows: DataFrame, width: str = "24 hours", slide: str = "5 minutes") -> DataFrame:
-    """Port totals of the sliding window ending with each slot."""
-    agg = (flows.where(F.col("prot").isin(6, 17))
-           .groupBy(F.window("ts", width, slide), "prot", "dstport")
-           .agg(F.count(F.lit(1)).alias("flows"), F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes")))
+    """Port totals of the sliding window ending with each slot (append mode).
+
+    Flows are first summed per slot, so only slot rows are spread over the
+    windows that hold them.
+    """
+    slots = (flows.where(F.col("prot").isin(6, 17)).groupBy(F.window("ts", slide), "prot", "dstport")
+             .agg(F.count(F.lit(1)).alias("flows"), F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes")))
+    timed = slots.withColumn("slot_ts", F.window_time("window")).drop("window")
+    agg = (timed.groupBy(F.window("slot_ts", width, slide), "prot", "dstport")
+           .agg(F.sum("flows").alias("flows"), F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes")))
     last_slot = F.unix_seconds(F.col("window.end").cast("timestamp")) - 300
     return agg.withColumn("slot", last_slot).drop("window")
 
@@ -92,20 +91,34 @@ def dedup_events(events: DataFrame, columns: Sequence[str], horizon: str = "24 h
     return timed.dropDuplicates(list(columns)).drop("ts")
 
 
-def pair_slots(flows: DataFrame, responses: DataFrame, within: str = "5 minutes") -> DataFrame:
-    """Requests joined with responses of the same endpoints and return code
-    within a time bound; unanswered requests come out with a null ``res_ts``."""
-    req = flows.where((F.col("prot") == 6) & is_request()).select(
-        F.col("ts").alias("req_ts"), F.col("srcaddr").alias("sip"), F.col("dstaddr").alias("dip"),
-        F.col("srcport").alias("sport"), F.col("dstport").alias("dport"), F.col("http_ret_code").alias("code"))
-    res = responses.where((F.col("prot") == 6) & ~is_request()).select(
-        F.col("ts").alias("res_ts"), F.col("dstaddr").alias("_sip"), F.col("srcaddr").alias("_dip"),
-        F.col("dstport").alias("_sport"), F.col("srcport").alias("_dport"), F.col("http_ret_code").alias("_code"))
-    cond = ((F.col("sip") == F.col("_sip")) & (F.col("dip") == F.col("_dip")) & (F.col("sport") == F.col("_sport"))
-            & (F.col("dport") == F.col("_dport")) & (F.col("code") == F.col("_code"))
-            & (F.col("res_ts") >= F.col("req_ts") - F.expr(f"INTERVAL {within}"))
-            & (F.col("res_ts") <= F.col("req_ts") + F.expr(f"INTERVAL {within}")))
-    return req.join(res, cond, "left").drop("_sip", "_dip", "_sport", "_dport", "_code")
+PAIR_KEY = ["sip", "dip", "sport", "dport", "code"]
+
+
+def _slot_sides(flows: DataFrame, request: bool, name: str, lateness: str) -> DataFrame:
+    """Distinct (endpoints, return code, slot) of one direction, from the
+    requester's point of view."""
+    a, b = ("src", "dst") if request else ("dst", "src")
+    side = flows.where((F.col("prot") == 6) & (is_request() if request else ~is_request())).select(
+        F.col(f"{a}addr").alias("sip"), F.col(f"{b}addr").alias("dip"), F.col(f"{a}port").alias("sport"),
+        F.col(f"{b}port").alias("dport"), F.col("http_ret_code").alias("code"),
+        F.timestamp_seconds(F.col("first") - F.col("first") % 300).alias(name))
+    return side.withWatermark(name, lateness).dropDuplicates([*PAIR_KEY, name])
+
+
+def pair_slots(requests: DataFrame, responses: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Requests per slot joined with responses of the same or the next slot.
+
+    Both sides hold one row per endpoints and slot, so a request meets at most
+    two responses; unanswered requests come out with a null ``res_slot``.
+    """
+    req = _slot_sides(requests, True, "req_slot", lateness)
+    res = _slot_sides(responses, False, "res_slot", lateness)
+    res = res.select(*[F.col(k).alias(f"_{k}") for k in PAIR_KEY], "res_slot")
+    cond = (F.col("res_slot") >= F.col("req_slot")) & (
+        F.col("res_slot") <= F.col("req_slot") + F.expr("INTERVAL 5 MINUTES"))
+    for k in PAIR_KEY:
+        cond = cond & (F.col(k) == F.col(f"_{k}"))
+    return req.join(res, cond, "left").drop(*[f"_{k}" for k in PAIR_KEY])
 
 
 def split_late(flows: DataFrame, arrived: Column, lateness_seconds: int = 600) -> tuple[DataFrame, DataFrame]:
@@ -115,8 +128,9 @@ def split_late(flows: DataFrame, arrived: Column, lateness_seconds: int = 600) -
     return flows.where(~late), flows.where(late)
 
 
-def run_available(stream: DataFrame, key: Sequence[str], mode: str = "update") -> DataFrame:
-    """Process everything available and return the latest row per key.
+def run_available(stream: DataFrame, key: Sequence[str] = (), mode: str = "update") -> DataFrame:
+    """Process everything available and return the result rows: the latest per
+    key in update mode, all in append mode, the last batch in complete mode.
 
     Each batch writes its updates under its own batch id (a repeated batch
     overwrites itself), and checkpoint and table live in the shared folder.
@@ -131,8 +145,11 @@ def run_available(stream: DataFrame, key: Sequence[str], mode: str = "update") -
      .option("checkpointLocation", f"{base}/checkpoint").foreachBatch(save).start().awaitTermination())
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     rows = spark.read.schema(schema).parquet(f"{base}/rows")
-    if not key:
+    if mode == "append":
         return rows.drop("batch")
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("b")).first().b
+        return rows.where(F.col("batch") == last).drop("batch")
     rest = [c for c in stream.columns if c not in key]
     latest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
     return latest.select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
