@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +61,6 @@ def batch_scorer(load: Callable[[], Callable], kind: str = "domain") -> Scorer:
     encode = encode_domain if kind == "domain" else encode_url
 
     def scorer(df: DataFrame, name: str) -> DataFrame:
-        import numpy as np
-        import pandas as pd
-
         @F.pandas_udf("int")
         def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()

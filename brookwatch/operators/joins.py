@@ -248,9 +248,10 @@ def pair_services(flows: DataFrame, app: Column, run=("devid",)) -> DataFrame:
     """Services whose responding and requested endpoints answer each other.
 
     A responder must have requests and must not act as a client.  Flows are
-    counted per (endpoint, role, protocol name), the roles of an endpoint are
-    put side by side in a second hash aggregation, and protocol names are picked
-    only for the endpoints that pair up.  One row per endpoint and ``srv_mark``.
+    counted per (endpoint, role, protocol name), and a second aggregation over
+    those few rows puts the roles of an endpoint side by side with their latest
+    protocol name: one pass over the flows and no join.  The result has one row
+    per endpoint and ``srv_mark``.
     """
     key = [*run, "addr", "port", "prot"]
     named = service_roles(flows).groupBy(*key, "srv_mark", app.alias("_app")).agg(
@@ -264,16 +265,14 @@ def pair_services(flows: DataFrame, app: Column, run=("devid",)) -> DataFrame:
     for m in (0, 1):
         cols += [F.min(of(m, "first")).alias(f"_first{m}"), F.max(of(m, "last")).alias(f"_last{m}")]
         cols += [F.sum(of(m, c)).alias(f"_{c}{m}") for c in ("flows", "pkts", "bytes")]
+        cols.append(F.max(F.when((F.col("srv_mark") == m) & (F.col("_app") != ""), F.struct("last", "_app")))
+                    .alias(f"_app{m}"))
     both = named.groupBy(*key).agg(*cols).where(
         (F.col("_client") == 0) & (F.col("_flows0") > 0) & (F.col("_flows1") > 0))
     sides = F.explode(F.array(*[F.struct(
-        F.lit(m).alias("srv_mark"), *[F.col(f"_{c}{m}").alias(c) for c in ("first", "last", "flows", "pkts", "bytes")])
-        for m in (1, 0)]))
-    paired = both.select(*key, sides.alias("_s")).select(*key, "_s.*")
-    names = (named.where(F.col("_app") != "").join(both.select(*key), key, "left_semi")
-             .groupBy(*key, "srv_mark").agg(F.max(F.struct("last", "_app"))["_app"].alias("app_proto")))
-    return paired.join(names, [*key, "srv_mark"], "left").withColumn(
-        "app_proto", F.coalesce("app_proto", F.lit("")))
+        F.lit(m).alias("srv_mark"), *[F.col(f"_{c}{m}").alias(c) for c in ("first", "last", "flows", "pkts", "bytes")],
+        F.coalesce(F.col(f"_app{m}._app"), F.lit("")).alias("app_proto")) for m in (1, 0)]))
+    return both.select(*key, sides.alias("_s")).select(*key, "_s.*")
 
 
 def ip_location(df: DataFrame, address: str, ranges: DataFrame) -> DataFrame:
