@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +15,34 @@ from ..schema import EVENT_COLUMNS, FIVE_TUPLE, HOUR_SECONDS
 RUN = ["time", "devid"]
 
 
-class Detection(NamedTuple):
-    """Lazy outputs of one detector; parts it does not have are None."""
+Part = DataFrame | Callable[[], DataFrame] | None
 
-    events: DataFrame | None = None
-    features: DataFrame | None = None
-    details: DataFrame | None = None
+
+class Detection:
+    """Outputs of one detector; parts it does not have are None.
+
+    A part is given as a frame or as a function that plans it, so asking for
+    the events alone plans neither features nor evidence.
+    """
+
+    def __init__(self, events: Part = None, features: Part = None, details: Part = None):
+        self._parts = {"events": events, "features": features, "details": details}
+
+    def _get(self, name: str) -> DataFrame | None:
+        part = self._parts[name]
+        return part() if callable(part) else part
+
+    @cached_property
+    def events(self) -> DataFrame | None:
+        return self._get("events")
+
+    @cached_property
+    def features(self) -> DataFrame | None:
+        return self._get("features")
+
+    @cached_property
+    def details(self) -> DataFrame | None:
+        return self._get("details")
 
 
 def counters() -> list[Column]:

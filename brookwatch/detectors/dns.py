@@ -49,8 +49,8 @@ def detect_dns_intel(flows: DataFrame, rules: Sequence[Rule], intel: DataFrame,
     hits = each_rule(agg, rules, cond, lambda r: r.qcount, lambda r: F.col("flows"), lambda r: r.data_type, window)
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ": ", F.col("class"), " ", F.col("qname"))
     tagged = events_of(hits, obj, 2, keep=key)
-    return Detection(only_events(tagged), with_hour(agg.drop("known", "time")),
-                     details_of(f, tagged, key, extra=["qname", "qtype"]))
+    return Detection(lambda: only_events(tagged), lambda: with_hour(agg.drop("known", "time")),
+                     lambda: details_of(f, tagged, key, extra=["qname", "qtype"]))
 
 
 def _scored(f, rules, white, scorer, window, floor_count, thres) -> Detection:
@@ -86,9 +86,12 @@ def _scored(f, rules, white, scorer, window, floor_count, thres) -> Detection:
     hits = sums.withColumn("_hit", chain).where(F.col("_hit").isNotNull()).select("*", "_hit.*")
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ":  ")
     tagged = events_of(hits, obj, 1, keep=[*RUN, "srcaddr", "dstaddr", "_rule"])
-    behind = (f.join(picked.where(F.col("_rule").isNotNull()).select(*key, "_rule"), key))
-    details = details_of(behind, tagged, [*RUN, "srcaddr", "dstaddr", "_rule"], extra=["qname"])
-    return Detection(only_events(tagged), with_hour(scored.where(above).drop("time")), details)
+
+    def details() -> DataFrame:
+        behind = f.join(picked.where(F.col("_rule").isNotNull()).select(*key, "_rule"), key)
+        return details_of(behind, tagged, [*RUN, "srcaddr", "dstaddr", "_rule"], extra=["qname"])
+
+    return Detection(lambda: only_events(tagged), lambda: with_hour(scored.where(above).drop("time")), details)
 
 
 def detect_dga(flows: DataFrame, rules: Sequence[Rule], white: DataFrame, window: Window,
@@ -135,5 +138,5 @@ def detect_dns_tunnel(flows: DataFrame, rules: Sequence[Rule], white: DataFrame,
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ": TUN ", F.col("domain"))
     tagged = events_of(hits, obj, 0, keep=key)
     features = agg.drop("time", *[f"_above_{v}" for v in levels])
-    return Detection(only_events(tagged), with_hour(features),
-                     details_of(named, tagged, key, extra=["qname", "qtype"]))
+    return Detection(lambda: only_events(tagged), lambda: with_hour(features),
+                     lambda: details_of(named, tagged, key, extra=["qname", "qtype"]))

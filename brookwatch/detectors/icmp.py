@@ -64,5 +64,5 @@ def detect_icmp_tunnel(flows: DataFrame, rules: Sequence[Rule], window: Window)
     obj = joined(addr_text(f, "sip"), ":>", addr_text(f, "dip"), ":  ")
     tagged = events_of(hits, obj, 0, keep=key)
     features = with_hour(agg.select("devid", "sip", "dip", "first", "last", "flows", "pkts", "bytes"))
-    return Detection(only_events(tagged), features,
-                     details_of(f, tagged, key, extra=["icmp_type", "icmp_data"]))
+    return Detection(lambda: only_events(tagged), lambda: features,
+                     lambda: details_of(f, tagged, key, extra=["icmp_type", "icmp_data"]))

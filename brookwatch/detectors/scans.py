@@ -29,11 +29,13 @@ def _detect(flows, scans, key, rules, patterns, kind, matchers, obj, value_type,
     hits = best_rule(scans, rules, matchers).where(
         F.col("rule").isNotNull() & passes("peers") & on_schedule(rules, window))
     tagged = events_of(rule_values(hits, "peers", value_type), obj, 0, keep=key)
-    limits = pattern_rules(patterns, kind, "peers")
-    feature = (best_rule(scans, limits, matchers)
-               .where((F.col("peers") >= F.col("rule.min")) & (F.col("flows") >= F.col("rule.qcount")))
-               .drop("rule", "time"))
-    return Detection(only_events(tagged), with_hour(feature), details_of(flows, tagged, key))
+
+    def features() -> DataFrame:
+        best = best_rule(scans, pattern_rules(patterns, kind, "peers"), matchers)
+        return with_hour(best.where((F.col("peers") >= F.col("rule.min")) & (F.col("flows") >= F.col("rule.qcount")))
+                         .drop("rule", "time"))
+
+    return Detection(lambda: only_events(tagged), features, lambda: details_of(flows, tagged, key))
 
 
 def detect_port_scan(flows: DataFrame, rules: Sequence[Rule], patterns: Sequence[Pattern],

@@ -81,14 +81,20 @@ def detect_asset_services(flows: DataFrame, assets: DataFrame, rules: Sequence[R
         F.col("rule").isNotNull() & passes("flows") & on_schedule(rules, window))
     obj = joined(":>", addr_text(services, "addr"), ":", F.col("port"), " ", proto_name(), " ")
     tagged = events_of(rule_values(hits, "flows", "flow_count"), obj, 0, keep=ENDPOINT)
-    sided = f.withColumns({"addr": F.col("srcaddr"), "port": F.col("srcport")})
-    features = _service_features(services, patterns)
-    groups = [c for cols in ATTRIBUTE_GROUPS.values() for c in cols if c in f.columns]
-    if groups:
-        features = latest_attrs(service_roles(f), [*ENDPOINT, "srv_mark"], features)
-        features = features.withColumns(
-            {c: F.coalesce(F.col(c), F.lit(0) if c.endswith("_time") else F.lit("")) for c in groups})
-    return Detection(only_events(tagged), features.drop("time"), details_of(sided, tagged, ENDPOINT))
+
+    def features() -> DataFrame:
+        rows = _service_features(services, patterns)
+        groups = [c for cols in ATTRIBUTE_GROUPS.values() for c in cols if c in f.columns]
+        if groups:
+            rows = latest_attrs(service_roles(f), [*ENDPOINT, "srv_mark"], rows).withColumns(
+                {c: F.coalesce(F.col(c), F.lit(0) if c.endswith("_time") else F.lit("")) for c in groups})
+        return rows.drop("time")
+
+    def details() -> DataFrame:
+        sided = f.withColumns({"addr": F.col("srcaddr"), "port": F.col("srcport")})
+        return details_of(sided, tagged, ENDPOINT)
+
+    return Detection(lambda: only_events(tagged), features, details)
 
 
 def detect_tcp_init(flows: DataFrame, window: Window) -> Detection:

@@ -51,7 +51,8 @@ def detect_mining(flows: DataFrame, rules: Sequence[Rule], domains: DataFrame, i
     obj = joined(addr_text(f, "sip"), ":>", addr_text(f, "dip"), ": ", proto_name(), " ", F.col("coin"), " ",
                  F.col("domain"))
     tagged = events_of(hits, obj, F.col("model"), keep=key)
-    return Detection(only_events(tagged), with_hour(agg.drop("time")), details_of(f, tagged, key, extra=["domain"]))
+    return Detection(lambda: only_events(tagged), lambda: with_hour(agg.drop("time")),
+                     lambda: details_of(f, tagged, key, extra=["domain"]))
 
 
 def detect_threats(flows: DataFrame, rules: Sequence[Rule], window: Window) -> Detection:
@@ -67,6 +68,6 @@ def detect_threats(flows: DataFrame, rules: Sequence[Rule], window: Window) -> D
     obj = joined(F.when(mining, b).otherwise(a), ":>", F.when(mining, a).otherwise(b), ":", F.col("dstport"), " ",
                  proto_name(), " ", F.col("fp_type"), " ", F.col("fp_name"))
     tagged = events_of(hits, obj, 3, keep=key)
-    return Detection(only_events(tagged), with_hour(agg.drop("time")),
-                     details_of(f, tagged, key, extra=["threat_version", "threat_time"]
+    return Detection(lambda: only_events(tagged), lambda: with_hour(agg.drop("time")),
+                     lambda: details_of(f, tagged, key, extra=["threat_version", "threat_time"]
                                 if {"threat_version", "threat_time"} <= set(f.columns) else []))

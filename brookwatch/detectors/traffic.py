@@ -41,7 +41,7 @@ def detect_outreach(flows: DataFrame, rules: Sequence[Rule], assets: DataFrame,
     hits = each_rule(agg, rules, cond, lambda r: r.min, lambda r: F.col("bytes"), lambda r: r.data_type, window)
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ":", F.col("dstport"), " TCP ")
     tagged = events_of(hits, obj, 0, keep=key)
-    return Detection(only_events(tagged), None, details_of(f.withColumn("prot", F.lit(6)), tagged, key))
+    return Detection(lambda: only_events(tagged), None, lambda: details_of(f.withColumn("prot", F.lit(6)), tagged, key))
 
 
 def rate(measure: str, window: Window) -> Column:
@@ -77,8 +77,8 @@ def _listed(flows, ips, rules, window, units, with_class) -> Detection:
     obj = joined(*parts, *([F.col("class")] if with_class else []))
     key = [*RUN, "sip", "dip", "prot", "ti_mark"]
     tagged = events_of(hits, obj, 2, keep=key)
-    oriented = match_ip_list(window.clip(flows), ips)
-    return Detection(only_events(tagged), with_hour(agg.drop("time")), details_of(oriented, tagged, key))
+    return Detection(lambda: only_events(tagged), lambda: with_hour(agg.drop("time")),
+                     lambda: details_of(match_ip_list(window.clip(flows), ips), tagged, key))
 
 
 def detect_suspicious(flows: DataFrame, ips: DataFrame, rules: Sequence[Rule], window: Window) -> Detection:
@@ -125,7 +125,7 @@ def detect_object_thresholds(flows: DataFrame, mos: Sequence[MonitoredObject], r
     obj = joined(addr_text(f, "tip"), ":", F.col("tport"), ">", addr_text(f, "lip"), ": ", proto_name(), " ",
                  F.col("moid"))
     tagged = events_of(hits, obj, 3, keep=key)
-    return Detection(only_events(tagged), None, details_of(f, tagged, key))
+    return Detection(lambda: only_events(tagged), None, lambda: details_of(f, tagged, key))
 
 
 def object_traffic(flows: DataFrame, mos: Sequence[MonitoredObject]) -> DataFrame:

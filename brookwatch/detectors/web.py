@@ -36,8 +36,8 @@ def detect_url_attacks(flows: DataFrame, rules: Sequence[Rule], window: Window)
     obj = joined(addr_text(f, "srcaddr"), ":", F.col("srcport"), ">", addr_text(f, "dstaddr"), ":",
                  F.col("dstport"), " TCP ", F.col("attack"))
     tagged = events_of(hits, obj, 3, keep=key)
-    return Detection(only_events(tagged), None, details_of(f.withColumn("prot", F.lit(6)), tagged, key,
-                                                           extra=["http_url"]))
+    return Detection(lambda: only_events(tagged), None,
+                     lambda: details_of(f.withColumn("prot", F.lit(6)), tagged, key, extra=["http_url"]))
 
 
 def detect_malicious_url(flows: DataFrame, rules: Sequence[Rule], window: Window,
@@ -61,5 +61,5 @@ def detect_malicious_url(flows: DataFrame, rules: Sequence[Rule], window: Window
     hits = scored.withColumn("_hit", chain).where(F.col("_hit.due")).select("*", "_hit.*")
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ":", F.col("dstport"), " ")
     tagged = events_of(hits, obj, 1, keep=key)
-    return Detection(only_events(tagged), with_hour(scored.drop("time")),
-                     details_of(f, tagged, key, extra=["http_url"]))
+    return Detection(lambda: only_events(tagged), lambda: with_hour(scored.drop("time")),
+                     lambda: details_of(f, tagged, key, extra=["http_url"]))

@@ -6,11 +6,20 @@ arithmetic, so any SQL engine computes the same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from .session import shared_dir
+from .sources.flowtable import write_flows
 
 DAY_START = 1704067200
 DAY_END = DAY_START + 86400
 
+BASE_COLUMNS = ("devid first last msec_first msec_last prot tos tcp_flags srcaddr dstaddr srcport dstport pkts bytes "
+                "qname qtype http_url http_ret_code icmp_data icmp_seq_num icmp_payload_len threat_type threat_name").split()
+
 FLOWS_SQL = """
 SELECT
   CAST(1 AS INT) AS devid,
@@ -148,9 +157,25 @@ def widen(flows: DataFrame) -> DataFrame:
     return wide.selectExpr("*", "array(mpls1, mpls2, mpls3) AS mpls").drop("mpls1", "mpls2", "mpls3")
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows_from(spread(table(spark, sf_dir, "lineitem")))
+_STORED: dict[tuple[str, str], tuple[str, T.StructType]] = {}
 
 
 def wide_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return widen(flows(spark, sf_dir))
+    """Flow table of a data folder.
+
+    The rows are derived once per session, written as a partitioned flow table
+    in the shared folder, and read from there, as a collected table would be.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/flows-{uuid.uuid4().hex}"
+        derived = widen(flows_from(spread(table(spark, sf_dir, "lineitem"))))
+        write_flows(derived, path, mode="error")
+        _STORED[key] = (path, spark.read.parquet(path).schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path).drop("slot", "dt")
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow table with the base columns only."""
+    return wide_flows(spark, sf_dir).select(*BASE_COLUMNS)

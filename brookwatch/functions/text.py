@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .address import bind
 from .names import qtype_name
 
 # Fixed value: pattern of an acceptable DNS name.
@@ -113,15 +114,16 @@ def char_entropy(s="qname") -> Column:
     """Shannon entropy (bits) of a text's bytes."""
     s = _c(s)
     seq = F.when(F.octet_length(s) == F.char_length(s), chars(s)).otherwise(octets(s))
-    n = F.size(seq).cast("double")
 
-    def term(ch):
-        p = F.size(F.filter(seq, lambda x: x == ch)) / n
-        return -F.log2(p) * p
+    def total(q):
+        n = F.size(q).cast("double")
 
-    total = F.aggregate(F.transform(F.array_sort(F.array_distinct(seq)), term),
-                        F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.length(s) > 0, total).otherwise(0.0)
+        def term(ch):
+            return bind(F.size(F.filter(q, lambda x: x == ch)) / n, lambda p: -F.log2(p) * p)
+
+        return F.aggregate(F.transform(F.array_sort(F.array_distinct(q)), term), F.lit(0.0), lambda acc, x: acc + x)
+
+    return F.when(F.length(s) > 0, bind(seq, total)).otherwise(0.0)
 
 
 def _encode(s, alphabet: str, width: int) -> Column:
