@@ -13,7 +13,7 @@ from ..functions.text import app_proto
 from ..functions.timefn import truncate
 from ..operators.aggregate import ATTRIBUTE_GROUPS, latest_attrs
 from ..operators.joins import pair_requests, pair_services, service_roles
-from ..operators.ranges import in_ranges, networks
+from ..operators.ranges import in_nets
 from ..operators.rulematch import best_rule, on_schedule, passes, pattern_rules
 from ..rules import Pattern, Rule, Window
 from ..schema import DAY_SECONDS, HOUR_SECONDS
@@ -75,8 +75,7 @@ def detect_asset_services(flows: DataFrame, assets: DataFrame, rules: Sequence[R
     """Services of asset networks with their attributes, and exposure events."""
     low = (F.col("srcport") < MAX_TCP_PORT) & (F.col("dstport") < MAX_TCP_PORT)
     f = service_flows(window.clip(flows)).where((F.col("tcp_flags") != 20) & ((F.col("prot") == 17) | low))
-    services = in_ranges(pair_services(f, app_proto() if "pname" in f.columns else F.lit(""), run=RUN), "addr",
-                         networks(assets))
+    services = in_nets(pair_services(f, app_proto() if "pname" in f.columns else F.lit(""), run=RUN), "addr", assets)
     hits = best_rule(services.where(F.col("srv_mark") == 1), rules, _matchers(services)).where(
         F.col("rule").isNotNull() & passes("flows") & on_schedule(rules, window))
     obj = joined(":>", addr_text(services, "addr"), ":", F.col("port"), " ", proto_name(), " ")

@@ -11,7 +11,7 @@ from ..functions.address import addr_text, in_networks
 from ..functions.names import proto_name
 from ..functions.timefn import slot, truncate
 from ..operators.joins import match_ip_list, match_mo
-from ..operators.ranges import in_ranges, networks
+from ..operators.ranges import mark_nets
 from ..operators.rulematch import each_rule
 from ..rules import MonitoredObject, Rule, Window, split_list
 from ..schema import HOUR_SECONDS
@@ -29,9 +29,7 @@ def detect_outreach(flows: DataFrame, rules: Sequence[Rule], assets: DataFrame,
     key = [*RUN, "srcaddr", "dstaddr", "dstport"]
     agg = f.groupBy(*key).agg(*counters())
     if any(not r.sip for r in rules):
-        hosts = agg.select("srcaddr").distinct()
-        inside = in_ranges(hosts, "srcaddr", networks(assets)).withColumn("_asset", F.lit(True))
-        agg = agg.join(inside, "srcaddr", "left").withColumn("_asset", F.coalesce("_asset", F.lit(False)))
+        agg = mark_nets(agg, "srcaddr", assets, "_asset")
 
     def cond(r: Rule) -> Column:
         src = in_networks(f, "srcaddr", split_list(r.sip)) if r.sip else F.col("_asset")

@@ -113,6 +113,37 @@ def in_ranges(df: DataFrame, address: str, ranges: DataFrame, anti: bool = False
             .drop("_c"))
 
 
+def _of_family(nets: DataFrame, column: str, v6: bool) -> DataFrame:
+    has_colon = F.instr(F.col(column), ":") > 0
+    return nets.where(has_colon if v6 else ~has_colon)
+
+
+def mark_nets(df: DataFrame, address: str, nets: DataFrame, flag: str, column: str = "cidr") -> DataFrame:
+    """Add a boolean: whether the address lies in any network of a CIDR text
+    column.  One unique-key left join per block level in use, so rows are
+    neither repeated nor read twice."""
+    if is_v6(df, address):
+        side = _of_family(nets, column, True).select(column)
+        hits = prefix_join6(df.select(address).distinct(), address, side, column).select(
+            F.col(address).alias("_p")).distinct()
+        return (df.join(hits, F.col(address) == F.col("_p"), "left")
+                .withColumn(flag, F.col("_p").isNotNull()).drop("_p"))
+    blocks, levels = disjoint_blocks(networks(_of_family(nets, column, False), column))
+    hit = F.lit(False)
+    for k in levels:
+        side = blocks.where(F.col("level") == k).select(F.col("prefix").alias(f"_p{k}"))
+        df = df.join(side, shr(address, k) == F.col(f"_p{k}"), "left")
+        hit = hit | F.col(f"_p{k}").isNotNull()
+    return df.withColumn(flag, hit).drop(*[f"_p{k}" for k in levels])
+
+
+def in_nets(df: DataFrame, address: str, nets: DataFrame, column: str = "cidr") -> DataFrame:
+    """Keep rows whose address lies in any network of a CIDR text column."""
+    if is_v6(df, address):
+        return mark_nets(df, address, nets, "_in", column).where("_in").drop("_in")
+    return in_ranges(df, address, networks(_of_family(nets, column, False), column))
+
+
 # ---- IPv6 -------------------------------------------------------------
 
 def _mask6(bits: int) -> tuple[int, int]:

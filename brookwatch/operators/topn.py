@@ -137,13 +137,20 @@ def _records(agg: DataFrame, kind: str, columns: dict[str, str]) -> DataFrame:
     return agg.select("time", F.lit(kind).alias("type"), *keys, "flows", "pkts", "bytes")
 
 
+def _totals(agg: DataFrame) -> DataFrame:
+    """``ALL`` rows per step.  Where every flow is in one group only, they are
+    summed from the ranked groups, whose shuffle Spark then reuses."""
+    sums = agg.groupBy("time").agg(*[F.sum(c).alias(c) for c in ("flows", "pkts", "bytes")])
+    return _records(sums, "ALL", {})
+
+
 def topn_by_step(flows: DataFrame, sortby: str = "ALL", orderby: str = "Bytes", srcdst: str = "",
                  step: int = 300, limit: int = 10) -> DataFrame:
     """Top-N per time step, with an ``ALL`` totals row for every step."""
     metric = _ORDERBY.get(orderby, "bytes")
     stepped = flows.withColumn("time", truncate("first", step))
     counters = [F.count(F.lit(1)).alias("flows"), F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes")]
-    result = _records(stepped.groupBy("time").agg(*counters), "ALL", {})
+    result = None
     if sortby in _TYPES:
         sides = _TYPES[sortby]
         wanted = {"src": ["src"], "dst": ["dst"], "srcdst": ["src", "dst"]}.get(srcdst, ["either"])
@@ -155,9 +162,14 @@ def topn_by_step(flows: DataFrame, sortby: str = "ALL", orderby: str = "Bytes",
                 columns["protocol"] = "prot"
             keys = [F.col("value")] + ([F.col("prot")] if sortby == "PORT" else [])
             top = top_per_group(agg, ["time"], [F.col(metric).desc(), *keys], limit)
+            if result is None and not (side == "either" and len(ELEMENTS[element]) > 1):
+                result = _totals(agg)
+            elif result is None:
+                result = _totals(stepped.groupBy("time").agg(*counters))
             result = result.unionByName(_records(top, kind, columns))
     elif sortby == "CONV":
         agg = stepped.groupBy("time", *FIVE_TUPLE).agg(*counters)
+        result = _totals(agg)
         top = top_per_group(agg, ["time"], [F.col(metric).desc(), *map(F.col, FIVE_TUPLE)], limit)
         result = result.unionByName(_records(top, "CONV", {
             "sip": "srcaddr", "sport": "srcport", "dip": "dstaddr", "dport": "dstport", "protocol": "prot"}))
@@ -165,9 +177,10 @@ def topn_by_step(flows: DataFrame, sortby: str = "ALL", orderby: str = "Bytes",
         order = [F.col(c) for c in FLOW_ORDER + ["last", "pkts", "bytes"]]
         raw = stepped.select("time", *FLOW_ORDER, "last", "pkts", "bytes")
         top = top_per_group(raw, ["time"], order, limit).withColumn("flows", F.lit(1).cast("bigint"))
+        result = _totals(stepped.groupBy("time").agg(*counters))
         result = result.unionByName(_records(top, "RAW", {
             "sip": "srcaddr", "sport": "srcport", "dip": "dstaddr", "dport": "dstport", "protocol": "prot"}))
-    return result
+    return _totals(stepped.groupBy("time").agg(*counters)) if result is None else result
 
 
 def top_ports(port_table: DataFrame, n: int = 10, scale: bool = False) -> DataFrame:

@@ -18,12 +18,16 @@ RUNTIME_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+# On one machine small files keep all cores busy; a cluster keeps Spark's size.
+LOCAL_CONF = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m"}
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
-    for key, value in RUNTIME_CONF.items():
+    local = LOCAL_CONF if spark.sparkContext.master.startswith("local") else {}
+    for key, value in {**RUNTIME_CONF, **local}.items():
         spark.conf.set(key, value)
     return spark
 
@@ -34,7 +38,7 @@ def local_session(cores: str = "8", app: str = "brookwatch") -> SparkSession:
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g")
                .config("spark.sql.shuffle.partitions", "8"))
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**RUNTIME_CONF, **LOCAL_CONF}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

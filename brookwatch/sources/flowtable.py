@@ -24,12 +24,12 @@ def write_flows(flows: DataFrame, path: str, mode: str = "append", files_per_day
     """Write flows as a table partitioned by device and day.
 
     Rows of a day are spread over ``files_per_day`` slot ranges before the
-    write, so one busy device or day is no single task or file.
+    write.  The rebalance splits a range that is still too large and joins
+    small ones at run time, so one busy device, day or hour is no single task.
     """
-    parted = with_partitions(flows)
     per_file = max(86400 // files_per_day // SLOT_SECONDS, 1) * SLOT_SECONDS
-    spread = F.floor((F.col("slot") % 86400) / per_file)
-    (parted.repartition("devid", "dt", spread).sortWithinPartitions("devid", "dt", "slot")
+    parted = with_partitions(flows).withColumn("_part", F.floor((F.col("slot") % 86400) / per_file))
+    (parted.hint("rebalance", "devid", "dt", "_part").drop("_part").sortWithinPartitions("devid", "dt", "slot")
      .write.mode(mode).partitionBy("devid", "dt").parquet(path))
 
 

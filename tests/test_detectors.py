@@ -136,6 +136,15 @@ def test_outreach(spark, make_flows):
     assert objs(d.detect_outreach(f, [Rule(1, 10, min=1200, sip="10.1.0.0/16")], assets, SLOT)) == ["10.1.0.1:>192.168.0.1:80 TCP "]
 
 
+def test_outreach_v6_with_mixed_assets(spark, make_flows):
+    assets = spark.createDataFrame([("10.0.0.0/24",), ("2001:db8::/64",)], "cidr string")
+    f = make_flows(dict(bytes=600)).withColumns({"srcaddr": F.lit("2001:db8::5"), "dstaddr": F.lit("2001:db9::1")})
+    assert objs(d.detect_outreach(f, [Rule(1, 10, min=1)], assets, SLOT)) == ["[2001:db8::5]:>[2001:db9::1]:80 TCP "]
+    out = f.withColumn("srcaddr", F.lit("2001:db8:1::5"))
+    assert objs(d.detect_outreach(out, [Rule(1, 10, min=1)], assets, SLOT)) == []
+    assert objs(d.detect_outreach(make_flows(dict(bytes=9)), [Rule(1, 10, min=1)], assets, SLOT)) == ["10.0.0.1:>192.168.0.1:80 TCP "]
+
+
 def test_mining_and_threats(spark, make_flows):
     f = make_flows(dict(threat_type="Mining", threat_name="XMR"), dict(qname="pool.org", prot=17, tos=0),
                    dict(dstaddr=B + 9), dict(srcaddr=B + 9, dstaddr=A))
