@@ -43,18 +43,20 @@ def local_session(cores: str = "8", app: str = "brookwatch") -> SparkSession:
     return builder.getOrCreate()
 
 
+# Folders of sessions on one machine that name none, by application.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by the cluster.
+    """Folder all executors can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    A temporary folder is used only in local mode, where the single process is
-    the whole cluster.
+    Only a session on one machine, as in tests, may leave it unset; such a session gets a folder of its own.
     """
+    context = spark.sparkContext
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-        path = tempfile.mkdtemp(prefix="brookwatch-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+        path = _own_dirs.get(context.applicationId) or tempfile.mkdtemp(prefix="brookwatch-")
+        _own_dirs[context.applicationId] = path
     return path
