@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bpe, rlz, secrets, warc
+from . import bottomk, bpe, rlz, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,27 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op5_minhash_dedup", """
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+              ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingle FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (shingle)
+          WHERE x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+    l AS (SELECT a, b FROM i JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id
+          WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT DISTINCT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a),
+    c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, w.doc_id) AS component_id,
+           coalesce(c.root, w.doc_id) = w.doc_id AS kept
+    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents linked by similar sets of word pairs."""
+    return bottomk.near_duplicates(table(spark, sf, "documents"), shingle=2)
+
+
 @query("op7_secrets")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of every document, with those that only count together."""
