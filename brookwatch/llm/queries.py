@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bottomk, bpe, rlz, secrets, warc
+from . import bottomk, bpe, iblt, rlz, secrets, tiling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,14 +86,33 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return bottomk.near_duplicates(table(spark, sf, "documents"), shingle=2)
 
 
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item, in any order."""
+    return tiling.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op7_secrets")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of every document, with those that only count together."""
     return secrets.find_secrets(table(spark, sf, "documents")).drop("findings")
 
 
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of every document by a machine fitted on the labelled rows that are not held out."""
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels")))
+
+
 @query("op9_bpe")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every document and back."""
     codec = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, blank_starts=True)
     return bpe.round_trip(table(spark, sf, "documents"), codec)
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of every document and of its edit, and how alike they and the next document's are."""
+    return iblt.document_fingerprints(table(spark, sf, "documents"))
