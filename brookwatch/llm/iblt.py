@@ -60,8 +60,10 @@ def summed(cells: DataFrame, by: list[str]) -> DataFrame:
 
 def sketched(rows: DataFrame, by: list[str], sides: list[tuple[str, int]], cells: Column) -> DataFrame:
     """Sketch cells of the digests in array columns, with their signs, as rows."""
-    signed = F.concat(*(F.transform(F.col(name), lambda x, s=sign: F.struct(x.alias("key"), F.lit(s).alias("sign")))
-                        for name, sign in sides))
+    def with_sign(name: str, sign: int) -> Column:
+        return F.transform(F.col(name), lambda x: F.struct(x.alias("key"), F.lit(sign).alias("sign")))
+
+    signed = F.concat(*(with_sign(name, sign) for name, sign in sides))
     each = (rows.select(*by, cells.cast("long").alias("cells"), F.explode(signed).alias("d"))
             .select(*by, "cells", "d.key", "d.sign").withColumn("check", F.xxhash64("key", F.lit(CHECK))))
     three = F.array(*(cell(t, place("key", t, F.col("cells")), F.col("sign"), F.col("key"), F.col("check"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bottomk, bpe, iblt, rlz, secrets, tiling, toxicity, warc
+from . import bottomk, bpe, iblt, lang_id, license_scan, rlz, secrets, tiling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every page, by a text model of the documents and what pages, hosts and addresses add."""
+    return lang_id.identify(table(spark, sf, "pages"), lang_id.train(table(spark, sf, "documents")))
+
+
 BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 
 
@@ -48,6 +54,12 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """License notices of every document."""
+    return license_scan.find_licenses(table(spark, sf, "documents"))
+
+
 @query("op4_substring_dedup", """
     WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
     v AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS win
