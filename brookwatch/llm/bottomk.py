@@ -4,13 +4,13 @@ A document's set is its distinct shingles (consecutive words), hashed to 64 bits
 smallest values.  Equal sets are one class, handled once.  Inverted lists of the retained values generate overlaps, the
 estimate on the sketch of the union filters, and the exact Jaccard similarity of the full sets decides.
 
-Which lists.  Two sets at the threshold share about threshold * k retained values, and fewer than 0.7 of that only with
-a chance below 1e-7 for k = 64.  Two sketches that share m of k values share one among the k - m + 1 values of each
-that are rarest in the corpus, so only those are listed: frequent shingles list nothing, and a document with enough
-values of its own is done.  Sets whose sizes differ too much are never compared.
+Which lists.  A list belongs to a run of three retained values that follow each other in hash order.  In the union of two
+sets at 0.8 every fifth value or fewer is not shared, so complete sketches always have such a run in common (sets of at
+most five shingles use runs of two), and two sketches of 96 values have fewer than ten with a chance of about 1e-6.  Runs keep
+frequent shingles from listing unrelated documents together.  Sets whose sizes differ too much are never compared.
 
 Without all pairs.  Copies fill lists with one large group.  So each list first compares its members with one leader per
-size class, twice with different leaders; the links found so far make components, and only members of different
+size class, twice with different leaders, first the member that shares most; the links found so far make components, and only members of different
 components that still meet in a list are then compared with each other.  No list, candidate or partner is capped.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text with fewer words than a shingle has
@@ -31,10 +31,10 @@ from .common import LOWER_ASCII, keyed_texts, map_batches, written
 from .components import components
 from .rlz import Powers, gram_hashes, word_places
 
-K = 64
-SHARE = 0.7  # least part of the expected overlap of two sketches
-MARGIN = 0.3  # of the estimate below the threshold; six standard deviations for k = 64
+K = 96
+MARGIN = 0.3  # of the estimate below the threshold; seven standard deviations for k = 96
 LEADERS = 2
+LEAST_RUNS = 10  # that two cut sketches at the threshold share but for a chance of about 1e-6
 
 
 def shingle_set(text: str, size: int, powers: Powers) -> np.ndarray:
@@ -62,36 +62,64 @@ def sketches(texts: DataFrame, size: int, k: int) -> DataFrame:
     return map_batches(texts, make, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
 
 
-def full_sets(texts: DataFrame, size: int) -> DataFrame:
+def full_sets(texts: DataFrame, size: int, k: int) -> DataFrame:
     def make():
         powers = Powers()
-        return lambda node, text: {"node": node, "members": [shingle_set(t, size, powers) for t in text]}
 
-    return map_batches(texts, make, "node long, members array<long>")
+        def work(node: list[int], text: list[str]) -> dict:
+            sets = [shingle_set(t, size, powers) for t in text]
+            return {"node": node, "sketch": [s[:k] for s in sets], "members": sets}
+        return work
+
+    return map_batches(texts, make, "node long, sketch array<long>, members array<long>")
+
+
+def run_lengths(percent: int) -> tuple[int, int]:
+    """Length of the runs, and the largest set for which only runs shorter by one are sure to be shared.
+
+    Of u values of a union at least p * u are shared, in at most (1 - p) * u + 1 runs.
+    """
+    p = percent / 100
+    length = max(1, int(p / (1 - p) + 1e-9) - 1) if p < 1 else 8
+    rest = p - (length - 1) * (1 - p)
+    return length, math.ceil((length - 1) / rest)
 
 
 def lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """The inverted lists to compare: value, node, n_shingles, size_class."""
-    posted = classes.select("node", "d1", "n_shingles", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
+    """The inverted lists to compare, those of more than one set: value, node, n_shingles, size_class."""
+    length, small = run_lengths(percent)
+    p = percent / 100
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("sketch") - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(*(F.get("sketch", i - 1 + j) for j in range(n))))
+
+    keys = F.when(F.size("sketch") <= small, F.concat(runs(length), runs(max(1, length - 1)))).otherwise(runs(length))
+    # runs that a similar set shares at least: of u values p * u in (1 - p) * u + 1 stretches; fewer for cut sketches
+    sure = F.greatest(F.floor(F.col("n_shingles") * (p - (length - 1) * (1 - p))) - (length - 1), F.lit(1))
+    least = F.when(F.col("n_shingles") <= small, 1).when(F.col("n_shingles") <= k * p, sure).otherwise(
+        F.least(sure, F.lit(LEAST_RUNS)))
+    posted = classes.select("node", "d1", "n_shingles", keys.alias("keys")).withColumn("held", F.size("keys")).select(
+        "node", "d1", "n_shingles", "held", least.cast("int").alias("least"), F.explode("keys").alias("value"))
     common = posted.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # values that stand nowhere else are the rarest: they fill the first places and list nothing
-    rest = (posted.join(common, "value").groupBy("node", "d1", "n_shingles", "held")
-            .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared")))
-    places = F.col("held") - F.ceil(F.col("held") * F.lit(SHARE * percent / 100)) + 1
-    kept = rest.withColumn("room", (places - (F.col("held") - F.size("shared"))).cast("int")).where("room > 0")
-    listed = kept.select("node", "n_shingles", F.explode(F.expr("slice(shared, 1, room)")).alias("at"))
+    # the rarest first, beginning with those that no other set has: of the others as many as are left to fill
+    rest = (posted.join(common, "value").groupBy("node", "d1", "n_shingles", "held", "least")
+            .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+            .withColumn("room", F.col("held") - F.col("least") + 1 - (F.col("held") - F.size("shared"))).where("room > 0"))
     step = math.log(100 / percent) if percent < 100 else 1.0
-    return listed.select(F.col("at.value").alias("value"), "node", "n_shingles",
-                         F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("int").alias("size_class"))
+    weight = F.aggregate("shared", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["df"])
+    return (rest.select("node", "n_shingles", weight.alias("weight"), F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("int").alias("size_class"),
+                        F.explode(F.expr("slice(shared, 1, room)")).alias("at"))
+            .select("node", "n_shingles", "size_class", "weight", F.col("at.value").alias("value")))
 
 
 def sizes_fit(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: first by the union's sketch, then by the full sets."""
-    sketch = classes.select("node", "sketch")
+    sketch, sets = sets.select("node", "sketch"), sets.select("node", "members")
     side = lambda df, name, col: df.withColumnRenamed("node", name).withColumnRenamed(col, f"{col}_{name}")
     both = pairs.join(side(sketch, "a", "sketch"), "a").join(side(sketch, "b", "sketch"), "b")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
@@ -110,9 +138,14 @@ def with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def leader_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member of a list with the list's leader of this turn, unless a component holds both."""
+    """Each member of a list with the list's leader of this turn, unless a component holds both.
+
+    The first leader is the member that shares most with others - of edited copies the original -, later ones are drawn.
+    """
+    drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20))
+    rank = drawn if turn else F.col("weight") * (1 << 20) + drawn
     leader = (rows.groupBy("value", "size_class")
-              .agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"), F.count(F.lit(1)).alias("n"))
+              .agg(F.max_by("node", rank).alias("a"), F.count(F.lit(1)).alias("n"))
               .where("n > 1").drop("n"))
     about = rows.select(F.col("node").alias("a"), F.col("component").alias("component_a"),
                         F.col("n_shingles").alias("n_a")).distinct()
@@ -152,12 +185,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       .withColumnRenamed("doc_id", "node").dropDuplicates(["node", "d1", "d2"]), "class-sketches")
     found = written(lists(classes, percent, k), "lists")
     active = found.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(full_sets(texts.join(active.hint("shuffle_hash"), "doc_id", "leftsemi"), shingle), "sets")
+    sets = written(full_sets(texts.join(active.hint("shuffle_hash"), "doc_id", "leftsemi"), shingle, k), "sets")
     links, labels = None, None
     for turn in range(LEADERS + 1):
         members = with_component(found, labels)
         pairs = leader_pairs(members, turn, percent) if turn < LEADERS else crossing_pairs(members, percent)
-        new = written(verified(pairs, classes, sets, percent, k), "similar")
+        new = written(verified(pairs, sets, percent, k), "similar")
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
