@@ -97,11 +97,14 @@ def differences(pairs: DataFrame, by: list[str], a: str, b: str, level: int) ->
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """The rows as a table in the shared folder, bucketed by a key, so that grouping by it needs no shuffle."""
+    """The rows as a table in the shared folder, bucketed by a key, so that grouping by it needs no shuffle.
+
+    Rows that a join has partitioned by the key already lie as the buckets do, so they are written without a shuffle.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"sketch_{uuid.uuid4().hex}"
-    (df.repartition(n, key).write.bucketBy(n, key).option("path", shared_path(spark, "bucketed"))
+    (df.write.bucketBy(n, key).option("path", shared_path(spark, "bucketed"))
      .format("parquet").saveAsTable(name))
     return spark.table(name)
 
