@@ -147,15 +147,17 @@ def versioned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def pieces(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """What each text shares with earlier documents, block by block: doc_id, version, pos, windows, ref."""
     blocks = written(reference_blocks(texts, window, gram), "rlz-blocks")
-    again = (blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi"))
-             .where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("differ")))
+    # counts are written before they are joined, so that Spark can split the partition of a frequent anchor
+    again = written(blocks.groupBy("anchor")
+                    .agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi"))
+                    .where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("differ")), "rlz-again")
     hits = written(blocks.join(again, "anchor"), "rlz-hits")
-    firsts = hits.groupBy("anchor", "block").agg(F.min("doc_id").alias("ref"))
+    firsts = written(hits.groupBy("anchor", "block").agg(F.min("doc_id").alias("ref")), "rlz-firsts")
     held = written(hits.join(firsts, ["anchor", "block"]).where("doc_id > ref OR differ"), "rlz-held")
     whole = held.where("doc_id > ref").select("doc_id", "version", "pos", "windows", "ref")
     windows = written(boundary_windows(texts, held.where("doc_id = ref AND differ"), window), "rlz-windows")
-    earlier = (windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"))
-               .where("ref < last").drop("last"))
+    earlier = written(windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"))
+                      .where("ref < last").drop("last"), "rlz-earlier")
     part = (windows.join(earlier, ["anchor", "win"]).where("doc_id > ref")
             .select("doc_id", "version", "pos", F.lit(1).alias("windows"), "ref"))
     return whole.unionByName(part)
