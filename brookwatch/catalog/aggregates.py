@@ -21,14 +21,14 @@ on_flows("a1_preaggregated", ag.aggregate_flows,
          f"SELECT srcaddr, srcport, dstaddr, dstport, prot, {SPAN}, {_SUMS} FROM flows GROUP BY ALL", wide=True)
 
 _CUSTOM = {"srcas": "srcas", "dstport": "dstport", "proto": "prot", "tos": "tos", "router": "ip_router",
-           "inif": "input", "mpls1": "mpls1", "insrcmac": "in_src_mac"}
+           "inif": "input", "mpls1": "mpls1 >> 4", "insrcmac": "in_src_mac"}
 on_flows("a2_custom_fields", lambda f: ag.aggregate_flows(f, by=list(_CUSTOM)),
          "SELECT " + ", ".join(f"{c} AS {n}" for n, c in _CUSTOM.items()) + f", {SPAN}, {_SUMS} FROM flows GROUP BY ALL",
          wide=True)
 _CUSTOM2 = {"srcip": "srcaddr", "next": "ip_nexthop", "bgpnext": "bgp_nexthop", "nextas": "next_as",
             "prevas": "prev_as", "dstas": "dstas", "outif": "output", "srcvlan": "src_vlan", "dstvlan": "dst_vlan",
             "srcmask": "src_mask", "dstmask": "dst_mask", "dsttos": "dst_tos", "outdstmac": "out_dst_mac",
-            "indstmac": "in_dst_mac", "outsrcmac": "out_src_mac", "mpls2": "mpls2", "dstip": "dstaddr",
+            "indstmac": "in_dst_mac", "outsrcmac": "out_src_mac", "mpls2": "mpls2 >> 4", "dstip": "dstaddr",
             "srcport": "srcport", "srctos": "tos"}
 on_flows("a2_all_fields", lambda f: ag.aggregate_flows(f, by=list(_CUSTOM2)),
          "SELECT " + ", ".join(f"{c} AS {n}" for n, c in _CUSTOM2.items()) + f", {SPAN}, {_SUMS} FROM flows GROUP BY ALL",
@@ -106,7 +106,7 @@ _element("a7_srcip", "srcip", _one("srcaddr"), wide=False)
 _element("a7_dstport", "dstport", _one("dstport"), wide=False)
 for _e, _c in (("nhip", "ip_nexthop"), ("router", "ip_router"), ("srctos", "tos"), ("dir", "dir"), ("nextas", "next_as"),
                ("inif", "input"), ("dstmask", "dst_mask"), ("srcvlan", "src_vlan"), ("insrcmac", "in_src_mac"),
-               ("mpls2", "mpls2"), ("cl", "client_latency")):
+               ("mpls1", "mpls1 >> 4"), ("mpls2", "mpls2 >> 4"), ("cl", "client_latency")):
     _element(f"a7_{_e}", _e, _one(_c))
 _element("a8_ip", "ip", _two("srcaddr", "dstaddr"), wide=False)
 _element("a8_port", "port", _two("srcport", "dstport"), wide=False)

@@ -12,17 +12,11 @@ from .aggregates import _RATES, element_sql
 from .registry import COUNTERS, DAY, RECOUNT, START, on_flows
 
 
-def _ranked(df: DataFrame, order: str) -> DataFrame:
-    """Rank of every row under an order, to compare orders as values."""
-    from pyspark.sql import Window
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*topn.order_columns(df, order))))
-
-
 _SRC = f"(SELECT *, {_RATES} FROM {element_sql('srcaddr AS value')} e)"
 for _o, _c in (("flows", "flows DESC"), ("packets", "pkts DESC"), ("bytes", "bytes DESC"), ("pps", "pps DESC"),
                ("bps", "bps DESC"), ("bpp", "bpp DESC"), ("tstart", "first_ms"), ("tend", "last_ms")):
-    on_flows(f"t1_order_{_o}", lambda f, o=_o: topn.order_flows(topn.element_stat(f, "srcip"), o).limit(25),
-             f"SELECT * FROM {_SRC} s ORDER BY {_c}, value LIMIT 25")
+    on_flows(f"t1_order_{_o}", lambda f, o=_o: topn.order_flows(topn.element_stat(f, "srcip"), o),
+             f"SELECT * FROM {_SRC} s ORDER BY {_c}, value")
 on_flows("t2_top_srcip", lambda f: topn.top_n(f, "srcip", "bytes", 10),
          f"SELECT * FROM {_SRC} s ORDER BY bytes DESC, value LIMIT 10")
 on_flows("t2_top_port_by_proto", lambda f: topn.top_n(f, "port", "packets", 20, by_proto=True),

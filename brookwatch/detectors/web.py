@@ -24,13 +24,15 @@ def detect_url_attacks(flows: DataFrame, rules: Sequence[Rule], window: Window)
     agg = f.groupBy(*key).agg(*counters())
     chain = None
     for r in sorted(rules, key=lambda x: -x.config_id):
-        cond = F.col("http_url").rlike(f"^(?:{r.pat})$")
+        cond = F.col("http_url").rlike(rf"\A(?:{r.pat})\z")
         limit = F.col("bytes") if r.sub_type == PULL_DB else F.col("flows")
         # PULL_DB and the other classes share the name list of the attack
         hit = F.struct(F.lit(r.config_id).alias("config_id"), F.lit(r.type_id).alias("type_id"),
                        F.lit(r.min).cast("bigint").alias("thres_value"), F.lit(r.attack).alias("attack"),
                        (limit > r.min).alias("over"))
         chain = F.when(cond, hit) if chain is None else chain.when(cond, hit)
+    if chain is None:
+        return Detection()
     hits = (agg.withColumn("_hit", chain).where(F.col("_hit.over"))
             .select("*", "_hit.*", F.col("flows").alias("alarm_value"), F.lit("").alias("value_type")))
     obj = joined(addr_text(f, "srcaddr"), ":", F.col("srcport"), ">", addr_text(f, "dstaddr"), ":",
@@ -58,6 +60,8 @@ def detect_malicious_url(flows: DataFrame, rules: Sequence[Rule], window: Window
                        F.col("score").cast("bigint").alias("alarm_value"), F.lit(r.data_type).alias("value_type"),
                        schedule_ok("time", r, window.zone, window.exact_schedule).alias("due"))
         chain = F.when(cond, hit) if chain is None else chain.when(cond, hit)
+    if chain is None:
+        return Detection(features=lambda: with_hour(scored.drop("time")))
     hits = scored.withColumn("_hit", chain).where(F.col("_hit.due")).select("*", "_hit.*")
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ":", F.col("dstport"), " ")
     tagged = events_of(hits, obj, 1, keep=key)

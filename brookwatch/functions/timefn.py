@@ -54,39 +54,35 @@ def slot_epoch(key, zone: str = "UTC") -> Column:
 _DATE = re.compile(r"^(\d{4})(?:/(\d\d?)(?:/(\d\d?)(?:\.(\d\d?)(?::(\d\d?)(?::(\d\d?))?)?)?)?)?$")
 
 
-def date_bounds(text: str) -> tuple[int, int]:
-    """First and last second (UTC) named by ``yyyy[/MM[/dd[.hh[:mm[:ss]]]]]``."""
+def date_start(text: str) -> int:
+    """First second (UTC) named by ``yyyy[/MM[/dd[.hh[:mm[:ss]]]]]``."""
     m = _DATE.match(text.strip())
     if not m:
         raise ValueError(f"not a date: {text!r}")
-    parts = [int(p) if p else None for p in m.groups()]
-    year, month, day, hour, minute, sec = parts
-    lo = (year, month or 1, day or 1, hour or 0, minute or 0, sec or 0)
-    last_month = month or 12
-    hi = (year, last_month, day or calendar.monthrange(year, last_month)[1],
-          23 if hour is None else hour, 59 if minute is None else minute, 59 if sec is None else sec)
-    return calendar.timegm(lo), calendar.timegm(hi)
+    year, *rest = (int(p) if p else None for p in m.groups())
+    month, day, *clock = rest
+    return calendar.timegm((year, month or 1, day or 1, *(x or 0 for x in clock)))
 
 
 def parse_window(text: str) -> tuple[int | None, int | None, int]:
     """Parse a window text to ``(start, end, relative)``.
 
-    ``a-b`` and ``a`` give bounds; ``+n`` and ``-n`` give the relative seconds.
+    ``a-b`` gives the first seconds of both dates as bounds, ``a`` alone has no end; ``+n`` and ``-n`` give the relative
+    seconds.
     """
     text = text.strip()
     if text[:1] in "+-":
         return None, None, int(text)
     first, _, second = text.partition("-")
-    start = date_bounds(first)[0]
-    end = date_bounds(second or first)[1]
-    return start, end, 0
+    return date_start(first), date_start(second) if second else None, 0
 
 
 def time_window(flows: DataFrame, window: str) -> DataFrame:
-    """Keep flows with ``first >= start and last <= end``."""
+    """Keep flows with ``first >= start and last <= end``, where the window has an end."""
     start, end, rel = parse_window(window)
     if not rel:
-        return flows.where((F.col("first") >= start) & (F.col("last") <= end))
+        late = F.col("first") >= start
+        return flows.where(late if end is None else late & (F.col("last") <= end))
     span = flows.agg(F.min("first").alias("lo"), F.max("last").alias("hi")).first()
     if span.lo is None:
         return flows.limit(0)

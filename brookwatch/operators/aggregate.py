@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import mask_v4
-from ..functions.numeric import idiv
+from ..functions.numeric import idiv, mpls_label
 from ..functions.timefn import slot
 from ..schema import FIVE_TUPLE
 
@@ -44,7 +44,7 @@ def group_key(df: DataFrame, name: str) -> Column:
         return mask_v6(f"{m[1]}addr", int(m[2])).alias(f"{m[1]}ip6")
     m = re.fullmatch(r"mpls(\d+)", name)
     if m:
-        return F.get("mpls", F.lit(int(m[1]) - 1)).alias(name)
+        return mpls_label(int(m[1])).alias(name)
     return F.col(name)
 
 

@@ -9,8 +9,6 @@ broadcasts the block side from its size estimate or shuffles on the key.
 
 from __future__ import annotations
 
-import ipaddress
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,8 +180,3 @@ def prefix_join6(df: DataFrame, address: str, nets: DataFrame, column: str = "ci
     return (df.withColumn("_a", v6_halves(address))
             .withColumn("_c", F.explode(F.array(*[_key6(F.col("_a"), b) for b in levels])))
             .join(keyed.withColumnRenamed("_k", "_c"), "_c").drop("_c", "_a"))
-
-
-def net_texts(df: DataFrame, column: str = "cidr") -> list[str]:
-    """Network texts of a small configuration table."""
-    return [str(ipaddress.ip_network(r[0], strict=False)) for r in df.select(column).limit(10_001).collect()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import idiv
+from ..functions.numeric import idiv, mpls_label
 from ..functions.timefn import truncate
 from ..schema import FIVE_TUPLE
 from .aggregate import aggregate_flows, ms, with_rates
@@ -39,7 +39,7 @@ RANK_LIMIT = 1000
 def element_values(element: str) -> Column:
     """Array of the element's values in a flow, each once."""
     if element.startswith("mpls"):
-        return F.array(F.get("mpls", F.lit(int(element[4:]) - 1)))
+        return F.array(mpls_label(int(element[4:])))
     cols = [F.col(c) for c in ELEMENTS[element]]
     return F.array(*cols) if len(cols) == 1 else F.array_distinct(F.array(*cols))
 

@@ -41,8 +41,10 @@ def merge_features(old: DataFrame | None, new: DataFrame, key: Sequence[str]) ->
     return rows.groupBy(*keys).agg(*cols).select(*rows.columns)
 
 
-# Detector types whose rows merge over gaps; the others merge per key.
-GAP_MERGED = {"port_scan", "ip_scan", "service", "asset", "mo", "ip_set", "bw", "icmp_tunnel"}
+# Feature kinds by the names that the run gives its detectors: whether rows merge over gaps, or all of a key.
+MERGED_OVER_GAPS = {**dict.fromkeys(("port_scan", "ip_scan", "service", "assetsrv", "mo", "ip_set", "bw", "icmptunnel"), True),
+                    **dict.fromkeys(("dns", "dnstunnel", "dnstunnel_scored", "dga", "url_content", "malicious_url",
+                                     "threshold", "frn_trip", "tcpinit", "threat", "mining"), False)}
 
 
 def feature_filter(df: DataFrame, start: int, end: int, ip=None, sip=None, dip=None, port=None, proto=None,
@@ -73,11 +75,13 @@ def feature_filter(df: DataFrame, start: int, end: int, ip=None, sip=None, dip=N
 def query_features(features: DataFrame, kind: str, key: Sequence[str], start: int, end: int, **fields) -> DataFrame:
     """Feature rows of a range, filtered and merged for display.
 
-    Whole hours are scanned; the hour column prunes the partitions.
+    Whole hours are scanned; the hour column prunes the partitions.  An unknown kind raises.
     """
+    if kind not in MERGED_OVER_GAPS:
+        raise ValueError(f"not a feature kind: {kind!r}")
     scanned = features.where((F.col("hour") >= start - start % HOUR_SECONDS) & (F.col("hour") <= end))
     rows = scanned.where(feature_filter(features, start, end, qname_part=kind == "dns", **fields))
-    merged = merge_gaps(rows, key) if kind in GAP_MERGED else merge_all(rows, key)
+    merged = merge_gaps(rows, key) if MERGED_OVER_GAPS[kind] else merge_all(rows, key)
     return merged.withColumn("duration", F.col("last") - F.col("first"))
 
 

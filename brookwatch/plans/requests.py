@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import request_filter
-from ..functions.timefn import slot
 from ..operators.joins import filter_labels
 from ..operators.topn import topn_by_step
 
@@ -72,7 +71,3 @@ def log_requests(log: DataFrame) -> DataFrame:
     ``log`` has columns request, slot and at; repeats at the same second count once.
     """
     return log.groupBy("request", "slot").agg(F.count_distinct("at").alias("count"), F.max("at").alias("latest"))
-
-
-def slots_of(flows: DataFrame) -> DataFrame:
-    return flows.select(slot().alias("slot")).distinct()

@@ -65,26 +65,29 @@ def _registry(flows: DataFrame, cfg: Config, w: Window) -> dict[str, tuple[list[
     }
 
 
-# Detectors that only make events from rules.
+# Detectors whose events and evidence come from rules; their features do not.
 _RULED = {"port_scan", "ip_scan", "dnstunnel", "dnstunnel_scored", "dga", "ip_set", "bw", "url_content",
           "malicious_url", "icmptunnel", "threshold", "frn_trip", "threat", "mining", "dns", "assetsrv"}
 
 
+def _without_events(found: Detection) -> Detection:
+    return Detection(features=lambda: found.features)
+
+
 def run_detectors(flows: DataFrame, cfg: Config, window: Window) -> dict[str, Detection]:
     """Lazy outputs of every enabled detector.
 
-    Each plan reads only the columns it needs; nothing is cached here.  A
+    Without rules a detector makes no events, but its features all the same.  Each plan reads only the columns it needs; nothing is cached here.  A
     caller that runs many detectors over one slot may ``persist`` the flows.
     """
     out = {}
     for name, (needs, build) in _registry(flows, cfg, window).items():
         if not cfg.enabled.get(name, True) or any(n not in cfg.tables for n in needs):
             continue
-        if name in _RULED and not cfg.rules.get(name):
-            continue
         if name in ("threshold", "mo") and not cfg.objects:
             continue
-        out[name] = build()
+        ruled = name not in _RULED or bool(cfg.rules.get(name))
+        out[name] = build() if ruled else _without_events(build())
     return out
 
 

@@ -84,12 +84,12 @@ def test_scaled_numbers(spark):
     assert values(spark, n, numeric.scale_number("s"), "s bigint") == ["999999", "1.0 M", "1.2 G", "2.0 T"]
 
 
-def test_date_bounds():
-    assert timefn.date_bounds("2024") == (1704067200, 1735689599)
-    assert timefn.date_bounds("2024/02") == (1706745600, 1709251199)
-    assert timefn.date_bounds("2024/02/29.13:05") == (1709211900, 1709211959)
+def test_windows():
+    assert timefn.parse_window("2024") == (1704067200, None, 0)  # a single date has no end
+    assert timefn.parse_window("2024/02-2024/02/29.13:05") == (1706745600, 1709211900, 0)  # ends with a first second
+    assert timefn.parse_window("-7200") == (None, None, -7200)
     with pytest.raises(ValueError):
-        timefn.date_bounds("24/1")
+        timefn.parse_window("24/1")
 
 
 def test_align_range():

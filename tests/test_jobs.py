@@ -160,7 +160,11 @@ def test_run_enabled_detectors(spark, flows):
     cfg = Config(rules={"port_scan": [Rule(1, 2, min=3)], "threat": [Rule(2, 13)], "bw": [Rule(3, 5, data_type="bps")]},
                  enabled=read_switches(["# x", "threat = disable", "port_scan = enable"]))
     out = run_detectors(flows, cfg, Window(T0, T0 + 86400))
-    assert set(out) == {"port_scan", "tcpinit", "service"}         # no lists, no objects, threat switched off
+    # no lists, no objects, threat switched off; without rules features alone
+    assert set(out) == {"port_scan", "ip_scan", "dnstunnel_scored", "url_content", "malicious_url", "icmptunnel", "tcpinit",
+                        "service"}
+    assert [n for n, det in out.items() if det.events is not None] == ["port_scan"]
+    assert out["ip_scan"].features is not None and out["ip_scan"].details is None
     assert all_events(out).select("type_id").distinct().collect()[0].type_id == 2
 
 
@@ -171,4 +175,6 @@ def test_feature_query_overlap(spark):
     got = lc.query_features(df, "ip_scan", ["srcaddr", "dstaddr", "prot"], T0 + 60, T0 + 5000).collect()
     assert [(r.flows, r.duration) for r in got] == [(5, 100)]
     assert lc.query_features(df, "ip_scan", ["srcaddr", "dstaddr", "prot"], T0, T0 + 5000).count() == 2
-    assert lc.query_features(df, "dns_tunnel", ["srcaddr", "dstaddr", "prot"], T0, T0 + 5000).collect()[0].flows == 7
+    assert lc.query_features(df, "dnstunnel", ["srcaddr", "dstaddr", "prot"], T0, T0 + 5000).collect()[0].flows == 7
+    with pytest.raises(ValueError):
+        lc.query_features(df, "no_such_kind", ["srcaddr", "dstaddr", "prot"], T0, T0 + 5000)
