@@ -10,8 +10,10 @@ most five shingles use runs of two), and two sketches of 96 values have fewer th
 frequent shingles from listing unrelated documents together.  Sets whose sizes differ too much are never compared.
 
 Without all pairs.  Copies fill lists with one large group.  So each list first compares its members with one leader per
-size class, twice with different leaders, first the member that shares most; the links found so far make components, and only members of different
-components that still meet in a list are then compared with each other.  No list, candidate or partner is capped.
+size class, twice with different leaders, first the member that shares most; the links found so far make components.
+Lists with the same first member then form a family, and members of one family in different components are compared with
+each other: in small families as rows, in large ones block by block inside tasks, of which only similar pairs leave.  No
+list, candidate or partner is capped.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text with fewer words than a shingle has
 the whole sequence as its only shingle; rows of one id are one document, whose rows may hold different texts; a row with
@@ -21,8 +23,10 @@ null id joins the component of its set and is kept only if no other id is in it;
 from __future__ import annotations
 
 import math
+from typing import Any
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +38,8 @@ from .rlz import Powers, gram_hashes, word_places
 K = 96
 MARGIN = 0.3  # of the estimate below the threshold; seven standard deviations for k = 96
 LEADERS = 2
+FAMILY = 32  # sets of a family whose pairs are made as rows; larger families are compared in blocks
+BLOCK = 512
 LEAST_RUNS = 10  # that two cut sketches at the threshold share but for a chance of about 1e-6
 
 
@@ -155,20 +161,64 @@ def leader_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
             .where(sizes_fit("n_shingles", "n_a", percent)).select("a", "b").distinct())
 
 
-def crossing_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Members of one list that lie in different components and neighbouring size classes."""
-    mixed = (rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("value"))
-    open_rows = rows.join(mixed, "value")
-    left = open_rows.select("value", F.col("node").alias("a"), F.col("component").alias("component_a"),
-                            F.col("n_shingles").alias("n_a"), F.col("size_class").alias("class_a"),
-                            F.explode(F.array("size_class", F.col("size_class") + 1)).alias("size_class"))
-    return (left.join(open_rows, ["value", "size_class"])
-            .where(F.col("component_a") != F.col("component"))
-            .where((F.col("class_a") < F.col("size_class")) | (F.col("a") < F.col("node")))
+def families(rows: DataFrame) -> DataFrame:
+    """family, node, component, n_shingles, n: lists with the same first member joined, so that two sets that share many
+    lists meet once.  Only families of more than one component are left."""
+    first = written(rows.groupBy("value").agg(F.max_by("node", F.col("weight") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20)))
+                                              .alias("family")), "firsts")
+    members = rows.join(first, "value").select("family", "node", "component", "n_shingles").distinct()
+    mixed = (members.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+             .where("lo < hi").select("family", "n"))
+    return members.join(mixed, "family")
+
+
+def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Members of one small family that lie in different components; at most FAMILY candidates for each."""
+    left = members.select("family", F.col("node").alias("a"), F.col("component").alias("component_a"), F.col("n_shingles").alias("n_a"))
+    return (left.join(members, "family").where(F.col("a") < F.col("node")).where(F.col("component_a") != F.col("component"))
             .where(sizes_fit("n_shingles", "n_a", percent)).select("a", F.col("node").alias("b")).distinct())
 
 
+def similar_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Similar pairs of different components in large families.
+
+    A family is cut into blocks of about BLOCK sets by a hash; each task compares two blocks by counting shared shingles
+    in one product of matrices, and only similar pairs leave it.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = (members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component")
+             .join(sets.select("node", "members"), "node"))
+
+    def compare(key: tuple[Any, ...], held: pd.DataFrame) -> pd.DataFrame:
+        _, lo, hi = key
+        sizes = np.array([len(m) for m in held["members"]], np.int64)
+        values, place, count = np.unique(np.concatenate(held["members"].to_list()), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        column = np.cumsum(count > 1) - 1
+        useful = count[place] > 1
+        row, column = row[useful], column[place[useful]]
+        own = held["own"].to_numpy()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(column.max(initial=-1)) + 1, 4096):
+            here = (column >= at) & (column < at + 4096)
+            marks = np.zeros((len(sizes), 4096), np.float32)
+            marks[row[here], column[here] - at] = 1
+            shared += marks[left] @ marks[right].T
+        both = shared.astype(np.int64)
+        node, component = held["node"].to_numpy(), held["component"].to_numpy()
+        near = both * 100 >= (sizes[left][:, None] + sizes[right][None, :] - both) * percent
+        near &= component[left][:, None] != component[right][None, :]
+        if lo == hi:
+            near &= node[left][:, None] < node[right][None, :]
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"a": node[left[i]], "b": node[right[j]]})
+
+    return dealt.groupBy("family", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     percent: int = 80, k: int = K) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links) and kept.
@@ -187,14 +237,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active = found.select(F.col("node").alias("doc_id")).distinct()
     sets = written(full_sets(texts.join(active.hint("shuffle_hash"), "doc_id", "leftsemi"), shingle, k), "sets")
     links, labels = None, None
-    for turn in range(LEADERS + 1):
-        members = with_component(found, labels)
-        pairs = leader_pairs(members, turn, percent) if turn < LEADERS else crossing_pairs(members, percent)
-        new = written(verified(pairs, sets, percent, k), "similar")
+    for turn in range(LEADERS + 2):
+        if turn < LEADERS:
+            similar = verified(leader_pairs(with_component(found, labels), turn, percent), sets, percent, k)
+        elif turn == LEADERS:
+            met = written(families(with_component(found, labels)), "families")
+            similar = verified(crossing_pairs(met.where(F.col("n") <= FAMILY), percent), sets, percent, k)
+        else:
+            similar = similar_in_blocks(met.where(F.col("n") > FAMILY), sets, percent)
+        new = written(similar, "similar")
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        if turn != LEADERS:  # the last two turns compare within the components of before
+            labels = components(links)
+    labels = components(links) if links is not None else None
     named = with_component(names, labels).drop("node")
     return (rows.join(named, digest, "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
