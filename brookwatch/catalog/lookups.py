@@ -190,7 +190,7 @@ _MO_UNION = " UNION ALL ".join(f"SELECT {i} AS moid, '{m.direction}' AS directio
 _MO_SELECT = f"SELECT moid, direction, {COUNTERS} FROM ({_MO_UNION}) t GROUP BY ALL"
 on_flows("j8_objects", lambda f: joins.match_mo(f, MOS).groupBy("moid", "direction").agg(*counters()), _MO_SELECT)
 on_flows("j8_objects_by_address",
-         lambda f: joins.match_mo(f, MOS, direct=0).groupBy("moid", "direction").agg(*counters()), _MO_SELECT)
+         lambda f: joins.match_mo(f, MOS).groupBy("moid", "direction").agg(*counters()), _MO_SELECT)
 
 _REQ_KEY = ["sip", "dip", "dport", "http_ret_code"]
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.predicates import object_filter
 from ..functions.timefn import truncate
@@ -123,11 +124,6 @@ def tag_bw(flows: DataFrame, black: DataFrame, white: DataFrame) -> DataFrame:
     return tag_list(tag_list(flows, black, "blacklist"), white, "whitelist")
 
 
-# Objects up to this many are tested as column expressions per flow; above it
-# the objects with an address go through the prefix join.
-DIRECT_OBJECTS = 16
-
-
 def _object_rows(mos: Sequence[MonitoredObject]) -> Column:
     hits = [F.when(object_filter(m), F.struct(F.lit(m.id).alias("moid"), F.lit(m.direction).alias("direction")))
             for m in mos]
@@ -139,20 +135,25 @@ def _direct(flows: DataFrame, mos: Sequence[MonitoredObject]) -> DataFrame:
     return hit.select("*", "_mo.*").drop("_mo")
 
 
-def match_mo(flows: DataFrame, mos: Sequence[MonitoredObject], direct: int = DIRECT_OBJECTS) -> DataFrame:
-    """One row per flow and matching object, with ``moid`` and ``direction``."""
+def _joinable(flows: DataFrame, m: MonitoredObject) -> bool:
+    """An object whose own address is one IPv4 range, on a table of numeric addresses."""
+    numeric = flows.schema["srcaddr"].dataType != T.StringType()
+    return numeric and bool(m.moip) and not m.moip.startswith("!") and ":" not in m.moip + m.pip
+
+
+def match_mo(flows: DataFrame, mos: Sequence[MonitoredObject]) -> DataFrame:
+    """One row per flow and matching object, with ``moid`` and ``direction``.
+
+    IPv4 objects are a table joined on address prefixes, however many there are; objects without an address, with an
+    excluded one or with an IPv6 one are column expressions.
+    """
     mos = sorted(mos, key=lambda m: m.id)
     if not mos:
         return flows.limit(0).withColumns({"moid": F.lit(0), "direction": F.lit("")})
-    if len(mos) <= direct:
-        return _direct(flows, mos)
-    keyed = [m for m in mos if m.moip and not m.moip.startswith("!")]
-    rest = [m for m in mos if m not in keyed]
-    out = _by_address(flows, keyed) if keyed else None
-    if rest:
-        tail = _direct(flows, rest)
-        out = tail if out is None else out.unionByName(tail)
-    return out
+    keyed = [m for m in mos if _joinable(flows, m)]
+    rest = [m for m in mos if not _joinable(flows, m)]
+    parts = [match(flows, some) for match, some in ((_by_address, keyed), (_direct, rest)) if some]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 _OBJECT_SCHEMA = ("moid int, direction string, lo bigint, hi bigint, _own string, "

@@ -135,8 +135,8 @@ def test_object_match_routes_agree(flows):
             direction=rnd.choice(["IN", "OUT", "ALL"])))
     cols = ["srcaddr", "dstaddr", "srcport", "dstport", "prot", "first", "bytes"]
     f = flows.select(*cols)
-    a = joins.match_mo(f, mos, direct=1000).groupBy("moid", "direction").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    b = joins.match_mo(f, mos, direct=0).groupBy("moid", "direction").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    a = joins._direct(f, mos).groupBy("moid", "direction").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    b = joins.match_mo(f, mos).groupBy("moid", "direction").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
@@ -172,3 +172,12 @@ def test_sliding_totals(spark):
 @pytest.mark.parametrize("by", [["srcip"], ["srcip4/24", "proto"], None])
 def test_empty_input(flows, by):
     assert aggregate.aggregate_flows(flows.limit(0), by).count() == 0
+
+
+def test_ipv6_objects_at_any_number(spark):
+    """Objects of either family on text addresses, few and many, by the same rows."""
+    f = spark.createDataFrame([("2001:db8::1", "2001:db8::2", 1, 2, 6)],
+                              "srcaddr string, dstaddr string, srcport int, dstport int, prot int")
+    for n in (3, 20):
+        mos = [MonitoredObject(i, moip="2001:db8::1", direction="OUT") for i in range(n)]
+        assert joins.match_mo(f, mos).count() == n
