@@ -31,6 +31,7 @@ PARAGRAPH = r"[^.!?\n]{1,64}[.!?\n]*|[.!?\n]+"
 TABLES = 3
 PRINT_CELLS = 4  # of each subtable of the fingerprint
 LEAST_CELLS = 8  # of each subtable when sketches are subtracted
+SPARE = 4  # cells of each subtable for each digest of the larger side, so that nearly all pairs peel at once
 GROWTH = 8
 TURNS = 6
 CHECK = 97  # seeds the check hash
@@ -86,10 +87,10 @@ def peeled(cells: DataFrame, by: list[str], table: int) -> DataFrame:
 def differences(pairs: DataFrame, by: list[str], a: str, b: str, level: int) -> DataFrame:
     """One attempt for every pair of digest arrays: by, recovered (digests with their side), failed.
 
-    The sketches have at least as many cells in each subtable as the first text has digests, times 8 for each retry.
+    The sketches have four cells in each subtable for each digest of the larger side, times 8 for each retry.
     """
     cells = sketched(pairs, by, [(a, 1), (b, -1)],
-                     F.greatest(F.size(a), F.lit(LEAST_CELLS)).cast("long") * F.lit(GROWTH ** level))
+                     F.greatest(F.size(a), F.size(b), F.lit(LEAST_CELLS)).cast("long") * F.lit(SPARE * GROWTH ** level))
     for turn in range(TURNS):
         cells = peeled(cells, by, turn % TABLES)
     done = F.col("tab") == TABLES
