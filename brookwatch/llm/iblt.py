@@ -117,14 +117,15 @@ def likeness(pairs: DataFrame, by: list[str], a: str, b: str, name: str) -> Data
         tried = written(differences(todo, by, a, b, level), "peeled")
         ready = tried.where("left = 0").drop("left")
         out = ready if out is None else out.unionByName(ready)
-        failed = tried.where("left > 0").select(*by)
+        # a table of its own, whose size Spark knows: few pairs are looked up without shuffling the digests
+        failed = written(tried.where("left > 0").select(*by), "unpeeled")
         if failed.isEmpty():
             break
-        todo, level = pairs.join(failed.hint("shuffle_hash"), by, "leftsemi"), level + 1
-    # pairs without differing digests leave no cells at all
-    both = F.size(a) + F.size(b)
-    return (pairs.join(out.hint("shuffle_hash"), by, "left")
-            .select(*by, F.when(both == 0, 1.0).otherwise(1 - F.coalesce("recovered", F.lit(0)) / both).alias(name)))
+        todo, level = pairs.join(failed, by, "leftsemi"), level + 1
+    # pairs without differing digests leave no cells at all; only sizes are shuffled
+    both = pairs.select(*by, (F.size(a) + F.size(b)).alias("both"))
+    return (both.join(out.hint("shuffle_hash"), by, "left")
+            .select(*by, F.when(F.col("both") == 0, 1.0).otherwise(1 - F.coalesce("recovered", F.lit(0)) / F.col("both")).alias(name)))
 
 
 def successors(texts: DataFrame) -> DataFrame:
