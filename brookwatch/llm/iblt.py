@@ -157,10 +157,12 @@ def edited_texts(texts: DataFrame, chain: DataFrame) -> DataFrame:
 def fingerprints(rows: DataFrame, by: list[str], col: str, name: str) -> DataFrame:
     """The sketch of fixed size as a string: place, count, xor and check of each cell in use."""
     cells = sketched(rows, by, [(col, 1)], F.lit(PRINT_CELLS))
-    text = F.format_string("%d.%d:%d:%x:%x", "tab", "at", "n", "key", "check")
-    listed = (cells.select(*by, text.alias("cell")).groupBy(*by)
-              .agg(F.array_join(F.array_sort(F.collect_list("cell")), ",").alias(name)))
-    return rows.select(*by).join(listed.hint("shuffle_hash"), by, "left").select(*by, F.coalesce(name, F.lit("")).alias(name))
+    held = F.struct("tab", "at", "n", "key", "check")
+    listed = cells.select(*by, held.alias("cell")).groupBy(*by).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    # numbers are shuffled, and written out as text afterwards
+    text = F.transform("cells", lambda c: F.format_string("%d.%d:%d:%x:%x", c["tab"], c["at"], c["n"], c["key"], c["check"]))
+    return (rows.select(*by).join(listed.hint("shuffle_hash"), by, "left")
+            .select(*by, F.coalesce(F.array_join(text, ","), F.lit("")).alias(name)))
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
