@@ -45,17 +45,19 @@ def seed_hashes(words: list[str], least: int, powers: Powers) -> np.ndarray:
 
 
 def item_seeds(items: DataFrame, least: int) -> DataFrame:
-    """seed, item_id, n_tokens, words of the benchmark; one row per distinct seed of an item."""
+    """item_id, n_tokens, words of the benchmark, the distinct seeds of an item and how often each stands in it."""
     def make():
         powers = Powers()
 
         def work(key: list, text: list[str]) -> dict:
             words = [tokens(t) for t in text]
+            each = [np.unique(seed_hashes(w, least, powers), return_counts=True) for w in words]
             return {"item_id": key, "n_tokens": [len(w) for w in words], "words": words,
-                    "seeds": [np.unique(seed_hashes(w, least, powers)).view(np.int64) for w in words]}
+                    "seeds": [s.view(np.int64) for s, _ in each], "times": [n for _, n in each]}
         return work
 
-    return map_batches(items, make, "item_id long, n_tokens int, words array<string>, seeds array<long>")
+    return map_batches(items, make, "item_id long, n_tokens int, words array<string>, seeds array<long>, "
+                                    "times array<long>")
 
 
 def filter_bits(seeds: DataFrame) -> np.ndarray:
@@ -171,11 +173,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The pairs found: doc_id, item_id, n_tokens of the item, n_covered, n_tiles, coverage (at least the threshold)."""
     texts = keyed_texts(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
     items = written(item_seeds(keyed_texts(benchmark, item_col, item_text), least), "items")
-    seeds = items.select("item_id", "n_tokens", F.explode("seeds").alias("seed"))
+    seeds = items.select("item_id", "n_tokens", F.explode(F.arrays_zip("seeds", "times")).alias("of")).select(
+        "item_id", "n_tokens", F.col("of.seeds").alias("seed"), F.col("of.times").alias("times"))
     found = written(stretches(texts, filter_bits(seeds), least), "stretches")
-    # a pair whose shared seeds could not cover enough of the item needs no tiling
+    # every covered word lies in a shared seed, each as often as it stands in the item: a pair whose shared seeds could not
+    # cover enough of the item needs no tiling
     pairs = (found.select("doc_id", "version", F.explode("seeds").alias("seed")).join(seeds, "seed")
-             .groupBy("doc_id", "version", "item_id", "n_tokens").agg(F.count(F.lit(1)).alias("shared"))
+             .groupBy("doc_id", "version", "item_id", "n_tokens").agg(F.sum("times").alias("shared"))
              .where(F.col("shared") * least >= F.col("n_tokens") * coverage))
     lists = (pairs.select(F.col("doc_id"), "version", "item_id")
              .join(items.select("item_id", "words"), "item_id")

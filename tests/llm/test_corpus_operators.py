@@ -226,6 +226,18 @@ def test_tiling_finds_moved_passages(spark):
     assert tiling.contaminated(make_docs(spark, []), bench).count() == 0
 
 
+def test_items_that_repeat_themselves_are_tiled(spark):
+    """Few distinct seeds, each of which covers several places of the item."""
+    phrase, line = ["red", "green", "blue"] * 20, "one two three four five six".split()
+    others = prose(4, 15, 5000).split()
+    item = [w for k in range(3) for w in line + others[4 * k:4 * k + 4]]
+    texts = [f"{prose(5, 30, 5000)} {' '.join(phrase)} {prose(6, 30, 5000)}",
+             " ".join(f"{prose(k, 20, 5000)} {' '.join(line)}" for k in (7, 8, 9)), prose(3, 300, 5000), " ".join(line)]
+    bench = spark.createDataFrame([(1, " ".join(phrase)), (2, " ".join(item))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_covered"] for r in tiling.contaminated(make_docs(spark, texts), bench).collect()}
+    assert len(item) == 30 and got == {(0, 1): 60, (1, 2): 18}
+
+
 def test_tiles_are_longest_first_and_apart():
     tiles = tiling.Tiling("a b c d e f g h".split(), ["a b c d e x d e f g h".split()], 3).mark()
     assert tiles == [(0, 0, 5), (5, 8, 3)]
