@@ -5,8 +5,9 @@ that rises in both is kept, and the gaps between kept anchors are aligned the sa
 words at both ends of the gap match.  Coverage is the matched part of the template.
 
 A text can hold a notice several times, which leaves it no unique words.  So stretches of at most twice the template's
-length that hold enough of its different words are aligned one by one, from left to right.  Where templates match the
-same words, the one with most matched words counts, then the one better covered.
+length that hold enough of its words, each as often as both hold it, are aligned one by one, from left to right; no
+alignment matches more words than that.  Where templates match the same words, the one with most matched words counts,
+then the one better covered.  A license that is often quoted without its warranty has a template with it and one without.
 
 Each row is handled in its own task, without a shuffle.  Defined cases: a null or empty text has no findings; texts are
 read whole; equal templates are reported under the name first in order; repeated rows give repeated findings.
@@ -26,7 +27,47 @@ COVERAGE = 0.8
 TOKEN = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 # Public wordings of license notices.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+    "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+    "notice and this permission notice shall be included in all copies or substantial portions of the Software.")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution.")
+_BSD_NAMES = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission.")
+_BSD_WARRANTY = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+
+def _gnu(work: str, license: str, version: str, address: str) -> str:
+    """The notice that the GNU licenses ask for at the head of each file."""
+    return (
+        f"This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {license} "
+        f"General Public License as published by the Free Software Foundation; either version {version} of the License, or "
+        f"(at your option) any later version. This {work} is distributed in the hope that it will be useful, but WITHOUT "
+        "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        f"GNU {license} General Public License for more details. You should have received a copy of the GNU {license} "
+        f"General Public License along with this {work}; if not, {address}")
+
+
+_FSF = "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+_SEE = "see https://www.gnu.org/licenses/."
+
 TEMPLATES = {
+    "agpl-3.0-header": _gnu("program", "Affero", "3", _SEE),
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
@@ -34,22 +75,40 @@ TEMPLATES = {
         "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
         "specific language governing permissions and limitations under the License."),
-    "bsd-2-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
-        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
-        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
-        "distribution."),
+    "bsd-2-clause": _BSD + _BSD_WARRANTY,
+    "bsd-2-clause-conditions": _BSD,
+    "bsd-3-clause": _BSD + _BSD_NAMES + _BSD_WARRANTY,
+    "bsd-3-clause-conditions": _BSD + _BSD_NAMES,
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "cc-by-4.0": "Licensed under CC BY 4.0",
+    "gpl-2.0-header": _gnu("program", "", "2", _FSF),
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "gpl-3.0-header": _gnu("program", "", "3", _SEE),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
+        "IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."),
+    "lgpl-2.1-header": _gnu("library", "Lesser", "2.1", _FSF),
+    "lgpl-3.0-header": _gnu("library", "Lesser", "3", _SEE),
     "mit": "Released under the MIT License",
-    "mit-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
-        "notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "mit-grant": _MIT,
+    "mit-text": _MIT + (
+        " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+        "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+        "IN THE SOFTWARE."),
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."),
 }
 
 
@@ -104,46 +163,46 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words(text)
-        self.kinds = set(self.words)
+        self.own = Counter(self.words)
+
+    def within(self, count: Counter) -> int:
+        """Words of the template that a text with these counts can match at most."""
+        return sum(min(n, count[w]) for w, n in self.own.items())
 
     def findings(self, text: list[str], least: float) -> list[tuple[int, int, int, str]]:
         """(matched words, first word, end, name) of each place in the text that covers enough of the template."""
-        needed = max(1, int(least * len(self.kinds)))
-        places = [i for i, w in enumerate(text) if w in self.kinds]
+        needed, own = least * len(self.words), self.own
+        places = [i for i, w in enumerate(text) if w in own]
         out, first, last, inside = [], 0, 0, Counter()
+        held = 0  # within(inside)
         reach = 2 * len(self.words)
         while first < len(places):
             while last < len(places) and places[last] < places[first] + reach:
-                inside[text[places[last]]] += 1
+                word = text[places[last]]
+                inside[word] += 1
+                held += inside[word] <= own[word]
                 last += 1
-            if len(inside) >= needed:
+            done = places[first] + 1
+            if held >= needed:
                 start, end = places[first], places[last - 1] + 1
                 matched = align(text[start:end], self.words)
-                if len(matched) >= least * len(self.words):
+                if len(matched) >= needed:
                     done = start + matched[-1][0] + 1
                     out.append((len(matched), start + matched[0][0], done, self.name))
-                    while first < len(places) and places[first] < done:
-                        self._leave(inside, text[places[first]])
-                        first += 1
-                    last = max(last, first)
-                    continue
-            self._leave(inside, text[places[first]])
-            first += 1
+            while first < len(places) and places[first] < done:
+                word = text[places[first]]
+                held -= inside[word] <= own[word]
+                inside[word] -= 1
+                first += 1
         return out
 
-    @staticmethod
-    def _leave(inside: Counter, word: str) -> None:
-        inside[word] -= 1
-        if not inside[word]:
-            del inside[word]
-
 
 def scan(text: str, templates: list[Template], least: float) -> list[dict]:
     """Findings of one text that overlap no better one."""
-    found, tokens, kinds = [], words(text), None
-    kinds = set(tokens)
+    found, tokens = [], words(text)
+    count = Counter(tokens)
     for t in templates:
-        if len(t.kinds & kinds) >= least * len(t.kinds):
+        if t.within(count) >= least * len(t.words):
             found += [(-n, -n / len(t.words), name, start, end) for n, start, end, name in t.findings(tokens, least)]
     out: list[dict] = []
     for n, part, name, start, end in sorted(found):

@@ -391,3 +391,29 @@ def test_licenses_found_whole_changed_and_repeated(spark):
     assert found == [(0, "mit"), (0, "mit"), (1, "mit-text"), (2, "mit-text"), (7, "apache-2.0-header")]
     assert {r["coverage"] for r in got if r["doc_id"] in (0, 1, 7)} == {1.0}
     assert license_scan.find_licenses(make_docs(spark, [])).count() == 0
+
+
+def test_edited_notices_down_to_the_threshold():
+    """Changed words that stand once in the template cost a kind each, yet only a word of its coverage."""
+    known = [license_scan.Template(n, t) for n, t in sorted(license_scan.TEMPLATES.items())]
+    for name, n, part in (("mit-grant", 12, 0.86), ("apache-2.0-header", 12, 0.85), ("bsd-2-clause-conditions", 8, 0.88)):
+        notice = license_scan.words(license_scan.TEMPLATES[name])
+        single = [i for i, w in enumerate(notice) if notice.count(w) == 1]
+        for i in single[len(single) // n // 2::len(single) // n][:n]:
+            notice[i] = f"changed{i}"
+        (got,) = license_scan.scan(f"{prose(1, 40)} {' '.join(notice)} {prose(2, 40)}", known, 0.8)
+        assert got["license"] == name and part <= got["coverage"] < part + 0.01
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_every_template_is_found_under_its_name(name):
+    known = [license_scan.Template(n, t) for n, t in sorted(license_scan.TEMPLATES.items())]
+    text = license_scan.TEMPLATES[name]
+    (got,) = license_scan.scan(f"{prose(1, 30)} {text} {prose(2, 30)}", known, 0.8)
+    assert (got["license"], got["coverage"], got["start"]) == (name, 1.0, 30)
+
+
+def test_common_licenses_are_known_whole():
+    text = license_scan.TEMPLATES
+    assert text["mit-text"].endswith("DEALINGS IN THE SOFTWARE.") and text["bsd-2-clause"].endswith("POSSIBILITY OF SUCH DAMAGE.")
+    assert {"bsd-3-clause", "mpl-2.0-header", "lgpl-2.1-header", "gpl-2.0-header"} <= set(text)
