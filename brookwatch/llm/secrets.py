@@ -4,7 +4,10 @@ Strong findings are reported wherever they stand: assignments of a password or t
 lower-case hex.  Parts too weak for that - a user name, a random-looking word, an address - are reported only when
 complementary parts co-occur: within a scope (a paragraph, cut by blank lines) the identifiers, secrets and endpoints
 of a document are joined as intervals no more than ``reach`` code points apart.  A weak secret needs an identifier, a
-weak identifier needs a secret, an endpoint needs both.
+weak identifier needs a secret, an endpoint needs both.  A random-looking word is any run of 16 or more key characters
+of enough bits, whatever its case, digits or dashes; the parts beside it decide.  So long words and names of code next to
+an identifier are reported too.  What is named as an identifier, or stands without a digit in an address, is taken as
+part of that, not as a secret beside it, unless it has digits and both cases or is hex.
 
 All of it happens in the row's own task: nothing is shuffled, and the sorted join of n parts takes n log n steps.
 
@@ -34,7 +37,7 @@ STRONG = ("assign", "access", "hex")
 BLANK_LINES = re.compile(r"\n[ \t\r]*\n")
 NAMED = re.compile(r"""\b(?:access_key_id|client_id|account_id|account|username|user|login)["']?[ ]*[:=][ ]*["']?"""
                    r"""([A-Za-z0-9._@-]{3,})""", re.IGNORECASE | re.ASCII)
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b""",
                       re.IGNORECASE | re.ASCII)
 KINDS = (*STRONG, "weak_id", "weak_secret", "endpoint")
@@ -59,16 +62,23 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 
 def looks_random(word: str) -> bool:
-    """Digits and both cases or hex, and many different characters."""
+    """Many different characters."""
     n = len(word)
-    mixed = any(c.islower() for c in word) and any(c.isupper() for c in word)
-    if not mixed and not re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", word):
-        return False
     return -sum(k / n * math.log2(k / n) for k in Counter(word).values()) >= MIN_BITS
 
 
+def has_digit(word: str) -> bool:
+    return any("0" <= c <= "9" for c in word)
+
+
+def looks_key(word: str) -> bool:
+    """Digits and both cases, or hex: no name of an identifier or a path."""
+    mixed = any(c.islower() for c in word) and any(c.isupper() for c in word)
+    return has_digit(word) and (mixed or re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", word) is not None)
+
+
 def weak_parts(text: str, strong: list[Span]) -> list[Span]:
-    """Parts that mean nothing alone and touch no strong finding."""
+    """Parts that mean nothing alone and touch no strong finding; none where no identifier is."""
     starts, reach = [s for s, _, _ in strong], []
     for _, e, _ in strong:
         reach.append(max(e, reach[-1]) if reach else e)
@@ -78,10 +88,18 @@ def weak_parts(text: str, strong: list[Span]) -> list[Span]:
         return k == 0 or reach[k - 1] <= start
 
     out = [(m.start(1), m.end(1), "weak_id") for m in NAMED.finditer(text) if apart(m.start(1), m.end(1))]
-    out += [(m.start(), m.end(), "weak_secret") for m in RANDOM.finditer(text)
-            if apart(m.start(), m.end()) and looks_random(m[0])]
-    out += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text) if apart(m.start(), m.end())]
-    return out
+    if not out and all(kind != "access" for *_, kind in strong):
+        return []
+    addresses = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text) if apart(m.start(), m.end())]
+    ids, paths = Intervals(out), Intervals(addresses)
+
+    def beside(span: Span, word: str) -> bool:
+        """Whether the word is not just the value of an identifier or the path of an address."""
+        return looks_key(word) or not (ids.near(span, -1) or paths.near(span, -1) and not has_digit(word))
+
+    words = [((m.start(), m.end(), "weak_secret"), m[0]) for m in RANDOM.finditer(text)]
+    out += [span for span, word in words if apart(*span[:2]) and looks_random(word) and beside(span, word)]
+    return out + addresses
 
 
 def scopes(text: str) -> Iterator[tuple[int, int]]:

@@ -280,6 +280,25 @@ def test_weak_parts_count_only_together():
     assert secrets.mask(text, secrets.scan(text)[1]) == "client_id = [secret] [secret] [secret]"
 
 
+@pytest.mark.parametrize("word", ["q7w2k9zx4m1v8t3bd6", "JBSWY3DPEHPK3PXPQ4TN7ZLA", "3f2b8c1e-7d46-4a09-b5e3-91c0d8f2a67b",
+                                  "kqwzjxvbnmtrplshgd", "KqWzJxVbNmTrPlShGd"])
+def test_weak_secrets_of_any_shape(word):
+    """Lower case with digits, base32, a dashed hex key, letters alone."""
+    user, where = "client_id = billing-app", "https://vault.example.com/v1"
+    kinds = lambda t: [k for *_, k in secrets.scan(t)[1]]
+    assert kinds(f"{user} {word} {where}") == ["weak_id", "weak_secret", "endpoint"]
+    assert kinds(f"{word} {where}") == kinds(f"{user}\n\n{word} {where}") == kinds(f"{user} {'a' * 20}") == []
+    assert secrets.mask(f"{user} {word}", secrets.scan(f"{user} {word}")[1]) == "client_id = [secret] [secret]"
+
+
+def test_identifiers_and_paths_are_no_secrets():
+    kinds = lambda t: [k for *_, k in secrets.scan(t)[1]]
+    assert kinds("user=bob client_id=billing-application") == []
+    assert kinds("account_id = 3f2b8c1e-7d46-4a09-b5e3-91c0d8f2a67b user: bob") == []
+    assert kinds("user: bob https://example.com/documentation/getting-started") == []
+    assert kinds("user: bob https://example.com/hooks/q7w2k9zx4m1v8t3bd6") == ["weak_id", "endpoint", "weak_secret"]
+
+
 # ---- toxicity -----------------------------------------------------------
 
 def test_machine_learns_an_interaction(spark):
