@@ -5,9 +5,12 @@ size.  A factorization machine adds to the linear weights an interaction of ever
 factors, so that an insult next to the mention of a group can weigh more than both weights say.
 
 Training.  Labels come from a sample of labelled rows of at most about ``max_rows`` for each label, drawn by a hash of
-the id; what was drawn less of one label is made good in the intercept.  Terms whose share differs between the labels are
-counted in a grouped aggregation and the ``max_terms`` clearest kept; the sample, as lists of kept terms, is small enough
-for the driver, where the machine is fitted by gradient steps in a fixed order.  Scoring is one pass without a shuffle.
+the id; what was drawn less of one label is made good in the intercept.  Terms of fewer than ``least`` rows are left out;
+the sample, as lists of the others, is small enough for the driver, where the machine is fitted in a fixed order, in two
+parts that add up.  The first takes the ``max_terms`` terms whose shares differ most clearly between the labels.  The
+second takes all terms, so that what is toxic only in combination, and rare words, have weights and factors too; it goes
+on from the scores of the first for as long as the loss on a fifth of the sample, kept from it, falls, and is dropped if
+it never does.  Scoring is one pass without a shuffle.
 
 Defined cases: a null or empty text has no terms and scores the intercept; without labels of both kinds every score is
 the share of toxic labels (0.5 without any); labels of one id that differ all count; rows of one id are each scored; a
@@ -37,6 +40,10 @@ FACTORS = 8
 ROUNDS = 30
 STEP, DECAY, BATCH = 0.05, 1e-4, 256
 FOLDS = 5
+LEAST_ROWS = 5
+PATIENCE = 4  # rounds without a smaller loss on the rows kept apart
+MORE_ROUNDS = 60
+SLOW = 1e-3  # start of the squared gradients of the second part, so that terms of few rows move little
 
 
 def word_terms(word: str) -> list[int]:
@@ -58,12 +65,14 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
+    def logit(self, places: np.ndarray) -> float:
+        factors = self.factors[places].astype(np.float64)
+        total = factors.sum(axis=0)
+        return float(self.intercept + self.weights[places].sum(dtype=np.float64) + 0.5 * (total @ total - (factors ** 2).sum()))
+
     def score(self, places: np.ndarray) -> float:
         """Probability of the label for the kept terms at these places."""
-        total = self.factors[places].sum(axis=0)
-        x = self.intercept + self.weights[places].sum() + 0.5 * float(
-            total @ total - (self.factors[places] ** 2).sum())
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.logit(places)))))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, n: int, intercept: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -94,6 +103,64 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, n: int, intercept: float) ->
     return b, w, v
 
 
+def loss(z: np.ndarray, labels: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, z) - labels * z)) if len(z) else math.inf
+
+
+def refine(rows: list[np.ndarray], labels: np.ndarray, offset: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Weights and factors of all n terms that lower the loss beyond the given scores, on rows kept apart from the steps.
+
+    The list of rows is emptied on the way."""
+    rng = np.random.default_rng(11)
+    order = rng.permutation(len(rows))
+    w, v = np.zeros(n, np.float32), rng.normal(0, 0.05, (n, FACTORS)).astype(np.float32)
+    gw, gv = np.full(n, SLOW, np.float32), np.full((n, FACTORS), SLOW, np.float32)
+
+    def packed(part: np.ndarray) -> tuple:
+        counts = [len(rows[r]) for r in part]
+        terms = np.concatenate([rows[r] for r in part])
+        for r in part:  # held once
+            rows[r] = terms[:0]
+        cols = np.unique(terms)
+        return cols, terms, counts, part
+
+    def batches(part: np.ndarray) -> list[tuple]:
+        return [packed(part[at:at + BATCH]) for at in range(0, len(part), BATCH)]
+
+    def added(at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(at, weights[:, k], n) for k in range(weights.shape[1])], 1)
+
+    def scores(batch: tuple) -> tuple:
+        _, terms, counts, part = batch
+        row, held = np.repeat(np.arange(len(part)), counts), v[terms]
+        total = added(row, held, len(part))
+        return row, total, (offset[part] + np.bincount(row, w[terms], len(part))
+                            + 0.5 * ((total ** 2).sum(1) - np.bincount(row, (held ** 2).sum(1), len(part))))
+
+    apart, steps = batches(order[:len(order) // FOLDS]), batches(order[len(order) // FOLDS:])
+    known = np.concatenate([labels[b[3]] for b in apart]) if apart else np.zeros(0)
+    best, found, since = loss(np.concatenate([offset[b[3]] for b in apart]), known) if apart else -math.inf, None, 0
+    for _ in range(MORE_ROUNDS):
+        for k in rng.permutation(len(steps)):
+            cols, terms, _, part = steps[k]
+            row, total, z = scores(steps[k])
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / len(part)
+            at = np.searchsorted(cols, terms)
+            seen = np.bincount(at, error[row], len(cols))
+            dw = seen + DECAY * w[cols]
+            dv = added(at, (error[:, None] * total)[row], len(cols)) - seen[:, None] * v[cols] + DECAY * v[cols]
+            gw[cols] += dw ** 2
+            gv[cols] += dv ** 2
+            w[cols] -= STEP * dw / np.sqrt(gw[cols])
+            v[cols] -= STEP * dv / np.sqrt(gv[cols])
+        now, since = loss(np.concatenate([scores(b)[2] for b in apart]), known) if apart else math.inf, since + 1
+        if now < best:
+            best, found, since = now, (w.copy(), v.copy()), 0
+        elif since >= PATIENCE:
+            break
+    return found
+
+
 def fold(id_col: str) -> Column:
     """Remainder that decides the held-out part."""
     return F.crc32(F.col(id_col).cast("string")) % FOLDS
@@ -112,7 +179,7 @@ def sample(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> tup
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Machine:
+          max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, least: int = LEAST_ROWS) -> Machine:
     """Fit on the labelled rows outside the held-out part."""
     drawn_rows, drawn = sample(labels, id_col, label_col, max_rows)
     # at most about 2 * max_rows pairs of numbers
@@ -136,27 +203,43 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         share = 0.5 if pos == neg else float(pos > 0)
         odds = 0.0 if pos == neg else math.copysign(30.0, share - 0.5)
         return Machine(np.zeros(0, np.int64), odds, np.zeros(0), np.zeros((0, FACTORS)))
-    # terms by how clearly their shares differ between the labels
-    p, q = F.col("pos") / pos, F.col("neg") / neg
-    mean = (F.col("pos") + F.col("neg")) / (pos + neg)
-    z = F.abs(p - q) / F.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg) + 1e-12)
-    kept = (rows.select("label", F.explode("terms").alias("term")).groupBy("term")
-            .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-            .withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(max_terms).collect())
-    chosen = np.array(sorted(r["term"] for r in kept), np.int64)
-    place = np.full(TABLE, -1, np.int64)
+    counts = (rows.select("label", F.explode("terms").alias("term")).groupBy("term")
+              .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")))
+    # at most a row for each place of the table
+    each = counts.where(F.col("pos") + F.col("neg") >= least).toPandas().sort_values("term")
+    chosen = each["term"].to_numpy(np.int64)
+    place = np.full(TABLE, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
 
     def reduce(label: list[int], terms: list) -> dict:
         found = [place[np.array(t, np.int64)] for t in terms]
-        return {"label": label, "places": [f[f >= 0] for f in found]}
-
-    small = map_batches(rows, lambda: reduce, "label int, places array<int>").toPandas()
-    small["key"] = [bytes(np.array(x, np.int32)) for x in small["places"]]
-    small = small.sort_values(["label", "key"], kind="stable")  # the same order whatever the tasks' order
-    start = math.log(pos / neg)
-    b, w, v = fit([np.asarray(x, np.int64) for x in small["places"]], small["label"].to_numpy(np.float64), len(chosen), start)
-    return Machine(chosen, b + math.log(drawn[0] / drawn[1]), w, v)
+        return {"label": label, "places": [f[f >= 0].tobytes() for f in found]}
+
+    # as bytes: four for each term, not an object for each
+    small = map_batches(rows, lambda: reduce, "label int, places binary").toPandas()
+    small = small.sort_values(["label", "places"], kind="stable")  # the same order whatever the tasks' order
+    places = [np.frombuffer(x, np.int32) for x in small["places"]]
+    truth = small["label"].to_numpy(np.float64)
+    del small
+    # terms by how clearly their shares differ between the labels
+    p, q = each["pos"].to_numpy() / pos, each["neg"].to_numpy() / neg
+    mean = (each["pos"] + each["neg"]).to_numpy() / (pos + neg)
+    z = np.abs(p - q) / np.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg) + 1e-12)
+    clear = np.sort(np.lexsort((chosen, -z))[:max_terms])
+    clear = clear[z[clear] >= MIN_Z]
+    at = np.full(len(chosen), -1, np.int64)
+    at[clear] = np.arange(len(clear))
+    first = Machine(chosen[clear], *fit([(f := at[x])[f >= 0] for x in places], truth, len(clear), math.log(pos / neg)))
+    offset = np.array([first.logit((f := at[x])[f >= 0]) for x in places], np.float32)
+    first.intercept += math.log(drawn[0] / drawn[1])
+    if (more := refine(places, truth, offset, len(chosen))) is None:
+        return first
+    weights, factors = more
+    weights[clear] += first.weights
+    both = np.zeros((len(chosen), 2 * FACTORS), np.float32)
+    both[:, FACTORS:] = factors
+    both[clear, :FACTORS] = first.factors
+    return Machine(chosen, first.intercept, weights, both)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

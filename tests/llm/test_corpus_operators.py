@@ -323,6 +323,23 @@ def test_machine_learns_an_interaction(spark):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
+def test_machine_learns_words_without_an_effect_alone(spark):
+    """Each of two words is as frequent in toxic as in clean rows; both or neither is toxic."""
+    rng, texts, labels = random.Random(3), [], []
+    for i in range(1600):
+        insult, group = i // 2 % 2, i % 2
+        words = [rng.choice("wxy") + "".join(rng.choices("abcdefghij", k=3)) for _ in range(6)]
+        words += ["grumblefoot"] * insult + ["hillfolk"] * group
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append((i, int(insult == group)))
+    docs, known = make_docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = by_id(toxicity.score(docs, toxicity.train(docs, known)))
+    held = [(got[i]["predicted"], label) for i, label in labels if got[i]["held_out"]]
+    assert sum(p == label for p, label in held) >= 0.97 * len(held)
+    assert sum(p for p, label in held if label) >= 0.95 * sum(label for _, label in held)
+
+
 # ---- fingerprints -------------------------------------------------------
 
 def brute_paragraphs(text):
