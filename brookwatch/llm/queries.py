@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bottomk, bpe, iblt, lang_id, license_scan, rlz, secrets, tiling, toxicity, warc
+from . import (bottomk, bpe, hard_negatives, iblt, lang_id, license_scan, rlz, secrets, simhash, spelling, tiling, toxicity,
+               warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +129,59 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Sketches of every document and of its edit, and how alike they and the next document's are."""
     return iblt.document_fingerprints(table(spark, sf, "documents"))
+
+
+@query("op11_spelling", """
+    WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i)
+        UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY i) AS steps FROM bits WHERE k = 8),
+    r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+    l AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+                 translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+          FROM r WHERE length(run) >= 7 GROUP BY ALL),
+    h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+              regexp_extract_all(hex(encode(k || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+              lambda a, b: xor(a >> 8, steps[1 + (xor(a, b) & 255)]))) AS h FROM l, crc),
+    s AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+                      ELSE run END AS word, n FROM h),
+    w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+    d AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM p),
+    m AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS open FROM p),
+    pairs AS (SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM m x JOIN m y USING (open) WHERE x.word <> y.word
+              UNION ALL SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON d.cut = w.word
+              UNION ALL SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON d.cut = w.word),
+    b AS (SELECT word, count(*) AS n_near, max(near_n) AS top, arg_min(near, (-near_n, near)) AS near FROM pairs GROUP BY word),
+    f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN near END AS form,
+                 CASE WHEN top >= 10 * n THEN top END AS form_n FROM w LEFT JOIN b USING (word)),
+    t AS (SELECT word, word AS at, form AS to_ FROM f UNION ALL SELECT t.word, t.to_, f.form FROM t JOIN f ON f.word = t.to_)
+    SELECT f.word, f.form, t.at AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word AND t.to_ IS NULL""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Forms of the words of all documents, with one run in 31 misspelled."""
+    words = spelling.word_counts(table(spark, sf, "documents"), spoilt=spelling.SPOILT)
+    return spelling.group_spellings(words)
+
+
+@query("op12_hard_negatives", """
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                 CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+          FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+    n AS (SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+                 CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank
+          FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of other labels that come close to an anchor's nearest rows of its own."""
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf, "embeddings")))
+
+
+@query("op13_simhash_dedup")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents whose similarity hashes differ in two bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf, "documents"))
