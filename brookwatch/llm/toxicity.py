@@ -5,9 +5,10 @@ size.  A factorization machine adds to the linear weights an interaction of ever
 factors, so that an insult next to the mention of a group can weigh more than both weights say.
 
 Training.  Labels come from a sample of labelled rows of at most about ``max_rows`` for each label, drawn by a hash of
-the id; what was drawn less of one label is made good in the intercept.  Terms of fewer than ``least`` rows are left out;
-the sample, as lists of the others, is small enough for the driver, where the machine is fitted in a fixed order, in two
-parts that add up.  The first takes the ``max_terms`` terms whose shares differ most clearly between the labels.  The
+the id; what was drawn less of one label is made good in the intercept.  Terms of fewer than ``least`` rows are left out.
+The sample, as lists of terms in the shared folder, is bounded by ``max_rows`` and fitted by one task on an executor, in
+a fixed order, so that a lost executor only costs that task; the driver gets the fitted numbers.  There are two parts that
+add up.  The first takes the ``max_terms`` terms whose shares differ most clearly between the labels.  The
 second takes all terms, so that what is toxic only in combination, and rare words, have weights and factors too; it goes
 on from the scores of the first for as long as the loss on a fifth of the sample, kept from it, falls, and is dropped if
 it never does.  Scoring is one pass without a shuffle.
@@ -21,14 +22,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, map_batches, written
+from .common import arrow_schema, keyed_texts, map_batches, written
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -43,6 +46,8 @@ FOLDS = 5
 LEAST_ROWS = 5
 PATIENCE = 4  # rounds without a smaller loss on the rows kept apart
 MORE_ROUNDS = 60
+PART = 1 << 16  # terms of a row of the stored machine
+MODEL = "at long, intercept double, width int, terms binary, weights binary, factors binary"
 SLOW = 1e-3  # start of the squared gradients of the second part, so that terms of few rows move little
 
 
@@ -161,6 +166,47 @@ def refine(rows: list[np.ndarray], labels: np.ndarray, offset: np.ndarray, n: in
     return found
 
 
+def fit_sample(truth: np.ndarray, sizes: np.ndarray, held: np.ndarray, shift: float, max_terms: int, least: int) -> Machine:
+    """The machine of a sample: labels and numbers of terms of its rows, and the terms of all rows one after the other."""
+    pos, neg = int(truth.sum()), int(len(truth) - truth.sum())
+    if not pos or not neg:
+        share = 0.5 if pos == neg else float(pos > 0)
+        odds = 0.0 if pos == neg else math.copysign(30.0, share - 0.5)
+        return Machine(np.zeros(0, np.int64), odds, np.zeros(0), np.zeros((0, FACTORS)))
+    of_row = np.repeat(truth.astype(bool), sizes)
+    toxic, clean = np.bincount(held[of_row], minlength=TABLE), np.bincount(held[~of_row], minlength=TABLE)
+    chosen = np.flatnonzero(toxic + clean >= least)
+    toxic, clean = toxic[chosen], clean[chosen]
+    place = np.full(TABLE, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    places = place[held]
+    del of_row, held
+    ends = np.cumsum(sizes)
+    rows = [(p := places[end - n:end])[p >= 0] for n, end in zip(sizes, ends, strict=True)]
+    del places
+    # the same order whatever the order of the files
+    order = sorted(range(len(rows)), key=lambda i: (truth[i], xxhash.xxh3_128_digest(rows[i].tobytes())))
+    rows, truth = [rows[i] for i in order], truth[order].astype(np.float64)
+    # terms by how clearly their shares differ between the labels
+    p, q, mean = toxic / pos, clean / neg, (toxic + clean) / (pos + neg)
+    z = np.abs(p - q) / np.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg) + 1e-12)
+    clear = np.sort(np.lexsort((chosen, -z))[:max_terms])
+    clear = clear[z[clear] >= MIN_Z]
+    at = np.full(len(chosen), -1, np.int64)
+    at[clear] = np.arange(len(clear))
+    first = Machine(chosen[clear], *fit([(f := at[x])[f >= 0] for x in rows], truth, len(clear), math.log(pos / neg)))
+    offset = np.array([first.logit((f := at[x])[f >= 0]) for x in rows], np.float32)
+    first.intercept += shift
+    if (more := refine(rows, truth, offset, len(chosen))) is None:
+        return first
+    weights, factors = more
+    weights[clear] += first.weights
+    both = np.zeros((len(chosen), 2 * FACTORS), np.float32)
+    both[:, FACTORS:] = factors
+    both[clear, :FACTORS] = first.factors
+    return Machine(chosen, first.intercept, weights, both)
+
+
 def fold(id_col: str) -> Column:
     """Remainder that decides the held-out part."""
     return F.crc32(F.col(id_col).cast("string")) % FOLDS
@@ -197,49 +243,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {"label": label, "terms": out}
 
     rows = written(map_batches(texts, lambda: terms, "label int, terms array<int>"), "labelled-terms")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not pos or not neg:
-        share = 0.5 if pos == neg else float(pos > 0)
-        odds = 0.0 if pos == neg else math.copysign(30.0, share - 0.5)
-        return Machine(np.zeros(0, np.int64), odds, np.zeros(0), np.zeros((0, FACTORS)))
-    counts = (rows.select("label", F.explode("terms").alias("term")).groupBy("term")
-              .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")))
-    # at most a row for each place of the table
-    each = counts.where(F.col("pos") + F.col("neg") >= least).toPandas().sort_values("term")
-    chosen = each["term"].to_numpy(np.int64)
-    place = np.full(TABLE, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-
-    def reduce(label: list[int], terms: list) -> dict:
-        found = [place[np.array(t, np.int64)] for t in terms]
-        return {"label": label, "places": [f[f >= 0].tobytes() for f in found]}
-
-    # as bytes: four for each term, not an object for each
-    small = map_batches(rows, lambda: reduce, "label int, places binary").toPandas()
-    small = small.sort_values(["label", "places"], kind="stable")  # the same order whatever the tasks' order
-    places = [np.frombuffer(x, np.int32) for x in small["places"]]
-    truth = small["label"].to_numpy(np.float64)
-    del small
-    # terms by how clearly their shares differ between the labels
-    p, q = each["pos"].to_numpy() / pos, each["neg"].to_numpy() / neg
-    mean = (each["pos"] + each["neg"]).to_numpy() / (pos + neg)
-    z = np.abs(p - q) / np.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg) + 1e-12)
-    clear = np.sort(np.lexsort((chosen, -z))[:max_terms])
-    clear = clear[z[clear] >= MIN_Z]
-    at = np.full(len(chosen), -1, np.int64)
-    at[clear] = np.arange(len(clear))
-    first = Machine(chosen[clear], *fit([(f := at[x])[f >= 0] for x in places], truth, len(clear), math.log(pos / neg)))
-    offset = np.array([first.logit((f := at[x])[f >= 0]) for x in places], np.float32)
-    first.intercept += math.log(drawn[0] / drawn[1])
-    if (more := refine(places, truth, offset, len(chosen))) is None:
-        return first
-    weights, factors = more
-    weights[clear] += first.weights
-    both = np.zeros((len(chosen), 2 * FACTORS), np.float32)
-    both[:, FACTORS:] = factors
-    both[clear, :FACTORS] = first.factors
-    return Machine(chosen, first.intercept, weights, both)
+    shift, target = math.log(drawn[0] / drawn[1]) if len(drawn) == 2 else 0.0, arrow_schema(MODEL)
+
+    def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        truth, sizes, held = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for batch in batches:
+            lists = batch.column(1)
+            truth.append(batch.column(0).to_numpy().astype(np.int32))
+            sizes.append(np.diff(lists.offsets.to_numpy()).astype(np.int64))
+            held.append(lists.flatten().to_numpy().astype(np.int32))
+        machine = fit_sample(np.concatenate(truth), np.concatenate(sizes), np.concatenate(held), shift, max_terms, least)
+        for at in range(0, max(1, len(machine.terms)), PART):
+            parts = (x[at:at + PART].astype(kind).tobytes() for x, kind in (
+                (machine.terms, np.int64), (machine.weights, np.float32), (machine.factors, np.float32)))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (at, machine.intercept, machine.factors.shape[1], *parts)],
+                                             schema=target)
+
+    # the bounded sample is read by one task; at most a row for each place of the table comes back
+    parts = sorted(written(rows.coalesce(1).mapInArrow(fitted, MODEL), "machine").collect(), key=lambda r: r["at"])
+    if not parts:
+        return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
+    columns = [np.concatenate([np.frombuffer(r[c], kind) for r in parts]) for c, kind in (
+        ("terms", np.int64), ("weights", np.float32), ("factors", np.float32))]
+    return Machine(columns[0], parts[0]["intercept"], columns[1], columns[2].reshape(len(columns[0]), parts[0]["width"]))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
