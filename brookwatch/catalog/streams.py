@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..detectors import detect_port_scan
+from ..detectors.scans import port_scans_of_closed_slots
 from ..rules import Rule
 from ..streaming import flowstreams as st
 from .detections import _SLOT_SCANS, PROTO, SIP
 from .predicates import THREAT_EVENTS, threat_events
-from .registry import COUNTERS, DAY_SLOTS, REQ, event_sql, on_flows, register, with_flows
+from .registry import COUNTERS, DAY_SLOTS, END, ORACLES, REQ, START, event_sql, on_flows, register, with_flows
 from .sources import folder
 
 
@@ -34,21 +34,61 @@ on_stream("r2_slot_counters",
           f"SELECT first - first % 300 AS time, srcaddr, prot, {COUNTERS} FROM flows GROUP BY first - first % 300, srcaddr, prot")
 
 
-def _slot_detector(stream: DataFrame) -> DataFrame:
-    """Port scans of every slot, found batch by batch."""
-    spark, path = stream.sparkSession, folder(stream)
+# ---- deliveries: the table arrives as several files, cut within slots ----
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        events = detect_port_scan(batch, [Rule(6, 2, min=2)], [], DAY_SLOTS).events
-        events.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+CUTS = (START + 28_950, START + 57_750)  # both in the middle of a slot
+CLOSING = 5 * 86_400
+JITTER = "CASE WHEN bytes % 50 = 0 THEN 400 ELSE 0 END"
+# beyond that, some flows come in hours later
+DELAY = "CASE WHEN bytes % 53 = 0 THEN 9000 WHEN bytes % 50 = 0 THEN 400 ELSE 0 END"
 
-    st.run_batches(stream, handle)
-    return spark.read.parquet(path).drop("batch")
 
-
-on_stream("r2_slot_detector", _slot_detector,
-          f"SELECT {event_sql(f'''concat({SIP}, ':>:', dstport, ' ', {PROTO}, ' ')''', '2', 'peers', chr(39) + 'peerips' + chr(39), '0', '2', '6', 'slot')} "
-          "FROM scans WHERE peers >= 2", _SLOT_SCANS)
+def deliveries(spark: SparkSession, sf: str, delay: str) -> tuple[DataFrame, list]:
+    """The flows as a stream, and the steps that deliver its files: three parts by time of arrival, then a flow of a later
+    day, which closes what is open."""
+    path = folder(spark)
+    flows = fixtures.flows(spark, sf)
+    flows.limit(0).write.parquet(path)  # a stream's folder must be there
+    arrived = F.col("first") + F.expr(delay)
+    bounds = [None, *CUTS, None]
+
+    def part(i: int) -> None:
+        lo, hi = bounds[i], bounds[i + 1]
+        late = arrived >= lo if lo else F.lit(True)
+        flows.where(late if hi is None else late & (arrived < hi)).write.mode("append").parquet(path)
+
+    def close() -> None:
+        top = flows.agg(F.max("first").alias("top"))
+        last = flows.join(top, flows["first"] == F.col("top")).drop("top").withColumns(
+            {"first": F.col("first") + CLOSING, "last": F.col("last") + CLOSING, "prot": F.lit(6), "srcport": F.lit(1), "dstport": F.lit(1)})
+        both = last.withColumn("tos", F.lit(1)).unionByName(last.withColumn("tos", F.lit(0)))
+        both.write.mode("append").parquet(path)
+
+    steps = [lambda i=i: part(i) for i in range(3)] + [close]
+    return st.read_flow_stream(spark, path, flows.schema), steps
+
+
+def kept_sql(due: str, where: str = "TRUE") -> str:
+    """The rows that come before the watermark of their delivery, as table ``kept``, the others as ``tardy``."""
+    part = f"CASE WHEN first + {DELAY} < {CUTS[0]} THEN 0 WHEN first + {DELAY} < {CUTS[1]} THEN 1 ELSE 2 END"
+    return f"""arriving AS (SELECT *, {part} AS part FROM flows WHERE {where}),
+      reached AS (SELECT p, (SELECT max(first) FROM arriving WHERE part < p) - 600 AS mark FROM (VALUES (0), (1), (2)) t(p)),
+      judged AS (SELECT a.*, coalesce({due} <= mark, FALSE) AS late FROM arriving a JOIN reached ON part = p),
+      kept AS (SELECT * EXCLUDE (part, late) FROM judged WHERE NOT late), tardy AS (SELECT * FROM judged WHERE late)"""
+
+
+def _slot_detector(spark: SparkSession, sf: str) -> DataFrame:
+    """Port scans of every slot, judged when the slot has closed, of flows that arrive in several runs, some too late."""
+    stream, steps = deliveries(spark, sf, DELAY)
+    events = port_scans_of_closed_slots(st.event_time(stream), [Rule(6, 2, min=2)], DAY_SLOTS)
+    return st.run_deliveries(events, steps)[0].where(F.col("time") < END)
+
+
+_PROBES = f"srcport <> 0 AND dstport <> 0 AND (prot <> 6 OR {REQ})"
+register("r2_slot_detector", _slot_detector, with_flows(
+    f"SELECT {event_sql(f'''concat({SIP}, ':>:', dstport, ' ', {PROTO}, ' ')''', '2', 'peers', chr(39) + 'peerips' + chr(39), '0', '2', '6', 'slot')} "
+    "FROM scans WHERE peers >= 2",
+    f"{kept_sql('first - first % 300 + 300', _PROBES)}, {_SLOT_SCANS.replace('FROM flows', 'FROM kept')}"))
 on_stream("r3_hourly_features",
           lambda s: st.run_available(st.hourly_features(st.event_time(s), ["srcaddr", "dstaddr", "prot"]),
                                      ["hour", "srcaddr", "dstaddr", "prot"]),
@@ -60,6 +100,17 @@ on_stream("r4_sessions",
               ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN max(last) OVER
               (PARTITION BY srcaddr, dstaddr, prot ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3600
               >= first THEN 0 ELSE 1 END AS fresh FROM flows) a) b GROUP BY srcaddr, dstaddr, prot, island""")
+
+
+def _closed_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions that come out when the watermark has passed them, over several runs; their state goes with them."""
+    stream, steps = deliveries(spark, sf, JITTER)
+    return st.run_deliveries(st.sessions(st.event_time(stream), ["srcaddr", "dstaddr", "prot"]), steps)[0].where(F.col("first") < END)
+
+
+register("r4_sessions_closed", _closed_sessions, ORACLES["r4_sessions"])
+
+
 on_stream("r5_sliding_ports",
           lambda s: st.run_available(st.sliding_ports(st.event_time(s), "2 hours"), mode="append"),
           """SELECT CAST(e AS BIGINT) AS slot, prot, dstport, count(*) AS flows, CAST(sum(pkts) AS BIGINT) AS pkts,
@@ -81,14 +132,20 @@ def _repeated_events(spark: SparkSession, sf: str) -> DataFrame:
 register("r6_event_dedup", _repeated_events, with_flows("SELECT DISTINCT * FROM threat_events", THREAT_EVENTS))
 
 
+def _turned(f: DataFrame) -> DataFrame:
+    """The flows answered: their ends turned round, a slot later for some."""
+    return f.withColumns({"first": F.col("first") + 300 * (F.col("bytes") % 3),
+                          "srcaddr": F.col("dstaddr"), "dstaddr": F.col("srcaddr"),
+                          "srcport": F.col("dstport"), "dstport": F.col("srcport"), "tos": 1 - F.col("tos")})
+
+
+def _slot_seconds(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({c: F.unix_seconds(c) for c in ("req_slot", "res_slot")})
+
+
 def _crossing(f: DataFrame) -> DataFrame:
     """Requests paired with the flows of the same endpoints turned round, a slot later for some."""
-    moved = f.withColumns({"first": F.col("first") + 300 * (F.col("bytes") % 3),
-                           "srcaddr": F.col("dstaddr"), "dstaddr": F.col("srcaddr"),
-                           "srcport": F.col("dstport"), "dstport": F.col("srcport"),
-                           "tos": 1 - F.col("tos")})
-    out = st.pair_slots(f, moved)
-    return out.withColumns({"req_slot": F.unix_seconds("req_slot"), "res_slot": F.unix_seconds("res_slot")})
+    return _slot_seconds(st.pair_slots(f, _turned(f)))
 
 
 on_flows("r7_request_pairs", _crossing,
@@ -100,6 +157,15 @@ on_flows("r7_request_pairs", _crossing,
              AND p >= req_slot AND p <= req_slot + 300""")
 
 
+def _crossing_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pairs from a stream joined with a stream; unanswered requests come out once their time is over."""
+    stream, steps = deliveries(spark, sf, JITTER)
+    return _slot_seconds(st.run_deliveries(st.pair_slots(stream, _turned(stream)), steps)[0]).where(F.col("req_slot") < END)
+
+
+register("r7_stream_pairs", _crossing_stream, ORACLES["r7_request_pairs"])
+
+
 def _late(f: DataFrame) -> DataFrame:
     """Counts of flows that arrive on time and late, per slot."""
     arrived = F.col("last") + F.col("bytes") % 2000
@@ -111,3 +177,22 @@ def _late(f: DataFrame) -> DataFrame:
 on_flows("r8_late_flows", _late,
          "SELECT first - first % 300 AS slot, last + bytes % 2000 > first - first % 300 + 900 AS late, count(*) AS flows "
          "FROM flows GROUP BY ALL")
+
+
+def _late_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows per slot, those on time as a stream without repeated deliveries keeps them and the late ones as set aside;
+    ``dropped`` is the number of rows that the stream itself reports to have dropped."""
+    stream, steps = deliveries(spark, sf, DELAY)
+    flows = st.event_time(stream)
+    fresh, dropped = st.run_deliveries(flows.dropDuplicates(flows.columns), steps[:3])
+    stream, steps = deliveries(spark, sf, DELAY)
+    aside = st.split_arrivals(stream, steps[:3], F.col("first")).where("late")
+    both = fresh.select("first", F.lit(False).alias("late")).unionByName(aside.select("first", "late"))
+    return (both.groupBy((F.col("first") - F.col("first") % 300).alias("slot"), "late").agg(F.count(F.lit(1)).alias("flows"))
+            .withColumn("dropped", F.lit(dropped).cast("bigint")))
+
+
+register("r8_stream_late_flows", _late_stream, with_flows(
+    """SELECT slot, late, count(*) AS flows, (SELECT count(*) FROM tardy) AS dropped FROM
+         (SELECT first - first % 300 AS slot, FALSE AS late FROM (SELECT DISTINCT * FROM kept) k
+          UNION ALL SELECT first - first % 300, TRUE FROM tardy) t GROUP BY slot, late""", kept_sql("first")))

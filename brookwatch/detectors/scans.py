@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import addr_text, in_network
 from ..functions.names import proto_is, proto_name
 from ..operators.rulematch import best_rule, on_schedule, passes, pattern_rules
 from ..rules import Pattern, Rule, Window
+from ..streaming.flowstreams import slot_peers
 from .base import (RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, rule_values,
                    with_hour)
 
@@ -25,10 +26,15 @@ def _scan(flows: DataFrame, key, peer: str) -> DataFrame:
     return flows.groupBy(*key).agg(*counters(), F.count_distinct(F.col(peer)).alias("peers"))
 
 
-def _detect(flows, scans, key, rules, patterns, kind, matchers, obj, value_type, window) -> Detection:
+def _judge(scans, key, rules, matchers, obj, value_type, window) -> DataFrame:
+    """Events of the scans whose rule is passed, with their key."""
     hits = best_rule(scans, rules, matchers).where(
         F.col("rule").isNotNull() & passes("peers") & on_schedule(rules, window))
-    tagged = events_of(rule_values(hits, "peers", value_type), obj, 0, keep=key)
+    return events_of(rule_values(hits, "peers", value_type), obj, 0, keep=key)
+
+
+def _detect(flows, scans, key, rules, patterns, kind, matchers, obj, value_type, window) -> Detection:
+    tagged = _judge(scans, key, rules, matchers, obj, value_type, window)
 
     def features() -> DataFrame:
         best = best_rule(scans, pattern_rules(patterns, kind, "peers"), matchers)
@@ -38,18 +44,33 @@ def _detect(flows, scans, key, rules, patterns, kind, matchers, obj, value_type,
     return Detection(lambda: only_events(tagged), features, lambda: details_of(flows, tagged, key))
 
 
-def detect_port_scan(flows: DataFrame, rules: Sequence[Rule], patterns: Sequence[Pattern],
-                     window: Window) -> Detection:
-    f = window.clip(flows).where((F.col("srcport") != 0) & (F.col("dstport") != 0)
-                                 & ((F.col("prot") != 6) | is_request()))
-    key = [*RUN, "srcaddr", "prot", "dstport"]
-    scans = _scan(f, key, "dstaddr")
-    rules = [replace(r, sip=r.sip or r.ip) for r in rules]
+def _probes() -> Column:
+    return (F.col("srcport") != 0) & (F.col("dstport") != 0) & ((F.col("prot") != 6) | is_request())
+
+
+def _port_scan_rules(f: DataFrame, rules: Sequence[Rule]) -> tuple:
+    """Rules, their tests and the printed object of port scans."""
     matchers = {"sip": lambda r: in_network(f, "srcaddr", r.sip),
                 "port": lambda r: F.col("dstport") == int(r.port),
                 "protocol": lambda r: proto_is(r.protocol)}
     obj = joined(addr_text(f, "srcaddr"), ":>:", F.col("dstport"), " ", proto_name(), " ")
-    return _detect(f, scans, key, rules, patterns, "PORT_SCAN", matchers, obj, "peerips", window)
+    return [replace(r, sip=r.sip or r.ip) for r in rules], matchers, obj
+
+
+def detect_port_scan(flows: DataFrame, rules: Sequence[Rule], patterns: Sequence[Pattern],
+                     window: Window) -> Detection:
+    f = window.clip(flows).where(_probes())
+    key = [*RUN, "srcaddr", "prot", "dstport"]
+    rules, matchers, obj = _port_scan_rules(f, rules)
+    return _detect(f, _scan(f, key, "dstaddr"), key, rules, patterns, "PORT_SCAN", matchers, obj, "peerips", window)
+
+
+def port_scans_of_closed_slots(flows: DataFrame, rules: Sequence[Rule], window: Window) -> DataFrame:
+    """Port-scan events of a stream of flows with event time, each slot judged once, when it has closed."""
+    key = ["devid", "srcaddr", "prot", "dstport"]
+    f = flows.where(_probes())
+    rules, matchers, obj = _port_scan_rules(f, rules)
+    return only_events(_judge(slot_peers(f, key, "dstaddr"), [], rules, matchers, obj, "peerips", window))
 
 
 def detect_ip_scan(flows: DataFrame, rules: Sequence[Rule], patterns: Sequence[Pattern],

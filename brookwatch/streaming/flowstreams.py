@@ -8,7 +8,7 @@ and leaves its updates in a table in the shared folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +51,21 @@ def slot_counters(flows: DataFrame, key: Sequence[str], width: str = "5 minutes"
     return agg.withColumn("time", window_start()).drop("window")
 
 
+def slot_peers(flows: DataFrame, key: Sequence[str], peer: str, width: str = "5 minutes") -> DataFrame:
+    """Counters and exact distinct peers per slot and key, given out when the slot has closed (append mode).
+
+    The state is a row per slot, key and peer, kept until the watermark has passed the slot, so it does not matter over
+    how many batches, or restarts, the flows of a slot arrive.  A second aggregation counts the peers of closed slots; both
+    are spread over (key, peer) and key.  ``time`` is the slot's start.
+    """
+    pairs = flows.groupBy(F.window("ts", width), *key, peer).agg(*_counters())
+    closed = pairs.withColumn("slot_ts", F.window_time("window")).drop("window")
+    agg = closed.groupBy(F.window("slot_ts", width), *key).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("flows").alias("flows"), F.sum("pkts").alias("pkts"),
+        F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("peers"))
+    return agg.withColumn("time", window_start()).drop("window")
+
+
 def hourly_features(flows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Counters per hour and key, the streaming form of the hourly merge."""
     return slot_counters(flows, key, "1 hour").withColumnRenamed("time", "hour")
@@ -128,6 +143,59 @@ def split_late(flows: DataFrame, arrived: Column, lateness_seconds: int = 600) -
     return flows.where(~late), flows.where(late)
 
 
+def split_arrivals(stream: DataFrame, deliveries: Iterable[Callable[[], None]], due: Column | None = None,
+                   lateness_seconds: int = 600) -> DataFrame:
+    """Every flow of a stream with ``late``: whether its slot (or ``due``) was over when it arrived.
+
+    A batch holds late what is due no later than the largest start of all batches before, less the lateness: the rule by
+    which the watermark drops rows.  Each batch writes its rows, split by ``late``, and the largest start so far under its
+    own id, so a batch that is repeated after a failure decides and overwrites the same.  ``deliveries`` are called in
+    turn, and the stream is run to its end after each.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    due = F.col("first") - F.col("first") % 300 + 300 if due is None else due
+
+    def mark(batch_id: int) -> int | None:
+        return spark.read.parquet(f"{base}/marks/batch={batch_id}").first().reached if batch_id >= 0 else None
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        before = mark(batch_id - 1)
+        late = F.lit(False) if before is None else due <= before - lateness_seconds
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(f"{base}/rows/batch={batch_id}")
+        reached = F.greatest(F.max("first"), F.lit(before).cast("bigint")).alias("reached")
+        batch.agg(reached).write.mode("overwrite").parquet(f"{base}/marks/batch={batch_id}")
+
+    for deliver in deliveries:
+        deliver()
+        (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint")
+         .foreachBatch(save).start().awaitTermination())
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType()), T.StructField("late", T.BooleanType())])
+    return spark.read.schema(schema).parquet(f"{base}/rows").drop("batch")
+
+
+def run_deliveries(stream: DataFrame, deliveries: Iterable[Callable[[], None]]) -> tuple[DataFrame, int]:
+    """The rows an append-mode stream gives out over a number of runs, and how many rows its watermark dropped.
+
+    Before each run one delivery of files is made; every run goes on from the checkpoint of the one before.  The dropped
+    rows are those that the state operators report in the progress of the runs.
+    """
+    spark = stream.sparkSession
+    base, dropped = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", 0
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
+
+    for deliver in deliveries:
+        deliver()
+        query = (stream.writeStream.outputMode("append").trigger(availableNow=True)
+                 .option("checkpointLocation", f"{base}/checkpoint").foreachBatch(save).start())
+        query.awaitTermination()
+        dropped += sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{base}/rows").drop("batch"), dropped
+
+
 def run_available(stream: DataFrame, key: Sequence[str] = (), mode: str = "update") -> DataFrame:
     """Process everything available and return the result rows: the latest per
     key in update mode, all in append mode, the last batch in complete mode.

@@ -36,7 +36,8 @@ def duck():
 
 SAMPLE = ["p15_format_extended", "w28_mpls", "w38_schedule", "a5_bidirectional", "a8_ip", "t7_port_dst", "t8_daily_average", "v5_sliding_restart",
           "j7_cidr_join", "j8_objects_by_address", "j12_best_rule", "d1_port_scan", "d5_dns_tunnel", "d7_icmp_tunnel", "d13_asset_features",
-          "d17_object_thresholds", "e6_topn_cache", "e9_retention_by_size", "s7_write_pipe", "s11_event_table", "r2_slot_detector", "r4_sessions"]
+          "d17_object_thresholds", "e6_topn_cache", "e9_retention_by_size", "s7_write_pipe", "s11_event_table", "r2_slot_detector", "r4_sessions",
+          "r4_sessions_closed", "r7_stream_pairs", "r8_stream_late_flows"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)

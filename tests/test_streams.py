@@ -8,6 +8,8 @@ from brookwatch.catalog.sources import folder
 from brookwatch.operators import merges
 from brookwatch.operators.aggregate import port_table
 from brookwatch.detectors.base import counters
+from brookwatch.detectors.scans import port_scans_of_closed_slots
+from brookwatch.rules import Rule, Window
 from brookwatch.session import shared_dir
 from brookwatch.streaming import flowstreams as st
 
@@ -110,6 +112,36 @@ def test_late_slot_is_dropped_and_counted(spark, slots):
     assert on_time.count() + late.count() == f.count()
 
 
+def _scan_files(spark, make_flows, parts):
+    """A stream folder and the steps that write one file each."""
+    path = folder(spark)
+    frames = [make_flows(*part) for part in parts]
+    frames[0].limit(0).write.parquet(path)
+    steps = [lambda f=f: f.coalesce(1).write.mode("append").parquet(path) for f in frames]
+    return st.read_flow_stream(spark, path, frames[0].schema), steps
+
+
+def test_a_scan_spread_over_batches_is_found_once(spark, make_flows):
+    """Two peers in each of two batches of one slot; one comes too late, a later flow closes the slot."""
+    def probe(peer, first):
+        return dict(srcaddr=7, dstaddr=peer, dstport=22, first=first, last=first)
+    stream, steps = _scan_files(spark, make_flows, [
+        [probe(1, T0 + 10), probe(2, T0 + 20)], [probe(2, T0 + 250), probe(3, T0 + 260)], [probe(4, T0 + 3000)],
+        [probe(5, T0 + 30)], [probe(6, T0 + 9000)]])
+    rules = [Rule(1, 2, min=3)]
+    events = port_scans_of_closed_slots(st.event_time(stream), rules, Window(T0, T0 + 86400, step=300))
+    got, dropped = st.run_deliveries(events, steps)
+    assert [(r.time, r.alarm_value) for r in got.collect()] == [(T0, 3)]
+    assert dropped == 1
+
+
+def test_late_flows_are_set_aside_by_delivery(spark, make_flows):
+    stream, steps = _scan_files(spark, make_flows, [
+        [dict(first=T0 + 3000)], [dict(first=T0 + 10), dict(first=T0 + 2399), dict(first=T0 + 2101)], [dict(first=T0 + 2400)]])
+    got = {(r["first"] - T0, r.late) for r in st.split_arrivals(stream, steps).collect()}
+    assert got == {(3000, False), (10, True), (2399, True), (2101, True), (2400, False)}
+
+
 def test_shared_folder(spark):
     assert shared_dir(spark) == shared_dir(spark)
 
