@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixtures
 from ..detectors.base import counters, is_request
+from ..detectors.scans import detect_ip_scan
 from ..detectors.services import paired_services, service_flows
+from ..functions.names import proto_name
 from ..functions.text import top_label
 from ..operators import joins, merges, ranges
 from ..operators.aggregate import bidir_flows
-from ..operators.rulematch import best_rule
+from ..operators.rulematch import best_rule, network, words
 from ..plans.requests import TopnRequest, answer
-from ..rules import MonitoredObject, Rule
+from ..rules import MonitoredObject, Rule, read_objects, read_rules
 from .aggregates import _BIDIR
 from .predicates import THREAT_EVENTS, threat_events
-from .registry import COUNTERS, DAY, REQ, START, ip_sql, on_flows
+from .registry import COUNTERS, DAY, PROTO, REQ, START, event_sql, ip_sql, on_flows, register, with_flows
 
 IP_LIST = ("(3232235521, 'botnet'), (3232235525, 'c2'), (3232235530, ''), (167772167, 'scanner'), "
            "(167772180, 'spam')")
@@ -274,12 +277,14 @@ def _pair_keys(f: DataFrame) -> DataFrame:
 
 
 def _best(f: DataFrame) -> DataFrame:
-    from ..functions.address import in_network
-    from ..functions.names import proto_is
-    keys = _pair_keys(f)
-    matchers = {"sip": lambda r: in_network(keys, "srcaddr", r.sip), "dip": lambda r: in_network(keys, "dstaddr", r.dip),
-                "protocol": lambda r: proto_is(r.protocol)}
-    hit = best_rule(keys, CLASS_RULES, matchers)
+    return _judged(best_rule(_pair_keys(f), CLASS_RULES, _pair_selectors()))
+
+
+def _pair_selectors() -> dict:
+    return {"sip": network("srcaddr"), "dip": network("dstaddr"), "protocol": words(proto_name())}
+
+
+def _judged(hit: DataFrame) -> DataFrame:
     met = (F.col("peers") >= F.col("rule.min")) & ((F.col("rule.max") == 0) | (F.col("peers") < F.col("rule.max")))
     return hit.select("srcaddr", "dstaddr", "prot", "peers", F.col("rule.config_id").alias("config_id"), met.alias("met"))
 
@@ -297,6 +302,61 @@ on_flows("v1_rule_precedence",
          "GROUP BY ALL", CLASS_CTE)
 
 
+# Rules and objects as many as orders and customers; half of the networks do not begin at a multiple of their size.
+ORDER_RULES = """SELECT CAST(o_orderkey AS INT) AS config_id, CAST(8 AS INT) AS type_id, CAST(1 + o_custkey % 5 AS BIGINT) AS min,
+  CASE WHEN o_orderkey % 2 = 0 THEN concat('10.0.0.', CAST(o_custkey % 56 AS STRING), CASE WHEN o_custkey % 3 = 0 THEN '/29' ELSE '' END)
+    ELSE '' END AS sip,
+  CASE WHEN o_orderkey % 3 > 0 THEN concat('192.168.0.', CAST(o_custkey * 7 % 40 AS STRING), CASE WHEN o_custkey % 4 = 0 THEN '/30' ELSE '' END)
+    ELSE '' END AS dip,
+  CASE o_orderkey % 5 WHEN 0 THEN 'TCP' WHEN 1 THEN 'ICMP' ELSE '' END AS protocol
+FROM {orders} o"""
+ORDER_RULES_CTE = """rules AS (SELECT *, CASE concat(CAST(s AS VARCHAR), CAST(d AS VARCHAR), CASE WHEN proto <> '' THEN '1' ELSE '0' END)
+      WHEN '111' THEN 0 WHEN '110' THEN 1 WHEN '101' THEN 2 WHEN '011' THEN 3 WHEN '100' THEN 4 WHEN '010' THEN 5 WHEN '001' THEN 6 ELSE 7
+      END AS class, CASE WHEN s = 1 THEN 167772160 + o_custkey % 56 ELSE 0 END AS slo,
+      CASE WHEN s = 1 THEN 167772160 + o_custkey % 56 + CASE WHEN o_custkey % 3 = 0 THEN 7 ELSE 0 END ELSE 4294967295 END AS shi,
+      CASE WHEN d = 1 THEN 3232235520 + o_custkey * 7 % 40 ELSE 0 END AS dlo,
+      CASE WHEN d = 1 THEN 3232235520 + o_custkey * 7 % 40 + CASE WHEN o_custkey % 4 = 0 THEN 3 ELSE 0 END ELSE 4294967295 END AS dhi
+    FROM (SELECT CAST(o_orderkey AS INTEGER) AS config_id, 1 + o_custkey % 5 AS rmin, 0 AS rmax, o_custkey,
+        CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS s, CASE WHEN o_orderkey % 3 > 0 THEN 1 ELSE 0 END AS d,
+        CASE o_orderkey % 5 WHEN 0 THEN 'TCP' WHEN 1 THEN 'ICMP' ELSE '' END AS proto FROM orders) o)"""
+
+
+def _best_of_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The deciding rule out of as many rules as there are orders."""
+    rules = read_rules(spark.sql(ORDER_RULES, orders=fixtures.table(spark, sf, "orders")))
+    return _judged(best_rule(_pair_keys(fixtures.flows(spark, sf)), rules, _pair_selectors()))
+
+
+register("j12_best_rule_table", _best_of_table, with_flows(BEST_SQL, ORDER_RULES_CTE))
+register("d2_ip_scan_table",
+         lambda spark, sf: detect_ip_scan(fixtures.flows(spark, sf), read_rules(spark.sql(
+             ORDER_RULES, orders=fixtures.table(spark, sf, "orders"))), [], DAY).events,
+         with_flows(f"""SELECT {event_sql(f"concat({ip_sql('srcaddr')}, ':>', {ip_sql('dstaddr')}, ': ', {PROTO}, ' ')", 'rmin', 'peers',
+           "'peerports'", '0', '8')} FROM (SELECT *, row_number() OVER (PARTITION BY devid, srcaddr, dstaddr, prot ORDER BY class, config_id) AS rn
+             FROM (SELECT devid, srcaddr, dstaddr, prot, count(DISTINCT dstport) AS peers FROM flows WHERE srcport <> 0 AND dstport <> 0
+               AND prot <> 17 AND (prot <> 6 OR {REQ}) GROUP BY ALL) k
+             JOIN rules ON srcaddr BETWEEN slo AND shi AND dstaddr BETWEEN dlo AND dhi AND (proto = '' OR proto = {PROTO})) t
+           WHERE rn = 1 AND peers >= rmin""", ORDER_RULES_CTE))
+
+
+def _customer_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows of as many monitored objects as there are customers."""
+    objects = read_objects(spark.sql("""SELECT CAST(c_custkey AS INT) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'IN' ELSE 'OUT' END AS direction,
+        concat(CASE WHEN c_custkey % 97 = 0 THEN '!' ELSE '' END, '192.168.0.', CAST(c_custkey % 60 AS STRING),
+          CASE WHEN c_custkey % 3 = 0 THEN '/30' ELSE '' END) AS moip, CASE WHEN c_custkey % 5 < 4 THEN '443' ELSE '' END AS moport
+        FROM {customer} c""", customer=fixtures.table(spark, sf, "customer")))
+    return joins.match_mo(fixtures.flows(spark, sf), objects).groupBy("moid", "direction").agg(*counters())
+
+
+register("j8_objects_table", _customer_objects, with_flows(
+    f"""SELECT moid, direction, {COUNTERS} FROM flows JOIN objects ON (c_not <> (CASE WHEN way = 0 THEN dstaddr ELSE srcaddr END BETWEEN lo AND hi))
+          AND (any_port OR (CASE WHEN way = 0 THEN dstport ELSE srcport END) = 443) GROUP BY moid, direction""",
+    """objects AS (SELECT CAST(c_custkey AS INTEGER) AS moid, CASE WHEN c_custkey % 2 = 0 THEN 'IN' ELSE 'OUT' END AS direction,
+          c_custkey % 2 AS way, c_custkey % 97 = 0 AS c_not, c_custkey % 5 >= 4 AS any_port,
+          3232235520 + CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 60 - c_custkey % 60 % 4 ELSE c_custkey % 60 END AS lo,
+          3232235520 + CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 60 - c_custkey % 60 % 4 + 3 ELSE c_custkey % 60 END AS hi FROM customer)"""))
+
+
 def _locations(f: DataFrame) -> DataFrame:
     table = f.sparkSession.sql("""SELECT CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, location FROM VALUES
       (167772160, 167772174, 'lab'), (167772175, 167772190, 'office'), (3232235520, 3232235551, 'hall'),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..detectors.scans import port_scans_of_closed_slots
+from ..detectors.scans import closing_port_scans, port_scan_events
 from ..rules import Rule
 from ..streaming import flowstreams as st
 from .detections import _SLOT_SCANS, PROTO, SIP
@@ -80,8 +80,9 @@ def kept_sql(due: str, where: str = "TRUE") -> str:
 def _slot_detector(spark: SparkSession, sf: str) -> DataFrame:
     """Port scans of every slot, judged when the slot has closed, of flows that arrive in several runs, some too late."""
     stream, steps = deliveries(spark, sf, DELAY)
-    events = port_scans_of_closed_slots(st.event_time(stream), [Rule(6, 2, min=2)], DAY_SLOTS)
-    return st.run_deliveries(events, steps)[0].where(F.col("time") < END)
+    closed = closing_port_scans(st.event_time(stream))
+    return st.run_deliveries(closed, steps, lambda scans: port_scan_events(scans, [Rule(6, 2, min=2)], DAY_SLOTS))[0].where(
+        F.col("time") < END)
 
 
 _PROBES = f"srcport <> 0 AND dstport <> 0 AND (prot <> 6 OR {REQ})"

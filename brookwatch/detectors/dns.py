@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.address import addr_text, in_networks
+from ..functions.address import addr_text
 from ..functions.text import base_domain, char_entropy, is_domain, sub_label, top_label
-from ..functions.timefn import schedule_ok
 from ..operators.joins import drop_whitelisted, match_domain_intel
 from ..operators.merges import first_seen
-from ..operators.rulematch import each_rule
-from ..rules import Rule, Window, split_list
+from ..operators.rulematch import Rules, each_rule, first_rule, network, on_schedule, with_values, words
+from ..rules import Window, rule_table
 from .base import RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, recount, with_hour
 from .scoring import Scorer, default_name_scorer
 
@@ -24,12 +21,7 @@ TUNNEL_MIN_LENGTH = 20
 TOOL_LABEL = "dnscat"
 
 
-def _ip_ok(df: DataFrame, column: str, text: str):
-    nets = split_list(text)
-    return in_networks(df, column, nets) if nets else F.lit(True)
-
-
-def detect_dns_intel(flows: DataFrame, rules: Sequence[Rule], intel: DataFrame, window: Window) -> Detection:
+def detect_dns_intel(flows: DataFrame, rules: Rules, intel: DataFrame, window: Window) -> Detection:
     """Requested names per (source, server, name, type), classed by intel.
 
     ``intel`` has columns md5 and class.
@@ -41,74 +33,58 @@ def detect_dns_intel(flows: DataFrame, rules: Sequence[Rule], intel: DataFrame,
     agg = agg.withColumn("known", F.col("_class").isNotNull()).withColumn(
         "class", F.coalesce("_class", F.lit(""))).drop("_class")
 
-    def cond(r: Rule):
-        names = split_list(r.qname)
-        named = F.col("qname").isin(*names) if names else F.col("known")
-        return (F.col("flows") > r.qcount) & named & _ip_ok(f, "srcaddr", r.ip)
-
-    hits = each_rule(agg, rules, cond, lambda r: r.qcount, lambda r: F.col("flows"), lambda r: r.data_type, window)
+    # a rule names domains, or takes the known ones
+    named = F.col("known") | (F.trim("rule.qname") != "")
+    hits = each_rule(agg, rules, (F.col("flows") > F.col("rule.qcount")) & named, F.col("rule.qcount"), F.col("flows"),
+                     F.col("rule.data_type"), window,
+                     {"ip": network("srcaddr", listed=True), "qname": words(F.col("qname"), listed=True)})
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ": ", F.col("class"), " ", F.col("qname"))
     tagged = events_of(hits, obj, 2, keep=key)
     return Detection(lambda: only_events(tagged), lambda: with_hour(agg.drop("known", "time")),
                      lambda: details_of(f, tagged, key, extra=["qname", "qtype"]))
 
 
-def _scored(f, rules, white, scorer, window, floor_count, thres) -> Detection:
+def _scored(f, rules: Rules, white, scorer, window, floor_count: Column, thres: Column) -> Detection:
     """Per-name scores; the first rule (in id order) a name satisfies takes it."""
     key = [*RUN, "srcaddr", "dstaddr", "qname"]
     names = f.groupBy(*key).agg(*counters())
     if white is not None:
         names = drop_whitelisted(names, white, F.col("qname"), top_label())
     scored = scorer(names, "qname")
-    ordered = sorted(rules, key=lambda r: r.config_id)
-    pick = None
-    above = F.lit(False)
-    for i, r in enumerate(ordered):
-        hit = F.col("score") > r.min
-        above = above | hit
-        cond = hit & _ip_ok(f, "srcaddr", r.sip) & _ip_ok(f, "dstaddr", r.dip)
-        pick = F.when(cond, F.lit(i)) if pick is None else pick.when(cond, F.lit(i))
-    pick = pick if pick is not None else F.lit(None).cast("int")
-    picked = scored.withColumn("_rule", pick)
-    sums = picked.where(F.col("_rule").isNotNull()).groupBy(*RUN, "srcaddr", "dstaddr", "_rule").agg(
+    lowest = rule_table(f.sparkSession, rules).agg(F.min("min")).scalar()
+    above = F.coalesce(F.col("score") > lowest, F.lit(False))
+    picked = first_rule(scored, rules, F.col("score") > F.col("rule.min"),
+                        {"sip": network("srcaddr", listed=True), "dip": network("dstaddr", listed=True)})
+    pair = [*RUN, "srcaddr", "dstaddr", "rule"]
+    sums = picked.groupBy(*pair).agg(
         F.count(F.lit(1)).alias("names"), F.max_by("score", "qname").alias("last_score"), *recount())
-    chain = None
-    for i, r in enumerate(ordered):
-        ok = F.when((F.col("_rule") == i) & schedule_ok("time", r, window.zone, window.exact_schedule)
-                    & (F.col("names") > floor_count(r)),
-                    F.struct(F.lit(r.config_id).alias("config_id"), F.lit(r.type_id).alias("type_id"),
-                             F.lit(thres(r)).cast("bigint").alias("thres_value"),
-                             F.col("last_score").cast("bigint").alias("alarm_value"),
-                             F.lit(r.data_type).alias("value_type")))
-        chain = ok if chain is None else F.coalesce(chain, ok)
-    if chain is None:
-        return Detection(None, with_hour(scored.where(above).drop("time")), None)
-    hits = sums.withColumn("_hit", chain).where(F.col("_hit").isNotNull()).select("*", "_hit.*")
+    due = sums.where(on_schedule(window) & (F.col("names") > floor_count))
+    hits = with_values(due, thres, F.col("last_score"), F.col("rule.data_type")).withColumn("_rule", F.col("config_id"))
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ":  ")
     tagged = events_of(hits, obj, 1, keep=[*RUN, "srcaddr", "dstaddr", "_rule"])
 
     def details() -> DataFrame:
-        behind = f.join(picked.where(F.col("_rule").isNotNull()).select(*key, "_rule"), key)
+        behind = f.join(picked.select(*key, F.col("rule.config_id").alias("_rule")), key)
         return details_of(behind, tagged, [*RUN, "srcaddr", "dstaddr", "_rule"], extra=["qname"])
 
     return Detection(lambda: only_events(tagged), lambda: with_hour(scored.where(above).drop("time")), details)
 
 
-def detect_dga(flows: DataFrame, rules: Sequence[Rule], white: DataFrame, window: Window,
+def detect_dga(flows: DataFrame, rules: Rules, white: DataFrame, window: Window,
                scorer: Scorer = default_name_scorer) -> Detection:
     """Machine-generated names: more than ``qcount`` high-score names per pair."""
     f = window.clip(flows).where((F.col("prot") == 17) & is_request() & (F.col("qname") != "") & is_domain())
-    return _scored(f, rules, white, scorer, window, lambda r: r.qcount, lambda r: r.min)
+    return _scored(f, rules, white, scorer, window, F.col("rule.qcount"), F.col("rule.min"))
 
 
-def detect_dns_tunnel_scored(flows: DataFrame, rules: Sequence[Rule], window: Window,
+def detect_dns_tunnel_scored(flows: DataFrame, rules: Rules, window: Window,
                              scorer: Scorer = default_name_scorer) -> Detection:
     """Tunnel names by score: any high-score name per pair and rule."""
     f = window.clip(flows).where((F.col("prot") == 17) & is_request() & (F.col("qname") != "") & is_domain())
-    return _scored(f, rules, None, scorer, window, lambda r: 0, lambda r: r.qcount)
+    return _scored(f, rules, None, scorer, window, F.lit(0), F.col("rule.qcount"))
 
 
-def detect_dns_tunnel(flows: DataFrame, rules: Sequence[Rule], white: DataFrame, window: Window) -> Detection:
+def detect_dns_tunnel(flows: DataFrame, rules: Rules, white: DataFrame, window: Window) -> Detection:
     """Tunnel names by entropy of names seen once per run."""
     f = window.clip(flows).where((F.col("prot") == 17) & (F.col("dstport") == 53)
                                  & F.col("qtype").isin(*TUNNEL_QTYPES)
@@ -121,22 +97,18 @@ def detect_dns_tunnel(flows: DataFrame, rules: Sequence[Rule], white: DataFrame,
         "domain": F.when(sub_label() == TOOL_LABEL, TOOL_LABEL).otherwise(base_domain()),
         "entropy": char_entropy()})
     key = [*RUN, "srcaddr", "dstaddr", "domain"]
-    levels = sorted({r.detvalue for r in rules})
-    counts = [F.sum(F.when(F.col("entropy") > v, 1).otherwise(0)).alias(f"_above_{v}") for v in levels]
-    agg = named.groupBy(*key).agg(*counters(), *counts)
-
-    def above(r: Rule):
-        return F.col(f"_above_{r.detvalue}")
-
-    def cond(r: Rule):
-        tool = F.col("domain") == TOOL_LABEL
-        return (tool | (above(r) > r.fqcount)) & _ip_ok(f, "srcaddr", r.ip)
-
-    hits = each_rule(agg, rules, cond, lambda r: r.detvalue,
-                     lambda r: F.when(F.col("domain") == TOOL_LABEL, F.col("flows")).otherwise(above(r)),
-                     lambda r: r.data_type, window)
+    # entropies are compared with whole numbers: names are counted by the largest whole number below theirs
+    level = F.ceil("entropy") - 1
+    agg = (named.groupBy(*key, level.alias("_level")).agg(*counters()).groupBy(*key)
+           .agg(*recount(), F.collect_list(F.struct("_level", "flows")).alias("_levels")))
+    above = F.aggregate("_levels", F.lit(0).cast("bigint"),
+                        lambda n, x: n + F.when(x["_level"] >= F.col("rule.detvalue"), x["flows"]).otherwise(0))
+    tool = F.col("domain") == TOOL_LABEL
+    hits = each_rule(agg, rules, tool | (above > F.col("rule.fqcount")), F.col("rule.detvalue"),
+                     F.when(tool, F.col("flows")).otherwise(above), F.col("rule.data_type"), window,
+                     {"ip": network("srcaddr", listed=True)})
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ": TUN ", F.col("domain"))
     tagged = events_of(hits, obj, 0, keep=key)
-    features = agg.drop("time", *[f"_above_{v}" for v in levels])
+    features = agg.drop("time", "_levels")
     return Detection(lambda: only_events(tagged), lambda: with_hour(features),
                      lambda: details_of(named, tagged, key, extra=["qname", "qtype"]))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.address import addr_text, in_networks
+from ..functions.address import addr_text
 from ..functions.names import icmp_type
-from ..operators.rulematch import each_rule
-from ..rules import Rule, Window, split_list
+from ..operators.rulematch import Rules, each_rule, network
+from ..rules import Window
 from .base import RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, with_hour
 
 # Payloads ordinary ping tools send.
@@ -31,7 +29,7 @@ def tunnel_flows(flows: DataFrame) -> DataFrame:
         "icmp_type": icmp_type()})
 
 
-def detect_icmp_tunnel(flows: DataFrame, rules: Sequence[Rule], window: Window) -> Detection:
+def detect_icmp_tunnel(flows: DataFrame, rules: Rules, window: Window) -> Detection:
     """Event when abnormal types carry more than ``if1`` payloads, or some
     sequence number has more replies than requests or more than ``if2``
     payloads, or more than ``if3`` payload lengths occur."""
@@ -51,16 +49,10 @@ def detect_icmp_tunnel(flows: DataFrame, rules: Sequence[Rule], window: Window)
         F.max(F.when(both, F.col("payloads")).otherwise(0)).alias("seq_payloads"))
     agg = agg.join(seqs, key)
 
-    def cond(r: Rule):
-        tunnel = ((F.col("odd_payloads") > r.if1) | (F.col("more_replies") == 1)
-                  | (F.col("seq_payloads") > r.if2) | (F.col("lengths") > r.if3))
-        for column, text in (("sip", r.sip), ("dip", r.dip)):
-            nets = split_list(text)
-            if nets:
-                tunnel = tunnel & in_networks(f, column, nets)
-        return tunnel
-
-    hits = each_rule(agg, rules, cond, lambda r: r.min, lambda r: F.col("lengths"), lambda r: r.data_type, window)
+    tunnel = ((F.col("odd_payloads") > F.col("rule.if1")) | (F.col("more_replies") == 1)
+              | (F.col("seq_payloads") > F.col("rule.if2")) | (F.col("lengths") > F.col("rule.if3")))
+    hits = each_rule(agg, rules, tunnel, F.col("rule.min"), F.col("lengths"), F.col("rule.data_type"), window,
+                     {"sip": network("sip", listed=True), "dip": network("dip", listed=True)})
     obj = joined(addr_text(f, "sip"), ":>", addr_text(f, "dip"), ":  ")
     tagged = events_of(hits, obj, 0, keep=key)
     features = with_hour(agg.select("devid", "sip", "dip", "first", "last", "flows", "pkts", "bytes"))

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.address import addr_text, in_network
-from ..functions.names import proto_is, proto_name
-from ..operators.rulematch import best_rule, on_schedule, passes, pattern_rules
-from ..rules import Pattern, Rule, Window
+from ..functions.address import addr_text
+from ..functions.names import proto_name
+from ..operators.rulematch import Rules, Selectors, best_rule, network, on_schedule, passes, pattern_rules, words
+from ..rules import Pattern, Window, rule_table
 from ..streaming.flowstreams import slot_peers
 from .base import (RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, rule_values,
                    with_hour)
@@ -26,18 +25,17 @@ def _scan(flows: DataFrame, key, peer: str) -> DataFrame:
     return flows.groupBy(*key).agg(*counters(), F.count_distinct(F.col(peer)).alias("peers"))
 
 
-def _judge(scans, key, rules, matchers, obj, value_type, window) -> DataFrame:
+def _judge(scans, key, rules, selectors, obj, value_type, window) -> DataFrame:
     """Events of the scans whose rule is passed, with their key."""
-    hits = best_rule(scans, rules, matchers).where(
-        F.col("rule").isNotNull() & passes("peers") & on_schedule(rules, window))
+    hits = best_rule(scans, rules, selectors).where(F.col("rule").isNotNull() & passes("peers") & on_schedule(window))
     return events_of(rule_values(hits, "peers", value_type), obj, 0, keep=key)
 
 
-def _detect(flows, scans, key, rules, patterns, kind, matchers, obj, value_type, window) -> Detection:
-    tagged = _judge(scans, key, rules, matchers, obj, value_type, window)
+def _detect(flows, scans, key, rules, patterns, kind, selectors, obj, value_type, window) -> Detection:
+    tagged = _judge(scans, key, rules, selectors, obj, value_type, window)
 
     def features() -> DataFrame:
-        best = best_rule(scans, pattern_rules(patterns, kind, "peers"), matchers)
+        best = best_rule(scans, pattern_rules(patterns, kind, "peers"), selectors)
         return with_hour(best.where((F.col("peers") >= F.col("rule.min")) & (F.col("flows") >= F.col("rule.qcount")))
                          .drop("rule", "time"))
 
@@ -48,39 +46,47 @@ def _probes() -> Column:
     return (F.col("srcport") != 0) & (F.col("dstport") != 0) & ((F.col("prot") != 6) | is_request())
 
 
-def _port_scan_rules(f: DataFrame, rules: Sequence[Rule]) -> tuple:
-    """Rules, their tests and the printed object of port scans."""
-    matchers = {"sip": lambda r: in_network(f, "srcaddr", r.sip),
-                "port": lambda r: F.col("dstport") == int(r.port),
-                "protocol": lambda r: proto_is(r.protocol)}
-    obj = joined(addr_text(f, "srcaddr"), ":>:", F.col("dstport"), " ", proto_name(), " ")
-    return [replace(r, sip=r.sip or r.ip) for r in rules], matchers, obj
+def _port_scan_terms(scans: DataFrame) -> tuple[Selectors, Column]:
+    """Selectors and the printed object of port scans."""
+    selectors = {"sip": network("srcaddr"),
+                 "port": words(F.col("dstport"), normal=lambda text: text.cast("int").cast("string")),
+                 "protocol": words(proto_name())}
+    return selectors, joined(addr_text(scans, "srcaddr"), ":>:", F.col("dstport"), " ", proto_name(), " ")
+
+
+def _by_source(rules: Rules) -> Rules:
+    """Port-scan rules may name the source as ``ip``."""
+    if isinstance(rules, DataFrame):
+        table = rule_table(rules.sparkSession, rules)
+        return table.withColumn("sip", F.when(F.col("sip") == "", F.col("ip")).otherwise(F.col("sip")))
+    return [replace(r, sip=r.sip or r.ip) for r in rules]
 
 
-def detect_port_scan(flows: DataFrame, rules: Sequence[Rule], patterns: Sequence[Pattern],
+def detect_port_scan(flows: DataFrame, rules: Rules, patterns: Sequence[Pattern],
                      window: Window) -> Detection:
     f = window.clip(flows).where(_probes())
     key = [*RUN, "srcaddr", "prot", "dstport"]
-    rules, matchers, obj = _port_scan_rules(f, rules)
-    return _detect(f, _scan(f, key, "dstaddr"), key, rules, patterns, "PORT_SCAN", matchers, obj, "peerips", window)
+    selectors, obj = _port_scan_terms(f)
+    return _detect(f, _scan(f, key, "dstaddr"), key, _by_source(rules), patterns, "PORT_SCAN", selectors, obj, "peerips", window)
+
+
+def closing_port_scans(flows: DataFrame) -> DataFrame:
+    """The scans of each slot of a stream of flows with event time, when the slot has closed."""
+    return slot_peers(flows.where(_probes()), ["devid", "srcaddr", "prot", "dstport"], "dstaddr")
 
 
-def port_scans_of_closed_slots(flows: DataFrame, rules: Sequence[Rule], window: Window) -> DataFrame:
-    """Port-scan events of a stream of flows with event time, each slot judged once, when it has closed."""
-    key = ["devid", "srcaddr", "prot", "dstport"]
-    f = flows.where(_probes())
-    rules, matchers, obj = _port_scan_rules(f, rules)
-    return only_events(_judge(slot_peers(f, key, "dstaddr"), [], rules, matchers, obj, "peerips", window))
+def port_scan_events(scans: DataFrame, rules: Rules, window: Window) -> DataFrame:
+    """Events of the scans of closed slots."""
+    selectors, obj = _port_scan_terms(scans)
+    return only_events(_judge(scans, [], _by_source(rules), selectors, obj, "peerips", window))
 
 
-def detect_ip_scan(flows: DataFrame, rules: Sequence[Rule], patterns: Sequence[Pattern],
+def detect_ip_scan(flows: DataFrame, rules: Rules, patterns: Sequence[Pattern],
                    window: Window) -> Detection:
     f = window.clip(flows).where((F.col("srcport") != 0) & (F.col("dstport") != 0) & (F.col("prot") != 17)
                                  & ((F.col("prot") != 6) | is_request()))
     key = [*RUN, "srcaddr", "dstaddr", "prot"]
     scans = _scan(f, key, "dstport")
-    matchers = {"sip": lambda r: in_network(f, "srcaddr", r.sip),
-                "dip": lambda r: in_network(f, "dstaddr", r.dip),
-                "protocol": lambda r: proto_is(r.protocol)}
+    selectors = {"sip": network("srcaddr"), "dip": network("dstaddr"), "protocol": words(proto_name())}
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ": ", proto_name(), " ")
-    return _detect(f, scans, key, rules, patterns, "IP_SCAN", matchers, obj, "peerports", window)
+    return _detect(f, scans, key, rules, patterns, "IP_SCAN", selectors, obj, "peerports", window)

@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.address import addr_text, in_network
-from ..functions.names import UDP_SERVICE_PORTS, proto_is, proto_name
+from ..functions.address import addr_text
+from ..functions.names import UDP_SERVICE_PORTS, proto_name
 from ..functions.text import app_proto
 from ..functions.timefn import truncate
 from ..operators.aggregate import ATTRIBUTE_GROUPS, latest_attrs
 from ..operators.joins import pair_requests, pair_services, service_roles
 from ..operators.ranges import in_nets
-from ..operators.rulematch import best_rule, on_schedule, passes, pattern_rules
-from ..rules import Pattern, Rule, Window
+from ..operators.rulematch import Rules, Selectors, best_rule, network, on_schedule, passes, pattern_rules, words
+from ..rules import Pattern, Window
 from ..schema import DAY_SECONDS, HOUR_SECONDS
 from .base import (RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, recount,
                    rule_values, with_hour)
@@ -50,16 +50,15 @@ def paired_services(f: DataFrame, app: Column) -> DataFrame:
     return pair_services(f, app, run=RUN).where(known)
 
 
-def _matchers(df: DataFrame) -> dict:
-    return {"ip": lambda r: in_network(df, "addr", r.ip),
-            "port": lambda r: ((F.col("port").cast("string") == str(r.port))
-                               | (F.upper("app_proto") == str(r.port).upper())),
-            "protocol": lambda r: proto_is(r.protocol)}
+def _selectors() -> Selectors:
+    """A rule's port is a number or the name of the protocol spoken there."""
+    return {"ip": network("addr"), "port": words(F.col("port"), F.upper("app_proto"), normal=F.upper),
+            "protocol": words(proto_name())}
 
 
 def _service_features(services: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     limits = pattern_rules(patterns, "SRV", "flows")
-    return with_hour(best_rule(services, limits, _matchers(services)).where(F.col("flows") >= F.col("rule.min"))
+    return with_hour(best_rule(services, limits, _selectors()).where(F.col("flows") >= F.col("rule.min"))
                      .drop("rule"))
 
 
@@ -70,14 +69,14 @@ def detect_services(flows: DataFrame, patterns: Sequence[Pattern], window: Windo
     return Detection(None, _service_features(paired_services(f, app), patterns).drop("time"), None)
 
 
-def detect_asset_services(flows: DataFrame, assets: DataFrame, rules: Sequence[Rule],
+def detect_asset_services(flows: DataFrame, assets: DataFrame, rules: Rules,
                           patterns: Sequence[Pattern], window: Window) -> Detection:
     """Services of asset networks with their attributes, and exposure events."""
     low = (F.col("srcport") < MAX_TCP_PORT) & (F.col("dstport") < MAX_TCP_PORT)
     f = service_flows(window.clip(flows)).where((F.col("tcp_flags") != 20) & ((F.col("prot") == 17) | low))
     services = in_nets(pair_services(f, app_proto() if "pname" in f.columns else F.lit(""), run=RUN), "addr", assets)
-    hits = best_rule(services.where(F.col("srv_mark") == 1), rules, _matchers(services)).where(
-        F.col("rule").isNotNull() & passes("flows") & on_schedule(rules, window))
+    hits = best_rule(services.where(F.col("srv_mark") == 1), rules, _selectors()).where(
+        F.col("rule").isNotNull() & passes("flows") & on_schedule(window))
     obj = joined(":>", addr_text(services, "addr"), ":", F.col("port"), " ", proto_name(), " ")
     tagged = events_of(rule_values(hits, "flows", "flow_count"), obj, 0, keep=ENDPOINT)
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import addr_text
 from ..functions.names import proto_name
 from ..operators.joins import match_domain_intel
-from ..operators.rulematch import each_rule
-from ..rules import Rule, Window
+from ..operators.rulematch import Rules, each_rule
+from ..rules import Window
 from .base import RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, with_hour
 
 
@@ -41,13 +39,12 @@ def mining_flows(flows: DataFrame, domains: DataFrame, ips: DataFrame) -> DataFr
     return marked.unionByName(named).unionByName(listed)
 
 
-def detect_mining(flows: DataFrame, rules: Sequence[Rule], domains: DataFrame, ips: DataFrame,
+def detect_mining(flows: DataFrame, rules: Rules, domains: DataFrame, ips: DataFrame,
                   window: Window) -> Detection:
     f = mining_flows(window.clip(flows), domains, ips)
     key = [*RUN, "sip", "dip", "prot", "coin", "domain", "model"]
     agg = f.groupBy(*key).agg(*counters())
-    hits = each_rule(agg, rules, lambda r: F.lit(True), lambda r: r.qcount, lambda r: F.col("flows"),
-                     lambda r: r.data_type, window)
+    hits = each_rule(agg, rules, F.lit(True), F.col("rule.qcount"), F.col("flows"), F.col("rule.data_type"), window)
     obj = joined(addr_text(f, "sip"), ":>", addr_text(f, "dip"), ": ", proto_name(), " ", F.col("coin"), " ",
                  F.col("domain"))
     tagged = events_of(hits, obj, F.col("model"), keep=key)
@@ -55,14 +52,14 @@ def detect_mining(flows: DataFrame, rules: Sequence[Rule], domains: DataFrame, i
                      lambda: details_of(f, tagged, key, extra=["domain"]))
 
 
-def detect_threats(flows: DataFrame, rules: Sequence[Rule], window: Window) -> Detection:
+def detect_threats(flows: DataFrame, rules: Rules, window: Window) -> Detection:
     """Fingerprinted threats from the initiator; mining swaps the ends of the
     printed object, the pool first."""
     f = window.clip(flows).where((F.col("threat_type") != "") & is_request()).withColumns(
         {"fp_type": F.lower("threat_type"), "fp_name": F.lower("threat_name")})
     key = [*RUN, "srcaddr", "prot", "dstaddr", "dstport", "fp_type", "fp_name"]
     agg = f.groupBy(*key).agg(*counters())
-    hits = each_rule(agg, rules, lambda r: F.lit(True), lambda r: 0, lambda r: F.col("flows"), lambda r: "fps", window)
+    hits = each_rule(agg, rules, F.lit(True), F.lit(0), F.col("flows"), F.lit("fps"), window)
     mining = F.col("fp_type") == "mining"
     a, b = addr_text(f, "srcaddr"), addr_text(f, "dstaddr")
     obj = joined(F.when(mining, b).otherwise(a), ":>", F.when(mining, a).otherwise(b), ":", F.col("dstport"), " ",

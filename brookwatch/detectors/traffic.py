@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.address import addr_text, in_networks
+from ..functions.address import addr_text
 from ..functions.names import proto_name
 from ..functions.timefn import slot, truncate
 from ..operators.joins import match_ip_list, match_mo
 from ..operators.ranges import mark_nets
-from ..operators.rulematch import each_rule
-from ..rules import MonitoredObject, Rule, Window, split_list
+from ..operators.rulematch import Rules, each_rule, network, on_schedule, with_values, words
+from ..rules import MonitoredObject, Window, rule_table
 from ..schema import HOUR_SECONDS
 from .base import (RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, recount,
                    with_hour)
 
 
-def detect_outreach(flows: DataFrame, rules: Sequence[Rule], assets: DataFrame, window: Window) -> Detection:
+def detect_outreach(flows: DataFrame, rules: Rules, assets: DataFrame, window: Window) -> Detection:
     """Internal hosts sending at least ``min`` bytes outward.
 
     A rule without a source list uses the asset networks (column cidr); one
@@ -28,15 +28,10 @@ def detect_outreach(flows: DataFrame, rules: Sequence[Rule], assets: DataFrame,
     f = window.clip(flows).where((F.col("prot") == 6) & is_request())
     key = [*RUN, "srcaddr", "dstaddr", "dstport"]
     agg = f.groupBy(*key).agg(*counters())
-    if any(not r.sip for r in rules):
-        agg = mark_nets(agg, "srcaddr", assets, "_asset")
-
-    def cond(r: Rule) -> Column:
-        src = in_networks(f, "srcaddr", split_list(r.sip)) if r.sip else F.col("_asset")
-        out = (F.col("bytes") >= r.min) & src
-        return out & in_networks(f, "dstaddr", split_list(r.dip)) if r.dip else out
-
-    hits = each_rule(agg, rules, cond, lambda r: r.min, lambda r: F.col("bytes"), lambda r: r.data_type, window)
+    inside = F.col("_asset") | (F.trim("rule.sip") != "")
+    hits = each_rule(mark_nets(agg, "srcaddr", assets, "_asset"), rules, inside & (F.col("bytes") >= F.col("rule.min")),
+                     F.col("rule.min"), F.col("bytes"), F.col("rule.data_type"), window,
+                     {"sip": network("srcaddr", listed=True), "dip": network("dstaddr", listed=True)})
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ":", F.col("dstport"), " TCP ")
     tagged = events_of(hits, obj, 0, keep=key)
     return Detection(lambda: only_events(tagged), None, lambda: details_of(f.withColumn("prot", F.lit(6)), tagged, key))
@@ -47,6 +42,14 @@ def rate(measure: str, window: Window) -> Column:
     return F.col(measure) / F.lit(float(window.interval))
 
 
+def unit_rate(units: dict[str, str], window: Window) -> Column:
+    """The rate in the unit of ``rule``; null for a unit it does not know."""
+    out = F.lit(None).cast("double")
+    for unit, measure in units.items():
+        out = F.when(F.col("rule.data_type") == unit, rate(measure, window)).otherwise(out)
+    return out
+
+
 def listed_traffic(flows: DataFrame, ips: DataFrame, window: Window) -> DataFrame:
     """Counters per (listed address, peer, protocol, ti_mark).
 
@@ -60,17 +63,14 @@ def listed_traffic(flows: DataFrame, ips: DataFrame, window: Window) -> DataFram
     return hits.groupBy(*RUN, "sip", "dip", "prot", "ti_mark", "class").agg(*recount())
 
 
-def _listed(flows, ips, rules, window, units, with_class) -> Detection:
+def _listed(flows, ips, rules: Rules, window, units, with_class) -> Detection:
     agg = listed_traffic(flows, ips, window)
 
-    def cond(r: Rule):
-        if r.data_type not in units:
-            return F.lit(False)
-        v = rate(units[r.data_type], window)
-        return F.col("ti_mark") & (v >= r.min) & ((v < r.max) if r.max else F.lit(True))
-
-    hits = each_rule(agg, rules, cond, lambda r: r.min,
-                     lambda r: F.floor(rate(units.get(r.data_type, "flows"), window)), lambda r: r.data_type, window)
+    v = unit_rate(units, window)
+    # rules without a unit, or with another one, match nothing
+    over = F.col("ti_mark") & (v >= F.col("rule.min")) & ((F.col("rule.max") == 0) | (v < F.col("rule.max")))
+    hits = each_rule(agg, rules, over, F.col("rule.min"), F.floor(v), F.col("rule.data_type"), window,
+                     {"data_type": words(*map(F.lit, units))})
     parts = [addr_text(agg, "sip"), ":>", addr_text(agg, "dip"), ": ", proto_name(), " "]
     obj = joined(*parts, *([F.col("class")] if with_class else []))
     key = [*RUN, "sip", "dip", "prot", "ti_mark"]
@@ -79,17 +79,17 @@ def _listed(flows, ips, rules, window, units, with_class) -> Detection:
                      lambda: details_of(match_ip_list(window.clip(flows), ips), tagged, key))
 
 
-def detect_suspicious(flows: DataFrame, ips: DataFrame, rules: Sequence[Rule], window: Window) -> Detection:
+def detect_suspicious(flows: DataFrame, ips: DataFrame, rules: Rules, window: Window) -> Detection:
     """Traffic from listed suspicious addresses; rates in Bps, pps or fps."""
     return _listed(flows, ips, rules, window, {"Bps": "bytes", "pps": "pkts", "fps": "flows"}, True)
 
 
-def detect_black_list(flows: DataFrame, ips: DataFrame, rules: Sequence[Rule], window: Window) -> Detection:
+def detect_black_list(flows: DataFrame, ips: DataFrame, rules: Rules, window: Window) -> Detection:
     """Traffic from black-listed addresses; rates in bps (bytes), pps or sps."""
     return _listed(flows, ips, rules, window, {"bps": "bytes", "pps": "pkts", "sps": "flows"}, False)
 
 
-def detect_object_thresholds(flows: DataFrame, mos: Sequence[MonitoredObject], rules: Sequence[Rule],
+def detect_object_thresholds(flows: DataFrame, mos: Sequence[MonitoredObject], rules: Rules,
                              window: Window) -> Detection:
     """Rate thresholds on monitored objects.
 
@@ -97,29 +97,21 @@ def detect_object_thresholds(flows: DataFrame, mos: Sequence[MonitoredObject], r
     reverse; ALL objects report nothing.  ``max`` is tried first, then ``min``;
     zero means unset.
     """
-    used = {r.moid for r in rules}
-    f = match_mo(window.clip(flows), [m for m in mos if m.id in used and m.direction in ("IN", "OUT")])
+    f = match_mo(window.clip(flows), [m for m in mos if m.direction in ("IN", "OUT")])
     inward = F.col("direction") == "IN"
     f = f.withColumns({"lip": F.when(inward, F.col("srcaddr")).otherwise(F.col("dstaddr")),
                        "tip": F.when(inward, F.col("dstaddr")).otherwise(F.col("srcaddr")),
                        "tport": F.when(inward, F.col("dstport")).otherwise(F.col("srcport"))})
     key = [*RUN, "moid", "lip", "tip", "tport", "prot"]
-    agg = f.groupBy(*key).agg(*counters())
-    units = {"Bps": "bytes", "pps": "pkts", "fps": "flows"}
-    hits = None
-    for use_max in (True, False):
-        def cond(r: Rule, use_max=use_max):
-            if r.data_type not in units:
-                return F.lit(False)
-            v = rate(units[r.data_type], window)
-            over_max = (v >= r.max) if r.max else F.lit(False)
-            hit = over_max if use_max else ~over_max & ((v >= r.min) if r.min else F.lit(False))
-            return (F.col("moid") == r.moid) & hit
-
-        part = each_rule(agg, rules, cond, (lambda r: r.max) if use_max else (lambda r: r.min),
-                         lambda r: F.floor(rate(units.get(r.data_type, "flows"), window)),
-                         lambda r: r.data_type, window)
-        hits = part if hits is None else hits.unionByName(part)
+    table = rule_table(flows.sparkSession, rules)
+    limits = table.select("moid", F.struct("*").alias("rule"))
+    # only flows of objects that have a rule
+    agg = f.join(table.select("moid").distinct(), "moid", "left_semi").groupBy(*key).agg(*counters()).join(limits, "moid")
+    v = unit_rate({"Bps": "bytes", "pps": "pkts", "fps": "flows"}, window)
+    high = (F.col("rule.max") != 0) & (v >= F.col("rule.max"))
+    hit = high | ((F.col("rule.min") != 0) & (v >= F.col("rule.min")))
+    hits = with_values(agg.where(hit & on_schedule(window)), F.when(high, F.col("rule.max")).otherwise(F.col("rule.min")),
+                       F.floor(v), F.col("rule.data_type"))
     obj = joined(addr_text(f, "tip"), ":", F.col("tport"), ">", addr_text(f, "lip"), ": ", proto_name(), " ",
                  F.col("moid"))
     tagged = events_of(hits, obj, 3, keep=key)

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.address import addr_text, in_networks
-from ..functions.timefn import schedule_ok
-from ..rules import Rule, Window, split_list
+from ..functions.address import addr_text
+from ..operators.rulematch import Rules, first_rule, network, on_schedule, with_values
+from ..rules import Rule, Window
 from .base import RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, with_hour
 from .scoring import Scorer, default_url_scorer
 
@@ -42,27 +42,15 @@ def detect_url_attacks(flows: DataFrame, rules: Sequence[Rule], window: Window)
                      lambda: details_of(f.withColumn("prot", F.lit(6)), tagged, key, extra=["http_url"]))
 
 
-def detect_malicious_url(flows: DataFrame, rules: Sequence[Rule], window: Window,
+def detect_malicious_url(flows: DataFrame, rules: Rules, window: Window,
                          scorer: Scorer = default_url_scorer) -> Detection:
     """Requested URLs scored above a rule's minimum; the first such rule decides."""
     f = window.clip(flows).where(is_request() & (F.col("http_url") != ""))
     key = [*RUN, "srcaddr", "dstaddr", "dstport", "http_url"]
     scored = scorer(f.groupBy(*key).agg(*counters()), "http_url")
-    chain = None
-    for r in sorted(rules, key=lambda x: x.config_id):
-        cond = F.col("score") > r.min
-        for column, text in (("srcaddr", r.sip), ("dstaddr", r.dip)):
-            nets = split_list(text)
-            if nets:
-                cond = cond & in_networks(f, column, nets)
-        hit = F.struct(F.lit(r.config_id).alias("config_id"), F.lit(r.type_id).alias("type_id"),
-                       F.lit(r.min).cast("bigint").alias("thres_value"),
-                       F.col("score").cast("bigint").alias("alarm_value"), F.lit(r.data_type).alias("value_type"),
-                       schedule_ok("time", r, window.zone, window.exact_schedule).alias("due"))
-        chain = F.when(cond, hit) if chain is None else chain.when(cond, hit)
-    if chain is None:
-        return Detection(features=lambda: with_hour(scored.drop("time")))
-    hits = scored.withColumn("_hit", chain).where(F.col("_hit.due")).select("*", "_hit.*")
+    first = first_rule(scored, rules, F.col("score") > F.col("rule.min"),
+                       {"sip": network("srcaddr", listed=True), "dip": network("dstaddr", listed=True)})
+    hits = with_values(first.where(on_schedule(window)), F.col("rule.min"), F.col("score"), F.col("rule.data_type"))
     obj = joined(addr_text(f, "srcaddr"), ":>", addr_text(f, "dstaddr"), ":", F.col("dstport"), " ")
     tagged = events_of(hits, obj, 1, keep=key)
     return Detection(lambda: only_events(tagged), lambda: with_hour(scored.drop("time")),

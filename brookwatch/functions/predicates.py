@@ -8,13 +8,14 @@ them with ``&``, ``|`` and ``~``.
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import numeric
-from .address import in_cidr, in_prefix6
+from .address import in_cidr, in_prefix6, ipv4_num
 from .names import flag_mask, icmp_code, icmp_type, proto_number
 
 _SUFFIX = {"k": 1000, "m": 1000 ** 2, "g": 1000 ** 3}
@@ -107,25 +108,34 @@ def w_flags(flags, cmp: str = "=", negate: bool = False) -> Column:
     return hit == 0 if negate else hit == mask
 
 
-def _address_test(texts):
-    """Test for a list of addresses and CIDRs, for bigint IPv4 columns."""
-    singles = [int(ipaddress.IPv4Address(t)) for t in texts if "/" not in t]
-    nets = [t for t in texts if "/" in t]
+def either_family(column: Column, texts: Sequence[str]) -> Column:
+    """Whether an address is one of, or in one of, some addresses and networks of either family.
 
-    def test(col):
-        cond = col.isin(*singles) if len(singles) > 1 else (col == singles[0] if singles else F.lit(False))
-        for net in nets:
-            cond = cond | in_cidr(col, net)
-        return cond
+    Numeric columns hold IPv4 addresses, which no IPv6 text matches; text columns may hold both, each tested by its own
+    family.  Which of the two it is Catalyst decides from the column's type.
+    """
+    four = [t for t in texts if ":" not in t]
+    singles = [t.strip() for t in four if "/" not in t]
+    nets = [t for t in four if "/" in t]
+    # of the two casts one changes nothing, the other stands in the branch that the type decides against
+    text, value = column.cast("string"), column.try_cast("bigint")
+
+    def any_of(tests: list[Column]) -> Column:
+        return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
-    return test
+    def one_of(c: Column, members: list) -> list[Column]:
+        return [c.isin(*members) if len(members) > 1 else c == members[0]] if members else []
+
+    numeric = one_of(value, [int(ipaddress.IPv4Address(t)) for t in singles]) + [in_cidr(value, n) for n in nets]
+    texts_of = one_of(text, singles)
+    texts_of += [(F.instr(text, ":") == 0) & in_cidr(ipv4_num(text), n) for n in nets]
+    texts_of += [(F.instr(text, ":") > 0) & in_prefix6(text, t) for t in texts if ":" in t]
+    return F.when(F.typeof(column) == "string", any_of(texts_of)).otherwise(any_of(numeric))
 
 
 def w_ip(*addresses: str, side: str = "either") -> Column:
-    """Address equality or list membership; CIDR members allowed."""
-    if any(":" in a for a in addresses):
-        return w_ip6(*addresses, side=side)
-    return sided("srcaddr", "dstaddr", side, _address_test(addresses))
+    """Address equality or list membership, of either family; CIDR members allowed."""
+    return sided("srcaddr", "dstaddr", side, lambda c: either_family(c, addresses))
 
 
 def w_ip6(*addresses: str, side: str = "either") -> Column:
@@ -133,7 +143,7 @@ def w_ip6(*addresses: str, side: str = "either") -> Column:
                  lambda c: reduce(lambda a, b: a | b, [in_prefix6(c, t) for t in addresses]))
 
 
-def _net_text(net: str, mask: str | None) -> str:
+def net_text(net: str, mask: str | None) -> str:
     base, _, bits = net.partition("/")
     if ":" in base:
         return f"{base}/{bits}"
@@ -147,13 +157,11 @@ def _net_text(net: str, mask: str | None) -> str:
 def w_net(net: str, mask: str | None = None, side: str = "either") -> Column:
     """``net a.b.c.d mask`` or ``net x/len``; the network is masked, and an
     IPv4 network may be abbreviated (``172.16/16``)."""
-    text = _net_text(net, mask)
-    return w_ip6(text, side=side) if ":" in text else sided(
-        "srcaddr", "dstaddr", side, lambda c: in_cidr(c, text))
+    return w_ip(net_text(net, mask), side=side)
 
 
 def _single(column: str, addresses) -> Column:
-    return _address_test(addresses)(F.col(column))
+    return either_family(F.col(column), addresses)
 
 
 def w_next_ip(*addresses: str) -> Column:
@@ -312,10 +320,7 @@ def _port_term(text: str, column: str) -> Column:
 
 def _ip_term(text: str, column: str) -> Column:
     negate, text = text.startswith("!"), text.lstrip("!")
-    if ":" in text:
-        cond = in_prefix6(column, text)
-    else:
-        cond = in_cidr(column, _net_text(text, None) if "/" in text else text)
+    cond = either_family(F.col(column), [net_text(text, None) if "/" in text else text])
     return ~cond if negate else cond
 
 

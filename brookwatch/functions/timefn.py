@@ -94,22 +94,27 @@ def time_window(flows: DataFrame, window: str) -> DataFrame:
 def schedule_ok(ts, rule, zone: str = "UTC", exact: bool = False) -> Column:
     """Weekday and time-of-day window of a rule, WITHIN or WITHOUT.
 
-    A weekday outside the rule's list passes only WITHOUT rules.  By default
-    the second of the day is compared; ``exact=True`` compares hour, minute
-    and second independently of each other.
+    ``rule`` is a rule or a column of one.  A weekday outside the rule's list passes only WITHOUT rules.  By default
+    the second of the day is compared; ``exact=True`` compares hour, minute and second independently of each other.
     """
     t = local_ts(ts, zone)
-    without = rule.coverrange == "WITHOUT"
-    on_day = (F.dayofweek(t) - 1).isin(*rule.weekday) if rule.weekday else F.lit(False)
-    h, m, s = F.hour(t), F.minute(t), F.second(t)
+    if isinstance(rule, Column):
+        days, since, until = rule["weekday"], rule["stime"], rule["etime"]
+        without = rule["coverrange"] == "WITHOUT"
+    else:
+        days, since, until = (F.array(*map(F.lit, x)).cast("array<int>") for x in (rule.weekday, rule.stime, rule.etime))
+        without = F.lit(rule.coverrange == "WITHOUT")
+    clock = (F.hour(t), F.minute(t), F.second(t))
     if exact:
-        inside = (h.between(rule.stime[0], rule.etime[0]) & m.between(rule.stime[1], rule.etime[1])
-                  & s.between(rule.stime[2], rule.etime[2]))
+        inside = F.lit(True)
+        for i, part in enumerate(clock):
+            inside = inside & part.between(since[i], until[i])
     else:
-        of_day = h * 3600 + m * 60 + s
-        bounds = [x[0] * 3600 + x[1] * 60 + x[2] for x in (rule.stime, rule.etime)]
-        inside = of_day.between(*bounds)
-    return ~(on_day & inside) if without else (on_day & inside)
+        def seconds(part) -> Column:
+            return part[0] * 3600 + part[1] * 60 + part[2]
+        inside = seconds(clock).between(seconds(since), seconds(until))
+    due = F.array_contains(days, F.dayofweek(t) - 1) & inside
+    return due != without
 
 
 def align_range(start: int, end: int, step: int, unit: int = SLOT_SECONDS,

@@ -7,16 +7,19 @@ under the threshold, and otherwise shuffles with AQE splitting skewed keys.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.predicates import object_filter
+from ..functions.address import is_v6
+from ..functions.names import proto_number
+from ..functions.predicates import net_text
 from ..functions.timefn import truncate
 from ..rules import MonitoredObject
 from ..schema import HOUR_SECONDS
 from .ranges import range_join
+from .sweep import beyond, bounds, order_key, rank_of, sweep
 
 
 def is_request() -> Column:
@@ -124,100 +127,95 @@ def tag_bw(flows: DataFrame, black: DataFrame, white: DataFrame) -> DataFrame:
     return tag_list(tag_list(flows, black, "blacklist"), white, "whitelist")
 
 
-def _object_rows(mos: Sequence[MonitoredObject]) -> Column:
-    hits = [F.when(object_filter(m), F.struct(F.lit(m.id).alias("moid"), F.lit(m.direction).alias("direction")))
-            for m in mos]
-    return F.explode(F.array(*hits))
+_OBJECT_FIELDS = ("_side int, _rank int, moid int, direction string, _lo {0}, _hi {0}, _portop string, _port int, "
+                  "_plo {0}, _phi {0}, _pnot boolean, _pportop string, _pport int, _proto int")
+SRC, DST, ANY = 0, 1, 2  # the side by whose address an object is found; ANY: by none
 
 
-def _direct(flows: DataFrame, mos: Sequence[MonitoredObject]) -> DataFrame:
-    hit = flows.withColumn("_mo", _object_rows(mos)).where(F.col("_mo").isNotNull())
-    return hit.select("*", "_mo.*").drop("_mo")
+def _port_term(text: str) -> tuple[str, int]:
+    """Operator (with ``!`` if negated; empty for none) and number of a port selector."""
+    if not text:
+        return "", 0
+    bare = text.lstrip("!")
+    op = bare[0] if bare[0] in "<>" else "="
+    return ("!" if text.startswith("!") else "") + op, int(bare.lstrip("<>"))
 
 
-def _joinable(flows: DataFrame, m: MonitoredObject) -> bool:
-    """An object whose own address is one IPv4 range, on a table of numeric addresses."""
-    numeric = flows.schema["srcaddr"].dataType != T.StringType()
-    return numeric and bool(m.moip) and not m.moip.startswith("!") and ":" not in m.moip + m.pip
+def _object_table(mos: Sequence[MonitoredObject], text_keys: bool) -> tuple[list, list[tuple]]:
+    """Cut points of the objects' own addresses, and a row per object, side and interval.
+
+    An object without an own address, or with an excluded one, has one row that is found by no side.  An object of the
+    other address family matches nothing, unless that address is excluded.
+    """
+    def net(text: str) -> tuple | None:
+        return bounds(net_text(text, None) if "/" in text else text, text_keys)
+
+    keyed, fixed = [], []
+    for m in mos:
+        own, peer = net(m.moip.lstrip("!")) if m.moip else None, net(m.pip.lstrip("!")) if m.pip else None
+        excluded = m.moip.startswith("!")
+        if (m.moip and own is None and not excluded) or (m.pip and peer is None and not m.pip.startswith("!")):
+            continue
+        rest = (*_port_term(m.moport), *(peer or (None, None)), m.pip.startswith("!"), *_port_term(m.pport),
+                proto_number(m.protocol) if m.protocol else None)
+        if own is None or excluded:
+            fixed.append((ANY, 0, m.id, m.direction, *(own or (None, None)), *rest))
+        else:
+            for side in {"IN": [DST], "OUT": [SRC]}.get(m.direction, [SRC, DST]):
+                keyed.append((side, own, (m.id, m.direction, *own, *rest)))
+    cuts, cover = sweep([(lo, beyond(hi)) for _, (lo, hi), _ in keyed])
+    return cuts, [(keyed[i][0], rank, *keyed[i][2]) for rank, i in cover] + fixed
 
 
 def match_mo(flows: DataFrame, mos: Sequence[MonitoredObject]) -> DataFrame:
     """One row per flow and matching object, with ``moid`` and ``direction``.
 
-    IPv4 objects are a table joined on address prefixes, however many there are; objects without an address, with an
-    excluded one or with an IPv6 one are column expressions.
+    The objects' addresses are swept into disjoint intervals; a flow finds the intervals of its two addresses by binary
+    search and is joined with the objects of those, whatever their number, in one read.  Numeric addresses are IPv4, texts
+    may be of either family.
     """
     mos = sorted(mos, key=lambda m: m.id)
     if not mos:
         return flows.limit(0).withColumns({"moid": F.lit(0), "direction": F.lit("")})
-    keyed = [m for m in mos if _joinable(flows, m)]
-    rest = [m for m in mos if not _joinable(flows, m)]
-    parts = [match(flows, some) for match, some in ((_by_address, keyed), (_direct, rest)) if some]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-_OBJECT_SCHEMA = ("moid int, direction string, lo bigint, hi bigint, _own string, "
-                  "_portop string, _port int, _plo bigint, _phi bigint, _pnot boolean, "
-                  "_pportop string, _pport int, _proto int")
-
-
-def _by_address(flows: DataFrame, mos: Sequence[MonitoredObject]) -> DataFrame:
-    from ..functions.address import parse_cidr
-    from ..functions.names import proto_number
-    from ..functions.predicates import _net_text
-
-    def bounds(text):
-        return parse_cidr(_net_text(text, None) if "/" in text else text)
-
-    def port(text):
-        if not text:
-            return "", 0
-        neg, bare = text.startswith("!"), text.lstrip("!")
-        op = bare[0] if bare[0] in "<>" else "="
-        return ("!" if neg else "") + op, int(bare.lstrip("<>"))
+    text_keys = is_v6(flows, "srcaddr")
+    cuts, rows = _object_table(mos, text_keys)
+    objects = flows.sparkSession.createDataFrame(rows, _OBJECT_FIELDS.format("string" if text_keys else "bigint"))
+    key = order_key if text_keys else F.col
+    keys = flows.withColumns({"_src": key("srcaddr"), "_dst": key("dstaddr")})
+    sides = {r[0] for r in rows}
+    probes = [F.struct(F.lit(side).alias("_side"), rank.alias("_rank")) for side, rank in (
+        (SRC, rank_of(F.col("_src"), cuts)), (DST, rank_of(F.col("_dst"), cuts)), (ANY, F.lit(0))) if side in sides]
+    if not probes:
+        return flows.limit(0).withColumns({"moid": F.lit(0), "direction": F.lit("")})
+    found = keys.withColumn("_probe", F.explode(F.array(*probes))).select("*", "_probe.*").join(objects, ["_side", "_rank"])
 
-    rows = []
-    for m in mos:
-        sides = {"IN": ["dst"], "OUT": ["src"]}.get(m.direction, ["src", "dst"])
-        pip = m.pip.lstrip("!")
-        plo, phi = bounds(pip) if pip else (None, None)
-        for own in sides:
-            rows.append((m.id, m.direction, *bounds(m.moip), own, *port(m.moport), plo, phi,
-                         m.pip.startswith("!"), *port(m.pport),
-                         proto_number(m.protocol) if m.protocol else None))
-    objects = flows.sparkSession.createDataFrame(rows, _OBJECT_SCHEMA)
-
-    def port_ok(op, value, *cols):
+    def port_ok(op: str, value: str, *columns: str) -> Column:
         def test(c):
-            return (F.when(F.col(op).endswith("="), c == F.col(value))
-                    .when(F.col(op).endswith("<"), c < F.col(value)).otherwise(c > F.col(value)))
-        hit = test(cols[0]) if len(cols) == 1 else test(cols[0]) | test(cols[1])
-        return F.when(F.col(op) == "", True).otherwise(F.when(F.col(op).startswith("!"), ~hit).otherwise(hit))
-
-    def peer_ok(*cols):
-        hit = cols[0].between(F.col("_plo"), F.col("_phi"))
-        for c in cols[1:]:
-            hit = hit | c.between(F.col("_plo"), F.col("_phi"))
-        return F.when(F.col("_plo").isNull(), True).otherwise(F.when(F.col("_pnot"), ~hit).otherwise(hit))
-
-    out = None
-    for own, peer in (("src", "dst"), ("dst", "src")):
-        hit = range_join(flows, f"{own}addr", objects.where(F.col("_own") == own))
-        both = F.col("direction") == "ALL"
-        ports = (F.col("srcport"), F.col("dstport"))
-        cond = (F.col("_proto").isNull() | (F.col("prot") == F.col("_proto")))
-        cond = cond & F.when(both, port_ok("_portop", "_port", *ports)).otherwise(
-            port_ok("_portop", "_port", F.col(f"{own}port")))
-        cond = cond & F.when(both, port_ok("_pportop", "_pport", *ports)).otherwise(
-            port_ok("_pportop", "_pport", F.col(f"{peer}port")))
-        cond = cond & F.when(both, peer_ok(F.col("srcaddr"), F.col("dstaddr"))).otherwise(
-            peer_ok(F.col(f"{peer}addr")))
-        if own == "dst":
-            # an ALL object matching both ends was already given by the source side
-            cond = cond & ~(both & F.col("srcaddr").between(F.col("lo"), F.col("hi")))
-        hit = hit.where(cond).select(*flows.columns, "moid", "direction")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+            return (F.when(F.col(op).endswith("="), F.col(c) == F.col(value))
+                    .when(F.col(op).endswith("<"), F.col(c) < F.col(value)).otherwise(F.col(c) > F.col(value)))
+        hit = reduce(lambda x, y: x | y, map(test, columns))
+        return F.when(F.col(op) == "", True).when(F.col(op).startswith("!"), ~hit).otherwise(hit)
+
+    def within(lo: str, hi: str, *columns: str) -> Column:
+        return reduce(lambda x, y: x | y, [F.col(c).between(F.col(lo), F.col(hi)) for c in columns])
+
+    def of_object(src: Column, dst: Column, both: Column) -> Column:
+        """By the side that the object is on."""
+        return F.when(F.col("direction") == "OUT", src).when(F.col("direction") == "IN", dst).otherwise(both)
+
+    own = of_object(within("_lo", "_hi", "_src"), within("_lo", "_hi", "_dst"), within("_lo", "_hi", "_src", "_dst"))
+    peer = of_object(within("_plo", "_phi", "_dst"), within("_plo", "_phi", "_src"), within("_plo", "_phi", "_src", "_dst"))
+    # found by its own address; an object on both ends only once
+    known = (F.col("_side") != ANY) & ~((F.col("_side") == DST) & (F.col("direction") == "ALL") & within("_lo", "_hi", "_src"))
+    hit = found.where(
+        F.when(F.col("_side") == ANY, F.col("_lo").isNull() | ~own).otherwise(known)
+        & F.when(F.col("_plo").isNull(), True).when(F.col("_pnot"), ~peer).otherwise(peer)
+        & of_object(port_ok("_portop", "_port", "srcport"), port_ok("_portop", "_port", "dstport"),
+                    port_ok("_portop", "_port", "srcport", "dstport"))
+        & of_object(port_ok("_pportop", "_pport", "dstport"), port_ok("_pportop", "_pport", "srcport"),
+                    port_ok("_pportop", "_pport", "srcport", "dstport"))
+        & (F.col("_proto").isNull() | (F.col("prot") == F.col("_proto"))))
+    return hit.select(*flows.columns, "moid", "direction")
 
 
 def pair_requests(req: DataFrame, res: DataFrame, key) -> DataFrame:

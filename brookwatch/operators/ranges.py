@@ -1,18 +1,16 @@
-"""Address ranges joined as equi joins.
+"""Tables of address ranges, joined by a sweep.
 
-A range ``[lo, hi]`` is the union of at most 64 aligned power-of-two blocks.
-An address lies in the range when, for some block level, its prefix equals the
-block's prefix, so a range join becomes a hash join on ``(level, prefix)``.
-Flow rows are expanded only to the levels that occur (at most 33), and Catalyst
-broadcasts the block side from its size estimate or shuffles on the key.
+The ends of all ranges cut the line of addresses into disjoint intervals, numbered in order, and each range is replaced by
+the numbers of its intervals.  Distinct addresses are sorted in between the ends and take the number of the interval they
+fall into: what is left is an equi join on that number.  Rows are never multiplied before they are matched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.address import bind, cidr_bounds, is_v6, shl, shr, v6_groups, v6_halves, v6_text
+from ..functions.address import bind, cidr_bounds, ipv4_num, is_v6, shl, shr, v6_groups, v6_halves, v6_text
 
 
 def networks(df: DataFrame, column: str = "cidr") -> DataFrame:
@@ -21,136 +19,116 @@ def networks(df: DataFrame, column: str = "cidr") -> DataFrame:
     return df.withColumn("lo", lo).withColumn("hi", hi)
 
 
-def range_blocks(ranges: DataFrame) -> DataFrame:
-    """Rows of ``ranges`` (columns lo, hi, ...) with their aligned blocks as
-    ``level`` and ``prefix`` (address shifted right by level)."""
-    one = F.lit(1).cast("bigint")
+# ---- IPv4: sweep and lookup ----------------------------------------------
 
-    def at_level(k):
-        left = shr(F.col("lo") + shl(one, k) - 1, k)
-        right = shr(F.col("hi") + 1, k)
-        odd_left = (left < right) & (left % 2 == 1)
-        odd_right = (left < right) & (right % 2 == 1)
-        none = F.lit(None).cast("struct<level:int,prefix:bigint>")
+# Bits of an address inside one bucket; with the end of the last range there are at most 2^16 + 1 buckets.
+SPAN = 16
 
-        def block(prefix):
-            return F.struct(k.cast("int").alias("level"), prefix.alias("prefix"))
 
-        return F.array(F.when(odd_left, block(left)).otherwise(none),
-                       F.when(odd_right, block(right - 1)).otherwise(none))
+def _cut_points(ranges: DataFrame) -> DataFrame:
+    """Where ranges (lo, hi) begin, and where they have ended."""
+    return ranges.select(F.explode(F.array("lo", F.col("hi") + 1)).alias("at")).distinct()
 
-    levels = F.sequence(F.lit(0), F.lit(32))
-    blocks = F.array_compact(F.flatten(F.transform(levels, at_level)))
-    return ranges.withColumn("_b", F.explode(blocks)).withColumns(
-        {"level": F.col("_b.level"), "prefix": F.col("_b.prefix")}).drop("_b")
 
+def _ranks(values: DataFrame, cuts: DataFrame) -> DataFrame:
+    """value, rank: the number of cut points that are not above each of some distinct values.
 
-def _levels(blocks: DataFrame) -> list[int]:
-    """Block levels in use, at most 33, collected as one bit mask."""
-    mask = blocks.agg(F.bit_or(shl(F.lit(1).cast("bigint"), F.col("level")))).first()[0] or 0
-    return [k for k in range(33) if mask >> k & 1]
+    Values and cut points are sorted together bucket by bucket, and what lies before a bucket is carried over from a table
+    of at most 65,537 rows.
+    """
+    counts = cuts.groupBy(shr("at", SPAN).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    buckets = cuts.sparkSession.range((1 << (32 - SPAN)) + 1).withColumnRenamed("id", "bucket")
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.join(F.broadcast(counts), "bucket", "left").select(
+        "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    marks = values.select(F.col("value").cast("bigint").alias("value"), F.lit(0).alias("cut")).unionByName(
+        cuts.select(F.col("at").alias("value"), F.lit(1).alias("cut"))).withColumn("bucket", shr("value", SPAN))
+    upto = Window.partitionBy("bucket").orderBy("value", F.desc("cut")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (marks.withColumn("within", F.sum("cut").over(upto)).where("cut = 0").join(F.broadcast(carried), "bucket")
+            .select("value", (F.col("before") + F.col("within")).cast("int").alias("rank")))
 
 
-def _candidates(address: str, levels: list[int]) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("level"), shr(address, k).alias("prefix")) for k in levels])
+def _intervals(ranges: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The ranges with the ranks of the disjoint intervals that they are cut into: a row for each."""
+    at = _ranks(cuts.select(F.col("at").alias("value")), cuts)
+    begin = at.select(F.col("value").alias("lo"), F.col("rank").alias("_from"))
+    end = at.select((F.col("value") - 1).alias("hi"), F.col("rank").alias("_to"))
+    return (ranges.join(begin, "lo").join(end, "hi")
+            .withColumn("rank", F.explode(F.sequence("_from", F.col("_to") - 1))).drop("_from", "_to"))
 
 
-def range_join(df: DataFrame, address: str, ranges: DataFrame) -> DataFrame:
-    """Inner join: one row per range (columns lo, hi, ...) holding the address."""
-    if is_v6(df, address):
-        return prefix_join6(df, address, ranges)
-    blocks = range_blocks(ranges)
-    levels = _levels(blocks)
-    if not levels:
-        levels = [0]
-    return (df.withColumn("_c", F.explode(_candidates(address, levels)))
-            .withColumns({"level": F.col("_c.level"), "prefix": F.col("_c.prefix")}).drop("_c")
-            .join(blocks, ["level", "prefix"]).drop("level", "prefix"))
+def _located(addresses: DataFrame, address: str, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct addresses (value) with the rank of their interval, and the ranges by rank."""
+    ranges = ranges.where("lo <= hi")
+    cuts = _cut_points(ranges)
+    values = addresses.select(F.col(address).alias("value")).where("value IS NOT NULL").distinct()
+    return _ranks(values, cuts), _intervals(ranges, cuts)
 
 
-def cidr_join(df: DataFrame, address: str, nets: DataFrame, column: str = "cidr") -> DataFrame:
-    """Inner join of rows with the networks of a CIDR text column."""
-    if is_v6(df, address):
-        return prefix_join6(df, address, nets, column)
-    return range_join(df, address, networks(nets, column))
-
-
-def disjoint_blocks(ranges: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Distinct blocks of all ranges, without those inside a larger one, and
-    the block levels in use."""
-    raw = range_blocks(ranges.select("lo", "hi")).select("level", "prefix")
-    blocks, levels = raw.distinct(), _levels(raw)
-    if len(levels) < 2:
-        return blocks, levels
-    ups = F.array(*[F.struct(F.lit(k).alias("up"), shr("prefix", F.greatest(F.lit(k) - F.col("level"), F.lit(0)))
-                             .alias("up_prefix")) for k in levels])
-    inside = (blocks.withColumn("_u", F.explode(ups)).where(F.col("_u.up") > F.col("level"))
-              .join(blocks.select(F.col("level").alias("_l"), F.col("prefix").alias("_p")),
-                    (F.col("_u.up") == F.col("_l")) & (F.col("_u.up_prefix") == F.col("_p")), "left_semi")
-              .select("level", "prefix").distinct())
-    return blocks.join(inside, ["level", "prefix"], "left_anti"), levels
+def _range_hits(df: DataFrame, address: str, ranges: DataFrame) -> DataFrame:
+    """Distinct addresses as ``_address`` with each range that holds them."""
+    values, intervals = _located(df, address, ranges)
+    return values.join(intervals, "rank").drop("rank").withColumnRenamed("value", "_address")
 
 
-def in_ranges(df: DataFrame, address: str, ranges: DataFrame, anti: bool = False) -> DataFrame:
-    """Keep (or with ``anti`` drop) rows whose address lies in any range.
+def range_join(df: DataFrame, address: str, ranges: DataFrame) -> DataFrame:
+    """Inner join: one row per range (columns lo, hi, ...) holding the address.
 
-    The blocks are disjoint, so a row meets at most one of them and needs no
-    de-duplication.
+    Distinct addresses are looked up, the rows joined with what was found.
     """
-    blocks, levels = disjoint_blocks(ranges)
-    if not levels:
-        return df if anti else df.limit(0)
-    if anti:
-        for k in levels:
-            side = blocks.where(F.col("level") == k).select(F.col("prefix").alias("_p"))
-            df = df.join(side, shr(address, k) == F.col("_p"), "left_anti")
-        return df
-    return (df.withColumn("_c", F.explode(_candidates(address, levels)))
-            .join(blocks.select(F.col("level").alias("_l"), F.col("prefix").alias("_p")),
-                  (F.col("_c.level") == F.col("_l")) & (F.col("_c.prefix") == F.col("_p")), "left_semi")
-            .drop("_c"))
+    hits = _range_hits(df, address, ranges)
+    return df.join(hits, F.col(address) == F.col("_address")).drop("_address")
 
 
+def in_ranges(df: DataFrame, address: str, ranges: DataFrame, anti: bool = False) -> DataFrame:
+    """Keep (or with ``anti`` drop) rows whose address lies in any range."""
+    values, intervals = _located(df, address, ranges)
+    inside = values.join(intervals.select("rank"), "rank", "left_semi").select(F.col("value").alias("_address"))
+    return df.join(inside, F.col(address) == F.col("_address"), "left_anti" if anti else "left_semi")
+
+
+# ---- networks of either family -------------------------------------------
+
 def _of_family(nets: DataFrame, column: str, v6: bool) -> DataFrame:
     has_colon = F.instr(F.col(column), ":") > 0
     return nets.where(has_colon if v6 else ~has_colon)
 
 
+def net_hits(df: DataFrame, address: str, nets: DataFrame, column: str = "cidr") -> DataFrame:
+    """Distinct addresses as ``_address`` with each network of a CIDR text column that holds them.
+
+    Numeric addresses are IPv4; texts may be of either family, and meet the networks of their own.
+    """
+    four = networks(_of_family(nets, column, False), column)
+    if not is_v6(df, address):
+        return _range_hits(df, address, four).drop("lo", "hi")
+    texts = df.select(F.col(address).alias("_address")).where("_address IS NOT NULL").distinct()
+    six = prefix_hits6(texts.where(F.instr("_address", ":") > 0), _of_family(nets, column, True), column)
+    dotted = texts.where(F.instr("_address", ":") == 0).withColumn("_number", ipv4_num("_address"))
+    by_number = _range_hits(dotted, "_number", four).withColumnRenamed("_address", "_number").drop("lo", "hi")
+    return six.unionByName(dotted.join(by_number, "_number").drop("_number"))
+
+
+def cidr_join(df: DataFrame, address: str, nets: DataFrame, column: str = "cidr") -> DataFrame:
+    """Inner join of rows with the networks of a CIDR text column."""
+    return df.join(net_hits(df, address, nets, column), F.col(address) == F.col("_address")).drop("_address")
+
+
 def mark_nets(df: DataFrame, address: str, nets: DataFrame, flag: str, column: str = "cidr") -> DataFrame:
-    """Add a boolean: whether the address lies in any network of a CIDR text
-    column.  One unique-key left join per block level in use, so rows are
-    neither repeated nor read twice."""
-    if is_v6(df, address):
-        side = _of_family(nets, column, True).select(column)
-        hits = prefix_join6(df.select(address).distinct(), address, side, column).select(
-            F.col(address).alias("_p")).distinct()
-        return (df.join(hits, F.col(address) == F.col("_p"), "left")
-                .withColumn(flag, F.col("_p").isNotNull()).drop("_p"))
-    blocks, levels = disjoint_blocks(networks(_of_family(nets, column, False), column))
-    hit = F.lit(False)
-    for k in levels:
-        side = blocks.where(F.col("level") == k).select(F.col("prefix").alias(f"_p{k}"))
-        df = df.join(side, shr(address, k) == F.col(f"_p{k}"), "left")
-        hit = hit | F.col(f"_p{k}").isNotNull()
-    return df.withColumn(flag, hit).drop(*[f"_p{k}" for k in levels])
+    """Add a boolean: whether the address lies in any network of a CIDR text column."""
+    hits = net_hits(df, address, nets.select(column), column).select("_address").distinct()
+    return (df.join(hits, F.col(address) == F.col("_address"), "left")
+            .withColumn(flag, F.col("_address").isNotNull()).drop("_address"))
 
 
 def in_nets(df: DataFrame, address: str, nets: DataFrame, column: str = "cidr") -> DataFrame:
     """Keep rows whose address lies in any network of a CIDR text column."""
-    if is_v6(df, address):
-        return mark_nets(df, address, nets, "_in", column).where("_in").drop("_in")
-    return in_ranges(df, address, networks(_of_family(nets, column, False), column))
+    hits = net_hits(df, address, nets.select(column), column)
+    return df.join(hits, F.col(address) == F.col("_address"), "left_semi")
 
 
 # ---- IPv6 -------------------------------------------------------------
 
-def _mask6(bits: int) -> tuple[int, int]:
-    def signed(x):
-        return x - (1 << 64) if x >= 1 << 63 else x
-    full = (1 << 128) - (1 << (128 - bits))
-    return signed(full >> 64), signed(full & ((1 << 64) - 1))
-
-
 def mask_v6(address: str, bits: int) -> Column:
     """IPv6 text with all but its first ``bits`` bits cleared."""
     def masked(groups):
@@ -162,21 +140,24 @@ def mask_v6(address: str, bits: int) -> Column:
     return bind(v6_groups(address), masked)
 
 
-def _key6(halves: Column, bits: int) -> Column:
-    high, low = _mask6(bits)
-    return F.struct(F.lit(bits).alias("level"), halves["high"].bitwiseAND(F.lit(high)).alias("high"),
-                    halves["low"].bitwiseAND(F.lit(low)).alias("low"))
+def _masked6(halves: Column, bits: Column) -> Column:
+    """High and low half of an address with all but its first bits cleared."""
+    ones = F.lit(-1).cast("bigint")
+    high = F.when(bits >= 64, ones).when(bits <= 0, 0).otherwise(shl(ones, F.lit(64) - bits))
+    low = F.when(bits >= 128, ones).when(bits <= 64, 0).otherwise(shl(ones, F.lit(128) - bits))
+    return F.struct(halves["high"].bitwiseAND(high).alias("high"), halves["low"].bitwiseAND(low).alias("low"))
 
 
-def prefix_join6(df: DataFrame, address: str, nets: DataFrame, column: str = "cidr") -> DataFrame:
-    """Inner join of IPv6 text rows with the networks of a prefix text column."""
+def prefix_hits6(texts: DataFrame, nets: DataFrame, column: str = "cidr") -> DataFrame:
+    """Distinct IPv6 texts (_address) with the networks of a prefix text column that hold them.
+
+    The texts are compared at each prefix length that occurs, at most 129, which the plan itself finds out.
+    """
     text = F.trim(F.col(column))
     bits = F.when(F.instr(text, "/") > 0, F.substring_index(text, "/", -1)).otherwise("128").cast("int")
-    side = nets.withColumn("level", bits)
-    levels = sorted(r.level for r in side.select("level").distinct().limit(129).collect()) or [128]
-    base = v6_halves(F.substring_index(text, "/", 1))
-    keyed = side.withColumn("_h", base).withColumn("_k", F.coalesce(
-        *[F.when(F.col("level") == b, _key6(F.col("_h"), b)) for b in levels])).drop("_h", "level")
-    return (df.withColumn("_a", v6_halves(address))
-            .withColumn("_c", F.explode(F.array(*[_key6(F.col("_a"), b) for b in levels])))
-            .join(keyed.withColumnRenamed("_k", "_c"), "_c").drop("_c", "_a"))
+    side = nets.withColumn("_bits", bits).withColumn(
+        "_net", _masked6(v6_halves(F.substring_index(text, "/", 1)), F.col("_bits")))
+    lengths = side.agg(F.collect_set("_bits")).scalar()
+    probes = (texts.withColumn("_halves", v6_halves("_address")).withColumn("_bits", F.explode(lengths))
+              .withColumn("_net", _masked6(F.col("_halves"), F.col("_bits"))).drop("_halves"))
+    return probes.join(side, ["_bits", "_net"]).drop("_bits", "_net")

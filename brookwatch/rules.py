@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from collections.abc import Sequence
+from dataclasses import MISSING, dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.names import URL_ATTACKS
 
 ALL_WEEK = (0, 1, 2, 3, 4, 5, 6)
-MAX_CONFIG_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -81,36 +81,46 @@ def split_list(text: str) -> list[str]:
     return [t.strip() for t in (text or "").split(",") if t.strip()]
 
 
-def _bounded(df: DataFrame, what: str) -> list:
-    rows = df.limit(MAX_CONFIG_ROWS + 1).collect()
-    if len(rows) > MAX_CONFIG_ROWS:
-        raise ValueError(f"{what}: more than {MAX_CONFIG_ROWS} configuration rows")
-    return rows
+_SQL_TYPES = {"int": "bigint", "str": "string", "tuple[int, ...]": "array<int>", "tuple[int, int, int]": "array<int>"}
+_SMALL = {"config_id", "type_id", "detvalue", "sub_type", "moid"}
+RULE_TYPES = {f.name: "int" if f.name in _SMALL else _SQL_TYPES[f.type] for f in fields(Rule)}
 
 
-def _load(cls, df: DataFrame, what: str) -> list:
-    names = {f.name for f in fields(cls)}
-    out = []
-    for row in _bounded(df, what):
-        values = {}
-        for k, v in row.asDict().items():
-            if k in names and v is not None:
-                values[k] = tuple(v) if isinstance(v, list) else v
-        out.append(cls(**values))
-    return out
+def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """Rules as a table with all fields; a given table may lack fields or leave them null, and be of any size."""
+    if not isinstance(rules, DataFrame):
+        rows = [tuple(getattr(r, c) for c in RULE_TYPES) for r in rules]
+        rows = [tuple(list(v) if isinstance(v, tuple) else v for v in row) for row in rows]
+        return spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in RULE_TYPES.items()))
+    defaults = {f.name: f.default for f in fields(Rule)}
+    return rules.select(*[_field(rules, c, t, defaults[c]) for c, t in RULE_TYPES.items()])
+
+
+def _field(rules: DataFrame, name: str, kind: str, default) -> Column:
+    if default is MISSING:
+        return F.col(name).cast(kind).alias(name)
+    value = (F.array(*map(F.lit, default)) if isinstance(default, tuple) else F.lit(default)).cast(kind)
+    return (F.coalesce(F.col(name).cast(kind), value) if name in rules.columns else value).alias(name)
 
 
-def read_rules(df: DataFrame) -> list[Rule]:
-    """Rules of a small configuration table; refuses a table of data size."""
-    return sorted(_load(Rule, df, "rules"), key=lambda r: r.config_id)
+def read_rules(df: DataFrame) -> DataFrame:
+    """Rules of a configuration table, of any size."""
+    return rule_table(df.sparkSession, df)
+
+
+def _load(cls, df: DataFrame) -> list:
+    """Objects of a table that is configuration, which the driver holds as it holds a list given to it."""
+    names = {f.name for f in fields(cls)}
+    return [cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in row.asDict().items() if k in names and v is not None})
+            for row in df.collect()]
 
 
 def read_objects(df: DataFrame) -> list[MonitoredObject]:
-    return sorted(_load(MonitoredObject, df, "monitored objects"), key=lambda m: m.id)
+    return sorted(_load(MonitoredObject, df), key=lambda m: m.id)
 
 
 def read_pattern_rows(df: DataFrame) -> list[Pattern]:
-    return _load(Pattern, df, "feature patterns")
+    return _load(Pattern, df)
 
 
 @dataclass(frozen=True)

@@ -174,9 +174,11 @@ def split_arrivals(stream: DataFrame, deliveries: Iterable[Callable[[], None]],
     return spark.read.schema(schema).parquet(f"{base}/rows").drop("batch")
 
 
-def run_deliveries(stream: DataFrame, deliveries: Iterable[Callable[[], None]]) -> tuple[DataFrame, int]:
+def run_deliveries(stream: DataFrame, deliveries: Iterable[Callable[[], None]],
+                   handle: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, int]:
     """The rows an append-mode stream gives out over a number of runs, and how many rows its watermark dropped.
 
+    ``handle`` makes the rows to keep of those that a batch gives out, such as the events of the slots that it closed.
     Before each run one delivery of files is made; every run goes on from the checkpoint of the one before.  The dropped
     rows are those that the state operators report in the progress of the runs.
     """
@@ -184,7 +186,7 @@ def run_deliveries(stream: DataFrame, deliveries: Iterable[Callable[[], None]])
     base, dropped = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", 0
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
+        handle(batch).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
 
     for deliver in deliveries:
         deliver()
@@ -192,8 +194,7 @@ def run_deliveries(stream: DataFrame, deliveries: Iterable[Callable[[], None]])
                  .option("checkpointLocation", f"{base}/checkpoint").foreachBatch(save).start())
         query.awaitTermination()
         dropped += sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(schema).parquet(f"{base}/rows").drop("batch"), dropped
+    return spark.read.parquet(f"{base}/rows").drop("batch"), dropped
 
 
 def run_available(stream: DataFrame, key: Sequence[str] = (), mode: str = "update") -> DataFrame:

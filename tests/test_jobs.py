@@ -150,10 +150,10 @@ def test_requests(spark, flows):
 def test_rules_from_a_table(spark):
     df = spark.sql("""SELECT * FROM VALUES (2, 5, 'TCP', array(1, 2), 'WITHOUT'), (1, 3, CAST(NULL AS STRING), NULL, 'WITHIN')
                       AS t(config_id, min, protocol, weekday, coverrange)""")
-    one, two = read_rules(df)
-    assert (one.config_id, one.protocol, len(one.weekday), two.weekday, two.coverrange) == (1, "", 7, (1, 2), "WITHOUT")
-    with pytest.raises(ValueError):
-        read_objects(spark.range(20000).withColumn("direction", F.lit("IN")))
+    one, two = read_rules(df).orderBy("config_id").collect()
+    assert (one.config_id, one.protocol, len(one.weekday), two.weekday, two.coverrange) == (1, "", 7, [1, 2], "WITHOUT")
+    assert one.etime == [23, 59, 59] and one.min == 3
+    assert len(read_objects(spark.range(20000).withColumn("direction", F.lit("IN")))) == 20000
 
 
 def test_run_enabled_detectors(spark, flows):

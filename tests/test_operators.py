@@ -1,10 +1,11 @@
+import functools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from brookwatch.functions import predicates as w
-from brookwatch.operators import aggregate, joins, merges, ranges, rulematch, topn
+from brookwatch.operators import aggregate, joins, merges, ranges, rulematch, sweep, topn
 from brookwatch.rules import MonitoredObject, Rule
 
 T0 = 1704067200
@@ -71,6 +72,50 @@ def test_empty_ranges(spark):
     assert ranges.in_ranges(df, "ip", none, anti=True).count() == 1
 
 
+def test_networks_of_both_families_on_one_table(spark):
+    """Texts of either family meet the networks of their own; numbers meet the IPv4 ones."""
+    ips = ["10.0.0.1", "10.0.1.7", "192.168.0.1", "2001:db8::1", "2001:db8:1::1", "::ffff:10.0.0.1", None]
+    df = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "id int, ip string")
+    nets = spark.createDataFrame([("10.0.0.0/23",), ("10.0.0.1",), ("0.0.0.0/0",), ("2001:db8::/48",), ("::/0",)], "cidr string")
+    got = sorted((r.id, r.cidr) for r in ranges.cidr_join(df, "ip", nets).collect())
+    assert got == [(0, "0.0.0.0/0"), (0, "10.0.0.0/23"), (0, "10.0.0.1"), (1, "0.0.0.0/0"), (1, "10.0.0.0/23"), (2, "0.0.0.0/0"),
+                   (3, "2001:db8::/48"), (3, "::/0"), (4, "::/0"), (5, "::/0")]
+    some = nets.where("cidr LIKE '%/23' OR cidr LIKE '%/48'")
+    assert {r.id: r.hit for r in ranges.mark_nets(df, "ip", some, "hit").collect()} == {
+        0: True, 1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
+    number = spark.createDataFrame([(167772161,), (0,)], "ip bigint")
+    assert sorted((r.ip, r.cidr) for r in ranges.cidr_join(number, "ip", nets).collect()) == [
+        (0, "0.0.0.0/0"), (167772161, "0.0.0.0/0"), (167772161, "10.0.0.0/23"), (167772161, "10.0.0.1")]
+
+
+def test_sweep_against_brute_force(spark):
+    rnd = random.Random(4)
+    found = [(lo, lo + rnd.randrange(0, 60)) for lo in (rnd.randrange(200) for _ in range(50))]
+    cuts, cover = sweep.sweep(found)
+    df = spark.range(-5, 300).select("id", sweep.rank_of(F.col("id"), cuts).alias("rank"))
+    for r in df.collect():
+        assert r.rank == sum(c <= r.id for c in cuts)
+        assert sorted(i for rank, i in cover if rank == r.rank) == [i for i, (lo, end) in enumerate(found) if lo <= r.id < end]
+    texts = ["10.0.0.9", "10.0.0.10", "9.255.0.0", "::1", "2001:db8::", "2001:db8::ffff", "fe80::1"]
+    keyed = spark.createDataFrame([(t,) for t in texts], "ip string").orderBy(sweep.order_key("ip")).collect()
+    assert [r.ip for r in keyed] == ["9.255.0.0", "10.0.0.9", "10.0.0.10", "::1", "2001:db8::", "2001:db8::ffff", "fe80::1"]
+
+
+def test_objects_of_both_families_on_one_table(spark):
+    rows = [("10.0.0.1", "192.168.0.1", 5, 80, 6), ("2001:db8::1", "2001:db8::9", 5, 80, 6), ("2001:db8::1", "10.0.0.1", 5, 80, 17)]
+    f = spark.createDataFrame(rows, "srcaddr string, dstaddr string, srcport int, dstport int, prot int")
+    mos = [MonitoredObject(1, moip="10.0.0.0/24"), MonitoredObject(2, moip="2001:db8::/32", direction="OUT", pip="!2001:db8::/64"),
+           MonitoredObject(3, moip="!10.0.0.1", direction="IN"), MonitoredObject(4, moport="80", pip="2001:db8::1", direction="IN")]
+    got = sorted((r.moid, rows.index((r.srcaddr, r.dstaddr, r.srcport, r.dstport, r.prot))) for r in joins.match_mo(f, mos).collect())
+    assert got == [(1, 0), (1, 2), (2, 2), (3, 0), (3, 1), (4, 1), (4, 2)]
+    assert got == sorted((m.id, i) for m in mos for i, r in enumerate(rows)
+                         if f.where(w.object_filter(m)).where(F.struct(*f.columns) == F.struct(*map(F.lit, r))).count())
+    # on a table of numbers an IPv6 object matches nothing
+    n = f.limit(1).withColumns({"srcaddr": F.lit(167772161), "dstaddr": F.lit(3232235521)})
+    assert [r.moid for r in joins.match_mo(n, mos).collect()] == [1, 3]
+    assert n.where(w.w_ip("2001:db8::1", "10.0.0.1")).count() == 1 and n.where(w.w_net("2001:db8::/32")).count() == 0
+
+
 def test_prefix_join_v6(spark):
     df = spark.createDataFrame([("2001:db8::1",), ("2001:db9::1",), ("fe80::1",)], "ip string")
     nets = spark.createDataFrame([("2001:db8::/32",), ("2001:db8::1",), ("2000::/3",)], "cidr string")
@@ -82,8 +127,8 @@ def test_prefix_join_v6(spark):
 def test_most_specific_class_decides_even_when_it_fails(spark):
     keys = spark.createDataFrame([(1, 22, 6, 5), (1, 80, 6, 5), (2, 22, 17, 5)], "ip int, dstport int, prot int, peers int")
     rules = [Rule(1, sip="1", port="22", protocol="6", min=9), Rule(2, sip="1", min=1), Rule(3, min=1), Rule(4, sip="1", min=99)]
-    matchers = {"sip": lambda r: F.col("ip") == int(r.sip), "port": lambda r: F.col("dstport") == int(r.port),
-                "protocol": lambda r: F.col("prot") == int(r.protocol)}
+    matchers = {"sip": rulematch.words(F.col("ip")), "port": rulematch.words(F.col("dstport")),
+                "protocol": rulematch.words(F.col("prot"))}
     out = rulematch.best_rule(keys, rules, matchers)
     got = {(r.ip, r.dstport): r.rule.config_id for r in out.collect()}
     assert got == {(1, 22): 1, (1, 80): 2, (2, 22): 3}
@@ -135,7 +180,9 @@ def test_object_match_routes_agree(flows):
             direction=rnd.choice(["IN", "OUT", "ALL"])))
     cols = ["srcaddr", "dstaddr", "srcport", "dstport", "prot", "first", "bytes"]
     f = flows.select(*cols)
-    a = joins._direct(f, mos).groupBy("moid", "direction").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    by_filter = [f.where(w.object_filter(m)).select(F.lit(m.id).alias("moid"), F.lit(m.direction).alias("direction"), "bytes") for m in mos]
+    a = functools.reduce(lambda x, y: x.unionByName(y), by_filter).groupBy("moid", "direction").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("b"))
     b = joins.match_mo(f, mos).groupBy("moid", "direction").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 

@@ -8,7 +8,7 @@ from brookwatch.catalog.sources import folder
 from brookwatch.operators import merges
 from brookwatch.operators.aggregate import port_table
 from brookwatch.detectors.base import counters
-from brookwatch.detectors.scans import port_scans_of_closed_slots
+from brookwatch.detectors.scans import closing_port_scans, port_scan_events
 from brookwatch.rules import Rule, Window
 from brookwatch.session import shared_dir
 from brookwatch.streaming import flowstreams as st
@@ -129,8 +129,8 @@ def test_a_scan_spread_over_batches_is_found_once(spark, make_flows):
         [probe(1, T0 + 10), probe(2, T0 + 20)], [probe(2, T0 + 250), probe(3, T0 + 260)], [probe(4, T0 + 3000)],
         [probe(5, T0 + 30)], [probe(6, T0 + 9000)]])
     rules = [Rule(1, 2, min=3)]
-    events = port_scans_of_closed_slots(st.event_time(stream), rules, Window(T0, T0 + 86400, step=300))
-    got, dropped = st.run_deliveries(events, steps)
+    got, dropped = st.run_deliveries(closing_port_scans(st.event_time(stream)), steps,
+                                     lambda scans: port_scan_events(scans, rules, Window(T0, T0 + 86400, step=300)))
     assert [(r.time, r.alarm_value) for r in got.collect()] == [(T0, 3)]
     assert dropped == 1
 
