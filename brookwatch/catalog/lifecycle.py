@@ -10,16 +10,18 @@ from ..detectors.base import counters
 from ..functions.predicates import w_net, w_port
 from ..functions.timefn import slot, truncate
 from ..operators import joins
+from ..plans import job
 from ..plans import lifecycle as lc
 from ..plans import requests as rq
 from ..plans.anonymize import anonymize
 from ..plans.run import Config, all_events, run_detectors
-from ..rules import Rule
-from .detections import D5_RULES, D9_RULES, D15_RULES, PATTERNS, mining_domains, mining_ips, white_sub
-from .lookups import IPS_CTE, MOS, assets, domain_intel, ip_list
+from ..rules import Rule, Window
+from . import detections as dt
+from .detections import D5_RULES, D9_RULES, D15_RULES, DIP, PATTERNS, SIP, mining_domains, mining_ips, white_sub
+from .lookups import CLASS_RULES, IPS_CTE, MOS, assets, domain_intel, ip_list, service_ctes
 from .predicates import THREAT_EVENTS, threat_events
 from .ranking import _ISLANDS, _PAIRS, _pairs, _topn_sql
-from .registry import COUNTERS, DAY, END, RECOUNT, START, on_flows, register
+from .registry import COUNTERS, DAY, DOMAIN, END, ORACLES, PROTO, RECOUNT, REQ, START, folder, on_flows, register
 
 _KEY = ["srcaddr", "dstaddr", "prot"]
 
@@ -81,6 +83,90 @@ def _run_all(f: DataFrame) -> DataFrame:
 
 # the parts are compared one by one by the detector queries
 on_flows("e1_run_detectors", _run_all, None)
+
+# Detectors of the job with the rules of their own queries; their events are those queries' rows.
+JOB_PARTS = {"port_scan": "d1_port_scan", "ip_scan": "d2_ip_scan", "dns": "d3_dns_intel", "dnstunnel": "d5_dns_tunnel",
+             "dnstunnel_scored": "d6_dns_tunnel_scored", "icmptunnel": "d7_icmp_tunnel", "url_content": "d8_url_attacks",
+             "frn_trip": "d9_outreach", "mining": "d10_mining", "threat": "d11_threats", "assetsrv": "d13_asset_events",
+             "ip_set": "d15_suspicious", "malicious_url": "d19_malicious_url"}
+
+
+def job_config(f: DataFrame) -> Config:
+    rules = {"port_scan": dt.D1_RULES, "ip_scan": CLASS_RULES, "dns": dt.D3_RULES, "dnstunnel": D5_RULES, "dnstunnel_scored": dt.D6_RULES,
+             "icmptunnel": dt.D7_RULES, "url_content": dt.D8_RULES, "frn_trip": D9_RULES, "malicious_url": dt.D19_RULES,
+             "mining": [Rule(5, 15, qcount=2, data_type="mining")], "threat": [Rule(1, 13), Rule(4, 13, weekday=(2, 3))],
+             "assetsrv": dt.D13_RULES, "ip_set": D15_RULES}
+    tables = {"assets": assets(f), "domain_intel": domain_intel(f), "white_domains": white_sub(f), "suspicious": ip_list(f),
+              "popular": ip_list(f), "white": ip_list(f).where("class = 'c2'"), "mining_domains": mining_domains(f),
+              "mining_ips": mining_ips(f)}
+    return Config(rules, PATTERNS, MOS, tables)
+
+
+def _job_events(f: DataFrame) -> DataFrame:
+    """Events that the job has written for the day, after the day was run twice."""
+    out = folder(f)
+    for _ in range(2):
+        job.run_slot(f, job_config(f), DAY, out, parts=["events"], only=list(JOB_PARTS))
+    return job.read_events(f.sparkSession, out, now=END)
+
+
+on_flows("e1_run_job", _job_events, None)
+ORACLES["e1_run_job"] = " UNION BY NAME ".join(f"SELECT * FROM ({ORACLES[q]}) p{i}" for i, q in enumerate(JOB_PARTS.values()))
+
+
+def _hours_as_slots(f: DataFrame, kind: str, parts: list[str]) -> str:
+    """The folder of a job that ran two halves of the day, the second one twice."""
+    out = folder(f)
+    halves = [Window(START, START + 43_200), Window(START + 43_200, END)]
+    for window in (halves[0], halves[1], halves[1]):
+        job.run_slot(f, job_config(f), window, out, parts=parts, only=[kind])
+    return out
+
+
+def _requested_features(f: DataFrame) -> DataFrame:
+    out = _hours_as_slots(f, "dns", ["features"])
+    return job.request_features(f.sparkSession, out, "dns", START + 3600, START + 60000, qname="alpha").drop("class")
+
+
+on_flows("f2_request_features", _requested_features,
+         f"""SELECT devid, srcaddr, dstaddr, qname, qtype, {RECOUNT}, max(last) - min(first) AS duration FROM
+         (SELECT min(first) - min(first) % 3600 AS hour, devid, srcaddr, dstaddr, qname, qtype, {COUNTERS} FROM flows WHERE {REQ} AND qname <> '' AND {DOMAIN}
+            GROUP BY devid, srcaddr, dstaddr, qname, qtype, first < {START + 43200}) h
+         WHERE hour >= {START + 3600} AND hour <= {START + 60000} AND last >= {START + 3600} AND first <= {START + 60000}
+           AND contains(qname, 'alpha') GROUP BY devid, srcaddr, dstaddr, qname, qtype""")
+
+
+def _requested_services(f: DataFrame) -> DataFrame:
+    """Answering sides of the services, by their mark."""
+    out = _hours_as_slots(f, "service", ["features"])
+    return job.request_features(f.sparkSession, out, "service", START, END, srv_mark=1, proto=6).groupBy("addr", "port").agg(
+        F.sum("flows").alias("flows"), F.sum("bytes").alias("bytes"))
+
+
+def _halves_sql() -> str:
+    parts = []
+    for i, where in enumerate((f"first < {START + 43200}", f"first >= {START + 43200}")):
+        names = service_ctes(where).replace("app <> ''", "'' <> ''").replace("'|', app", "'|', ''")
+        parts.append(f"SELECT * FROM (WITH {names} SELECT devid, addr, port, prot, flows, bytes FROM servers) s{i} "
+                     "WHERE prot = 6 AND flows >= 20")
+    return " UNION ALL ".join(parts)
+
+
+on_flows("w41_service_mark", _requested_services,
+         f"SELECT addr, port, CAST(sum(flows) AS BIGINT) AS flows, CAST(sum(bytes) AS BIGINT) AS bytes FROM ({_halves_sql()}) h GROUP BY addr, port")
+
+
+def _requested_evidence(f: DataFrame) -> DataFrame:
+    out = _hours_as_slots(f, "threat", ["details"])
+    return job.request_evidence(f.sparkSession, out, "threat", START, END, type_id=13).select(
+        "time", "obj", "srcaddr", "srcport", "dstaddr", "dstport", "prot", "first", "last", "flows", "pkts", "bytes")
+
+
+_THREAT_OBJ = f"concat(CASE WHEN lower(threat_type) = 'mining' THEN {DIP} ELSE {SIP} END, ':>', CASE WHEN lower(threat_type) = 'mining' THEN {SIP} ELSE {DIP} END, ':', dstport, ' ', {PROTO}, ' ', lower(threat_type), ' ', lower(threat_name))"
+on_flows("e5_request_evidence", _requested_evidence,
+         f"""SELECT {START} + CASE WHEN first >= {START + 43200} THEN 43200 ELSE 0 END AS time, {_THREAT_OBJ} AS obj, srcaddr, srcport,
+           dstaddr, dstport, prot, {COUNTERS} FROM flows WHERE threat_type <> '' AND {REQ}
+         GROUP BY 1, 2, srcaddr, srcport, dstaddr, dstport, prot""")
 on_flows("e2_query_events", lambda f: lc.query_events(threat_events(f), START, START + 43200, 13, [7]),
          f"SELECT * FROM threat_events WHERE time >= {START} AND time < {START + 43200} AND config_id = 7", THREAT_EVENTS)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..rules import Window
-from ..session import tune
+from ..session import shared_dir, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +64,12 @@ def value_counts(name: str, cols: dict[str, tuple[Callable[[], Column] | Column,
     on_flows(name, build, select, wide=wide)
 
 
+def folder(df_or_spark) -> str:
+    """A fresh folder in the shared working area."""
+    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
+    return f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
+
+
 # ---- SQL fragments ------------------------------------------------------
 
 def ip_sql(c: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,18 +10,11 @@ from ..functions.predicates import w_bytes, w_port, w_proto
 from ..functions.timefn import align_range, truncate
 from ..operators.aggregate import aggregate_flows
 from ..plans import lifecycle as lc
-from ..session import shared_dir
 from ..sources import exports, flowtable, lists, textflows
 from .lifecycle import _HOURS_SQL, _KEY, _SLOTS, slot_features
 from .predicates import PACKETS_SQL, THREAT_EVENTS, packets, threat_events
 from .ranking import _FLOW_COLS
-from .registry import COUNTERS, END, START, ip_sql, on_flows, register
-
-
-def folder(df_or_spark) -> str:
-    """A fresh folder in the shared working area."""
-    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
-    return f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
+from .registry import COUNTERS, END, START, folder, ip_sql, on_flows, register
 
 
 def stored(f: DataFrame, devices: int = 1) -> tuple:

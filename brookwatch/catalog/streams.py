@@ -11,8 +11,7 @@ from ..rules import Rule
 from ..streaming import flowstreams as st
 from .detections import _SLOT_SCANS, PROTO, SIP
 from .predicates import THREAT_EVENTS, threat_events
-from .registry import COUNTERS, DAY_SLOTS, END, ORACLES, REQ, START, event_sql, on_flows, register, with_flows
-from .sources import folder
+from .registry import COUNTERS, DAY_SLOTS, END, ORACLES, REQ, START, event_sql, folder, on_flows, register, with_flows
 
 
 def flow_stream(spark: SparkSession, sf: str) -> DataFrame:

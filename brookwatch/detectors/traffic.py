@@ -63,6 +63,11 @@ def listed_traffic(flows: DataFrame, ips: DataFrame, window: Window) -> DataFram
     return hits.groupBy(*RUN, "sip", "dip", "prot", "ti_mark", "class").agg(*recount())
 
 
+def listed_features(flows: DataFrame, ips: DataFrame, window: Window) -> Detection:
+    """Features of the traffic of listed addresses, such as popular or white-listed ones, which make no events."""
+    return Detection(features=lambda: with_hour(listed_traffic(flows, ips, window).drop("time")))
+
+
 def _listed(flows, ips, rules: Rules, window, units, with_class) -> Detection:
     agg = listed_traffic(flows, ips, window)
 

@@ -212,6 +212,7 @@ def _prefix_cond(halves: Column, value: int, bits: int, high_mask: int, low_mask
 # ---- either family ----------------------------------------------------
 
 def is_v6(df: DataFrame, name: str = "srcaddr") -> bool:
+    """Whether addresses are texts, of IPv6 or of both families, and not numbers of IPv4."""
     return isinstance(df.schema[name].dataType, T.StringType)
 
 
@@ -230,9 +231,10 @@ def in_networks(df: DataFrame, name: str, texts) -> Column:
 
 
 def addr_text(df: DataFrame, name: str, bracket: bool = True) -> Column:
-    """Printable address: dotted IPv4, or bracketed IPv6 text."""
+    """Printable address: dotted IPv4, or bracketed IPv6 text; a text column may hold both."""
     if is_v6(df, name):
-        return F.concat(F.lit("["), F.col(name), F.lit("]")) if bracket else F.col(name)
+        six = F.concat(F.lit("["), F.col(name), F.lit("]"))
+        return F.when(F.instr(F.col(name), ":") > 0, six).otherwise(F.col(name)) if bracket else F.col(name)
     return ipv4_str(name)
 
 

@@ -42,23 +42,34 @@ def merge_features(old: DataFrame | None, new: DataFrame, key: Sequence[str]) ->
 
 
 # Feature kinds by the names that the run gives its detectors: whether rows merge over gaps, or all of a key.
-MERGED_OVER_GAPS = {**dict.fromkeys(("port_scan", "ip_scan", "service", "assetsrv", "mo", "ip_set", "bw", "icmptunnel"), True),
+MERGED_OVER_GAPS = {**dict.fromkeys(("port_scan", "ip_scan", "service", "assetsrv", "mo", "ip_set", "bw", "popular", "white",
+                                     "icmptunnel"), True),
                     **dict.fromkeys(("dns", "dnstunnel", "dnstunnel_scored", "dga", "url_content", "malicious_url",
                                      "threshold", "frn_trip", "tcpinit", "threat", "mining"), False)}
 
+_ENDS, _LISTED, _SERVICE = "devid srcaddr dstaddr", "devid sip dip prot ti_mark class", "devid addr port prot srv_mark"
+# The columns that make a feature row of each kind.
+FEATURE_KEYS = {kind: key.split() for kind, key in {
+    "port_scan": "devid srcaddr prot dstport", "ip_scan": f"{_ENDS} prot", "service": _SERVICE, "assetsrv": _SERVICE,
+    "mo": "devid moid", "ip_set": _LISTED, "bw": _LISTED, "popular": _LISTED, "white": _LISTED, "icmptunnel": "devid sip dip",
+    "dns": f"{_ENDS} qname qtype", "dnstunnel": f"{_ENDS} domain", "dnstunnel_scored": f"{_ENDS} qname", "dga": f"{_ENDS} qname",
+    "malicious_url": f"{_ENDS} dstport http_url", "tcpinit": "devid sip dip dport http_ret_code srv_mark",
+    "threat": "devid srcaddr prot dstaddr dstport fp_type fp_name", "mining": "devid sip dip prot coin domain model"}.items()}
+
 
 def feature_filter(df: DataFrame, start: int, end: int, ip=None, sip=None, dip=None, port=None, proto=None,
                    flows: int | None = None, peers: int | None = None, qname: str | None = None,
-                   qname_part: bool = False, qtype: int | None = None, ti_mark: bool | None = None) -> Column:
+                   qname_part: bool = False, qtype: int | None = None, ti_mark: bool | None = None,
+                   srv_mark: int | str | None = None) -> Column:
     """Time overlap and the optional fields of a feature request, ANDed."""
-    src = "sip" if "sip" in df.columns else "srcaddr"
+    src = next((c for c in ("sip", "addr", "srcaddr") if c in df.columns), "srcaddr")
     dst = "dip" if "dip" in df.columns else "dstaddr"
     cond = (F.col("last") >= start) & (F.col("first") <= end)
     if ip is not None:
         side = F.col(src) == ip
         cond = cond & (side | (F.col(dst) == ip) if dst in df.columns else side)
     tests = [(sip, src), (dip, dst), (port, "dstport" if "dstport" in df.columns else "port"), (proto, "prot"),
-             (qtype, "qtype"), (ti_mark, "ti_mark")]
+             (qtype, "qtype"), (ti_mark, "ti_mark"), (srv_mark, "srv_mark")]
     for value, column in tests:
         if value is not None:
             cond = cond & (F.col(column) == value)
@@ -72,8 +83,8 @@ def feature_filter(df: DataFrame, start: int, end: int, ip=None, sip=None, dip=N
     return cond
 
 
-def query_features(features: DataFrame, kind: str, key: Sequence[str], start: int, end: int, **fields) -> DataFrame:
-    """Feature rows of a range, filtered and merged for display.
+def query_features(features: DataFrame, kind: str, key: Sequence[str] | None, start: int, end: int, **fields) -> DataFrame:
+    """Feature rows of a range, filtered and merged for display, by the given key or that of the kind.
 
     Whole hours are scanned; the hour column prunes the partitions.  An unknown kind raises.
     """
@@ -81,6 +92,7 @@ def query_features(features: DataFrame, kind: str, key: Sequence[str], start: in
         raise ValueError(f"not a feature kind: {kind!r}")
     scanned = features.where((F.col("hour") >= start - start % HOUR_SECONDS) & (F.col("hour") <= end))
     rows = scanned.where(feature_filter(features, start, end, qname_part=kind == "dns", **fields))
+    key = key or FEATURE_KEYS[kind]
     merged = merge_gaps(rows, key) if MERGED_OVER_GAPS[kind] else merge_all(rows, key)
     return merged.withColumn("duration", F.col("last") - F.col("first"))
 

@@ -50,6 +50,8 @@ def _registry(flows: DataFrame, cfg: Config, w: Window) -> dict[str, tuple[list[
         "dnstunnel_scored": ([], lambda: d.detect_dns_tunnel_scored(flows, r("dnstunnel_scored"), w)),
         "dga": (["white_domains"], lambda: d.detect_dga(flows, r("dga"), t["white_domains"], w)),
         "ip_set": (["suspicious"], lambda: d.detect_suspicious(flows, t["suspicious"], r("ip_set"), w)),
+        "popular": (["popular"], lambda: d.listed_features(flows, t["popular"], w)),
+        "white": (["white"], lambda: d.listed_features(flows, t["white"], w)),
         "bw": (["black"], lambda: d.detect_black_list(flows, t["black"], r("bw"), w)),
         "url_content": ([], lambda: d.detect_url_attacks(flows, r("url_content"), w)),
         "malicious_url": ([], lambda: d.detect_malicious_url(flows, r("malicious_url"), w)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 from dataclasses import MISSING, dataclass, field, fields
 
@@ -145,6 +146,14 @@ class Window:
         return (first - (first - F.lit(self.start)) % self.step).cast("bigint")
 
     def clip(self, flows: DataFrame) -> DataFrame:
-        """Flows that start inside the window, with their run start as ``time``."""
-        return (flows.where((F.col("first") >= self.start) & (F.col("first") < self.end))
-                .withColumn("time", self.time()))
+        """Flows that start inside the window, with their run start as ``time``.
+
+        On a stored flow table the days and slots are bounded too, so that other days' files are not opened.
+        """
+        inside = (F.col("first") >= self.start) & (F.col("first") < self.end)
+        if "slot" in flows.columns:
+            inside = inside & F.col("slot").between(self.start - self.start % 300, self.end - 1)
+        if "dt" in flows.columns:
+            days = [datetime.datetime.fromtimestamp(t, datetime.timezone.utc).date() for t in (self.start, self.end - 1)]
+            inside = inside & F.col("dt").between(*map(F.lit, days))
+        return flows.where(inside).withColumn("time", self.time())

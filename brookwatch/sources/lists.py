@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.address import ipv4_num, is_ipv4_text
+from ..functions.address import ipv4_num, is_ipv4_cidr_text, is_ipv4_text, is_ipv6_text
 
 PATTERN_SCHEMA = ("type string, sip string, sport string, dip string, dport string, protocol string, "
                   "peers string, flows string, x1 string, x2 string, x3 string")
@@ -24,9 +24,37 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return parse_list(spark.read.text(path))
 
 
+def parse_networks(lines: DataFrame) -> DataFrame:
+    """(cidr, class, family, ip, reason) of the lines of an address list.
+
+    ``family`` is 4 or 6; ``ip`` is the number of a single IPv4 address.  A line that is neither address nor network has
+    a ``reason`` and no family.
+    """
+    key = F.col("key")
+    base, bits = F.substring_index(key, "/", 1), F.substring_index(key, "/", -1).try_cast("int")
+    bare = F.instr(key, "/") == 0
+    six = is_ipv6_text(base) & (bare | (key.rlike(r"/\d{1,3}$") & bits.between(0, 128)))
+    family = F.when(F.when(bare, is_ipv4_text(key)).otherwise(is_ipv4_cidr_text(key)), 4).when(six, 6)
+    reason = F.when(bare, "no address").when(~(is_ipv4_text(base) | is_ipv6_text(base)), "no network address").otherwise(
+        "no prefix length")
+    return parse_list(lines).select(key.alias("cidr"), "class", family.cast("int").alias("family"),
+                                    F.when(bare & is_ipv4_text(key), ipv4_num(key)).alias("ip"),
+                                    F.when(family.isNull(), reason).alias("reason"))
+
+
+def read_networks(spark: SparkSession, path: str) -> DataFrame:
+    """(cidr, class) of all addresses and networks of a list file, of either family."""
+    return parse_networks(spark.read.text(path)).where("reason IS NULL").select("cidr", "class")
+
+
+def refused_networks(spark: SparkSession, path: str) -> DataFrame:
+    """(cidr, reason) of the lines that are neither."""
+    return parse_networks(spark.read.text(path)).where("reason IS NOT NULL").select("cidr", "reason")
+
+
 def read_ip_list(spark: SparkSession, path: str) -> DataFrame:
-    """(ip, class) rows of an IPv4 list file; other lines are dropped."""
-    return read_list(spark, path).where(is_ipv4_text("key")).select(ipv4_num("key").alias("ip"), "class")
+    """(ip, class) of the single IPv4 addresses of a list file, as numbers; ``read_networks`` gives all of it."""
+    return parse_networks(spark.read.text(path)).where("ip IS NOT NULL").select("ip", "class")
 
 
 def read_intel(spark: SparkSession, path: str, columns=("key", "source", "coin")) -> DataFrame:

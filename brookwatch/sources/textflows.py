@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.address import addr_text, bind, ipv4_num, ipv4_str, is_v6, v6_groups, v6_text
+from ..functions.address import addr_text, bind, ipv4_num, ipv4_str, is_ipv4_text, is_v6, v6_groups, v6_text
 from ..functions.names import flags_str, proto_name
 from ..functions.numeric import duration_ms, idiv
 from ..functions.render import clock, mac_text, mpls_text
@@ -29,13 +29,13 @@ _LONG_FIELDS = {"first", "last", "pkts", "bytes", "aggr_flows", "srcas", "dstas"
 AF_INET, AF_INET6 = 2, 10
 
 
-def _words(df: DataFrame, name: str) -> list[Column]:
+def _words(df: DataFrame, name: str) -> Column:
     """The four 32-bit words of an address; IPv4 lies in the last one."""
+    zero = F.lit(0).cast("bigint")
     if not is_v6(df, name):
-        zero = F.lit(0).cast("bigint")
-        return [zero, zero, zero, F.col(name).cast("bigint")]
-    g = bind(v6_groups(name), lambda x: x)
-    return [(g[2 * i] * 65536 + g[2 * i + 1]).cast("bigint") for i in range(4)]
+        return F.array(zero, zero, zero, F.col(name).cast("bigint"))
+    six = bind(v6_groups(name), lambda g: F.array(*[g[2 * i] * 65536 + g[2 * i + 1] for i in range(4)]))
+    return F.when(F.instr(F.col(name), ":") > 0, six).otherwise(F.array(zero, zero, zero, ipv4_num(name)))
 
 
 def _no_separator(c: Column) -> Column:
@@ -45,9 +45,10 @@ def _no_separator(c: Column) -> Column:
 
 def pipe_lines(df: DataFrame) -> DataFrame:
     """One ``value`` line of 65 fields per flow; absent columns are 0 or empty."""
-    sa, da = _words(df, "srcaddr"), _words(df, "dstaddr")
-    special = {f"sa{i}": sa[i] for i in range(4)} | {f"da{i}": da[i] for i in range(4)}
-    special["af"] = F.lit(AF_INET6 if is_v6(df, "srcaddr") else AF_INET)
+    df = df.withColumns({"_sa": _words(df, "srcaddr"), "_da": _words(df, "dstaddr")})
+    special = {f"{c}{i}": F.col(f"_{c}")[i] for c in ("sa", "da") for i in range(4)}
+    special["af"] = (F.when(F.instr(F.col("srcaddr"), ":") > 0, AF_INET6).otherwise(AF_INET) if is_v6(df, "srcaddr")
+                     else F.lit(AF_INET))
     cols = []
     for f in PIPE_FIELDS:
         if f in special:
@@ -65,15 +66,40 @@ def write_pipe(df: DataFrame, path: str, mode: str = "error") -> None:
     pipe_lines(df).write.mode(mode).text(path)
 
 
-def parse_pipe(lines: DataFrame) -> DataFrame:
-    """Flows of pipe lines (column ``value``); short lines are dropped."""
+def _kind(field: str) -> str:
+    return "string" if field in _TEXT_FIELDS else "bigint" if field in _LONG_FIELDS or field[:2] in ("sa", "da") else "int"
+
+
+def _refusal(p: Column) -> Column:
+    """Why the fields of a line are no flow; null if they are one."""
+    numbers = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(f).alias("name"), F.lit(_kind(f) == "int").alias("short"))
+                        for i, f in enumerate(PIPE_FIELDS) if _kind(f) != "string"])
+
+    def wrong(field: Column) -> Column:
+        value = F.get(p, field["at"]).try_cast("bigint")
+        return value.isNull() | (field["short"] & ~value.between(-(1 << 31), (1 << 31) - 1))
+
+    first = F.get(F.transform(F.filter(numbers, wrong), lambda f: F.concat(f["name"], F.lit(" is no number"))), F.lit(0))
+    return F.when(F.size(p) != len(PIPE_FIELDS), F.concat(F.size(p).cast("string"), F.lit(" fields"))).otherwise(first)
+
+
+def refused_lines(lines: DataFrame) -> DataFrame:
+    """The pipe lines (column ``value``) that ``parse_pipe`` leaves out, with the reason."""
+    split = lines.select("value", F.split("value", r"\|").alias("_p"))
+    return split.select("value", _refusal(F.col("_p")).alias("reason")).where("reason IS NOT NULL")
+
+
+def parse_pipe(lines: DataFrame, text_addresses: bool = False) -> DataFrame:
+    """Flows of pipe lines (column ``value``); the others are given by ``refused_lines``.
+
+    ``sip`` and ``dip`` are texts of either family.  ``srcaddr`` and ``dstaddr`` are numbers, null for IPv6, or with
+    ``text_addresses`` the same texts, as a table of both families has them.
+    """
     p = F.col("_p")
-    parts = (lines.select(F.split("value", r"\|").alias("_p"))
-             .where(F.size("_p") == len(PIPE_FIELDS)))
+    parts = lines.select(F.split("value", r"\|").alias("_p")).where(_refusal(p).isNull())
     raw = {}
     for i, f in enumerate(PIPE_FIELDS):
-        kind = "string" if f in _TEXT_FIELDS else "bigint" if f in _LONG_FIELDS or f[:2] in ("sa", "da") else "int"
-        raw[f] = p[i].cast(kind)
+        raw[f] = p[i].cast(_kind(f))
 
     def address(side):
         words = [p[PIPE_FIELDS.index(f"{side}{i}")].cast("bigint") for i in range(4)]
@@ -83,14 +109,15 @@ def parse_pipe(lines: DataFrame) -> DataFrame:
 
     (s4, s6), (d4, d6) = address("sa"), address("da")
     v6 = raw["af"] == AF_INET6
-    out = [raw["af"].alias("af"), F.when(~v6, s4).alias("srcaddr"), F.when(~v6, d4).alias("dstaddr"),
-           F.when(v6, s6).otherwise(ipv4_str(s4)).alias("sip"), F.when(v6, d6).otherwise(ipv4_str(d4)).alias("dip")]
+    sip, dip = F.when(v6, s6).otherwise(ipv4_str(s4)), F.when(v6, d6).otherwise(ipv4_str(d4))
+    ends = (sip, dip) if text_addresses else (F.when(~v6, s4), F.when(~v6, d4))
+    out = [raw["af"].alias("af"), ends[0].alias("srcaddr"), ends[1].alias("dstaddr"), sip.alias("sip"), dip.alias("dip")]
     out += [c.alias(f) for f, c in raw.items() if f not in ("af",) and f[:2] not in ("sa", "da")]
     return parts.select(*out)
 
 
-def read_pipe_flows(spark: SparkSession, path: str) -> DataFrame:
-    return parse_pipe(spark.read.text(path))
+def read_pipe_flows(spark: SparkSession, path: str, text_addresses: bool = False) -> DataFrame:
+    return parse_pipe(spark.read.text(path), text_addresses)
 
 
 # Short CSV column names.
@@ -108,7 +135,7 @@ def csv_frame(df: DataFrame, zone: str = "UTC") -> DataFrame:
         return mac_text(name) if name in df.columns else F.lit("00:00:00:00:00:00")
 
     def addr(name):
-        return ipv4_str(name) if name in df.columns else F.lit("0.0.0.0")
+        return addr_text(df, name, False) if name in df.columns else F.lit("0.0.0.0")
 
     def latency(name):
         return (F.format_string("%.3f", F.col(name) / 1000) if name in df.columns else F.lit("0.000"))
@@ -138,15 +165,18 @@ def to_csv(df: DataFrame, path: str, zone: str = "UTC", mode: str = "error") ->
     csv_frame(df, zone).write.mode(mode).csv(path, header=True)
 
 
-def read_flow_csv(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
+def read_flow_csv(spark: SparkSession, path: str, zone: str = "UTC", text_addresses: bool = False) -> DataFrame:
     """CSV rows back as a flow frame; the header names the fields."""
     header = spark.read.csv(path, header=True).columns
     df = spark.read.csv(path, header=True, schema=", ".join(f"`{c}` string" for c in header))
-    return parse_csv_frame(df, zone)
+    return parse_csv_frame(df, zone, text_addresses)
+
 
+def parse_csv_frame(df: DataFrame, zone: str = "UTC", text_addresses: bool = False) -> DataFrame:
+    """Typed flow columns of text columns named as in the CSV header.
 
-def parse_csv_frame(df: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Typed flow columns of text columns named as in the CSV header."""
+    Addresses are numbers, null where they are not IPv4, or with ``text_addresses`` texts of either family.
+    """
     from ..functions.names import PROTOCOLS
     names = F.split(F.lit(" ".join(PROTOCOLS)), " ")
 
@@ -171,7 +201,8 @@ def parse_csv_frame(df: DataFrame, zone: str = "UTC") -> DataFrame:
     for short, name in (("sa", "srcaddr"), ("da", "dstaddr"), ("nh", "ip_nexthop"), ("nhb", "bgp_nexthop"),
                         ("ra", "ip_router")):
         if short in df.columns:
-            out.append(ipv4_num(short).alias(name))
+            number = F.when(is_ipv4_text(F.trim(short)), ipv4_num(short))
+            out.append((F.trim(short) if text_addresses else number).alias(name))
     if "pr" in df.columns:
         at = F.array_position(names, F.col("pr")).cast("int")
         out.append(F.when(at > 0, at - 1).otherwise(

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from brookwatch.catalog.sources import folder
+from brookwatch.catalog.registry import folder
 from brookwatch.functions.predicates import w_port, w_proto
 from brookwatch.plans import lifecycle as lc
 from brookwatch.plans import requests as rq

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brookwatch import fixtures
-from brookwatch.catalog.sources import folder
+from brookwatch.catalog.registry import folder
 from brookwatch.operators import merges
 from brookwatch.operators.aggregate import port_table
 from brookwatch.detectors.base import counters
