@@ -164,7 +164,7 @@ def _requested_evidence(f: DataFrame) -> DataFrame:
 
 _THREAT_OBJ = f"concat(CASE WHEN lower(threat_type) = 'mining' THEN {DIP} ELSE {SIP} END, ':>', CASE WHEN lower(threat_type) = 'mining' THEN {SIP} ELSE {DIP} END, ':', dstport, ' ', {PROTO}, ' ', lower(threat_type), ' ', lower(threat_name))"
 on_flows("e5_request_evidence", _requested_evidence,
-         f"""SELECT {START} + CASE WHEN first >= {START + 43200} THEN 43200 ELSE 0 END AS time, {_THREAT_OBJ} AS obj, srcaddr, srcport,
+         f"""SELECT CAST({START} + CASE WHEN first >= {START + 43200} THEN 43200 ELSE 0 END AS BIGINT) AS time, {_THREAT_OBJ} AS obj, srcaddr, srcport,
            dstaddr, dstport, prot, {COUNTERS} FROM flows WHERE threat_type <> '' AND {REQ}
          GROUP BY 1, 2, srcaddr, srcport, dstaddr, dstport, prot""")
 on_flows("e2_query_events", lambda f: lc.query_events(threat_events(f), START, START + 43200, 13, [7]),

@@ -7,7 +7,6 @@ under the threshold, and otherwise shuffles with AQE splitting skewed keys.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from ..functions.predicates import net_text
 from ..functions.timefn import truncate
 from ..rules import MonitoredObject
 from ..schema import HOUR_SECONDS
+from ..session import held_rows
 from .ranges import range_join
 from .sweep import beyond, bounds, order_key, rank_of, sweep
 
@@ -127,18 +127,22 @@ def tag_bw(flows: DataFrame, black: DataFrame, white: DataFrame) -> DataFrame:
     return tag_list(tag_list(flows, black, "blacklist"), white, "whitelist")
 
 
-_OBJECT_FIELDS = ("_side int, _rank int, moid int, direction string, _lo {0}, _hi {0}, _portop string, _port int, "
-                  "_plo {0}, _phi {0}, _pnot boolean, _pportop string, _pport int, _proto int")
+_OBJECT_FIELDS = ("_side int, _rank int, moid int, direction string, _at_src boolean, _at_dst boolean, "
+                  "_lo {0}, _hi {0}, _not boolean, _plo {0}, _phi {0}, _pnot boolean, "
+                  "_port_lo int, _port_hi int, _port_not boolean, _pport_lo int, _pport_hi int, _pport_not boolean, "
+                  "_proto_lo int, _proto_hi int")
 SRC, DST, ANY = 0, 1, 2  # the side by whose address an object is found; ANY: by none
+_LEAST, _MOST = -(1 << 31), (1 << 31) - 1
 
 
-def _port_term(text: str) -> tuple[str, int]:
-    """Operator (with ``!`` if negated; empty for none) and number of a port selector."""
-    if not text:
-        return "", 0
+def _port_range(text: str) -> tuple[int, int, bool]:
+    """First and last port of a port selector, and whether it is negated."""
     bare = text.lstrip("!")
-    op = bare[0] if bare[0] in "<>" else "="
-    return ("!" if text.startswith("!") else "") + op, int(bare.lstrip("<>"))
+    if not bare:
+        return _LEAST, _MOST, False
+    value = int(bare.lstrip("<>"))
+    lo, hi = {"<": (_LEAST, value - 1), ">": (value + 1, _MOST)}.get(bare[0], (value, value))
+    return lo, hi, text.startswith("!")
 
 
 def _object_table(mos: Sequence[MonitoredObject], text_keys: bool) -> tuple[list, list[tuple]]:
@@ -147,23 +151,31 @@ def _object_table(mos: Sequence[MonitoredObject], text_keys: bool) -> tuple[list
     An object without an own address, or with an excluded one, has one row that is found by no side.  An object of the
     other address family matches nothing, unless that address is excluded.
     """
+    every = ("", "~") if text_keys else (-(1 << 63), (1 << 63) - 1)
+
     def net(text: str) -> tuple | None:
-        return bounds(net_text(text, None) if "/" in text else text, text_keys)
+        """Bounds of an address selector and whether they are excluded; None for one that nothing matches."""
+        bare = text.lstrip("!")
+        if not bare:
+            return (*every, False)
+        known = bounds(net_text(bare, None) if "/" in bare else bare, text_keys)
+        if known is None:
+            return (*every, False) if text.startswith("!") else None
+        return (*known, text.startswith("!"))
 
     keyed, fixed = [], []
     for m in mos:
-        own, peer = net(m.moip.lstrip("!")) if m.moip else None, net(m.pip.lstrip("!")) if m.pip else None
-        excluded = m.moip.startswith("!")
-        if (m.moip and own is None and not excluded) or (m.pip and peer is None and not m.pip.startswith("!")):
+        own, peer = net(m.moip), net(m.pip)
+        if own is None or peer is None:
             continue
-        rest = (*_port_term(m.moport), *(peer or (None, None)), m.pip.startswith("!"), *_port_term(m.pport),
-                proto_number(m.protocol) if m.protocol else None)
-        if own is None or excluded:
-            fixed.append((ANY, 0, m.id, m.direction, *(own or (None, None)), *rest))
+        proto = (proto_number(m.protocol),) * 2 if m.protocol else (_LEAST, _MOST)
+        row = (m.id, m.direction, m.direction != "IN", m.direction != "OUT", *own, *peer, *_port_range(m.moport),
+               *_port_range(m.pport), *proto)
+        if own[:2] == every or own[2]:
+            fixed.append((ANY, 0, *row))
         else:
-            for side in {"IN": [DST], "OUT": [SRC]}.get(m.direction, [SRC, DST]):
-                keyed.append((side, own, (m.id, m.direction, *own, *rest)))
-    cuts, cover = sweep([(lo, beyond(hi)) for _, (lo, hi), _ in keyed])
+            keyed += [(side, own, row) for side in {"IN": [DST], "OUT": [SRC]}.get(m.direction, [SRC, DST])]
+    cuts, cover = sweep([(own[0], beyond(own[1])) for _, own, _ in keyed])
     return cuts, [(keyed[i][0], rank, *keyed[i][2]) for rank, i in cover] + fixed
 
 
@@ -175,46 +187,29 @@ def match_mo(flows: DataFrame, mos: Sequence[MonitoredObject]) -> DataFrame:
     may be of either family.
     """
     mos = sorted(mos, key=lambda m: m.id)
-    if not mos:
-        return flows.limit(0).withColumns({"moid": F.lit(0), "direction": F.lit("")})
     text_keys = is_v6(flows, "srcaddr")
     cuts, rows = _object_table(mos, text_keys)
-    objects = flows.sparkSession.createDataFrame(rows, _OBJECT_FIELDS.format("string" if text_keys else "bigint"))
+    if not rows:
+        return flows.limit(0).withColumns({"moid": F.lit(0), "direction": F.lit("")})
+    objects = held_rows(flows.sparkSession, rows, _OBJECT_FIELDS.format("string" if text_keys else "bigint"))
     key = order_key if text_keys else F.col
     keys = flows.withColumns({"_src": key("srcaddr"), "_dst": key("dstaddr")})
     sides = {r[0] for r in rows}
     probes = [F.struct(F.lit(side).alias("_side"), rank.alias("_rank")) for side, rank in (
         (SRC, rank_of(F.col("_src"), cuts)), (DST, rank_of(F.col("_dst"), cuts)), (ANY, F.lit(0))) if side in sides]
-    if not probes:
-        return flows.limit(0).withColumns({"moid": F.lit(0), "direction": F.lit("")})
     found = keys.withColumn("_probe", F.explode(F.array(*probes))).select("*", "_probe.*").join(objects, ["_side", "_rank"])
 
-    def port_ok(op: str, value: str, *columns: str) -> Column:
-        def test(c):
-            return (F.when(F.col(op).endswith("="), F.col(c) == F.col(value))
-                    .when(F.col(op).endswith("<"), F.col(c) < F.col(value)).otherwise(F.col(c) > F.col(value)))
-        hit = reduce(lambda x, y: x | y, map(test, columns))
-        return F.when(F.col(op) == "", True).when(F.col(op).startswith("!"), ~hit).otherwise(hit)
-
-    def within(lo: str, hi: str, *columns: str) -> Column:
-        return reduce(lambda x, y: x | y, [F.col(c).between(F.col(lo), F.col(hi)) for c in columns])
-
-    def of_object(src: Column, dst: Column, both: Column) -> Column:
-        """By the side that the object is on."""
-        return F.when(F.col("direction") == "OUT", src).when(F.col("direction") == "IN", dst).otherwise(both)
-
-    own = of_object(within("_lo", "_hi", "_src"), within("_lo", "_hi", "_dst"), within("_lo", "_hi", "_src", "_dst"))
-    peer = of_object(within("_plo", "_phi", "_dst"), within("_plo", "_phi", "_src"), within("_plo", "_phi", "_src", "_dst"))
-    # found by its own address; an object on both ends only once
-    known = (F.col("_side") != ANY) & ~((F.col("_side") == DST) & (F.col("direction") == "ALL") & within("_lo", "_hi", "_src"))
-    hit = found.where(
-        F.when(F.col("_side") == ANY, F.col("_lo").isNull() | ~own).otherwise(known)
-        & F.when(F.col("_plo").isNull(), True).when(F.col("_pnot"), ~peer).otherwise(peer)
-        & of_object(port_ok("_portop", "_port", "srcport"), port_ok("_portop", "_port", "dstport"),
-                    port_ok("_portop", "_port", "srcport", "dstport"))
-        & of_object(port_ok("_pportop", "_pport", "dstport"), port_ok("_pportop", "_pport", "srcport"),
-                    port_ok("_pportop", "_pport", "srcport", "dstport"))
-        & (F.col("_proto").isNull() | (F.col("prot") == F.col("_proto"))))
+    def fits(lo: str, hi: str, negated: str, at_src: str, at_dst: str) -> Column:
+        """Whether the value on the object's side, or on either for an object of both, is in the range, or out of it."""
+        return ((F.col("_at_src") & F.col(at_src).between(F.col(lo), F.col(hi)))
+                | (F.col("_at_dst") & F.col(at_dst).between(F.col(lo), F.col(hi)))) != F.col(negated)
+
+    # an object of both directions that holds both addresses is found twice
+    again = (F.col("_side") == DST) & F.col("_at_src") & F.col("_src").between(F.col("_lo"), F.col("_hi"))
+    hit = found.where(~again & fits("_lo", "_hi", "_not", "_src", "_dst") & fits("_plo", "_phi", "_pnot", "_dst", "_src")
+                      & fits("_port_lo", "_port_hi", "_port_not", "srcport", "dstport")
+                      & fits("_pport_lo", "_pport_hi", "_pport_not", "dstport", "srcport")
+                      & F.col("prot").between(F.col("_proto_lo"), F.col("_proto_hi")))
     return hit.select(*flows.columns, "moid", "direction")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.address import is_v6
 from ..functions.timefn import schedule_ok
 from ..rules import Pattern, Rule, Window, rule_table, split_list
+from ..session import held_rows
 from .ranges import net_hits
 from .sweep import beyond, bounds, order_key, rank_of, sweep
 
@@ -81,7 +82,7 @@ def _held_networks(keys: DataFrame, address: str, texts: list[str], name: str) -
     of_rank: dict[int, list[str]] = {}
     for rank, i in cover:
         of_rank.setdefault(rank, []).append(known[i][0])
-    table = keys.sparkSession.createDataFrame(list(of_rank.items()), f"_rank int, {name} array<string>")
+    table = held_rows(keys.sparkSession, list(of_rank.items()), f"_rank int, {name} array<string>")
     value = order_key(address) if by_text else F.col(address)
     return keys.withColumn("_rank", rank_of(value, cuts)).join(table, "_rank", "left").drop("_rank")
 

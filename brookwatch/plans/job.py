@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ..schema import DAY_SECONDS, EVENT_COLUMNS, EVENT_SCHEMA
 from ..session import shared_dir
 from .lifecycle import FEATURE_KEYS, expire_events, merge_features, query_event_details, query_features
 from .requests import TopnRequest, build_topn_cache
-from .run import Config, all_events, run_detectors
+from .run import KINDS, Config, all_events, run_detectors
 
 PARTS = ("events", "features", "details", "topn")
 
@@ -40,7 +41,9 @@ def run_slot(flows: DataFrame, cfg: Config, window: Window, out: str, requests:
     copy = f"{shared_dir(spark).rstrip('/')}/slot-{uuid.uuid4().hex}"
     window.clip(flows).drop("time").write.parquet(copy)
     held = spark.read.schema(flows.schema).parquet(copy)
-    found = {k: v for k, v in run_detectors(held, cfg, window).items() if only is None or k in only}
+    if only is not None:
+        cfg = replace(cfg, enabled={k: k in only and cfg.enabled.get(k, True) for k in KINDS})
+    found = run_detectors(held, cfg, window)
     for kind, detection in found.items():
         for part, rows in (("features", detection.features if "features" in parts else None),
                            ("details", detection.details if "details" in parts else None)):

@@ -67,6 +67,9 @@ def _registry(flows: DataFrame, cfg: Config, w: Window) -> dict[str, tuple[list[
     }
 
 
+KINDS = ("port_scan ip_scan assetsrv dns dnstunnel dnstunnel_scored dga ip_set popular white bw url_content malicious_url icmptunnel "
+         "threshold frn_trip mo tcpinit service threat mining").split()
+
 # Detectors whose events and evidence come from rules; their features do not.
 _RULED = {"port_scan", "ip_scan", "dnstunnel", "dnstunnel_scored", "dga", "ip_set", "bw", "url_content",
           "malicious_url", "icmptunnel", "threshold", "frn_trip", "threat", "mining", "dns", "assetsrv"}

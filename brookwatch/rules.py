@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.names import URL_ATTACKS
+from .session import held_rows
 
 ALL_WEEK = (0, 1, 2, 3, 4, 5, 6)
 
@@ -92,7 +93,7 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFr
     if not isinstance(rules, DataFrame):
         rows = [tuple(getattr(r, c) for c in RULE_TYPES) for r in rules]
         rows = [tuple(list(v) if isinstance(v, tuple) else v for v in row) for row in rows]
-        return spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in RULE_TYPES.items()))
+        return held_rows(spark, rows, ", ".join(f"{c} {t}" for c, t in RULE_TYPES.items()))
     defaults = {f.name: f.default for f in fields(Rule)}
     return rules.select(*[_field(rules, c, t, defaults[c]) for c, t in RULE_TYPES.items()])
 

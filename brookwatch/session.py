@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Runtime settings the operators are planned for.  AQE splits skewed join
 # partitions and coalesces small ones; the window-group limit keeps only the
@@ -43,6 +47,15 @@ def local_session(cores: str = "8", app: str = "brookwatch") -> SparkSession:
     return builder.getOrCreate()
 
 
+def held_rows(spark: SparkSession, rows: Sequence[Sequence], ddl: str) -> DataFrame:
+    """Rows that the driver holds as a local relation: Catalyst knows its size, and broadcasts it while it is small."""
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    kinds = to_arrow_schema(schema)
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+    return spark.createDataFrame(table, schema)
+
+
 # Folders of sessions on one machine that name none, by application.
 _own_dirs: dict[str, str] = {}
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from brookwatch.catalog.registry import folder
 from brookwatch.functions.predicates import w_port, w_proto
+from brookwatch.plans import job
 from brookwatch.plans import lifecycle as lc
 from brookwatch.plans import requests as rq
 from brookwatch.plans.anonymize import anonymize, anonymous_addresses
-from brookwatch.plans.run import Config, all_events, read_switches, run_detectors
+from brookwatch.plans.run import KINDS, Config, all_events, read_switches, run_detectors
 from brookwatch.rules import Pattern, Rule, Window, read_objects, read_pattern_rows, read_rules
 from brookwatch.schema import EVENT_SCHEMA
 from brookwatch.sources import exports, flowtable, lists, textflows
@@ -132,6 +133,65 @@ def test_lists_and_patterns(spark, tmp_path):
                                             Pattern("SRV", dport="ssh", flows=5)], key=str)
 
 
+def test_address_lists_of_both_families(spark, tmp_path):
+    (tmp_path / "ips").write_text("10.0.0.1, a\n2001:db8::1\n10.0.0.0/24,net\n2001:db8::/32 , six\n10.0.0.0/33\nhost\n::1/129\n1.2.3/8\n")
+    assert sorted(map(tuple, lists.read_networks(spark, str(tmp_path / "ips")).collect())) == [
+        ("10.0.0.0/24", "net"), ("10.0.0.1", "a"), ("2001:db8::/32", "six"), ("2001:db8::1", "")]
+    assert sorted(map(tuple, lists.refused_networks(spark, str(tmp_path / "ips")).collect())) == [
+        ("1.2.3/8", "no network address"), ("10.0.0.0/33", "no prefix length"), ("::1/129", "no prefix length"), ("host", "no address")]
+    assert [tuple(r) for r in lists.read_ip_list(spark, str(tmp_path / "ips")).collect()] == [(167772161, "a")]
+
+
+def test_pipe_lines_of_both_families_and_refused_ones(spark, make_flows):
+    f = make_flows(dict(), dict(bytes=5), dict(bytes=6)).withColumns({
+        "srcaddr": F.when(F.col("bytes") == 5, "2001:db8::7").otherwise("10.0.0.1"),
+        "dstaddr": F.when(F.col("bytes") == 5, "fe80::1").otherwise("10.0.0.2")})
+    good = textflows.pipe_lines(f)
+    back = textflows.parse_pipe(good, text_addresses=True)
+    assert sorted((r.af, r.srcaddr, r.dstaddr, r.bytes) for r in back.collect()) == [
+        (2, "10.0.0.1", "10.0.0.2", 6), (2, "10.0.0.1", "10.0.0.2", 1000), (10, "2001:db8::7", "fe80::1", 5)]
+    numbers = sorted((r.srcaddr or 0, r.sip) for r in textflows.parse_pipe(good).collect())
+    assert numbers == [(0, "2001:db8::7"), (167772161, "10.0.0.1"), (167772161, "10.0.0.1")]
+    line = good.first().value
+    lines = spark.createDataFrame([(line,), ("a|b",), (line.replace("|", "|z", 1),), ("",)], "value string")
+    assert textflows.parse_pipe(lines).count() == 1
+    assert sorted(r.reason for r in textflows.refused_lines(lines).collect()) == ["1 fields", "2 fields", "first is no number"]
+
+
+def _tables(spark, out):
+    return {part: sorted(map(str, spark.read.parquet(f"{out}/{part}").collect())) for part in ("events", "features/kind=threat",
+                                                                                             "details/kind=threat", "topn")}
+
+
+def test_a_run_repeated_leaves_the_same_tables(spark, flows, tmp_path):
+    cfg = Config(rules={"threat": [Rule(2, 13)], "port_scan": [Rule(1, 2, min=3)]},
+                 enabled=read_switches(["port_scan = enable", "threat = enable"]))
+    asked = rq.TopnRequest("IP", srcdst="src", step=3600, limit=3)
+    out, windows = str(tmp_path / "job"), [Window(T0 + i * 21600, T0 + (i + 1) * 21600) for i in range(2)]
+    for w in windows:
+        job.run_slot(flows, cfg, w, out, [asked], only=["threat", "port_scan"])
+    first = _tables(spark, out)
+    job.run_slot(flows, cfg, windows[0], out, [asked], only=["threat", "port_scan"])
+    assert _tables(spark, out) == first and first["events"] and first["topn"]
+    want = sorted(map(tuple, (e for w in windows for e in all_events(run_detectors(flows, Config(cfg.rules, enabled={
+        k: k in ("threat", "port_scan") for k in KINDS}), w)).collect())))
+    assert sorted(map(tuple, job.read_events(spark, out).collect())) == want
+    day = T0 + 21600 + 86400
+    assert {r.time for r in job.read_events(spark, out, now=day).collect()} == {T0 + 21600}
+    assert job.drop_expired(spark, out, now=day) == 1 and job.read_events(spark, out).where(F.col("time") == T0).count() == 0
+    assert job.request_features(spark, out, "threat", T0, T0 + 50000).count() > 0
+    assert job.read_topn(spark, out, asked, T0, T0 + 1).count() > 0
+    with pytest.raises(ValueError):
+        job.request_features(spark, out, "nothing", T0, T0 + 1)
+
+
+def test_a_window_bounds_days_and_slots(spark, flows, tmp_path):
+    path = str(tmp_path / "flows")
+    flowtable.write_flows(flows, path)
+    plan = Window(T0 + 600, T0 + 900).clip(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "dt" in plan.split("PartitionFilters")[1].split("]")[0] and "slot" in plan.split("Filter (")[1]
+
+
 def test_json_omits_empty_fields(spark):
     df = spark.createDataFrame([(167772161, "", 3), (167772162, "né", 4)], "sip bigint, qname string, flows int")
     got = sorted(r.json for r in exports.features_to_json(df).collect())
