@@ -6,7 +6,9 @@ words at both ends of the gap match.  Coverage is the matched part of the templa
 
 A text can hold a notice several times, which leaves it no unique words.  So stretches of at most twice the template's
 length that hold enough of its words, each as often as both hold it, are aligned one by one, from left to right; no
-alignment matches more words than that.  Where templates match the same words, the one with most matched words counts,
+alignment matches more words than that.  A stretch that covers enough may begin in the prose before the notice and end
+within it, so it is aligned again around the place where most matched words say that the template begins, for as long as
+more words match.  Where templates match the same words, the one counts whose matched words most exceed its missing ones,
 then the one better covered.  A license that is often quoted without its warranty has a template with it and one without.
 
 Each row is handled in its own task, without a shuffle.  Defined cases: a null or empty text has no findings; texts are
@@ -160,6 +162,16 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def begins(matched: list[tuple[int, int]]) -> int:
+    """Where the template begins in the text, by the middle one of the matched pairs' differences."""
+    return sorted(i - j for i, j in matched)[len(matched) // 2]
+
+
+def merit(matched: list[tuple[int, int]]) -> tuple[int, int]:
+    """More matched words first, then fewer words of the text around them."""
+    return len(matched), matched[0][0] - matched[-1][0]
+
+
 class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words(text)
@@ -169,11 +181,29 @@ class Template:
         """Words of the template that a text with these counts can match at most."""
         return sum(min(n, count[w]) for w, n in self.own.items())
 
+    def whole(self, text: list[str], matched: list[tuple[int, int]], after: int) -> list[tuple[int, int]]:
+        """The alignment of the notice that a first alignment has met, which may be only a part of it.
+
+        Stretches around the place where the template begins are aligned, narrow ones too, as a neighbouring copy leaves a
+        wide one without unique words; words before ``after`` belong to an earlier notice.
+        """
+        size = len(self.words)
+        while True:
+            at, best = begins(matched), matched
+            for slack in (0, size // 16, size // 4, size // 2):
+                lo, hi = max(after, at - slack), at + size + slack
+                found = [(i + lo, j) for i, j in align(text[lo:hi], self.words)]
+                if found and merit(found) > merit(best):
+                    best = found
+            if best is matched:
+                return matched
+            matched = best
+
     def findings(self, text: list[str], least: float) -> list[tuple[int, int, int, str]]:
         """(matched words, first word, end, name) of each place in the text that covers enough of the template."""
         needed, own = least * len(self.words), self.own
         places = [i for i, w in enumerate(text) if w in own]
-        out, first, last, inside = [], 0, 0, Counter()
+        out, first, last, inside, after = [], 0, 0, Counter(), 0
         held = 0  # within(inside)
         reach = 2 * len(self.words)
         while first < len(places):
@@ -185,10 +215,12 @@ class Template:
             done = places[first] + 1
             if held >= needed:
                 start, end = places[first], places[last - 1] + 1
-                matched = align(text[start:end], self.words)
+                matched = [(i + start, j) for i, j in align(text[start:end], self.words)]
                 if len(matched) >= needed:
-                    done = start + matched[-1][0] + 1
-                    out.append((len(matched), start + matched[0][0], done, self.name))
+                    matched = self.whole(text, matched, after)
+                    after = matched[-1][0] + 1
+                    done = max(done, after)
+                    out.append((len(matched), matched[0][0], after, self.name))
             while first < len(places) and places[first] < done:
                 word = text[places[first]]
                 held -= inside[word] <= own[word]
@@ -203,9 +235,10 @@ def scan(text: str, templates: list[Template], least: float) -> list[dict]:
     count = Counter(tokens)
     for t in templates:
         if t.within(count) >= least * len(t.words):
-            found += [(-n, -n / len(t.words), name, start, end) for n, start, end, name in t.findings(tokens, least)]
+            size = len(t.words)
+            found += [(size - 2 * n, -n / size, name, start, end) for n, start, end, name in t.findings(tokens, least)]
     out: list[dict] = []
-    for n, part, name, start, end in sorted(found):
+    for _, part, name, start, end in sorted(found):
         if all(end <= o["start"] or o["end"] <= start for o in out):
             out.append({"license": name, "coverage": -part, "start": start, "end": end})
     return sorted(out, key=lambda o: o["start"])

@@ -441,6 +441,49 @@ def test_edited_notices_down_to_the_threshold():
         assert got["license"] == name and part <= got["coverage"] < part + 0.01
 
 
+COMMON = ("the of and to in a is that for it as was with be by on not he this are or his from at which but have an they you were all "
+          "we there been their one if so no when what more out up who would do can will has about only other new some could time "
+          "these may then first any our over such into like its than also after used many most must through before same right "
+          "well way even because each use work part made where both between under system program data file code version software "
+          "computer network user source license copy terms provided without").split()
+
+
+def ordinary_prose(seed, n):
+    return " ".join(random.Random(seed).choices(COMMON, weights=[1 / (i + 2) for i in range(len(COMMON))], k=n))
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_a_notice_within_ordinary_prose_is_found_whole_by_its_own_name(name):
+    known = [license_scan.Template(n, t) for n, t in sorted(license_scan.TEMPLATES.items())]
+    size = len(license_scan.words(license_scan.TEMPLATES[name]))
+    for i, before in enumerate((0, 59, 325, 591, 650)):
+        text = f"{ordinary_prose(i, before)} {license_scan.TEMPLATES[name]} {ordinary_prose(i + 50, 650 - before)}"
+        (got,) = license_scan.scan(text, known, 0.8)
+        assert got == {"license": name, "coverage": 1.0, "start": before, "end": before + size}
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            row[j + 1], last = (last + 1 if x == y else max(row[j], row[j + 1])), row[j + 1]
+    return row[-1]
+
+
+def test_edited_notices_in_prose_equal_the_best_alignment_of_all_windows():
+    """Coverage comes within a word or two of the best of all windows, found by brute force."""
+    rng, letters = random.Random(9), [f"w{i}" for i in range(40)]
+    for case in range(25):
+        template = rng.choices(letters, k=30)
+        notice = [w for w in template if rng.random() > 0.06]
+        text = [*rng.choices(letters, k=rng.randrange(60)), *notice, *rng.choices(letters, k=rng.randrange(60))]
+        best = max(longest_common(text[i:i + 60], template) for i in range(len(text)))
+        held = license_scan.Template("own", " ".join(template))
+        got = license_scan.scan(" ".join(text), [held], 0.7)
+        assert got and max(g["coverage"] for g in got) * 30 >= best - 3 and max(g["coverage"] for g in got) * 30 <= best + 1e-9
+
+
 @pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
 def test_every_template_is_found_under_its_name(name):
     known = [license_scan.Template(n, t) for n, t in sorted(license_scan.TEMPLATES.items())]
