@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import detectors as d
-from ..rules import Pattern, Rule
+from .. import fixtures
+from ..rules import Pattern, Rule, read_rules
 from .lookups import (CLASS_CTE, CLASS_RULES, INTEL_CTE, IPS_CTE, LISTED, MO_SQL, MOS, asset_sql, assets, domain_intel,
                       ip_list, service_ctes)
-from .registry import COUNTERS, DAY, DAY_SLOTS, DOMAIN, PROTO, RECOUNT, REQ, START, event_sql, ip_sql, on_flows
+from .registry import COUNTERS, DAY, DAY_SLOTS, DOMAIN, PROTO, RECOUNT, REQ, START, event_sql, ip_sql, on_flows, register, with_flows
 
 PATTERNS = [
     Pattern("PORT_SCAN", dport="80", protocol="TCP", peers=20, flows=25),
@@ -214,6 +215,31 @@ _URL_SCORE = ("least(10 * length(regexp_replace(http_url, '[^''\"<>;()=]', '', '
               "'(select|union|script|passwd|exec|\\.\\./)')) + length(http_url) // 10, 100)")
 _D19 = (f"scored AS (SELECT devid, srcaddr, dstaddr, dstport, http_url, CAST({_URL_SCORE} AS INTEGER) AS score, {COUNTERS} FROM flows "
         f"WHERE {REQ} AND http_url <> '' GROUP BY devid, srcaddr, dstaddr, dstport, http_url)")
+# Patterns as many as parts; a third of them have no plain text outside of groups.
+PART_RULES = r"""SELECT CAST(p_partkey AS INT) AS config_id, CAST(9 AS INT) AS type_id, CAST(p_partkey % 2 AS BIGINT) AS min,
+  CAST(1 + p_partkey % 8 AS INT) AS sub_type, CASE p_partkey % 3 WHEN 0 THEN concat('/p/', CAST(p_partkey AS STRING), '(/admin|[?]id=1.*)')
+    WHEN 1 THEN concat('.*[/]', CAST(p_partkey AS STRING), '[?]id=1 union sel+ect') ELSE concat('(.p.', CAST(p_partkey % 50 AS STRING), '/index.html)') END AS pat
+FROM {part} p"""
+
+
+def _many_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """URL attacks by as many patterns as there are parts."""
+    rules = read_rules(spark.sql(PART_RULES, part=fixtures.table(spark, sf, "part")))
+    return d.detect_url_attacks(fixtures.flows(spark, sf), rules, DAY).events
+
+
+register("d8_url_attacks_table", _many_patterns, with_flows(
+    f"""SELECT {event_sql(f"concat({SIP}, ':', srcport, '>', {DIP}, ':', dstport, ' TCP ', attack)", 'rmin', 'flows', _Q + _Q, '3', '9')}
+    FROM asked JOIN best USING (http_url) WHERE CASE WHEN kind = 5 THEN bytes ELSE flows END > rmin""",
+    f"""asked AS (SELECT devid, srcaddr, srcport, dstaddr, dstport, http_url, {COUNTERS} FROM flows WHERE prot = 6 AND http_url <> ''
+          AND http_ret_code <> 0 GROUP BY devid, srcaddr, srcport, dstaddr, dstport, http_url),
+        patterns AS (SELECT CAST(p_partkey AS INTEGER) AS config_id, p_partkey % 2 AS rmin, 1 + p_partkey % 8 AS kind,
+          ['SQL_INJECT', 'XSS', 'RESO_EXPLORE', 'VISIT_ADMIN', 'PULL_DB', 'CMD_EXEC', 'CODE_EXEC', 'XML_ENTITY'][1 + p_partkey % 8] AS attack,
+          CASE p_partkey % 3 WHEN 0 THEN concat('/p/', p_partkey, '(/admin|[?]id=1.*)') WHEN 1 THEN concat('.*[/]', p_partkey, '[?]id=1 union sel+ect')
+            ELSE concat('(.p.', p_partkey % 50, '/index.html)') END AS pat FROM part),
+        best AS (SELECT http_url, arg_max(rmin, config_id) AS rmin, arg_max(kind, config_id) AS kind, arg_max(attack, config_id) AS attack,
+            max(config_id) AS config_id FROM (SELECT DISTINCT http_url FROM asked) u JOIN patterns ON regexp_full_match(http_url, pat)
+          GROUP BY http_url)"""))
 on_flows("d19_malicious_url", lambda f: d.detect_malicious_url(f, D19_RULES, DAY).events,
          f"SELECT {event_sql(f'''concat({SIP}, ':>', {DIP}, ':', dstport, ' ')''', 'CASE config_id WHEN 1 THEN 60 ELSE 20 END', 'score', _Q + 'url' + _Q, '1', '16')} "
          "FROM (SELECT *, CASE WHEN score > 60 AND srcaddr BETWEEN 167772160 AND 167772191 THEN 1 WHEN score > 20 AND dstaddr "

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..detectors.base import counters
+from ..functions.address import shr
 from ..functions.predicates import w_net, w_port
 from ..functions.timefn import slot, truncate
 from ..operators import joins
+from ..operators.aggregate import distinct_peers, peer_features
 from ..plans import job
 from ..plans import lifecycle as lc
 from ..plans import requests as rq
@@ -280,3 +282,48 @@ def _anonymous(f: DataFrame) -> DataFrame:
 
 # the block cipher is not available in the other engine; tests compare with published vectors
 on_flows("e10_anonymize", _anonymous, None)
+
+_ADDRESSES = ["srcaddr", "dstaddr", "ip_nexthop", "bgp_nexthop", "ip_router"]
+
+
+def _anonymous_prefixes(f: DataFrame) -> DataFrame:
+    """Distinct prefixes of every length among all anonymous addresses: as many as among the original ones."""
+    every = anonymize(f.select(*_ADDRESSES), _ANON_KEY).select(F.explode(F.array(*_ADDRESSES)).alias("a")).distinct()
+    cut = every.withColumn("bits", F.explode(F.sequence(F.lit(1), F.lit(32))))
+    return cut.groupBy("bits").agg(F.count_distinct(shr("a", F.lit(32) - F.col("bits"))).alias("prefixes"))
+
+
+on_flows("e10_prefix_property", _anonymous_prefixes,
+         """SELECT CAST(b AS INTEGER) AS bits, count(DISTINCT a >> CAST(32 - b AS BIGINT)) AS prefixes FROM
+           (SELECT DISTINCT unnest([srcaddr, dstaddr, ip_nexthop, bgp_nexthop, ip_router]) AS a FROM flows) d, generate_series(1, 32) s(b)
+         GROUP BY b""", wide=True)
+
+
+def _anonymous_counters(f: DataFrame) -> DataFrame:
+    """Counters of the flows with the same five addresses, without them: those of the original flows, AS numbers zeroed."""
+    numbers = ["srcas", "dstas", "next_as", "prev_as"]
+    hidden = anonymize(f.select(*_ADDRESSES, *numbers, "prot", "first", "last", "pkts", "bytes"), _ANON_KEY)
+    return hidden.groupBy(*_ADDRESSES, "prot").agg(*counters(), *[F.sum(c).alias(c) for c in numbers]).drop(*_ADDRESSES)
+
+
+on_flows("e10_pair_counters", _anonymous_counters,
+         f"SELECT prot, {COUNTERS}, CAST(0 AS BIGINT) AS srcas, CAST(0 AS BIGINT) AS dstas, CAST(0 AS BIGINT) AS next_as, "
+         f"CAST(0 AS BIGINT) AS prev_as FROM flows GROUP BY {', '.join(_ADDRESSES)}, prot", wide=True)
+
+
+def _sketched_peers(f: DataFrame) -> DataFrame:
+    """Hourly features merged from slots: the distinct ports of a source within 5 % of their exact number."""
+    per = peer_features(f.withColumn("slot", slot()), ["slot", "srcaddr", "prot"], "dstport").withColumn("hour", truncate("slot", 3600))
+    hours = lc.merge_features(None, per.drop("slot"), ["srcaddr", "prot"])
+    exact = f.groupBy("srcaddr", "prot", truncate("first", 3600).alias("hour")).agg(F.count_distinct("dstport").alias("ports"))
+    close = F.abs(distinct_peers() - F.col("ports")) <= F.col("ports") * 0.05
+    return hours.join(exact, ["srcaddr", "prot", "hour"]).select("srcaddr", "prot", "hour", "flows", "peers", "ports", close.alias("close"))
+
+
+on_flows("f1_peer_sketches", _sketched_peers,
+         """SELECT srcaddr, prot, hour, CAST(sum(flows) AS BIGINT) AS flows, CAST(sum(peers) AS BIGINT) AS peers,
+           (SELECT count(DISTINCT dstport) FROM flows x WHERE x.srcaddr = s.srcaddr AND x.prot = s.prot AND x.first - x.first % 3600 = s.hour)
+             AS ports, TRUE AS close
+         FROM (SELECT srcaddr, prot, first - first % 3600 AS hour, first - first % 300 AS slot, count(*) AS flows,
+             count(DISTINCT dstport) AS peers FROM flows GROUP BY srcaddr, prot, first - first % 3600, first - first % 300) s
+         GROUP BY srcaddr, prot, hour""")

@@ -1,40 +1,101 @@
 """URL content attacks and malicious URLs."""
 
-from __future__ import annotations
-
-from collections.abc import Sequence
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.address import addr_text
+from ..functions.names import URL_ATTACKS
 from ..operators.rulematch import Rules, first_rule, network, on_schedule, with_values
-from ..rules import Rule, Window
+from ..rules import Window, rule_table
+from ..session import held_rows
 from .base import RUN, Detection, counters, details_of, events_of, is_request, joined, only_events, with_hour
 from .scoring import Scorer, default_url_scorer
 
 PULL_DB = 5
+GRAM = 4  # characters by which patterns are looked up
+
+
+def factor(pattern: str) -> str:
+    """The longest plain text that whatever a pattern matches must hold; empty where none of ``GRAM`` characters is sure.
+
+    Only what stands outside of groups, classes and alternatives counts; a repeated character ends a text, one that may be
+    missing is left out, and patterns with flags, quotes, codes or references are not judged.
+    """
+    if "(?" in pattern:
+        return ""
+    runs, run, depth, i = [""], "", 0, 0
+    while i < len(pattern):
+        c, step, literal = pattern[i], 1, ""
+        if c == "\\":
+            following, step = pattern[i + 1:i + 2], 2
+            if following in tuple("QEuxcpPkN0123456789"):
+                return ""
+            literal = "" if following.isalnum() else following
+        elif c == "[":
+            end = pattern.find("]", i + 2)
+            if end < 0 or "[" in pattern[i + 1:end] or "\\" in pattern[i + 1:end + 1]:
+                return ""
+            step = end + 1 - i
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return ""
+        elif c in "?*{":
+            run = run[:-1]
+            step = pattern.find("}", i) + 1 - i if c == "{" else 1
+            if step < 1:
+                return ""
+        elif c not in ".^$+|":
+            literal = c
+        if literal and depth == 0:
+            run += literal
+        elif not literal:
+            runs.append(run)
+            run = ""
+        i += step
+    longest = max([*runs, run], key=len)
+    return longest if len(longest) >= GRAM else ""
+
 
+def matched_urls(urls: DataFrame, rules: Rules) -> DataFrame:
+    """http_url and the rule of highest id whose pattern matches all of it, of distinct URLs.
 
-def detect_url_attacks(flows: DataFrame, rules: Sequence[Rule], window: Window) -> Detection:
+    A pattern is tested only on the URLs that hold its plain text, found by a join on the text's first characters; patterns
+    without one are tested on all.
+    """
+    spark = urls.sparkSession
+    table = rule_table(spark, rules)
+    if isinstance(rules, DataFrame):
+        def factors(patterns: pd.Series) -> pd.Series:
+            return patterns.map(factor)
+
+        texts = table.select("config_id", "pat", F.pandas_udf(factors, StringType())("pat").alias("_factor"))
+    else:
+        texts = held_rows(spark, [(r.config_id, r.pat, factor(r.pat)) for r in rules], "config_id int, pat string, _factor string")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("http_url") - (GRAM - 1), F.lit(1))),
+                        lambda i: F.substring(F.col("http_url"), i, GRAM))
+    probes = urls.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))))
+    hits = probes.join(texts.withColumn("_gram", F.left("_factor", F.lit(GRAM))), "_gram").where(
+        F.contains("http_url", "_factor") & F.regexp_like("http_url", F.concat(F.lit(r"\A(?:"), F.col("pat"), F.lit(r")\z"))))
+    best = hits.groupBy("http_url").agg(F.max("config_id").alias("_id"))
+    return best.join(table.select(F.col("config_id").alias("_id"), F.struct("*").alias("rule")), "_id").drop("_id")
+
+
+def detect_url_attacks(flows: DataFrame, rules: Rules, window: Window) -> Detection:
     """Answered URLs that fully match a rule pattern; the highest config id
     wins.  PULL_DB compares bytes, other classes flows."""
+    if not isinstance(rules, DataFrame) and not rules:
+        return Detection()
     f = window.clip(flows).where((F.col("prot") == 6) & (F.col("http_url") != "") & (F.col("http_ret_code") != 0))
     key = [*RUN, "srcaddr", "srcport", "dstaddr", "dstport", "http_url"]
     agg = f.groupBy(*key).agg(*counters())
-    chain = None
-    for r in sorted(rules, key=lambda x: -x.config_id):
-        cond = F.col("http_url").rlike(rf"\A(?:{r.pat})\z")
-        limit = F.col("bytes") if r.sub_type == PULL_DB else F.col("flows")
-        # PULL_DB and the other classes share the name list of the attack
-        hit = F.struct(F.lit(r.config_id).alias("config_id"), F.lit(r.type_id).alias("type_id"),
-                       F.lit(r.min).cast("bigint").alias("thres_value"), F.lit(r.attack).alias("attack"),
-                       (limit > r.min).alias("over"))
-        chain = F.when(cond, hit) if chain is None else chain.when(cond, hit)
-    if chain is None:
-        return Detection()
-    hits = (agg.withColumn("_hit", chain).where(F.col("_hit.over"))
-            .select("*", "_hit.*", F.col("flows").alias("alarm_value"), F.lit("").alias("value_type")))
+    judged = agg.join(matched_urls(f.select("http_url").distinct(), rules), "http_url")
+    limit = F.when(F.col("rule.sub_type") == PULL_DB, F.col("bytes")).otherwise(F.col("flows"))
+    names = F.create_map(*(F.lit(x) for pair in URL_ATTACKS.items() for x in pair))
+    hits = with_values(judged.where(limit > F.col("rule.min")), F.col("rule.min"), F.col("flows"), F.lit("")).withColumn(
+        "attack", F.coalesce(F.try_element_at(names, F.col("rule.sub_type")), F.lit("")))
     obj = joined(addr_text(f, "srcaddr"), ":", F.col("srcport"), ">", addr_text(f, "dstaddr"), ":",
                  F.col("dstport"), " TCP ", F.col("attack"))
     tagged = events_of(hits, obj, 3, keep=key)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -248,3 +249,22 @@ def latest_attrs(flows: DataFrame, key, base: DataFrame | None = None) -> DataFr
             group = flows.where(F.col(cols[0]) != "").groupBy(*key).agg(packed)
             out = out.join(group.select(*key, *[F.col(f"_a.{c}").alias(c) for c in cols]), list(key), "left")
     return out
+
+
+# Buckets of a sketch as a power of two: a standard error of 0.65 %, and exact for small numbers.
+SKETCH_BITS = 14
+
+
+def peer_features(flows: DataFrame, key: Sequence[str], peer: str) -> DataFrame:
+    """Counters per key with the exact number of distinct peers, and a sketch of them that merges across slots.
+
+    ``peers`` of several slots can only be added; sketches are merged by ``merge_features`` and give the distinct number.
+    """
+    return flows.groupBy(*key).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("flows"), F.sum("pkts").alias("pkts"),
+        F.sum("bytes").alias("bytes"), F.count_distinct(peer).alias("peers"), F.hll_sketch_agg(peer, F.lit(SKETCH_BITS)).alias("peers_sketch"))
+
+
+def distinct_peers(sketch: str = "peers_sketch") -> Column:
+    """Estimated number of distinct peers of a sketch."""
+    return F.hll_sketch_estimate(sketch)

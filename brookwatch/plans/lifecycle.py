@@ -20,7 +20,7 @@ def merge_features(old: DataFrame | None, new: DataFrame, key: Sequence[str]) ->
     """Merge slot features into the hourly table.
 
     Earliest first, latest last, summed counters (``peers`` adds across
-    slots), highest peaks; other columns keep the latest value.
+    slots), highest peaks, merged sketches (``*_sketch``); other columns keep the latest value.
     """
     rows = new if old is None else old.unionByName(new)
     keys = [*key, "hour"]
@@ -36,6 +36,8 @@ def merge_features(old: DataFrame | None, new: DataFrame, key: Sequence[str]) ->
             cols.append(F.sum(c).alias(c))
         elif c in _MAXES:
             cols.append(F.max(c).alias(c))
+        elif c.endswith("_sketch"):
+            cols.append(F.hll_union_agg(c).alias(c))
         else:
             cols.append(F.max(F.struct("last", c))[c].alias(c))
     return rows.groupBy(*keys).agg(*cols).select(*rows.columns)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from brookwatch import detectors as d
 from brookwatch.detectors.scoring import batch_scorer, model_scorer, name_score, train_scorer
+from brookwatch.detectors.web import factor
 from brookwatch.rules import MonitoredObject, Pattern, Rule, Window
 
 T0 = 1704067200
@@ -16,6 +17,14 @@ def objs(det):
     return sorted(r.obj for r in det.events.collect())
 
 
+@pytest.mark.parametrize("pattern, text", [
+    (r".*union\s+select.*", "select"), ("/admin", "/admin"), (r"/a\.php\?id=\d+", "/a.php?id="), ("abcd|efgh", ""), ("(abcd|efgh)ijkl", "ijkl"),
+    ("abcde?f", "abcd"), ("abcde+fghijk", "fghijk"), ("abc{0,3}defg", "defg"), ("[a-z]+wxyz", "wxyz"), ("(?i)select", ""), (r"\Qabcd\E", ""),
+    ("abcd*", ""), ("ab(cdefgh)?ij", ""), (r"abcd\x41efgh", ""), ("", "")])
+def test_plain_text_of_a_pattern(pattern, text):
+    assert factor(pattern) == text
+
+
 def test_port_scan(make_flows):
     rows = [dict(dstaddr=B + i, dstport=22) for i in range(5)] + [dict(dstaddr=B + i, dstport=23) for i in range(2)]
     rows += [dict(dstaddr=B + i, dstport=22, tos=0, srcaddr=A + 1) for i in range(5)]      # responses do not count
