@@ -6,13 +6,7 @@ arithmetic, so any SQL engine computes the same rows.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
-from .session import shared_dir
-from .sources.flowtable import write_flows
 
 DAY_START = 1704067200
 DAY_END = DAY_START + 86400
@@ -137,12 +131,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table of fewer files than cores over all cores.
+    """Spread a table that is read in fewer splits than there are cores over all cores.
 
-    The derivation is CPU work per row; a table of many files is left alone.
+    The derivation is CPU work per row; a table of many splits, in whatever number of files, is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def flows_from(lineitem: DataFrame) -> DataFrame:
@@ -157,25 +151,15 @@ def widen(flows: DataFrame) -> DataFrame:
     return wide.selectExpr("*", "array(mpls1, mpls2, mpls3) AS mpls").drop("mpls1", "mpls2", "mpls3")
 
 
-_STORED: dict[tuple[str, str], tuple[str, T.StructType]] = {}
-
-
 def wide_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow table of a data folder.
+    """Flow table of a data folder, derived as it is read.
 
-    The rows are derived once per session, written as a partitioned flow table
-    in the shared folder, and read from there, as a collected table would be.
+    Each reader computes the columns it uses from those of ``lineitem`` that they need: the wide rows are neither
+    shuffled nor stored, so nothing is spilled or written that grows with them.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        path = f"{shared_dir(spark)}/flows-{uuid.uuid4().hex}"
-        derived = widen(flows_from(spread(table(spark, sf_dir, "lineitem"))))
-        write_flows(derived, path, mode="error")
-        _STORED[key] = (path, spark.read.parquet(path).schema)
-    path, schema = _STORED[key]
-    return spark.read.schema(schema).parquet(path).drop("slot", "dt")
+    return widen(flows_from(spread(table(spark, sf_dir, "lineitem"))))
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow table with the base columns only."""
-    return wide_flows(spark, sf_dir).select(*BASE_COLUMNS)
+    return flows_from(spread(table(spark, sf_dir, "lineitem"))).select(*BASE_COLUMNS)
