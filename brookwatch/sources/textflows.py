@@ -70,23 +70,21 @@ def _kind(field: str) -> str:
     return "string" if field in _TEXT_FIELDS else "bigint" if field in _LONG_FIELDS or field[:2] in ("sa", "da") else "int"
 
 
-def _refusal(p: Column) -> Column:
-    """Why the fields of a line are no flow; null if they are one."""
-    numbers = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(f).alias("name"), F.lit(_kind(f) == "int").alias("short"))
-                        for i, f in enumerate(PIPE_FIELDS) if _kind(f) != "string"])
+def _fields(lines: DataFrame) -> DataFrame:
+    """The lines with their fields as ``_p``, split once: a generated row is not split again by what refers to it."""
+    return lines.withColumn("_p", F.explode(F.array(F.split("value", r"\|"))))
 
-    def wrong(field: Column) -> Column:
-        value = F.get(p, field["at"]).try_cast("bigint")
-        return value.isNull() | (field["short"] & ~value.between(-(1 << 31), (1 << 31) - 1))
 
-    first = F.get(F.transform(F.filter(numbers, wrong), lambda f: F.concat(f["name"], F.lit(" is no number"))), F.lit(0))
-    return F.when(F.size(p) != len(PIPE_FIELDS), F.concat(F.size(p).cast("string"), F.lit(" fields"))).otherwise(first)
+def _refusal(p: Column) -> Column:
+    """Why the fields of a line are no flow; null if they are one."""
+    wrong = [F.when(F.get(p, F.lit(i)).try_cast(_kind(f)).isNull(), F.lit(f"{f} is no number"))
+             for i, f in enumerate(PIPE_FIELDS) if _kind(f) != "string"]
+    return F.when(F.size(p) != len(PIPE_FIELDS), F.concat(F.size(p).cast("string"), F.lit(" fields"))).otherwise(F.coalesce(*wrong))
 
 
 def refused_lines(lines: DataFrame) -> DataFrame:
     """The pipe lines (column ``value``) that ``parse_pipe`` leaves out, with the reason."""
-    split = lines.select("value", F.split("value", r"\|").alias("_p"))
-    return split.select("value", _refusal(F.col("_p")).alias("reason")).where("reason IS NOT NULL")
+    return _fields(lines).select("value", _refusal(F.col("_p")).alias("reason")).where("reason IS NOT NULL")
 
 
 def parse_pipe(lines: DataFrame, text_addresses: bool = False) -> DataFrame:
@@ -96,7 +94,7 @@ def parse_pipe(lines: DataFrame, text_addresses: bool = False) -> DataFrame:
     ``text_addresses`` the same texts, as a table of both families has them.
     """
     p = F.col("_p")
-    parts = lines.select(F.split("value", r"\|").alias("_p")).where(_refusal(p).isNull())
+    parts = _fields(lines).where(_refusal(p).isNull())
     raw = {}
     for i, f in enumerate(PIPE_FIELDS):
         raw[f] = p[i].cast(_kind(f))
