@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..detectors.base import counters, is_request
+from ..detectors.base import counters, is_request, recount
 from ..detectors.scans import detect_ip_scan
 from ..detectors.services import paired_services, service_flows
 from ..functions.names import proto_name
@@ -15,7 +15,7 @@ from ..operators import joins, merges, ranges
 from ..operators.aggregate import bidir_flows
 from ..operators.rulematch import best_rule, network, words
 from ..plans.requests import TopnRequest, answer
-from ..rules import MonitoredObject, Rule, read_objects, read_rules
+from ..rules import MonitoredObject, Rule, read_rules
 from .aggregates import _BIDIR
 from .predicates import THREAT_EVENTS, threat_events
 from .registry import COUNTERS, DAY, PROTO, REQ, START, event_sql, ip_sql, on_flows, register, with_flows
@@ -341,11 +341,12 @@ register("d2_ip_scan_table",
 
 def _customer_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Flows of as many monitored objects as there are customers."""
-    objects = read_objects(spark.sql("""SELECT CAST(c_custkey AS INT) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'IN' ELSE 'OUT' END AS direction,
+    objects = spark.sql("""SELECT CAST(c_custkey AS INT) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'IN' ELSE 'OUT' END AS direction,
         concat(CASE WHEN c_custkey % 97 = 0 THEN '!' ELSE '' END, '192.168.0.', CAST(c_custkey % 60 AS STRING),
           CASE WHEN c_custkey % 3 = 0 THEN '/30' ELSE '' END) AS moip, CASE WHEN c_custkey % 5 < 4 THEN '443' ELSE '' END AS moport
-        FROM {customer} c""", customer=fixtures.table(spark, sf, "customer")))
-    return joins.match_mo(fixtures.flows(spark, sf), objects).groupBy("moid", "direction").agg(*counters())
+        FROM {customer} c""", customer=fixtures.table(spark, sf, "customer"))
+    alike = joins.combine_for(fixtures.flows(spark, sf), objects)
+    return joins.match_mo(alike, objects).groupBy("moid", "direction").agg(*recount())
 
 
 register("j8_objects_table", _customer_objects, with_flows(

@@ -7,7 +7,9 @@ under the threshold, and otherwise shuffles with AQE splitting skewed keys.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import fields
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ..functions.timefn import truncate
 from ..rules import MonitoredObject
 from ..schema import HOUR_SECONDS
 from ..session import held_rows
-from .ranges import range_join
+from .ranges import net_hits, range_join
 from .sweep import beyond, bounds, order_key, rank_of, sweep
 
 
@@ -145,33 +147,42 @@ def _port_range(text: str) -> tuple[int, int, bool]:
     return lo, hi, text.startswith("!")
 
 
-def _object_table(mos: Sequence[MonitoredObject], text_keys: bool) -> tuple[list, list[tuple]]:
-    """Cut points of the objects' own addresses, and a row per object, side and interval.
+def _object_row(m: MonitoredObject, text_keys: bool) -> tuple[str, tuple, list[str], tuple] | None:
+    """An object's own network, its bounds, the networks it names and its row; None for one that nothing matches.
 
-    An object without an own address, or with an excluded one, has one row that is found by no side.  An object of the
-    other address family matches nothing, unless that address is excluded.
+    The network is empty for an object that no side finds: one without an own address, or with an excluded one.  An object
+    of the other address family matches nothing, unless that address is excluded.
     """
     every = ("", "~") if text_keys else (-(1 << 63), (1 << 63) - 1)
 
     def net(text: str) -> tuple | None:
-        """Bounds of an address selector and whether they are excluded; None for one that nothing matches."""
+        """An address selector's network, its bounds and whether they are excluded; None for one that nothing matches."""
         bare = text.lstrip("!")
         if not bare:
-            return (*every, False)
-        known = bounds(net_text(bare, None) if "/" in bare else bare, text_keys)
+            return ("", *every, False)
+        bare = net_text(bare, None) if "/" in bare else bare.strip()
+        known = bounds(bare, text_keys)
         if known is None:
-            return (*every, False) if text.startswith("!") else None
-        return (*known, text.startswith("!"))
+            return ("", *every, False) if text.startswith("!") else None
+        return (bare, *known, text.startswith("!"))
+
+    own, peer = net(m.moip), net(m.pip)
+    if own is None or peer is None:
+        return None
+    proto = (proto_number(m.protocol),) * 2 if m.protocol else (_LEAST, _MOST)
+    row = (m.id, m.direction, m.direction != "IN", m.direction != "OUT", *own[1:], *peer[1:], *_port_range(m.moport),
+           *_port_range(m.pport), *proto)
+    return "" if own[3] else own[0], own[1:3], [n for n in (own[0], peer[0]) if n], row
+
 
+def _object_table(mos: Sequence[MonitoredObject], text_keys: bool) -> tuple[list, list[tuple]]:
+    """Cut points of the objects' own addresses, and a row per object, side and interval."""
     keyed, fixed = [], []
     for m in mos:
-        own, peer = net(m.moip), net(m.pip)
-        if own is None or peer is None:
+        if (known := _object_row(m, text_keys)) is None:
             continue
-        proto = (proto_number(m.protocol),) * 2 if m.protocol else (_LEAST, _MOST)
-        row = (m.id, m.direction, m.direction != "IN", m.direction != "OUT", *own, *peer, *_port_range(m.moport),
-               *_port_range(m.pport), *proto)
-        if own[:2] == every or own[2]:
+        net, own, _, row = known
+        if not net:
             fixed.append((ANY, 0, *row))
         else:
             keyed += [(side, own, row) for side in {"IN": [DST], "OUT": [SRC]}.get(m.direction, [SRC, DST])]
@@ -179,26 +190,102 @@ def _object_table(mos: Sequence[MonitoredObject], text_keys: bool) -> tuple[list
     return cuts, [(keyed[i][0], rank, *keyed[i][2]) for rank, i in cover] + fixed
 
 
-def match_mo(flows: DataFrame, mos: Sequence[MonitoredObject]) -> DataFrame:
+def _object_rows(objects: DataFrame, text_keys: bool) -> DataFrame:
+    """The rows of a table of objects, of any size, with the own network as ``_net`` and all named ones as ``_nets``.
+
+    Fields that are missing or null are empty; objects without an id are left out.
+    """
+    names = [f.name for f in fields(MonitoredObject) if f.name in objects.columns]
+    ddl = "_net string, _nets array<string>, " + _OBJECT_FIELDS.format("string" if text_keys else "bigint").split(", ", 2)[2]
+    columns = [c.split()[0] for c in ddl.split(", ")]
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for values in zip(*(batch[c].tolist() for c in names), strict=True):
+                m = MonitoredObject(**{k: v for k, v in zip(names, values, strict=True) if v is not None and v == v})
+                if (known := _object_row(m, text_keys)) is not None:
+                    net, _, nets, row = known
+                    out.append((net, nets, *row))
+            yield pd.DataFrame(out, columns=columns)
+
+    cores = objects.sparkSession.sparkContext.defaultParallelism
+    return objects.where("id IS NOT NULL").select(*names).repartition(cores).mapInPandas(rows, ddl)
+
+
+def _found_in_table(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """Keys with the objects of a table that are found by one of their addresses, or by none."""
+    ends = keys.select(F.explode(F.array("srcaddr", "dstaddr")).alias("_end")).distinct()
+    nets = rows.where("_net <> ''").select(F.col("_net").alias("_named")).distinct()
+    hits = net_hits(ends, "_end", nets, "_named").select("_address", F.col("_named").alias("_net"))
+    sides = F.array(F.struct(F.lit(SRC).alias("_side"), F.col("srcaddr").alias("_end")),
+                    F.struct(F.lit(DST).alias("_side"), F.col("dstaddr").alias("_end")))
+    by_end = keys.withColumn("_probe", F.explode(sides)).select("*", "_probe.*").drop("_probe").join(
+        hits, F.col("_end") == F.col("_address")).drop("_end", "_address")
+    by_none = keys.withColumns({"_side": F.lit(ANY), "_net": F.lit("")})
+    of_side = F.filter(F.array(F.when(F.col("_at_src"), SRC), F.when(F.col("_at_dst"), DST)), lambda x: x.isNotNull())
+    objects = rows.withColumn("_side", F.explode(F.when(F.col("_net") == "", F.array(F.lit(ANY))).otherwise(of_side)))
+    return by_end.unionByName(by_none).join(objects.drop("_nets"), ["_side", "_net"])
+
+
+def combine_for(flows: DataFrame, objects: DataFrame) -> DataFrame:
+    """Flows combined where no object of a table tells them apart: counters per class, with the key of one of its flows.
+
+    Ports and protocols fall into the intervals that the selectors cut, addresses lie in the same named networks; the
+    smallest value stands for each class.  The objects that match a row of the result match all flows it counts.
+    """
+    rows = _object_rows(objects, is_v6(flows, "srcaddr"))
+
+    def cuts(*ranges: tuple[str, str]) -> list[int]:
+        """Where the ranges begin and end, no more of them than there are ports or protocols."""
+        ends = [x for lo, hi in ranges for x in (F.col(lo).cast("bigint"), F.col(hi).cast("bigint") + 1)]
+        return sorted(r.at for r in rows.select(F.explode(F.array(*ends)).alias("at")).distinct().collect())
+
+    ports = cuts(("_port_lo", "_port_hi"), ("_pport_lo", "_pport_hi"))
+    classes = {"srcport": ports, "dstport": ports, "prot": cuts(("_proto_lo", "_proto_hi"))}
+    ranks = [F.when(F.col(c).isNotNull(), rank_of(F.col(c), at)).alias(f"_{c}") for c, at in classes.items()]
+    some = flows.groupBy("srcaddr", "dstaddr", *ranks).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("flows"),
+        F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes"), *[F.min(c).alias(c) for c in classes])
+    ends = some.select(F.explode(F.array("srcaddr", "dstaddr")).alias("_end")).where("_end IS NOT NULL").distinct()
+    nets = rows.select(F.explode("_nets").alias("_named")).distinct()
+    held = net_hits(ends, "_end", nets, "_named").groupBy("_address").agg(F.sort_array(F.collect_set("_named")).alias("_held"))
+    held = ends.join(held, F.col("_end") == F.col("_address"), "left").select(
+        "_end", F.coalesce("_held", F.array().cast("array<string>")).alias("_held"))
+    alike = held.join(held.groupBy("_held").agg(F.min("_end").alias("_one")), "_held").select("_end", "_one")
+    for c in ("srcaddr", "dstaddr"):
+        some = some.join(alike, F.col(c) == F.col("_end"), "left").drop(c, "_end").withColumnRenamed("_one", c)
+    return some.groupBy("srcaddr", "dstaddr", *[f"_{c}" for c in classes]).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("flows").alias("flows"), F.sum("pkts").alias("pkts"),
+        F.sum("bytes").alias("bytes"), *[F.min(c).alias(c) for c in classes]).drop(*[f"_{c}" for c in classes])
+
+
+def match_mo(flows: DataFrame, mos: Sequence[MonitoredObject] | DataFrame) -> DataFrame:
     """One row per flow and matching object, with ``moid`` and ``direction``.
 
     The objects' addresses are swept into disjoint intervals; a flow finds the intervals of its two addresses by binary
     search and is joined with the objects of those, whatever their number, in one read.  Numeric addresses are IPv4, texts
-    may be of either family.
+    may be of either family.  Objects may come as a table of any size: distinct addresses are then looked up by a sweep.
     """
-    mos = sorted(mos, key=lambda m: m.id)
     text_keys = is_v6(flows, "srcaddr")
+    key = order_key if text_keys else F.col
+    keys = flows.withColumns({"_src": key("srcaddr"), "_dst": key("dstaddr")})
+    if isinstance(mos, DataFrame):
+        return _fitting(_found_in_table(keys, _object_rows(mos, text_keys)), flows.columns)
+    mos = sorted(mos, key=lambda m: m.id)
     cuts, rows = _object_table(mos, text_keys)
     if not rows:
         return flows.limit(0).withColumns({"moid": F.lit(0), "direction": F.lit("")})
     objects = held_rows(flows.sparkSession, rows, _OBJECT_FIELDS.format("string" if text_keys else "bigint"))
-    key = order_key if text_keys else F.col
-    keys = flows.withColumns({"_src": key("srcaddr"), "_dst": key("dstaddr")})
     sides = {r[0] for r in rows}
     probes = [F.struct(F.lit(side).alias("_side"), rank.alias("_rank")) for side, rank in (
         (SRC, rank_of(F.col("_src"), cuts)), (DST, rank_of(F.col("_dst"), cuts)), (ANY, F.lit(0))) if side in sides]
     found = keys.withColumn("_probe", F.explode(F.array(*probes))).select("*", "_probe.*").join(objects, ["_side", "_rank"])
+    return _fitting(found, flows.columns)
+
 
+def _fitting(found: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Of flows with the objects found by their addresses those that fit all selectors, once each."""
     def fits(lo: str, hi: str, negated: str, at_src: str, at_dst: str) -> Column:
         """Whether the value on the object's side, or on either for an object of both, is in the range, or out of it."""
         return ((F.col("_at_src") & F.col(at_src).between(F.col(lo), F.col(hi)))
@@ -210,7 +297,7 @@ def match_mo(flows: DataFrame, mos: Sequence[MonitoredObject]) -> DataFrame:
                       & fits("_port_lo", "_port_hi", "_port_not", "srcport", "dstport")
                       & fits("_pport_lo", "_pport_hi", "_pport_not", "dstport", "srcport")
                       & F.col("prot").between(F.col("_proto_lo"), F.col("_proto_hi")))
-    return hit.select(*flows.columns, "moid", "direction")
+    return hit.select(*columns, "moid", "direction")
 
 
 def pair_requests(req: DataFrame, res: DataFrame, key) -> DataFrame:
