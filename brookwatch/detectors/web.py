@@ -1,9 +1,11 @@
 """URL content attacks and malicious URLs."""
 
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.address import addr_text
 from ..functions.names import URL_ATTACKS
@@ -14,71 +16,118 @@ from .base import RUN, Detection, counters, details_of, events_of, is_request, j
 from .scoring import Scorer, default_url_scorer
 
 PULL_DB = 5
-GRAM = 4  # characters by which patterns are looked up
+GRAMS = (4, 8, 16)  # lengths of the texts by which patterns are looked up
 
 
-def factor(pattern: str) -> str:
-    """The longest plain text that whatever a pattern matches must hold; empty where none of ``GRAM`` characters is sure.
+def factors(pattern: str) -> list[str]:
+    """The plain texts that whatever a pattern matches must hold, of ``GRAMS[0]`` characters or more.
 
-    Only what stands outside of groups, classes and alternatives counts; a repeated character ends a text, one that may be
-    missing is left out, and patterns with flags, quotes, codes or references are not judged.
+    Groups that are neither repeated nor offer alternatives count as if they stood outside; a class of one plain character
+    is that character.  A repeated character ends a text, one that may be missing is left out, and patterns with flags,
+    quotes, codes or references are not judged.
     """
-    if "(?" in pattern:
-        return ""
-    runs, run, depth, i = [""], "", 0, 0
+    if not pattern or "(?" in pattern:
+        return []
+    # of each open group: the texts found, the one under way, whether there are alternatives
+    levels, i = [[[], "", False]], 0
     while i < len(pattern):
         c, step, literal = pattern[i], 1, ""
+        texts, run, _ = top = levels[-1]
         if c == "\\":
             following, step = pattern[i + 1:i + 2], 2
             if following in tuple("QEuxcpPkN0123456789"):
-                return ""
+                return []
             literal = "" if following.isalnum() else following
         elif c == "[":
-            end = pattern.find("]", i + 2)
+            end = pattern.find("]", i + (3 if pattern[i + 1:i + 2] == "^" else 2))
             if end < 0 or "[" in pattern[i + 1:end] or "\\" in pattern[i + 1:end + 1]:
-                return ""
+                return []
             step = end + 1 - i
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and depth == 0:
-            return ""
+            literal = pattern[i + 1:end] if step == 3 and pattern[i + 1] not in "^&" else ""
+        elif c == "(":
+            levels.append([[], "", False])
+            i += 1
+            continue
+        elif c == ")":
+            if len(levels) == 1:
+                return []
+            levels.pop()
+            inner = [] if top[2] or pattern[i + 1:i + 2] in tuple("?*{+") else [*texts, run]
+            outer = levels[-1]
+            outer[0] += [outer[1], *inner]
+            outer[1] = ""
+            i += 1
+            continue
+        elif c == "|":
+            top[2] = True
         elif c in "?*{":
-            run = run[:-1]
+            top[1] = run[:-1]
             step = pattern.find("}", i) + 1 - i if c == "{" else 1
             if step < 1:
-                return ""
-        elif c not in ".^$+|":
+                return []
+        elif c not in ".^$+":
             literal = c
-        if literal and depth == 0:
-            run += literal
-        elif not literal:
-            runs.append(run)
-            run = ""
+        if literal:
+            top[1] += literal
+        else:
+            texts.append(top[1])
+            top[1] = ""
         i += step
-    longest = max([*runs, run], key=len)
-    return longest if len(longest) >= GRAM else ""
+    (texts, run, choice), *unclosed = levels
+    return [] if choice or unclosed else list(dict.fromkeys(t for t in [*texts, run] if len(t) >= GRAMS[0]))
+
+
+def factor(pattern: str) -> str:
+    """The longest of a pattern's plain texts; empty where there is none."""
+    return max(factors(pattern), key=len, default="")
+
+
+def _grams(text: Column, lengths: Sequence[int] = GRAMS) -> Column:
+    """The distinct substrings of a text of some lengths."""
+    def of(n: int) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, n))
+        return F.when(F.length(text) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in lengths]))
+
+
+def _longest_grams(text: Column) -> Column:
+    """The substrings of a text of the largest of the lengths that it has."""
+    found = F.lit(None)
+    for n in GRAMS:
+        found = F.when(F.length(text) >= n, _grams(text, [n])).otherwise(found)
+    return found
 
 
 def matched_urls(urls: DataFrame, rules: Rules) -> DataFrame:
     """http_url and the rule of highest id whose pattern matches all of it, of distinct URLs.
 
-    A pattern is tested only on the URLs that hold its plain text, found by a join on the text's first characters; patterns
-    without one are tested on all.
+    Equal patterns are tested once.  A pattern is tested only on the URLs that hold its plain texts, found by a join on the
+    part of these that the fewest URLs hold; patterns without plain text are tested on all.
     """
     spark = urls.sparkSession
     table = rule_table(spark, rules)
     if isinstance(rules, DataFrame):
-        def factors(patterns: pd.Series) -> pd.Series:
-            return patterns.map(factor)
+        def texts_of(patterns: pd.Series) -> pd.Series:
+            return patterns.map(factors)
 
-        texts = table.select("config_id", "pat", F.pandas_udf(factors, StringType())("pat").alias("_factor"))
+        one = table.select("config_id", "pat").repartition(spark.sparkContext.defaultParallelism, "pat")
+        patterns = one.groupBy("pat").agg(F.max("config_id").alias("config_id")).withColumn(
+            "_texts", F.pandas_udf(texts_of, ArrayType(StringType()))("pat"))
     else:
-        texts = held_rows(spark, [(r.config_id, r.pat, factor(r.pat)) for r in rules], "config_id int, pat string, _factor string")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("http_url") - (GRAM - 1), F.lit(1))),
-                        lambda i: F.substring(F.col("http_url"), i, GRAM))
-    probes = urls.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))))
-    hits = probes.join(texts.withColumn("_gram", F.left("_factor", F.lit(GRAM))), "_gram").where(
-        F.contains("http_url", "_factor") & F.regexp_like("http_url", F.concat(F.lit(r"\A(?:"), F.col("pat"), F.lit(r")\z"))))
+        highest = {r.pat: r.config_id for r in sorted(rules, key=lambda r: r.config_id)}
+        patterns = held_rows(spark, [(pat, i, factors(pat)) for pat, i in highest.items()],
+                             "pat string, config_id int, _texts array<string>")
+    probes = urls.select("http_url", F.explode(F.concat(F.array(F.lit("")), _grams(F.col("http_url")))).alias("_gram"))
+    holding = probes.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    sought = patterns.select("config_id", "pat", "_texts", F.explode(F.when(F.size("_texts") > 0, F.array_distinct(F.flatten(
+        F.transform("_texts", _longest_grams)))).otherwise(F.array(F.lit("")))).alias("_gram"))
+    # a part that no URL holds: the pattern matches none
+    rarest = sought.join(holding, "_gram", "left").groupBy("config_id", "pat", "_texts").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram"))["_gram"].alias("_gram"))
+    hits = probes.join(rarest, "_gram").where(
+        F.forall("_texts", lambda t: F.contains(F.col("http_url"), t))
+        & F.regexp_like("http_url", F.concat(F.lit(r"\A(?:"), F.col("pat"), F.lit(r")\z"))))
     best = hits.groupBy("http_url").agg(F.max("config_id").alias("_id"))
     return best.join(table.select(F.col("config_id").alias("_id"), F.struct("*").alias("rule")), "_id").drop("_id")
 
