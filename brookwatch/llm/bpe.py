@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import keyed_texts, map_batches
 
-# Merged pre-tokens that a worker remembers in each of two generations.
+# Merged pre-tokens, and words, that a worker remembers in each of two generations.
 REMEMBERED = 1 << 18
 TWO_BLANKS = re.compile(r"\s\s|^\s|\s\Z")
 LOAD = 4  # keys per bucket of the perfect hash
@@ -112,7 +112,7 @@ class Codec:
     """Encoder and decoder of one vocabulary.  A few megabytes, bounded by the rank file; sent with the tasks.
 
     ``blank_starts`` says that in the given pattern a single blank between two non-blanks always begins a pre-token, so
-    that each distinct word of a batch is split and looked up once.
+    that words are split and looked up once while a worker remembers them.
     """
 
     def __init__(self, vocabulary: list[bytes], pattern: str, blank_starts: bool = False):
@@ -127,31 +127,35 @@ class Codec:
         self.rank = {token: i for i, token in enumerate(self.vocabulary)}
         self.split = regex.compile(self.pattern).findall
         self.merged = Recent(self.merge)
+        self.words, self.words_before = {}, {}
+        self.decimal = list(map(str, range(len(self.vocabulary))))
         return self
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is no vocabulary entry."""
         rank, n = self.rank.get, len(piece)
-        after = list(range(1, n + 1))  # end of the part that starts here
+        after = list(range(1, n + 2))  # end of the part that starts here; n where none starts
+        after[n] = 0
         before = list(range(-1, n))  # start of the part that ends here
-        live = bytearray(b"\x01" * n)
-        wide = n + 1  # an entry of the heap is one number: rank, start, end
-        heap = [(r * wide + i) * wide + i + 2 for i in range(n - 1) if (r := rank(piece[i:i + 2])) is not None]
+        wide = (n + 1).bit_length()  # an entry of the heap is one number: rank, start, end
+        mask = (1 << wide) - 1
+        heap = [(r << wide | i) << wide | i + 2 for i in range(n - 1) if (r := rank(piece[i:i + 2])) is not None]
         heapify(heap)
         while heap:
-            i, end = divmod(heappop(heap), wide)
-            i %= wide
-            if not live[i] or (mid := after[i]) >= n or after[mid] != end:
+            entry = heappop(heap)
+            end = entry & mask
+            i = entry >> wide & mask
+            mid = after[i]
+            if after[mid] != end:  # a part of this pair has been merged
                 continue
-            live[mid], after[i] = 0, end
-            before[end] = i
+            after[mid], after[i], before[end] = n, end, i
             if end < n and (r := rank(piece[i:after[end]])) is not None:
-                heappush(heap, (r * wide + i) * wide + after[end])
+                heappush(heap, (r << wide | i) << wide | after[end])
             if (left := before[i]) >= 0 and (r := rank(piece[left:end])) is not None:
-                heappush(heap, (r * wide + left) * wide + end)
+                heappush(heap, (r << wide | left) << wide | end)
         out, i = [], 0
         while i < n:
-            out.append(self.rank[piece[i:after[i]]])
+            out.append(rank(piece[i:after[i]]))
             i = after[i]
         return tuple(out)
 
@@ -162,27 +166,47 @@ class Codec:
         return [(i,) if vocabulary[i] == piece else merged(piece)
                 for piece, i in zip(raw, self.perfect.find(raw).tolist(), strict=True)]
 
+    def ids_of_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of words with a blank before them; a dict that holds these words, and others met before."""
+        if len(self.words) > REMEMBERED:
+            self.words, self.words_before = {}, self.words
+        known, before = self.words, self.words_before
+        new = []
+        for word in words - known.keys():
+            if word in before:
+                known[word] = before[word]
+            else:
+                new.append(word)
+        # split in one go: the blank before a word begins a pre-token, and a word holds no other
+        parts: list[list[str]] = []
+        for piece in self.split(" " + " ".join(new)) if new else ():
+            if piece[0] == " ":
+                parts.append([piece])
+            else:
+                parts[-1].append(piece)
+        pieces = list(dict.fromkeys(chain.from_iterable(parts)))
+        look = dict(zip(pieces, self.ids_of(pieces), strict=True)).__getitem__
+        for word, p in zip(new, parts, strict=True):
+            known[word] = look(p[0]) if len(p) == 1 else tuple(chain.from_iterable(map(look, p)))
+        return known
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; each pre-token by itself, without special tokens."""
-        # distinct units of the batch: words with their blank where that cannot change a pre-token, else pre-tokens
-        words, pieces, split = {}, {}, []
+        # distinct units of the batch: words after a blank where that cannot change a pre-token, else pre-tokens
+        words, pieces, split = set(), {}, []
         for text in texts:
-            by_word = self.blank_starts and not TWO_BLANKS.search(text)
-            if by_word:
+            if self.blank_starts and not TWO_BLANKS.search(text):
                 first, *rest = text.split(" ")
-                units = [first, *map(" ".__add__, rest)]
+                units = self.split(first)
+                words.update(rest)
             else:
-                units = self.split(text)
-            (words if by_word else pieces).update(dict.fromkeys(units))
-            split.append((by_word, units))
-        inner = {word: self.split(word) for word in words}
-        for parts in inner.values():
-            pieces.update(dict.fromkeys(parts))
-        pieces = dict(zip(pieces, self.ids_of(list(pieces)), strict=True))
-        look = pieces.__getitem__
-        words = {w: look(p[0]) if len(p) == 1 else tuple(chain.from_iterable(map(look, p))) for w, p in inner.items()}
-        return [list(chain.from_iterable(map((words if by_word else pieces).__getitem__, units)))
-                for by_word, units in split]
+                units, rest = self.split(text), ()
+            pieces.update(dict.fromkeys(units))
+            split.append((units, rest))
+        look = dict(zip(pieces, self.ids_of(list(pieces)), strict=True)).__getitem__
+        look_word = self.ids_of_words(words).__getitem__
+        return [list(chain(chain.from_iterable(map(look, units)), chain.from_iterable(map(look_word, rest))))
+                for units, rest in split]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -226,9 +250,9 @@ def round_trip(docs: DataFrame, by: Codec, id_col: str = "doc_id", text_col: str
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256, and the ids if asked.
     """
     def work(key: list, text: list[str]) -> dict:
-        encoded = by.encode(text)
+        encoded, decimal = by.encode(text), by.decimal.__getitem__
         out = {"doc_id": key, "n_tokens": list(map(len, encoded)),
-               "ids_sha256": [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in encoded],
+               "ids_sha256": [hashlib.sha256(",".join(map(decimal, x)).encode()).hexdigest() for x in encoded],
                "decoded_sha256": [hashlib.sha256(by.decode(x)).hexdigest() for x in encoded]}
         return {**out, "ids": encoded} if with_ids else out
 
