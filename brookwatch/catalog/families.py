@@ -65,7 +65,7 @@ def _refused(f: DataFrame) -> DataFrame:
     tagged = f.sparkSession.read.text(path).withColumn("bytes", F.split("value", r"\|")[23].cast("bigint"))
     value = (F.when(F.col("bytes") % 97 == 0, F.regexp_replace("value", r"\|[^|]*$", ""))
              .when(F.col("bytes") % 89 == 0, F.concat(F.lit("x"), F.col("value"))).otherwise(F.col("value")))
-    tagged.select(value.alias("value")).write.text(broken)
+    textflows.write_lines(tagged.select(value.alias("value")), broken)
     lines = f.sparkSession.read.text(broken)
     bad = textflows.refused_lines(lines).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     good = textflows.parse_pipe(lines).agg(F.count(F.lit(1)).alias("n")).select(F.lit("").alias("reason"), "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.address import addr_text, bind, ipv4_num, ipv4_str, is_ipv4_text, is_v6, v6_groups, v6_text
@@ -28,6 +28,10 @@ _LONG_FIELDS = {"first", "last", "pkts", "bytes", "aggr_flows", "srcas", "dstas"
                 "icmp_payload_len"} | {f for f in PIPE_FIELDS if f.endswith("_time")}
 AF_INET, AF_INET6 = 2, 10
 
+# A flow takes several times as many bytes as text as it does in a table, so texts are written compressed.  One task reads such a
+# file whole: no file gets more lines than this.
+FILE_LINES = 500_000
+
 
 def _words(df: DataFrame, name: str) -> Column:
     """The four 32-bit words of an address; IPv4 lies in the last one."""
@@ -62,8 +66,17 @@ def pipe_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("|", *cols).alias("value"))
 
 
-def write_pipe(df: DataFrame, path: str, mode: str = "error") -> None:
-    pipe_lines(df).write.mode(mode).text(path)
+def _text_writer(df: DataFrame, mode: str, compression: str) -> DataFrameWriter:
+    return df.write.mode(mode).options(compression=compression, maxRecordsPerFile=FILE_LINES)
+
+
+def write_lines(lines: DataFrame, path: str, mode: str = "error", compression: str = "gzip") -> None:
+    """Lines (column ``value``) as text files, ``compression="none"`` for plain ones."""
+    _text_writer(lines, mode, compression).text(path)
+
+
+def write_pipe(df: DataFrame, path: str, mode: str = "error", compression: str = "gzip") -> None:
+    write_lines(pipe_lines(df), path, mode, compression)
 
 
 def _kind(field: str) -> str:

@@ -1,15 +1,18 @@
 """Work that must not grow faster than its input: same rows as the plain way, and what the plans must not hold."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from brookwatch import fixtures
+from brookwatch.catalog import QUERIES
 from brookwatch.detectors.base import counters, recount
 from brookwatch.detectors.web import factors, matched_urls
 from brookwatch.operators import joins
 from brookwatch.rules import Rule, read_objects
+from brookwatch.session import shared_dir
 from brookwatch.sources import textflows
 
 from .conftest import SF_DIR
@@ -39,6 +42,27 @@ def test_pipe_lines_are_split_once(spark, make_flows, capsys):
     assert capsys.readouterr().out.count("split(") == 1
 
 
+def test_pipe_texts_are_compressed_files_of_bounded_length(spark, make_flows, tmp_path, monkeypatch):
+    monkeypatch.setattr(textflows, "FILE_LINES", 100)
+    path = tmp_path / "pipe"
+    flows = make_flows(*[dict(bytes=i, qname=f"n{i}", threat_type=None if i % 2 else "") for i in range(250)]).coalesce(1)
+    textflows.write_pipe(flows, str(path))
+    lines, files = textflows.pipe_lines(flows), list(path.glob("part-*"))
+    assert len(files) == 3 and sum(f.stat().st_size for f in files) < sum(len(r.value) for r in lines.collect()) / 4
+    assert sorted(spark.read.text(str(path)).collect()) == sorted(lines.collect())
+    assert sorted(r.bytes for r in textflows.read_pipe_flows(spark, str(path)).collect()) == list(range(250))
+    textflows.write_pipe(flows, str(tmp_path / "plain"), compression="none")
+    assert next((tmp_path / "plain").glob("part-*")).read_text().startswith("2|1704067200|")
+
+
+def test_broken_pipe_lines_are_written_compressed(spark):
+    before = set(Path(shared_dir(spark)).glob("out-*"))
+    got = {r.reason: r.n for r in QUERIES["s6_refused_lines"](spark, SF_DIR).collect()}
+    files = [f for folder in set(Path(shared_dir(spark)).glob("out-*")) - before for f in folder.glob("part-*")]
+    assert len({f.parent for f in files}) == 2 and all(f.suffix == ".gz" for f in files)
+    assert set(got) == {"", "64 fields", "af is no number"} and sum(got.values()) == fixtures.table(spark, SF_DIR, "lineitem").count()
+
+
 @pytest.mark.parametrize("pattern, texts", [
     ("(.p.37/index.html)", ["37/index", "html"]), (".*[/]12[?]id=1 union sel+ect", ["/12?id=1 union sel"]), ("a(bcde)?fghi", ["fghi"]),
     ("((abcd)+efgh)ijkl", ["efgh", "ijkl"]), ("(abcd|efgh)(ijkl)", ["ijkl"]), ("[^]abcd]wxyz", ["wxyz"]), ("[?]*abcd", ["abcd"]), ("(abcd", [])])
