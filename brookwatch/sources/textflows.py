@@ -172,8 +172,9 @@ def csv_frame(df: DataFrame, zone: str = "UTC") -> DataFrame:
     return df.select(*[cols[c].alias(c) for c in CSV_COLUMNS])
 
 
-def to_csv(df: DataFrame, path: str, zone: str = "UTC", mode: str = "error") -> None:
-    csv_frame(df, zone).write.mode(mode).csv(path, header=True)
+def to_csv(df: DataFrame, path: str, zone: str = "UTC", mode: str = "error", compression: str = "gzip") -> None:
+    """CSV files with a header each, ``compression="none"`` for plain ones."""
+    _text_writer(csv_frame(df, zone), mode, compression).csv(path, header=True)
 
 
 def read_flow_csv(spark: SparkSession, path: str, zone: str = "UTC", text_addresses: bool = False) -> DataFrame:

@@ -63,6 +63,20 @@ def test_broken_pipe_lines_are_written_compressed(spark):
     assert set(got) == {"", "64 fields", "af is no number"} and sum(got.values()) == fixtures.table(spark, SF_DIR, "lineitem").count()
 
 
+def test_csv_texts_are_compressed_files_of_bounded_length(spark, make_flows, tmp_path, monkeypatch):
+    monkeypatch.setattr(textflows, "FILE_LINES", 100)
+    path = tmp_path / "csv"
+    flows = make_flows(*[dict(bytes=i, srcport=i % 7, dstaddr=None if i == 9 else 3232235521) for i in range(250)]).coalesce(1)
+    textflows.to_csv(flows, str(path))
+    lines = sum(len(",".join(v or "" for v in r)) for r in textflows.csv_frame(flows).collect())
+    files = list(path.glob("part-*"))
+    assert len(files) == 3 and sum(f.stat().st_size for f in files) < lines / 4
+    back = textflows.read_flow_csv(spark, str(path)).select("first", "srcaddr", "srcport", "bytes").collect()
+    assert sorted(map(tuple, back)) == sorted((1704067200, 167772161, i % 7, i) for i in range(250))
+    textflows.to_csv(flows, str(tmp_path / "plain"), compression="none")
+    assert next((tmp_path / "plain").glob("part-*")).read_text().startswith("ts,te,td,")
+
+
 @pytest.mark.parametrize("pattern, texts", [
     ("(.p.37/index.html)", ["37/index", "html"]), (".*[/]12[?]id=1 union sel+ect", ["/12?id=1 union sel"]), ("a(bcde)?fghi", ["fghi"]),
     ("((abcd)+efgh)ijkl", ["efgh", "ijkl"]), ("(abcd|efgh)(ijkl)", ["ijkl"]), ("[^]abcd]wxyz", ["wxyz"]), ("[?]*abcd", ["abcd"]), ("(abcd", [])])
