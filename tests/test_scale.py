@@ -77,6 +77,14 @@ def test_csv_texts_are_compressed_files_of_bounded_length(spark, make_flows, tmp
     assert next((tmp_path / "plain").glob("part-*")).read_text().startswith("ts,te,td,")
 
 
+def test_csv_of_both_families_is_written_compressed(spark):
+    before = set(Path(shared_dir(spark)).glob("out-*"))
+    got = QUERIES["s9_csv_both_families"](spark, SF_DIR).groupBy(F.instr("srcaddr", ":") > 0).count().collect()
+    files = [f for folder in set(Path(shared_dir(spark)).glob("out-*")) - before for f in folder.glob("part-*")]
+    assert files and all(f.name.endswith(".csv.gz") for f in files)
+    assert len(got) == 2 and sum(r["count"] for r in got) == fixtures.table(spark, SF_DIR, "lineitem").count()
+
+
 @pytest.mark.parametrize("pattern, texts", [
     ("(.p.37/index.html)", ["37/index", "html"]), (".*[/]12[?]id=1 union sel+ect", ["/12?id=1 union sel"]), ("a(bcde)?fghi", ["fghi"]),
     ("((abcd)+efgh)ijkl", ["efgh", "ijkl"]), ("(abcd|efgh)(ijkl)", ["ijkl"]), ("[^]abcd]wxyz", ["wxyz"]), ("[?]*abcd", ["abcd"]), ("(abcd", [])])
