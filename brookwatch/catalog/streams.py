@@ -183,10 +183,13 @@ def _late_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Flows per slot, those on time as a stream without repeated deliveries keeps them and the late ones as set aside;
     ``dropped`` is the number of rows that the stream itself reports to have dropped."""
     stream, steps = deliveries(spark, sf, DELAY)
-    flows = st.event_time(stream)
-    fresh, dropped = st.run_deliveries(flows.dropDuplicates(flows.columns), steps[:3])
-    stream, steps = deliveries(spark, sf, DELAY)
-    aside = st.split_arrivals(stream, steps[:3], F.col("first")).where("late")
+    base = folder(spark)
+
+    def judged(steps: list) -> DataFrame:
+        return st.split_arrivals(stream, steps, F.col("first"), handle=lambda rows: rows.where("late"), base=base)
+
+    fresh, dropped = st.run_deliveries(st.drop_repeats(st.event_time(stream), ["first"]), [lambda s=s: judged([s]) for s in steps[:3]])
+    aside = judged([])
     both = fresh.select("first", F.lit(False).alias("late")).unionByName(aside.select("first", "late"))
     return (both.groupBy((F.col("first") - F.col("first") % 300).alias("slot"), "late").agg(F.count(F.lit(1)).alias("flows"))
             .withColumn("dropped", F.lit(dropped).cast("bigint")))

@@ -106,6 +106,22 @@ def dedup_events(events: DataFrame, columns: Sequence[str], horizon: str = "24 h
     return timed.dropDuplicates(list(columns)).drop("ts")
 
 
+def _digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """SHA-256 of the values; each stands with its length before it, or a mark if it is null, so no two rows read alike."""
+    texts = [F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType)) else F.col(c).cast("string")
+             for c in columns]
+    return F.unhex(F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t), F.lit(":"), t), F.lit("-")) for t in texts]), 256))
+
+
+def drop_repeats(flows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` of every flow, repeated deliveries dropped: rows that are alike in all columns.
+
+    What is shuffled and held as state until the watermark has passed is a digest of a flow, whatever its columns.
+    """
+    return (flows.select(*keep, "ts", _digest(flows, [c for c in flows.columns if c != "ts"]).alias("_digest"))
+            .dropDuplicates(["ts", "_digest"]).select(*keep))
+
+
 PAIR_KEY = ["sip", "dip", "sport", "dport", "code"]
 
 
@@ -144,16 +160,18 @@ def split_late(flows: DataFrame, arrived: Column, lateness_seconds: int = 600) -
 
 
 def split_arrivals(stream: DataFrame, deliveries: Iterable[Callable[[], None]], due: Column | None = None,
-                   lateness_seconds: int = 600) -> DataFrame:
+                   lateness_seconds: int = 600, handle: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+                   base: str | None = None) -> DataFrame:
     """Every flow of a stream with ``late``: whether its slot (or ``due``) was over when it arrived.
 
     A batch holds late what is due no later than the largest start of all batches before, less the lateness: the rule by
     which the watermark drops rows.  Each batch writes its rows, split by ``late``, and the largest start so far under its
     own id, so a batch that is repeated after a failure decides and overwrites the same.  ``deliveries`` are called in
-    turn, and the stream is run to its end after each.
+    turn, and the stream is run to its end after each.  ``handle`` makes the rows to keep of those of a batch; a call with
+    the ``base`` folder of an earlier one goes on where that ended and returns the rows of both.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     due = F.col("first") - F.col("first") % 300 + 300 if due is None else due
 
     def mark(batch_id: int) -> int | None:
@@ -162,7 +180,8 @@ def split_arrivals(stream: DataFrame, deliveries: Iterable[Callable[[], None]],
     def save(batch: DataFrame, batch_id: int) -> None:
         before = mark(batch_id - 1)
         late = F.lit(False) if before is None else due <= before - lateness_seconds
-        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(f"{base}/rows/batch={batch_id}")
+        rows = handle(batch.withColumn("late", late))
+        rows.write.mode("overwrite").partitionBy("late").parquet(f"{base}/rows/batch={batch_id}")
         reached = F.greatest(F.max("first"), F.lit(before).cast("bigint")).alias("reached")
         batch.agg(reached).write.mode("overwrite").parquet(f"{base}/marks/batch={batch_id}")
 

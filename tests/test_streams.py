@@ -1,9 +1,12 @@
 """Streams give the rows of the batch operators."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from brookwatch import fixtures
+from brookwatch.catalog import QUERIES
 from brookwatch.catalog.registry import folder
 from brookwatch.operators import merges
 from brookwatch.operators.aggregate import port_table
@@ -13,6 +16,8 @@ from brookwatch.rules import Rule, Window
 from brookwatch.session import shared_dir
 from brookwatch.streaming import flowstreams as st
 
+from .conftest import SF_DIR
+
 T0 = 1704067200
 KEY = ["srcaddr", "dstaddr", "prot"]
 SENTINEL = dict(first=T0 + 5 * 86400, last=T0 + 5 * 86400, srcaddr=1, dstaddr=2, prot=6, tos=1,
@@ -142,6 +147,47 @@ def test_late_flows_are_set_aside_by_delivery(spark, make_flows):
     assert got == {(3000, False), (10, True), (2399, True), (2101, True), (2400, False)}
 
 
+def test_arrivals_go_on_from_an_earlier_call_and_keep_what_is_asked(spark, make_flows):
+    stream, steps = _scan_files(spark, make_flows, [
+        [dict(first=T0 + 3000)], [dict(first=T0 + 10), dict(first=T0 + 2399), dict(first=T0 + 2101)], [dict(first=T0 + 2400)]])
+    base = folder(spark)
+    for step in steps:
+        st.split_arrivals(stream, [step], handle=lambda rows: rows.where("late"), base=base)
+    got = {(r["first"] - T0, r.late, r.dstport) for r in st.split_arrivals(stream, [], base=base).collect()}
+    assert got == {(10, True, 80), (2399, True, 80), (2101, True, 80)}
+
+
+@pytest.mark.parametrize("streamed", [False, True])
+def test_repeats_are_alike_in_all_columns(spark, streamed):
+    rows = [(T0, 1, "a", "bc", ["x, y"]), (T0, 1, "ab", "c", ["x, y"]), (T0, 1, "ab", "c", ["x", "y"]), (T0, 1, None, "", None),
+            (T0, 1, "", None, None), (T0, 1, "-", "", None), (T0, None, "", "", []), (T0 + 1, 1, "a", "bc", ["x, y"])]
+    flows = spark.createDataFrame([*rows, *rows[:5]], "first bigint, port int, a string, b string, l array<string>")
+    path = folder(spark)
+    flows.coalesce(1).write.parquet(path)
+    timed = st.event_time(st.read_flow_stream(spark, path, flows.schema) if streamed else flows)
+    want = timed.dropDuplicates(timed.columns).select("first", "port")
+    got = st.drop_repeats(timed, ["first", "port"])
+    if streamed:
+        got, want = (st.run_available(x, mode="append") for x in (got, want))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == len(rows)
+
+
+def test_late_flows_write_no_second_copy(spark):
+    """Flows delivered once; of those on time only what is counted is written, the late ones are set aside whole."""
+    before = set(Path(shared_dir(spark)).iterdir())
+    late = sum(r.flows for r in QUERIES["r8_stream_late_flows"](spark, SF_DIR).collect() if r.late)
+    made = set(Path(shared_dir(spark)).iterdir()) - before
+    whole = [d for d in made if not (d / "rows").exists()]
+    assert len(whole) == 1 and len(made) == 3
+    for d in made - set(whole):
+        rows = spark.read.parquet(str(d / "rows"))
+        if "late" in rows.columns:
+            assert {str(r.late).lower() for r in rows.collect()} == {"true"} and rows.count() == late > 0
+            assert set(spark.read.parquet(str(whole[0])).columns) < set(rows.columns)
+        else:
+            assert rows.drop("batch").columns == ["first"]
+
+
 def test_shared_folder(spark):
     assert shared_dir(spark) == shared_dir(spark)
 
